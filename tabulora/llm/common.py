@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,11 +38,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch; documents are long, so that Spark's default of 10,000 would hold tens of megabytes.
+BATCH = "2000"
+
+
 class Work:
     """Tables of one call in a folder of their own under the shared one; what is written cuts the lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        small_batches(spark)
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str, **options) -> DataFrame:
@@ -68,6 +73,12 @@ class Work:
             pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default size of Arrow batches; a size that the user has set stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,7 +94,7 @@ FILTER_BITS = 1 << 28
 
 
 def key_filter(keys: DataFrame, col: str, n_keys: int, most: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap with the bit `key mod bits` set for each key (bigint).
+    """A bitmap with two bits set for each key (bigint): a Bloom filter.
 
     Its size follows the number of keys up to `most` bits, so it is safe to ship. A set bit may be another key's:
     users must check hits exactly; a full bitmap costs time and shuffle, never rows.
@@ -91,9 +102,12 @@ def key_filter(keys: DataFrame, col: str, n_keys: int, most: int = FILTER_BITS)
     bits = 1 << 20
     while bits < 16 * n_keys and bits < most:
         bits *= 2
-    v = F.pmod(F.col(col), F.lit(bits)) + 1
+    shift = bits.bit_length() - 1
+    key = F.col(col)
+    both = F.explode(F.array(F.pmod(key, F.lit(bits)), F.pmod(F.shiftrightunsigned(key, shift), F.lit(bits)))).alias("v")
+    v = F.col("v") + 1
     rows = (
-        keys.where(F.col(col).isNotNull())
+        keys.where(key.isNotNull()).select(both)
         .select(F.bitmap_bucket_number(v).alias("b"), F.bitmap_bit_position(v).alias("p"))
         .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     )
@@ -104,9 +118,19 @@ def key_filter(keys: DataFrame, col: str, n_keys: int, most: int = FILTER_BITS)
 
 
 def in_filter(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For each key (int64 or the same bits as uint64) whether its bit is set."""
-    at = keys.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    """For each key (int64 or the same bits as uint64) whether its bits are set."""
+    bits = len(bitmap) * 8
+    low = np.uint64(bits - 1)
+
+    def probe(x):
+        at = x & low
+        return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    keys = keys.view(np.uint64)
+    out = probe(keys)
+    some = np.flatnonzero(out)
+    out[some] = probe(keys[some] >> np.uint64(bits.bit_length() - 1))
+    return out
 
 
 # ---------------------------------------------------------------- Arrow columns
@@ -123,13 +147,17 @@ def text_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+#: Rows of a slice, so that a row's number fits in 13 bits.
+ROWS = 8000
+
+
 def slices(batches, text: str = "text", most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows of about `most` bytes of text (a longer row stands alone): the rows, bytes, offsets."""
     for rb in batches:
         data, off = text_of(rb.column(text))
         i = 0
         while i < rb.num_rows:
-            j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+            j = min(max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1), i + ROWS)
             yield rb.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from tabulora.llm import substrings
+from tabulora.llm import fingerprints, jaccard, substrings
 
-QUERIES = {"op10_substring_dedup": substrings.op10_substring_dedup}
+QUERIES = {
+    "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
+    "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
+}
 
 ORACLE_SQL = {
     "op10_substring_dedup": r"""
