@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tabulora.llm import fingerprints, jaccard, substrings
+from tabulora.llm import bpe, fingerprints, jaccard, substrings
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
