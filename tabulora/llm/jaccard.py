@@ -7,8 +7,10 @@ and agree on some subset of parts - drop of its partitions: each such subset giv
 shingles in it. A set that may have partners in the next band gives that band's signatures too.
 
 Subsets with fewer than two shingles would be shared by chance, by a share of all documents. There are t groups more
-than needed, so similar sets agree in at least t + 1 groups; a set with at most t groups that hold such a thin subset
-leaves thin subsets out, and no pair is lost (both sets of a pair that agrees on thin subsets only have more than t).
+than needed, so similar sets agree in at least t + 1 groups. A set with at most t groups that hold a thin subset is done
+without its thin subsets. Another gives its other subsets and goes on to a partitioning by another salt, and only after
+ROUNDS of them gives thin subsets too. No pair is lost: if one set of it is done in a round, they agree on a subset
+that is not thin, and the other set gives that too, for it is in the round as well or was done before.
 
 Signatures are dealt out and sorted; one pass over each part keeps those of at least two different sets, in constant
 memory. Links are then found without listing all pairs of a group: every set is compared with its group's least set;
@@ -35,7 +37,9 @@ from tabulora.llm.graph import components
 #: Partitions of a group, and how many of them a signature leaves out.
 PARTS, DROP = 2, 1
 #: Groups besides those needed, as a share of them.
-SPARE = 0.25
+SPARE = 0.2
+#: Partitionings by different salts before thin subsets are used.
+ROUNDS = 6
 #: A band's largest size by its smallest; at least den / num.
 BAND = 1.2
 #: Members up to which a group in several components is compared at once, and pivots that larger ones get before.
@@ -43,7 +47,8 @@ SMALL, PIVOTS = 48, 3
 
 
 def band_tops(num: int, den: int, largest: int) -> np.ndarray:
-    tops, ratio = [8], max(BAND, den / num)
+    """Largest sizes of the bands; in the first, similar sets are equal."""
+    tops, ratio = [max(1, (den + num - 1) // (2 * (den - num)))], max(BAND, den / num)
     while tops[-1] < largest:
         tops.append(int(np.ceil(tops[-1] * ratio)))
     return np.array(tops, np.int64)
@@ -53,7 +58,7 @@ def groups_of(top: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarr
     """Number of groups in all, and of spare ones, for bands whose largest size is top."""
     differ = 2 * top * (den - num) // (den + num)
     need = differ // (DROP + 1) + 1
-    spare = np.ceil(SPARE * need).astype(np.int64)
+    spare = (SPARE * need).astype(np.int64)
     return need + spare, spare
 
 
@@ -97,43 +102,51 @@ def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.nd
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     tops = band_tops(num, den, int(sizes.max()) * den // num + 1)
     own = np.searchsorted(tops, sizes)
-    sigs, rows = [], []
+    whole = np.flatnonzero((sizes > 0) & (own == 0))
+    sigs, rows = [set_keys(h, at)[whole]], [whole]
     for step in (0, 1):
-        use = np.flatnonzero((sizes > 0) if not step else (sizes > 0) & (sizes * den // num > tops[own]))
-        if not len(use):
-            continue
-        band = own[use] + step
-        n_groups, spare = groups_of(tops[band], num, den)
-        cells = np.concatenate([[0], np.cumsum(n_groups * PARTS)])
-        n = sizes[use]
-        which = np.repeat(np.arange(len(use)), n)
-        value = h[np.repeat(at[use] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
-        with np.errstate(over="ignore"):
-            salted = mix(value + (np.uint64(STEP) * (band[which].astype(np.uint64) + np.uint64(1))))
-            cell = ((salted >> np.uint64(32)) * (n_groups[which] * PARTS).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + cells[which]
-            count = np.bincount(cell, minlength=cells[-1])
-            total = np.zeros(cells[-1], np.uint64)
-            np.add.at(total, cell, mix(salted))
-            count, total = count.reshape(-1, PARTS), total.reshape(-1, PARTS)
-            group_row = np.repeat(np.arange(len(use)), n_groups)
-            group_no = np.arange(len(group_row)) - np.repeat(cells[:-1] // PARTS, n_groups)
-            base = mix((band[group_row].astype(np.uint64) << np.uint64(32)) + group_no.astype(np.uint64))
-            thin, made = np.zeros(len(group_row), bool), []
-            for subset in combinations(range(PARTS), PARTS - DROP):
-                few = count[:, subset].sum(axis=1) < 2
-                sig = base + np.uint64(1 + subset[0])
-                for p in subset:
-                    sig = mix(sig) + total[:, p]
-                made.append((mix(sig), few))
-                thin |= few
-        many = np.bincount(group_row, weights=thin, minlength=len(use)) > spare
-        for sig, few in made:
-            keep = np.flatnonzero(~few | many[group_row])
-            sigs.append(sig[keep])
-            rows.append(use[group_row[keep]])
+        use = np.flatnonzero((sizes > 0) & (own + step > 0) & ((sizes * den // num > tops[own]) if step else True))
+        for salt in range(ROUNDS):
+            if not len(use):
+                break
+            sig, row, use = _subsets(h, at, use, own[use] + step, tops, num, den, salt)
+            sigs.append(sig)
+            rows.append(row)
     return np.concatenate(sigs), np.concatenate(rows)
 
 
+def _subsets(h, at, use, band, tops, num, den, salt):
+    """Signatures of the rows `use` in these bands, the row of each, and the rows that go on to the next salt."""
+    n_groups, spare = groups_of(tops[band], num, den)
+    cells = np.concatenate([[0], np.cumsum(n_groups * PARTS)])
+    n = at[use + 1] - at[use]
+    which = np.repeat(np.arange(len(use)), n)
+    value = h[np.repeat(at[use] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
+    with np.errstate(over="ignore"):
+        code = (band.astype(np.uint64) * np.uint64(ROUNDS) + np.uint64(salt + 1)) * np.uint64(STEP)
+        salted = mix(value + code[which])
+        cell = ((salted >> np.uint64(32)) * (n_groups[which] * PARTS).astype(np.uint64) >> np.uint64(32)).astype(np.int64) + cells[which]
+        count = np.bincount(cell, minlength=cells[-1]).reshape(-1, PARTS)
+        total = np.zeros(cells[-1], np.uint64)
+        np.add.at(total, cell, mix(salted))
+        total = total.reshape(-1, PARTS)
+        group_row = np.repeat(np.arange(len(use)), n_groups)
+        group_no = np.arange(len(group_row)) - np.repeat(cells[:-1] // PARTS, n_groups)
+        base = mix(code[group_row] + group_no.astype(np.uint64))
+        thin, made = np.zeros(len(group_row), bool), []
+        for subset in combinations(range(PARTS), PARTS - DROP):
+            few = count[:, subset].sum(axis=1) < 2
+            sig = base + np.uint64(sum(1 << p for p in subset))
+            for p in subset:
+                sig = mix(sig) + total[:, p]
+            made.append((mix(sig), few))
+            thin |= few
+    on = np.bincount(group_row, weights=thin, minlength=len(use)) > spare
+    every = on & (salt == ROUNDS - 1)
+    keeps = [np.flatnonzero(~few | every[group_row]) for _, few in made]
+    return np.concatenate([sig[k] for (sig, _), k in zip(made, keeps, strict=True)]), use[group_row[np.concatenate(keeps)]], use[on]
+
+
 DEAL = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("id", pa.int64())])
 
 
