@@ -60,11 +60,14 @@ class Work:
         _delete(self.spark, f"{self.at}/{name}")
 
     def tidy(self) -> None:
-        """Asks for a collection of the driver's heap: shuffle files of finished jobs go with it."""
+        """Lets go of shuffle files of finished jobs: they go when the driver's heap is collected, in two steps."""
         import gc
+        import time
 
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.4)
 
     def close(self) -> None:
         try:
