@@ -6,16 +6,17 @@ similarity of num / den bounds the number k of differing shingles. The domain of
 and agree on some subset of parts - drop of its partitions: each such subset gives one signature, the hash of the
 shingles in it. A set that may have partners in the next band gives that band's signatures too.
 
-Subsets with fewer than two shingles would be shared by chance, by a share of all documents. There are t groups more
-than needed, so similar sets agree in at least t + 1 groups. A set with at most t groups that hold a thin subset is done
-without its thin subsets. Another gives its other subsets and goes on to a partitioning by another salt, and only after
-ROUNDS of them gives thin subsets too. No pair is lost: if one set of it is done in a round, they agree on a subset
-that is not thin, and the other set gives that too, for it is in the round as well or was done before.
+Empty subsets would be shared by chance, by a share of all documents. There are t groups more than needed, so similar
+sets agree in at least t + 1 groups. A set with at most t groups that hold an empty subset is done without those. Another
+gives its other subsets and goes on to a partitioning by another salt, and only after ROUNDS of them gives empty subsets
+too. No pair is lost: in the first round that either set is done in, both take part and agree on a subset with shingles.
 
 Signatures are dealt out and sorted; one pass over each part keeps those of at least two different sets, in constant
 memory. Links are then found without listing all pairs of a group: every set is compared with its group's least set;
 where a large group is still in several components, with further pivots; last, pairs of one group whose components
-still differ are all compared, so no link that could join components is missed. Each comparison counts whole sets.
+still differ are all compared, so no link that could join components is missed. A pair is first looked at by a sketch of each
+set, a byte for each cell of its shingles: the cells that differ are at most the shingles that do, so too many of them
+rule it out for sure. For the rest the whole sets are intersected.
 
 Defined results: null, empty or blank text: no shingles, linked with nothing, its own component; fewer words than a
 shingle: the whole sequence is the one shingle; equal sets (repeated rows, other case, repeated passages): linked; null
@@ -37,13 +38,13 @@ from tabulora.llm.graph import components
 #: Partitions of a group, and how many of them a signature leaves out.
 PARTS, DROP = 2, 1
 #: Groups besides those needed, as a share of them.
-SPARE = 0.2
-#: Partitionings by different salts before thin subsets are used.
-ROUNDS = 6
+SPARE = 0.08
+#: Partitionings by different salts before empty subsets are used.
+ROUNDS = 4
 #: A band's largest size by its smallest; at least den / num.
 BAND = 1.2
 #: Members up to which a group in several components is compared at once, and pivots that larger ones get before.
-SMALL, PIVOTS = 48, 3
+SMALL, PIVOTS = 48, 2
 
 
 def band_tops(num: int, den: int, largest: int) -> np.ndarray:
@@ -133,15 +134,15 @@ def _subsets(h, at, use, band, tops, num, den, salt):
         group_row = np.repeat(np.arange(len(use)), n_groups)
         group_no = np.arange(len(group_row)) - np.repeat(cells[:-1] // PARTS, n_groups)
         base = mix(code[group_row] + group_no.astype(np.uint64))
-        thin, made = np.zeros(len(group_row), bool), []
+        empty, made = np.zeros(len(group_row), bool), []
         for subset in combinations(range(PARTS), PARTS - DROP):
-            few = count[:, subset].sum(axis=1) < 2
+            few = count[:, subset].sum(axis=1) == 0
             sig = base + np.uint64(sum(1 << p for p in subset))
             for p in subset:
                 sig = mix(sig) + total[:, p]
             made.append((mix(sig), few))
-            thin |= few
-    on = np.bincount(group_row, weights=thin, minlength=len(use)) > spare
+            empty |= few
+    on = np.bincount(group_row, weights=empty, minlength=len(use)) > spare
     every = on & (salt == ROUNDS - 1)
     keeps = [np.flatnonzero(~few | every[group_row]) for _, few in made]
     return np.concatenate([sig[k] for (sig, _), k in zip(made, keeps, strict=True)]), use[group_row[np.concatenate(keeps)]], use[on]
@@ -200,7 +201,28 @@ def _shared(batches):
         yield out_batch(DEAL, h[at], key[at], np.full(len(at), -1), pa.nulls(len(at), pa.int64()))
 
 
-SETS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("s", pa.list_(pa.int64()))])
+SETS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("s", pa.list_(pa.int64()))])
+SETS_SQL = "key long, id long, n long, sketch binary, s array<bigint>"
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """A byte for each cell: the exclusive-or of its shingles; a power of two of cells, about one for two shingles."""
+    cells = 16
+    while 2 * cells < len(h):
+        cells *= 2
+    out, x = np.zeros(cells, np.uint8), mix(h ^ np.uint64(0x5C5C5C5C))
+    np.bitwise_xor.at(out, (x & np.uint64(cells - 1)).astype(np.int64), (x >> np.uint64(56)).astype(np.uint8))
+    return out.tobytes()
+
+
+def cells_apart(x: bytes, y: bytes) -> int:
+    """Cells that differ, after the longer sketch is folded to the shorter one's cells."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.count_nonzero(a != b))
 
 
 def _sets(size, bitmap):
@@ -213,20 +235,35 @@ def _sets(size, bitmap):
             want = want[np.lexsort((ids[want], key[want]))]
             want = want[np.unique(key[want], return_index=True)[1]]  # the least id of each set in this slice
             lists = [as_long(h[at[i] : at[i + 1]]) for i in want.tolist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            n = np.array([len(x) for x in lists], np.int64)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            yield out_batch(SETS, as_long(key[want]), ids[want], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)))
+            yield out_batch(SETS, as_long(key[want]), ids[want], n, [sketch(x.view(np.uint64)) for x in lists], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)))
+
+    return run
+
+
+def _near(num, den):
+    def run(batches):
+        for rb in batches:
+            na, nb = (np.asarray(rb.column(c)) for c in ("na", "nb"))
+            apart = [cells_apart(x, y) for x, y in zip(rb.column("x").to_pylist(), rb.column("y").to_pylist(), strict=True)]
+            ok = (np.array(apart, np.int64) <= (den - num) * (na + nb) // (den + num)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+            yield rb.select(["a", "b"]).take(pa.array(np.flatnonzero(ok)))
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _linked(work: Work, pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
+    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_near(num, den), "a long, b long")
+    near = work.write(near, f"near-{name}")
     left, right = sets.select(F.col("key").alias("a"), F.col("s").alias("x")), sets.select(F.col("key").alias("b"), F.col("s").alias("y"))
-    fits = f"{den} * least(size(x), size(y)) >= {num} * greatest(size(x), size(y))"
     both = F.size(F.array_intersect("x", "y")).alias("both")
-    got = pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", both, (F.size("x") + F.size("y")).alias("all"))
-    return got.where(f"{den} * both >= {num} * (all - both)").select("a", "b").distinct()
+    got = near.join(left, "a").join(right, "b").select("a", "b", both, (F.size("x") + F.size("y")).alias("all"))
+    return work.write(got.where(f"{den} * both >= {num} * (all - both)").select("a", "b").distinct(), name)
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -242,9 +279,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = work.write(shared.select("key").distinct(), "keys")
     n_keys = keys.count()
     if n_keys:
-        sets = rows.mapInArrow(_sets(size, key_filter(keys, "key", n_keys)), "key long, id long, s array<bigint>")
+        sets = rows.mapInArrow(_sets(size, key_filter(keys, "key", n_keys)), SETS_SQL)
+        work.tidy()
         leads = lead.join(keys, "key", "left_semi").select(F.col("key"), F.col("lead").alias("id"))
-        sets = work.write(sets.join(leads, ["key", "id"], "left_semi").select("key", "s"), "sets", compression="zstd")
+        sets = work.write(sets.join(leads, ["key", "id"], "left_semi").select("key", "n", "sketch", "s"), "sets")
         comp = _resolve(work, shared, sets, num, den)
         least = comp.join(lead, comp.node == lead.key).groupBy("comp").agg(F.min("lead").alias("c"))
         names = work.write(comp.join(least, "comp").select(F.col("node").alias("key"), F.col("c")), "names")
@@ -260,7 +298,7 @@ def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int)
     """Components (node, comp) of the sets that share a signature."""
     pivot = work.write(shared.groupBy("h").agg(F.min("key").alias("a")), "pivots")
     pairs = work.write(shared.join(pivot, "h").where("a <> key").select("a", F.col("key").alias("b")).distinct(), "pairs0")
-    done, links = pairs, work.write(_linked(pairs, sets, num, den), "links0")
+    done, links = pairs, _linked(work, pairs, sets, num, den, "links0")
     comp = components(work, links, "comp0")
     for k in range(1, PIVOTS + 2):
         now = shared.join(comp, shared.key == comp.node, "left").select("h", "key", F.coalesce("comp", "key").alias("comp"))
@@ -276,7 +314,7 @@ def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int)
             other = mixed.select("h", F.col("key").alias("b"), F.col("comp").alias("of"))
             pairs = mixed.join(other, "h").where("key < b and comp <> of").select(F.col("key").alias("a"), "b")
         pairs = work.write(pairs.distinct().join(done, ["a", "b"], "left_anti"), f"pairs{k}")
-        more = work.write(_linked(pairs, sets, num, den), f"links{k}")
+        more = _linked(work, pairs, sets, num, den, f"links{k}")
         if not more.isEmpty():
             links = links.union(more)
             comp = components(work, links, f"comp{k}")
