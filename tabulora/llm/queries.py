@@ -2,16 +2,47 @@
 
 from __future__ import annotations
 
-from tabulora.llm import bpe, fingerprints, jaccard, substrings
+from tabulora.llm import archive, bpe, conversations, fingerprints, jaccard, substrings, toxicity, urls
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
+    "op2_chat_formatting": conversations.op2_chat_formatting,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op4_url_filters": urls.op4_url_filters,
     "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
+    "op8_warc_archive": archive.op8_warc_archive,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_chat_formatting": """
+        with r as (select distinct conv_id, turn, coalesce(role, '') "role", coalesce(text, '') txt from conversations where conv_id is not null),
+        c as (select conv_id, list({'role': "role", 'txt': txt} order by turn nulls first, "role", txt) t from r group by 1),
+        k as (select t, min(conv_id) conv_id from c group by t),
+        p as (select distinct t[1:i] t from (select t, unnest(range(1, len(t))) i from k))
+        select conv_id, len(t)::bigint n_turns,
+               array_to_string(list_transform(t, lambda x: '<|im_start|>' || x.role || chr(10) || x.txt || '<|im_end|>' || chr(10)), '') rendered
+        from k where not exists (select 1 from p where p.t = k.t)""",
+    "op3_ngram_jaccard_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+        s as (select distinct doc_id, g from (select doc_id, case when len(ws) < 4 then ws else ws[i:i + 3] end g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) i from w where len(ws) > 0))),
+        n as (select doc_id, count(*) n from s group by 1),
+        p as (select a.doc_id a, b.doc_id b, count(*) both from s a join s b using (g) where a.doc_id < b.doc_id group by 1, 2),
+        e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+        d as (select a, b from e union select b, a from e),
+        r(a, b) as (select doc_id, doc_id from w union select r.a, d.b from r join d on r.b = d.a)
+        select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, c.c component_id
+        from w left join n using (doc_id) join (select a doc_id, min(b) c from r group by 1) c using (doc_id)""",
+    "op8_warc_archive": """
+        with p as (select page_id, coalesce(html, '') h from pages),
+        d as (select page_id, h, sha1(h) x, max(page_id) over (partition by h) m from p),
+        g as (select page_id, h, m, list_transform(range(0, 8), lambda k: ('0x' || substr(x, 1 + 5 * k::int, 5))::bigint) v from d)
+        select page_id, strlen(h)::bigint payload_bytes,
+               array_to_string(list_transform(flatten(list_transform(v, lambda n: [(n >> 15) & 31, (n >> 10) & 31, (n >> 5) & 31, n & 31])), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', i::int + 1, 1)), '') payload_digest,
+               case when page_id = m then 'response' else 'revisit' end record_type,
+               case when page_id = m then null else m end refers_to
+        from g""",
     "op10_substring_dedup": r"""
         with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
         win as (select doc_id, i, list_slice(ws, i, i + 12) g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) i from w)),
