@@ -28,8 +28,8 @@ ORACLE_SQL = {
         with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
         s as (select distinct doc_id, g from (select doc_id, case when len(ws) < 4 then ws else ws[i:i + 3] end g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) i from w where len(ws) > 0))),
         n as (select doc_id, count(*) n from s group by 1),
-        p as (select a.doc_id a, b.doc_id b, count(*) both from s a join s b using (g) where a.doc_id < b.doc_id group by 1, 2),
-        e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+        p as (select a.doc_id a, b.doc_id b, count(*) shared from s a join s b using (g) where a.doc_id < b.doc_id group by 1, 2),
+        e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
         d as (select a, b from e union select b, a from e),
         r(a, b) as (select doc_id, doc_id from w union select r.a, d.b from r join d on r.b = d.a)
         select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, c.c component_id
