@@ -1,16 +1,16 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Each text is cut into pre-tokens by a pattern. Pre-tokens are dealt out with their positions, each distinct one is
-encoded once where its rows meet, and the ids go back to the documents, where they are put together by position.
-Decoding joins the ids with the table of the tokens' bytes.
+Each text is cut into pre-tokens by a pattern. A block of documents keeps, for each position, the number of its word in
+the block's list of distinct words; the lists are dealt out by word, so that equal words meet, each distinct word is
+encoded once there (per memo of bounded size), and its ids go back to the blocks that have it, where the documents are
+put together by position. Decoding joins the ids with the table of the tokens' bytes.
 
-Very common pre-tokens would each be one hot key. The commonest HOT ones of a bounded sample of documents form a table
-of bounded size that is shipped with their ids; their positions stay in the document's row, as compressed numbers.
-Which words are in the table changes the cost alone, never the ids: every other word takes the shuffle. Within a
-document a word is one row with all its positions.
+Very common words would be in every block's list. The commonest HOT ones of a bounded sample of documents form a table
+of bounded size that is shipped with their ids, so they are not dealt out. Which words are in it changes the cost
+alone, never the ids. A word is at most one entry for each block, so no word is a hot key.
 
-Defined results: null or empty text: no tokens; equal rows: encoded once in a slice and returned as often as they came;
-text of one endless word: encoded whole; special tokens: ordinary text; null id: returned as null.
+Defined results: null or empty text: no tokens; equal rows: returned as often as they came; text of one endless word:
+encoded whole; special tokens: ordinary text; null id: returned as null.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from tabulora.llm.common import out_batch, partitions, small_batches
 
 #: Words of the shipped table, and documents of the sample that they are taken from.
 HOT, SAMPLE_DOCS = 1 << 18, 20_000
-#: Bytes of results that leave a worker at once.
-FLUSH = 2 << 20
+#: Characters of a block, words of a memo, bytes of results that leave a worker at once.
+BLOCK, MEMO, FLUSH = 4 << 20, 500_000, 2 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -54,14 +54,14 @@ def _pack(ids) -> bytes:
 
 
 def _squeeze(codes: np.ndarray) -> bytes:
-    """Numbers below 2^24 as three planes of bytes, compressed."""
+    """32-bit numbers as four planes of bytes, compressed."""
     b = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zlib.compress(b"".join(b[:, k].tobytes() for k in range(3)), 1)
+    return zlib.compress(b"".join(b[:, k].tobytes() for k in range(4)), 1)
 
 
 def _unsqueeze(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(3, -1).astype(np.uint32)
-    return b[0] | (b[1] << np.uint32(8)) | (b[2] << np.uint32(16))
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 COUNT = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -91,65 +91,100 @@ def hot_words(docs: DataFrame, pattern: str, most: int = HOT, sample: int = SAMP
     return [w for b in top.toArrow().to_batches() for w in b.column(0).to_pylist()]
 
 
-#: h deals the rows out; doc names a document; word is null in a document's own row, whose data are its numbers
-#: (0: not in the table), copies and id; else data are the word's positions.
-DEAL = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("word", pa.binary()), ("data", pa.binary()), ("copies", pa.int64()), ("id", pa.int64())])
-DEAL_SQL = "h long, doc long, word binary, data binary, copies long, id long"
+#: p deals the rows out. A block's own row has part -1, its numbers (0 is no word), the ids and token counts of its
+#: documents; a row with part p >= 0 has those of its words, or their ids, that are dealt to p.
+DEAL = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("id", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
+DEAL_SQL = "p int, block long, part int, data binary, id array<bigint>, n array<int>"
 
 
-def _split(hot, pattern):
+def _pack_all(items: list[bytes]) -> bytes:
+    lengths = np.array([len(x) for x in items], "<u4").tobytes()
+    return zlib.compress(len(items).to_bytes(4, "little") + lengths + b"".join(items), 1)
+
+
+def _unpack_all(raw: bytes) -> list[bytes]:
+    raw = zlib.decompress(raw)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).astype(np.int64) + 4 + 4 * n
+    ends = [4 + 4 * n, *ends.tolist()]
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _split(hot, pattern, n_parts):
     def run(batches):
         import regex
         import xxhash
 
-        cut, get = regex.compile(pattern).findall, {w: k + 1 for k, w in enumerate(hot)}.get
+        cut, get, first = regex.compile(pattern).findall, {w: k + 1 for k, w in enumerate(hot)}.get, len(hot) + 1
+
+        def block(ids, texts):
+            own: dict = {}
+            codes, n = [], []
+            for t in texts:
+                words = cut(t)
+                n.append(len(words))
+                row = [get(w, 0) for w in words]
+                if 0 in row:
+                    for k, c in enumerate(row):
+                        if not c:
+                            row[k] = first + own.setdefault(words[k], len(own))
+                codes.append(np.array(row, np.uint32))
+            codes = np.concatenate(codes)
+            words = [w.encode() for w in own]
+            part = np.array([xxhash.xxh3_64_intdigest(w) % n_parts for w in words], np.int64)
+            order = np.argsort(part, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            far = codes >= first
+            codes[far] = place[codes[far] - first] + np.uint32(first)
+            name = xxhash.xxh3_64(repr(ids).encode())
+            for t in texts:
+                name.update(t.encode() + b"\xff")
+            name = name.intdigest() - (1 << 63)
+            rows = [(name % n_parts, name, -1, _squeeze(codes), ids, n)]
+            bounds = np.searchsorted(part[order], np.arange(n_parts + 1)).tolist()
+            order = order.tolist()
+            for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                if b > a:
+                    rows.append((p, name, p, _pack_all([words[k] for k in order[a:b]]), None, None))
+            return out_batch(DEAL, *zip(*rows, strict=True))
+
         for rb in batches:
-            seen: dict = {}
+            ids, texts, size = [], [], 0
             for i, t in zip(rb.column("id").to_pylist(), rb.column("text").to_pylist(), strict=True):
-                seen[i, t] = seen.get((i, t), 0) + 1
-            cols: list[list] = [[] for _ in DEAL]
-            size = 0
-            for (i, t), copies in seen.items():
-                words = cut(t)
-                codes = np.array([get(w, 0) for w in words], np.uint32)
-                doc = xxhash.xxh3_64_intdigest(f"{i}\0{t}".encode()) - (1 << 63)
-                rows: dict = {}
-                for p in np.flatnonzero(codes == 0).tolist():
-                    rows.setdefault(words[p], []).append(p)
-                made = [(doc, doc, None, _squeeze(codes), copies, i)]
-                for w, at in rows.items():
-                    raw = w.encode()
-                    made.append((xxhash.xxh3_64_intdigest(raw) - (1 << 63), doc, raw, _pack(at), 0, None))
-                for row in made:
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
+                ids.append(i)
+                texts.append(t)
                 size += len(t)
-                if size > FLUSH:
-                    yield out_batch(DEAL, *cols)
-                    cols, size = [[] for _ in DEAL], 0
-            if cols[0]:
-                yield out_batch(DEAL, *cols)
+                if size > BLOCK:
+                    yield block(ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield block(ids, texts)
 
     return run
 
 
-BACK = pa.schema([("doc", pa.int64()), ("ids", pa.binary()), ("data", pa.binary()), ("copies", pa.int64()), ("id", pa.int64())])
-BACK_SQL = "doc long, ids binary, data binary, copies long, id long"
-
-
 def _encode(tokens, pattern):
-    """Of rows sorted by word: each distinct word's ids, made once and given to each of its rows."""
+    """Gives the words of each row their ids; a word is encoded once, as long as the memo holds it."""
 
     def run(batches):
         encode = encoder(tokens, pattern)
-        last, ids = None, b""
+        memo: dict = {}
         for rb in batches:
             out = []
-            for w in rb.column("word").to_pylist():
-                if w is not None and w != last:
-                    last, ids = w, _pack(encode(w))
-                out.append(None if w is None else ids)
-            yield out_batch(BACK, rb.column("doc"), out, rb.column("data"), rb.column("copies"), rb.column("id"))
+            for part, data in zip(rb.column("part").to_pylist(), rb.column("data").to_pylist(), strict=True):
+                if part >= 0:
+                    ids = []
+                    for w in _unpack_all(data):
+                        x = memo.get(w)
+                        if x is None:
+                            x = memo[w] = _pack(encode(w))
+                        ids.append(x)
+                    data = _pack_all(ids)
+                    if len(memo) > MEMO:
+                        memo.clear()
+                out.append(data)
+            yield out_batch(DEAL, *(out if c == "data" else rb.column(c) for c in DEAL.names))
 
     return run
 
@@ -158,42 +193,40 @@ OUT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary
 
 
 def _assemble(hot_ids, tokens):
-    """Of rows sorted by document, its own row first: the ids in order, and the bytes that they decode to."""
+    """Of rows sorted by block and part, the block's own first: the ids in order, and the bytes that they decode to."""
 
     def run(batches):
-        table = [b"", *hot_ids]
-        done: list[tuple] = []
-        size = 0
-
-        def finish(parts, owners):
-            nonlocal size
-            ids = b"".join(parts)
-            text = b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-            for i, copies in owners:
-                done.extend([(i, len(ids) // 4, ids, text)] * copies)
-                size += (len(ids) + len(text)) * copies
-
-        doc, parts, owners = None, [], []
+        hot = [b"", *hot_ids]
+
+        def finish(own, words):
+            table = hot + words
+            for data, doc_ids, counts in own:
+                codes, at = _unsqueeze(data).tolist(), 0
+                done, size = [], 0
+                for i, n in zip(doc_ids, counts, strict=True):
+                    ids = b"".join([table[c] for c in codes[at : at + n]])
+                    at += n
+                    text = b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                    done.append((i, len(ids) // 4, ids, text))
+                    size += len(ids) + len(text)
+                    if size > FLUSH:
+                        yield out_batch(OUT, *zip(*done, strict=True))
+                        done, size = [], 0
+                if done:
+                    yield out_batch(OUT, *zip(*done, strict=True))
+
+        block, own, words, last = None, [], [], -1
         for rb in batches:
-            for d, ids, data, copies, i in zip(*(rb.column(c).to_pylist() for c in BACK.names), strict=True):
-                if d != doc:
-                    if owners:
-                        finish(parts, owners)
-                        if size > FLUSH:
-                            yield out_batch(OUT, *zip(*done, strict=True))
-                            done.clear()
-                            size = 0
-                    doc, parts, owners = d, [], []
-                if ids is None:
-                    parts = parts or list(map(table.__getitem__, _unsqueeze(data).tolist()))
-                    owners.append((i, copies))
-                else:
-                    for p in np.frombuffer(data, "<u4").tolist():
-                        parts[p] = ids
-        if owners:
-            finish(parts, owners)
-        if done:
-            yield out_batch(OUT, *zip(*done, strict=True))
+            for name, part, data, ids, n in zip(*(rb.column(c).to_pylist() for c in DEAL.names[1:]), strict=True):
+                if name != block:
+                    yield from finish(own, words)
+                    block, own, words, last = name, [], [], -1
+                if part < 0:
+                    own.append((data, ids, n))
+                elif part != last:  # an equal block has the same words
+                    words += _unpack_all(data)
+                    last = part
+        yield from finish(own, words)
 
     return run
 
@@ -208,8 +241,8 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
     encode = encoder(tokens, pattern)
     hot_ids = [_pack(encode(w.encode())) for w in words]
     n = partitions(spark)
-    dealt = rows.mapInArrow(_split(words, pattern), DEAL_SQL).repartition(n, "h").sortWithinPartitions("h", "word")
-    back = dealt.mapInArrow(_encode(tokens, pattern), BACK_SQL).repartition(n, "doc").sortWithinPartitions("doc", F.col("ids").isNotNull())
+    dealt = rows.mapInArrow(_split(words, pattern, n), DEAL_SQL).repartitionById(n, F.col("p"))
+    back = dealt.mapInArrow(_encode(tokens, pattern), DEAL_SQL).repartition(n, "block").sortWithinPartitions("block", "part")
     return back.mapInArrow(_assemble(hot_ids, tokens), "id long, n_tokens long, ids binary, decoded binary")
 
 
