@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tabulora.llm import archive, bpe, conversations, fingerprints, jaccard, substrings, toxicity, urls
+from tabulora.llm import archive, bpe, conversations, decontaminate, fingerprints, jaccard, lm, substrings, toxicity, urls
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op2_chat_formatting": conversations.op2_chat_formatting,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_url_filters": urls.op4_url_filters,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op8_warc_archive": archive.op8_warc_archive,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring_dedup": substrings.op10_substring_dedup,

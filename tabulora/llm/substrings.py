@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,30 +118,54 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 CUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
+def _kept_words(data, off, lists, window):
+    """Number of words, of removed words, and the kept ones joined, for each row with its windows to remove."""
+    starts, ends, tok = find_words(data, off)
+    gone = np.zeros(len(starts) + 1, np.int32)
+    reach, values = np.asarray(lists.offsets), np.asarray(lists.values)
+    for i in np.flatnonzero(np.diff(reach)).tolist():
+        at = values[reach[i] : reach[i + 1]] + tok[i]
+        np.add.at(gone, at, 1)
+        np.add.at(gone, np.minimum(at + window, tok[i + 1]), -1)
+    gone = np.cumsum(gone[:-1]) > 0
+    total = np.concatenate([[0], np.cumsum(gone)])
+    raw, texts = data.tobytes(), []
+    keep = np.flatnonzero(~gone)
+    s, e, at = starts[keep].tolist(), ends[keep].tolist(), np.searchsorted(keep, tok).tolist()
+    for i in range(len(off) - 1):
+        texts.append(b" ".join([raw[a:b] for a, b in zip(s[at[i] : at[i + 1]], e[at[i] : at[i + 1]], strict=True)]))
+    return np.diff(tok), total[tok[1:]] - total[tok[:-1]], texts
+
+
 def _cut(window):
     def run(batches):
         for rb, data, off in slices(batches):
-            starts, ends, tok = find_words(data, off)
-            gone = np.zeros(len(starts) + 1, np.int32)
-            lists = rb.column("at")
-            reach, values = np.asarray(lists.offsets), np.asarray(lists.values)
-            for i in np.flatnonzero(np.diff(reach)).tolist():
-                at = values[reach[i] : reach[i + 1]] + tok[i]
-                np.add.at(gone, at, 1)
-                np.add.at(gone, np.minimum(at + window, tok[i + 1]), -1)
-            gone = np.cumsum(gone[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
-            removed, texts = total[tok[1:]] - total[tok[:-1]], []
-            raw = data.tobytes()
-            keep = np.flatnonzero(~gone)
-            s, e, at = starts[keep].tolist(), ends[keep].tolist(), np.searchsorted(keep, tok).tolist()
-            for i in range(rb.num_rows):
-                texts.append(b" ".join([raw[a:b] for a, b in zip(s[at[i] : at[i + 1]], e[at[i] : at[i + 1]], strict=True)]))
-            yield out_batch(CUT, rb.column("id"), np.diff(tok), removed, pa.array(texts, pa.binary()).cast(pa.string()))
+            n, removed, texts = _kept_words(data, off, rb.column("at"), window)
+            yield out_batch(CUT, rb.column("id"), n, removed, pa.array(texts, pa.binary()).cast(pa.string()))
 
     return run
 
 
+def _replace(window, names, text_col):
+    def run(batches):
+        for rb, data, off in slices(batches, text_col):
+            _, removed, texts = _kept_words(data, off, rb.column("_at"), window)
+            old = rb.column(text_col)
+            new = pa.array([t if r else None for t, r in zip(texts, removed.tolist(), strict=True)], pa.binary()).cast(old.type)
+            text = pc.if_else(pa.array(removed > 0), new, old)
+            yield pa.RecordBatch.from_arrays([text if c == text_col else rb.column(c) for c in names], names=names)
+
+    return run
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE) -> DataFrame:
+    """docs with the words of repeated windows taken out of the text; texts without any stay as they are, to the byte."""
+    spans = repeated_windows(docs, id_col, text_col, window, base).select(F.col("id").alias("_id"), F.col("at").alias("_at"))
+    none = F.array().cast("array<int>")
+    rows = docs.join(spans, docs[id_col] == spans["_id"], "left").select(*docs.columns, F.coalesce("_at", none).alias("_at"))
+    return rows.mapInArrow(_replace(window, docs.columns, text_col), docs.schema)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE) -> DataFrame:
     """Per row of docs: id, n_words, n_removed and the kept words joined by one space."""
     spans = repeated_windows(docs, id_col, text_col, window, base)

@@ -300,6 +300,21 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return rows.mapInArrow(_score(model), OUT_SQL)
 
 
+def with_score(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """docs as they are with one more column, the score."""
+    small_batches(docs.sparkSession)
+    if model is None:
+        return docs.withColumn(name, F.lit(0.0))
+    names = [*docs.columns, name]
+
+    def run(batches):
+        for rb, data, off in slices(batches, text_col):
+            _, _, tok, kinds = features(data, off)
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(model.apply(tok, kinds)[0])], names=names)
+
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
+
+
 def fold(id_col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
