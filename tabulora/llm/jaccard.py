@@ -13,10 +13,11 @@ too. No pair is lost: in the first round that either set is done in, both take p
 
 Signatures are dealt out and sorted; one pass over each part keeps those of at least two different sets, in constant
 memory. Links are then found without listing all pairs of a group: every set is compared with its group's least set;
-where a large group is still in several components, with further pivots; last, pairs of one group whose components
-still differ are all compared, so no link that could join components is missed. A pair is first looked at by a sketch of each
-set, a byte for each cell of its shingles: the cells that differ are at most the shingles that do, so too many of them
-rule it out for sure. For the rest the whole sets are intersected.
+where a large group is still in several components, with further pivots; last, all pairs of a group whose components
+still differ are looked at, so no link that could join components is missed: those of small groups as rows, those of
+large ones in blocks within a task. A pair is first looked at by sketches, the parities of the shingles in cells: the
+cells that differ are at most the shingles that do, so too many of them rule it out for sure, and few that are ruled in
+are not similar. For these the whole sets are intersected.
 
 Defined results: null, empty or blank text: no shingles, linked with nothing, its own component; fewer words than a
 shingle: the whole sequence is the one shingle; equal sets (repeated rows, other case, repeated passages): linked; null
@@ -43,8 +44,8 @@ SPARE = 0.08
 ROUNDS = 4
 #: A band's largest size by its smallest; at least den / num.
 BAND = 1.2
-#: Members up to which a group in several components is compared at once, and pivots that larger ones get before.
-SMALL, PIVOTS = 48, 2
+#: Members up to which a group in several components is listed in pairs; pivots that larger ones get; members of a block.
+SMALL, PIVOTS, BLOCK = 12, 2, 256
 
 
 def band_tops(num: int, den: int, largest: int) -> np.ndarray:
@@ -206,23 +207,26 @@ SETS_SQL = "key long, id long, n long, sketch binary, s array<bigint>"
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """A byte for each cell: the exclusive-or of its shingles; a power of two of cells, about one for two shingles."""
-    cells = 16
-    while 2 * cells < len(h):
+    """The parity of the shingles in each of a power of two of cells, about four to a shingle, as bits."""
+    cells = 128
+    while cells < 4 * len(h):
         cells *= 2
-    out, x = np.zeros(cells, np.uint8), mix(h ^ np.uint64(0x5C5C5C5C))
-    np.bitwise_xor.at(out, (x & np.uint64(cells - 1)).astype(np.int64), (x >> np.uint64(56)).astype(np.uint8))
-    return out.tobytes()
+    at = (mix(h ^ np.uint64(0x5C5C5C5C)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
 
 
 def cells_apart(x: bytes, y: bytes) -> int:
-    """Cells that differ, after the longer sketch is folded to the shorter one's cells."""
+    """Cells that differ, after the longer sketch is folded to the shorter one's cells; no more than shingles that do."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.count_nonzero(a != b))
+    size = min(len(a), len(b))
+    return int(np.bitwise_count((_fold(a, size) ^ _fold(b, size)).view(np.uint64)).sum())
 
 
 def _sets(size, bitmap):
@@ -294,6 +298,61 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.union(of_docs.where("n = 0").select("id", "n", "id"))
 
 
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _compare(num, den):
+    """Of rows sorted by (h, lo, hi), a block or two of a group: pairs of different components that sketches allow."""
+
+    def of_group(rows):
+        key, comp, own, n = (np.array([r[c] for r in rows]) for c in ("key", "comp", "own", "n"))
+        size = min(len(r["sketch"]) for r in rows)
+        x = np.stack([_fold(np.frombuffer(r["sketch"], np.uint8), size) for r in rows]).view(np.uint64)
+        across = rows[0]["lo"] != rows[0]["hi"]
+        left, right = [], []
+        for i in range(len(rows) - 1):
+            rest = slice(i + 1, None)
+            other = comp[rest] != comp[i]
+            if across:
+                other &= own[rest] != own[i]
+            at = i + 1 + np.flatnonzero(other)
+            apart = np.bitwise_count(x[at] ^ x[i]).sum(axis=1)
+            at = at[(apart <= (den - num) * (n[at] + n[i]) // (den + num)) & (den * np.minimum(n[at], n[i]) >= num * np.maximum(n[at], n[i]))]
+            left.append(np.minimum(key[at], key[i]))
+            right.append(np.maximum(key[at], key[i]))
+        if left:
+            yield out_batch(PAIR, np.concatenate(left), np.concatenate(right))
+
+    def run(batches):
+        name, held = None, []
+        for rb in batches:
+            for r in rb.to_pylist():
+                if (r["h"], r["lo"], r["hi"]) != name:
+                    if held:
+                        yield from of_group(held)
+                    name, held = (r["h"], r["lo"], r["hi"]), []
+                held.append(r)
+        if held:
+            yield from of_group(held)
+
+    return run
+
+
+def _blocks(large: DataFrame, sets: DataFrame, num: int, den: int, n_parts: int) -> DataFrame:
+    """Pairs (a, b) of large groups (h, key, comp, m) that sketches allow.
+
+    A group is cut into blocks of about BLOCK members; two blocks at a time are compared within a task, and only what
+    the sketches allow leaves it.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    rows = large.select("h", "key", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "comp", "own")
+    rows = rows.join(sets.select("key", "n", "sketch"), "key")
+    dealt = rows.repartition(n_parts, "h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
+    return dealt.mapInArrow(_compare(num, den), "a long, b long")
+
+
 def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Components (node, comp) of the sets that share a signature."""
     pivot = work.write(shared.groupBy("h").agg(F.min("key").alias("a")), "pivots")
@@ -311,8 +370,11 @@ def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int)
             of_pivot = large.where("key = p").select("h", F.col("comp").alias("of"))
             pairs = large.join(of_pivot, "h").where("comp <> of").select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b"))
         else:
-            other = mixed.select("h", F.col("key").alias("b"), F.col("comp").alias("of"))
-            pairs = mixed.join(other, "h").where("key < b and comp <> of").select(F.col("key").alias("a"), "b")
+            small = mixed.where(f"m <= {SMALL}")
+            other = small.select("h", F.col("key").alias("b"), F.col("comp").alias("of"))
+            pairs = small.join(other, "h").where("key < b and comp <> of").select(F.col("key").alias("a"), "b")
+            if not large.isEmpty():
+                pairs = pairs.union(_blocks(large, sets, num, den, partitions(work.spark)))
         pairs = work.write(pairs.distinct().join(done, ["a", "b"], "left_anti"), f"pairs{k}")
         more = _linked(work, pairs, sets, num, den, f"links{k}")
         if not more.isEmpty():
