@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulora.llm.common import Work
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Levels of the tree; children from which, and their share of urls at which, a node's children are variable.
 DEPTH, MANY, VARIED = 4, 20, 0.2
@@ -76,8 +78,11 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH) -> DataFr
     counted = pages.join(marks, "id", "left").groupBy("host", "form")
     t = counted.agg(F.count("*").alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     t = t.withColumn("segs", F.slice(F.split("form", "/"), 2, 1 << 20)).withColumn("prefix", F.lit(""))
+    # each level reads the last one twice, so it is written: the plan would double with each level
+    work = Work(pages.sparkSession, "urls")
+    t = work.write(t, "forms")
     for d in range(depth):
-        t = _level(t, d)
+        t = work.write(_level(t, d), f"level{d}")
     rest = F.slice("segs", depth + 1, 1 << 20)
     t = t.withColumn("template", F.concat("prefix", F.when(F.size("segs") > depth, F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise(F.lit(""))))
     per = t.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
