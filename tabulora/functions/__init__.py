@@ -1 +1 @@
-
+"""Column functions: text, numbers, tokens, vectors and report metadata."""

@@ -1 +1 @@
-
+"""Operators over DataFrames of elements, passages, queries, facts and logs."""

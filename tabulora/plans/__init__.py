@@ -1 +1 @@
-
+"""Rules as data, and plans composed of operators."""
