@@ -81,6 +81,17 @@ def join_parts(parts: list[Column], by: str = "\n") -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), by)
 
 
+def settle(df, **columns: Column):
+    """df with columns that later steps take as they are.
+
+    Filters are otherwise pushed below a projection with its expressions in place of its columns, so long chains of
+    derived columns grow with each step. The output of a generator over one row is a boundary to that.
+    """
+    one = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(one)))
+
+
 def total(rules: Iterable[tuple[Column, float]]) -> Column:
     """Sum of the weights whose condition holds: an additive rule table as one expression."""
     out = F.lit(0.0)

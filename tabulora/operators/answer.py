@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulora.functions import numbers
-from tabulora.functions.text import _col, collapse, has_any, squeeze, total
+from tabulora.functions.text import _col, collapse, has_any, settle, squeeze, total
 from tabulora.plans import rules
 
 MIN_SCORE, EVIDENCE, RADIUS, SNIPPET = 0.015, 3, 90, 220
@@ -25,10 +25,9 @@ def asked(query) -> Column:
     return out
 
 
-def value_confidence(line: Column, value: Column, label: Column, term: Column) -> Column:
-    """Additive score of a number as the value of a term on a line."""
-    flat = squeeze(line)
-    at, there = F.position(squeeze(term), flat), F.position(value, flat)
+def value_confidence(flat: Column, value: Column, label: Column, term: Column) -> Column:
+    """Additive score of a number as the value of a term on a line without white space."""
+    at, there = F.position(term, flat), F.position(value, flat)
     digits = F.length(F.regexp_replace(F.regexp_replace(value, ",", ""), "^-+", ""))
     return total(
         [
@@ -65,21 +64,20 @@ def evidence(hits: DataFrame, queries: DataFrame) -> DataFrame:
     passage its beginning is the snippet.
     """
     rows = hits.where(F.col("rank") <= EVIDENCE).join(queries.select("query_id", asked("query").alias("_a")), "query_id")
-    rows = rows.withColumn("label", F.col("_a.label")).withColumn("_text", collapse("content"))
     terms = F.coalesce(F.col("_a.terms"), F.array().cast("array<string>"))
+    rows = settle(rows, label=F.col("_a.label"), _terms=terms, _text=collapse("content"))
+    rows = settle(rows, _low=F.lower("_text"), _flat=squeeze("_text"), _numbers=numbers.plain_tokens("_text"))
 
     def of_term(t: Column) -> Column:
-        at = F.position(t, F.lower("_text"))
+        at = F.position(t, F.col("_low"))
         left = F.greatest(at - RADIUS, F.lit(1))
         snippet = F.substring(F.trim(F.substring(F.col("_text"), left, at - 1 + RADIUS - (left - 1)), F.lit(" |")), 1, SNIPPET)
         # numbers in order; the first of the best counts, and none that scores nothing
-        tokens = numbers.plain_tokens("_text")
-        scored = F.transform(tokens, lambda v, i: F.struct(value_confidence(F.col("_text"), v, F.coalesce("label", F.lit("")), t).alias("s"), (-i).alias("i"), v.alias("v")))
-        best = F.array_max(F.filter(scored, lambda x: (x.s > 0) & F.contains(squeeze("_text"), t)))
+        scored = F.transform("_numbers", lambda v, i: F.struct(value_confidence(F.col("_flat"), v, F.coalesce("label", F.lit("")), t).alias("s"), (-i).alias("i"), v.alias("v")))
+        best = F.array_max(F.filter(scored, lambda x: (x.s > 0) & F.contains(F.col("_flat"), t)))
         return F.when(at > 0, F.struct(F.coalesce(best.s, F.lit(0.0)).alias("confidence"), snippet.alias("snippet"), best.v.alias("value")))
 
-    found = F.array_max(F.filter(F.transform(terms, of_term), lambda x: x.isNotNull()))
-    rows = rows.withColumn("_f", found)
+    rows = settle(rows, _f=F.array_max(F.filter(F.transform("_terms", of_term), lambda x: x.isNotNull())))
     return rows.select(
         "query_id", "rank", "chunk_id", "title", "label", F.coalesce("_f.snippet", F.substring("_text", 1, SNIPPET)).alias("snippet"), F.col("_f.value").alias("value"),
         F.coalesce("_f.confidence", F.lit(0.0)).alias("confidence"), source_confidence(F.coalesce("label", F.lit(""))).alias("source_confidence"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabulora.functions import numbers
 from tabulora.functions.metadata import currency_and_unit, period
-from tabulora.functions.text import SPACE, has_any, join_parts, lines, squeeze, total
+from tabulora.functions.text import SPACE, has_any, join_parts, lines, settle, squeeze, total
 from tabulora.plans import rules
 
 THRESHOLD, LOW, DERIVED = 0.8, 0.49, 0.88
@@ -123,21 +123,21 @@ def confidence(score: Column) -> Column:
 
 def candidates(every_line: DataFrame, infos: DataFrame) -> DataFrame:
     """Scored facts of each line that states a term with at least two numbers. infos: (doc_id, title, currency, unit)."""
-    flat = squeeze("text")
-    rows = every_line.withColumn("flat", flat).withColumn("combined", squeeze(join_parts([F.col("section_title"), F.col("table_title"), F.col("text")])))
-    # terms are tried on lines with a digit only, and only those that the line contains are carried on
-    rows = rows.where(F.col("text").rlike("[0-9]")).withColumn("_t", F.explode(F.filter(_terms(), lambda t: matches_term(F.col("flat"), t.term))))
-    rows = rows.select("*", "_t.*").drop("_t")
+    rows = every_line.where(F.col("text").rlike("[0-9]"))
+    rows = settle(rows, flat=squeeze("text"), combined=squeeze(join_parts([F.col("section_title"), F.col("table_title"), F.col("text")])))
+    # of the terms only those that the line states are carried on
+    rows = rows.withColumn("_t", F.explode(F.filter(_terms(), lambda t: matches_term(F.col("flat"), t.term)))).select("*", "_t.*").drop("_t")
     bar, eps = F.contains("text", F.lit("|")), F.col("metric") == "eps_basic"
     gate = ~(eps & ~bar & (F.col("mode") != "raw_text")) & ~(F.col("amount") & ~bar & (F.col("mode") == "raw"))
     rows = rows.where(gate).where((F.col("mode") != "raw_text") | is_statement_row(F.col("text"), F.col("flat"), F.col("term")))
-    rows = rows.withColumn("start", term_start(F.col("text"), F.col("flat"), F.col("term"))).where("start is not null")
-    rows = rows.withColumn("source", F.substring(F.col("text"), F.col("start"), F.lit(1 << 30)))
-    rows = rows.withColumn("values", numbers.tokens("source")).where("size(values) > 0").withColumn("values", numbers.without_footnote("source", "values"))
-    rows = rows.withColumn("values", F.when(F.col("metric") == "eps_basic", numbers.without_eps_footnote("source", F.col("term"), "values")).otherwise(F.col("values"))).where("size(values) >= 2")
-    rows = rows.withColumn("value", F.element_at("values", 1)).withColumn("previous_value", F.element_at("values", 2)).withColumn("change_pct", numbers.change(F.slice("values", 3, 1 << 20)))
-    rows = rows.withColumn("numeric_value", numbers.value("value")).where("numeric_value is not null")
-    rows = rows.withColumn("score", F.round(candidate_score(), 6)).join(infos.select("doc_id", "title", "currency", F.col("unit").alias("doc_unit")), "doc_id")
+    rows = settle(rows, start=term_start(F.col("text"), F.col("flat"), F.col("term"))).where("start is not null")
+    rows = settle(rows, source=F.substring(F.col("text"), F.col("start"), F.lit(1 << 30)))
+    rows = settle(rows, values=numbers.tokens("source")).where("size(values) > 0")
+    rows = settle(rows, values=numbers.without_footnote("source", "values"))
+    rows = settle(rows, values=F.when(F.col("metric") == "eps_basic", numbers.without_eps_footnote("source", F.col("term"), "values")).otherwise(F.col("values"))).where("size(values) >= 2")
+    rows = settle(rows, value=F.element_at("values", 1), previous_value=F.element_at("values", 2), change_pct=numbers.change(F.slice("values", 3, 1 << 20)))
+    rows = settle(rows, numeric_value=numbers.value("value")).where("numeric_value is not null")
+    rows = settle(rows, score=F.round(candidate_score(), 6)).join(infos.select("doc_id", "title", "currency", F.col("unit").alias("doc_unit")), "doc_id")
     name = F.element_at(F.create_map(*[F.lit(x) for m in rules.METRICS for x in m[:2]]), F.col("metric"))
     amount = F.when(F.col("amount"), F.round(F.col("numeric_value") * numbers.multiplier("doc_unit"), 4))
     return rows.select(
