@@ -149,7 +149,7 @@ def _cut(window):
 def _replace(window, names, text_col):
     def run(batches):
         for rb, data, off in slices(batches, text_col):
-            _, removed, texts = _kept_words(data, off, rb.column("_at"), window)
+            _, removed, texts = _kept_words(data, off, rb.column("__span_at"), window)
             old = rb.column(text_col)
             new = pa.array([t if r else None for t, r in zip(texts, removed.tolist(), strict=True)], pa.binary()).cast(old.type)
             text = pc.if_else(pa.array(removed > 0), new, old)
@@ -160,9 +160,9 @@ def _replace(window, names, text_col):
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE) -> DataFrame:
     """docs with the words of repeated windows taken out of the text; texts without any stay as they are, to the byte."""
-    spans = repeated_windows(docs, id_col, text_col, window, base).select(F.col("id").alias("_id"), F.col("at").alias("_at"))
+    spans = repeated_windows(docs, id_col, text_col, window, base).select(F.col("id").alias("__span_id"), F.col("at").alias("__span_at"))
     none = F.array().cast("array<int>")
-    rows = docs.join(spans, docs[id_col] == spans["_id"], "left").select(*docs.columns, F.coalesce("_at", none).alias("_at"))
+    rows = docs.join(spans, docs[id_col] == spans["__span_id"], "left").select(*docs.columns, F.coalesce("__span_at", none).alias("__span_at"))
     return rows.mapInArrow(_replace(window, docs.columns, text_col), docs.schema)
 
 
