@@ -38,12 +38,13 @@ from tabulora.llm.graph import components
 
 #: Partitions of a group, and how many of them a signature leaves out.
 PARTS, DROP = 2, 1
-#: Groups besides those needed, as a share of them.
-SPARE = 0.08
+#: Groups besides those needed, as a share of them: this at least, and the first step up to MOST_SPARE at which they
+#: are MARGIN times as many as the groups that a set of its band's least size is expected to leave with an empty subset.
+SPARE, MOST_SPARE, MARGIN = 0.1, 1.0, 1.5
 #: Partitionings by different salts before empty subsets are used.
 ROUNDS = 4
 #: A band's largest size by its smallest; at least den / num.
-BAND = 1.2
+BAND = 1.4
 #: Members up to which a group in several components is listed in pairs; pivots that larger ones get; members of a block.
 SMALL, PIVOTS, BLOCK = 12, 2, 256
 
@@ -56,11 +57,22 @@ def band_tops(num: int, den: int, largest: int) -> np.ndarray:
     return np.array(tops, np.int64)
 
 
+def spare_share(num: int, den: int) -> float:
+    """Spare groups as a share of those needed, for a threshold."""
+    share, size = SPARE, (den + num) / (DROP + 1) / (den - num) * (DROP + 1) / PARTS / max(BAND, den / num)
+    while share < MOST_SPARE:
+        empty = np.exp(-size * (PARTS - DROP) / (1 + share))
+        if share / (1 + share) >= MARGIN * (1 - (1 - empty) ** PARTS):
+            break
+        share += 0.05
+    return share
+
+
 def groups_of(top: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of groups in all, and of spare ones, for bands whose largest size is top."""
     differ = 2 * top * (den - num) // (den + num)
     need = differ // (DROP + 1) + 1
-    spare = (SPARE * need).astype(np.int64)
+    spare = (spare_share(num, den) * need).astype(np.int64)
     return need + spare, spare
 
 
