@@ -38,8 +38,8 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows of an Arrow batch; documents are long, so that Spark's default of 10,000 would hold tens of megabytes.
-BATCH = "2000"
+#: Rows and bytes of an Arrow batch; with Spark's defaults one would hold tens of megabytes of long documents.
+BATCH, BATCH_BYTES = "2000", "8m"
 
 
 class Work:
@@ -80,6 +80,8 @@ def small_batches(spark: SparkSession) -> None:
     """Lowers Spark's default size of Arrow batches; a size that the user has set stays."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ from tabulora.llm.common import LOWER, STEP, Work, as_long, find_words, mix, out
 from tabulora.llm.toxicity import fold
 
 #: Bytes of text of a block; documents that are held out for the weights: one in HELD of the training ones.
-BLOCK, HELD = 8 << 20, 40
+BLOCK, HELD = 6 << 20, 40
 END = np.uint64(0x9D5C0F2B7A31E685)
 #: What a document is for: to be scored only, counted, or held out for the weights and counted at last.
 TEST, MAIN, PART = 0, 1, 2
