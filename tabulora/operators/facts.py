@@ -23,8 +23,8 @@ MONEY_FLOW, BALANCE = ["revenue", "net_profit", "net_profit_attributable"], ["to
 def layout_lines(pages: DataFrame, longest: int = 180) -> DataFrame:
     """(doc_id, page_number, line_seq, text) of page lines (doc_id, page, seq, text): each line, then it and the next."""
     rows = pages.withColumn("text", F.regexp_replace("text", rf"(?U)^{SPACE}+|{SPACE}+$", "")).where("text <> ''")
-    after = F.lead("text").over(Window.partitionBy("doc_id", "page").orderBy("seq"))
-    both = F.concat(F.col("text"), F.lit(" "), after)
+    rows = rows.withColumn("_after", F.lead("text").over(Window.partitionBy("doc_id", "page").orderBy("seq")))
+    both = F.concat(F.col("text"), F.lit(" "), F.col("_after"))
     made = F.filter(F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), both.alias("t"))), lambda x: x.t.isNotNull() & ((x.k == 0) | (F.length(x.t) <= longest)))
     rows = rows.select("doc_id", F.col("page").alias("page_number"), "seq", F.explode(made).alias("m"))
     return rows.select("doc_id", "page_number", (F.col("seq") * 2 + F.col("m.k")).alias("line_seq"), F.col("m.t").alias("text"))
