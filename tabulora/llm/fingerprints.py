@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulora.llm.common import _splitmix, out_batch, partitions, small_batches, word_hashes
+from tabulora.llm.common import _splitmix, longs, out_batch, partitions, small_batches, word_hashes
 
 LEAST, NORMAL, MOST = 16, 32, 128
 STRICT, LOOSE = 5, 3
@@ -122,6 +122,7 @@ def _finish(rows: list[tuple], after: str | None):
     )
 
 
+OUT_SQL = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 #: Code points of text, and rows, that are worked on at once.
 TEXT, ROWS = 6 << 20, 4000
 
@@ -156,39 +157,51 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("id", "text", F.xxhash64("text").alias("x"))
     n = partitions(spark)
     cuts = rows.select(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # number of bounds not above the id, by bisection of the short sorted list
-    part = F.coalesce(_rank(F.col("id"), cuts), F.lit(0))
-    place = F.struct(F.col("id"), F.xxhash64("text").alias("x"))
-    firsts = rows.select(part.alias("part"), place.alias("p")).groupBy("part").agg(F.min("p").alias("p")).orderBy("part").collect()
-    parts = [r.part for r in firsts]
-    if not parts:
-        return spark.createDataFrame([], "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    number = {p: k for k, p in enumerate(parts)}
-    heads = spark.createDataFrame([(r.p.id, r.p.x, (number[r.part] - 1) % len(parts)) for r in firsts], "hid long, hx long, back int")
-    own = F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), part)
-    x = F.xxhash64("text")
-    keyed = rows.select("id", "text", own.alias("part"), x.alias("x"))
-    # at most one bound for each part: its size is that of the partitions, not of the data
-    guests = keyed.join(F.broadcast(heads), (F.col("id").eqNullSafe(F.col("hid"))) & (F.col("x") == F.col("hx")), "inner")
-    guests = guests.dropDuplicates(["back"]).select("id", "text", F.col("back").alias("part"), "x", F.lit(True).alias("guest"))
-    every = keyed.select("id", "text", "part", "x", F.lit(False).alias("guest")).unionByName(guests)
-    dealt = every.repartitionById(len(parts), F.col("part")).sortWithinPartitions("guest", F.col("id").asc_nulls_first(), "x")
-    return dealt.select("id", "text", "guest").mapInArrow(_with_next, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def _rank(col, cuts: list[int]):
-    """How many of the sorted cuts are at most col: a tree of comparisons, so its depth is the logarithm."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col >= F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return F.when(col.isNotNull(), tree(0, len(cuts)))
+    cuts = np.array(sorted(set(cuts)), np.int64)
+    # a row for each part: as many as there are partitions, whatever the data
+    place = F.struct(F.col("id"), F.col("x"))
+    placed = rows.select("id", "x").mapInArrow(_part_of(cuts), "id long, x long, part int")
+    firsts = sorted(placed.groupBy("part").agg(F.min(place).alias("p")).collect())
+    if not firsts:
+        return spark.createDataFrame([], OUT_SQL)
+    every = rows.mapInArrow(_deal(cuts, np.array([r.part for r in firsts]), {(r.p.id, r.p.x): (k - 1) % len(firsts) for k, r in enumerate(firsts)}), "id long, text string, x long, guest boolean, part int")
+    dealt = every.repartitionById(len(firsts), F.col("part")).sortWithinPartitions("guest", F.col("id").asc_nulls_first(), "x")
+    return dealt.select("id", "text", "guest").mapInArrow(_with_next, OUT_SQL)
+
+
+def _parts(rb, cuts) -> np.ndarray:
+    """Part of each row's id among the bounds; nulls come first."""
+    ids, ok = longs(rb.column("id"))
+    return np.where(ok, np.searchsorted(cuts, ids, "right"), 0)
+
+
+def _part_of(cuts):
+    def run(batches):
+        for rb in batches:
+            yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("x"), pa.array(_parts(rb, cuts), pa.int32())], names=["id", "x", "part"])
+
+    return run
+
+
+def _deal(cuts, parts, heads):
+    """Rows with the number of their part, and the first of each part once more as a guest of the part before."""
+    names = ["id", "text", "x", "guest", "part"]
+
+    def of(rb, guest, part):
+        return pa.RecordBatch.from_arrays([rb.column("id"), rb.column("text"), rb.column("x"), pa.array(np.full(rb.num_rows, guest)), pa.array(part, pa.int32())], names=names)
+
+    def run(batches):
+        for rb in batches:
+            yield of(rb, False, np.searchsorted(parts, _parts(rb, cuts)))
+            back = [heads.get(k, -1) for k in zip(rb.column("id").to_pylist(), rb.column("x").to_pylist(), strict=True)]
+            at = [k for k, p in enumerate(back) if p >= 0]
+            if at:
+                yield of(rb.take(pa.array(at)), True, np.array([back[k] for k in at]))
+
+    return run
 
 
 def op1_document_fingerprints(spark, sf_dir: str) -> DataFrame:

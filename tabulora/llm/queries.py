@@ -17,7 +17,70 @@ QUERIES = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _seed_sql(table: str, key: str, words: str) -> str:
+    """Spaced seeds of a table's word lists as text, from the masks."""
+    parts = []
+    for n, mask in enumerate(decontaminate.MASKS):
+        taken = " || ' ' || ".join(f"{words}[i + {k}]" for k, c in enumerate(mask) if c == "1")
+        parts.append(f"select {key}, i, {n} k, {taken} s from (select {key}, {words}, unnest(range(1, len({words}) - {len(mask) - 2})) i from {table} where len({words}) >= {len(mask)})")
+    return " union all ".join(parts)
+
+
+def _url_sql() -> str:
+    """The rules, and the tree of templates level by level."""
+    u = urls
+    levels, last = [], "f"
+    for d in range(u.DEPTH):
+        rest = "(nl - cl)"
+        pooled = "(nb / greatest(nl, 1))"
+        spread = f"sqrt({pooled} * (1 - {pooled}) * (1.0 / greatest(cl, 1) + 1.0 / greatest({rest}, 1)))"
+        gap = f"abs(cb / greatest(cl, 1) - (nb - cb) / greatest({rest}, 1))"
+        differs = f"(cl >= {u.LABELLED} and {rest} >= {u.LABELLED} and {gap} > {u.DIFFERS} * {spread})"
+        varied = f"(kids >= {u.MANY} and kids >= {u.VARIED} * nn)"
+        levels.append(f"""
+        s{d} as (select *, coalesce(segs[{d + 1}], '') seg from {last}),
+        c{d} as (select host, prefix, seg, sum(n) cn, sum(lab) cl, sum(bad) cb from s{d} group by all),
+        n{d} as (select *, sum(cn) over w nn, sum(cl) over w nl, sum(cb) over w nb, count(*) over w kids from c{d} window w as (partition by host, prefix)),
+        m{d} as (select host, prefix, seg, case when seg = '' then '' when kids > 1 and ({varied} or not {differs}) then '*' else seg end as name from n{d}),
+        t{d} as (select s.host, s.form, s.n, s.lab, s.bad, s.segs, s.prefix || case when len(s.segs) > {d} then '/' || m.name else '' end prefix from s{d} s join m{d} m using (host, prefix, seg)),""")
+        last = f"t{d}"
+    fits = []
+    for rule, verdict in sorted(u.RULES, key=lambda r: (-len(r[0]), r[0])):
+        host, _, path = rule.partition("/")
+        fits.append((f"(host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '/{path}')", rule, verdict))
+    rules = " ".join(f"when {c} then '{r}'" for c, r, _ in fits)
+    verdicts = " ".join(f"when '{r}' then '{v}'" for _, r, v in fits)
+    return rf"""
+        with raw as (select page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) x from pages),
+        p as (select page_id, translate(x.h, '{UPPER}', '{LOWER}') host, x.p path from raw),
+        g as (select *, array_to_string(list_transform(string_split(path, '/'), lambda s, i: case when i = 1 then s
+            when regexp_full_match(s, '[0-9]+(\.[A-Za-z]{{1,5}})?') then regexp_replace(s, '^[0-9]+', '{{n}}')
+            when regexp_matches(s, '[0-9]') and regexp_full_match(s, '[0-9A-Fa-f-]{{8,}}(\.[A-Za-z]{{1,5}})?') then regexp_replace(s, '^[0-9A-Fa-f-]+', '{{x}}') else s end), '/') form from p),
+        marks as (select doc_id page_id, max(1 - quality) bad from labels where quality is not null group by 1),
+        f as (select host, form, count(*) n, count(bad)::double lab, coalesce(sum(bad), 0)::double bad, string_split(form, '/')[2:] segs, '' prefix from g left join marks using (page_id) group by host, form),
+        {"".join(levels)}
+        z as (select host, form, lab, bad, prefix || case when len(segs) > {u.DEPTH} then '/' || array_to_string(segs[{u.DEPTH + 1}:], '/') else '' end template from {last}),
+        share as (select coalesce(sum(bad), 0) / greatest(coalesce(sum(lab), 0), 1) v from z),
+        pure as (select host, template, (sum(bad) + {u.WEIGHT} * any_value(v)) / (sum(lab) + {u.WEIGHT}) purity from z, share group by 1, 2),
+        j as (select page_id, host, path, case {rules} end as rule, template, purity from g join z using (host, form) join pure using (host, template))
+        select page_id, host, path, rule, case rule {verdicts} else case when purity >= {u.REJECT} then 'block' else 'allow' end end verdict, template from j"""
+
+
 ORACLE_SQL = {
+    "op4_url_filters": _url_sql(),
+    "op5_benchmark_decontamination": rf"""
+        with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') g from benchmark),
+        ds as ({_seed_sql("d", "doc_id", "w")}), bs as ({_seed_sql("b", "item_id", "g")}),
+        sh as (select distinct doc_id, item_id, ds.i - bs.i s from ds join bs using (k, s)),
+        e as (select doc_id, item_id, s, list_transform(range(1, len(g) + 1), lambda j: case when j + s between 1 and len(w) and w[j + s] = g[j] then 1 else 0 end) q from sh join d using (doc_id) join b using (item_id)),
+        v as (select doc_id, item_id, s, list_sum(q)::bigint n_equal, len(q)::bigint n_item,
+              list_max(list_transform(range(1, greatest(len(q) - 12, 1) + 1), lambda i: list_sum(q[i:i + 12]))) / least(len(q), 13) as share from e),
+        r as (select *, row_number() over (partition by doc_id, item_id order by share desc, n_equal desc, s) n from v where share >= 0.75)
+        select doc_id, item_id, s::bigint item_at, n_equal, n_item, share from r where n = 1""",
     "op2_chat_formatting": """
         with r as (select distinct conv_id, turn, coalesce(role, '') "role", coalesce(text, '') txt from conversations where conv_id is not null),
         c as (select conv_id, list({'role': "role", 'txt': txt} order by turn nulls first, "role", txt) t from r group by 1),
