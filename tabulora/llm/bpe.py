@@ -16,14 +16,13 @@ encoded whole; special tokens: ordinary text; null id: returned as null.
 from __future__ import annotations
 
 import base64
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulora.llm.common import out_batch, partitions, small_batches
+from tabulora.llm.common import out_batch, partitions, small_batches, tidy
 
 #: Words of the shipped table, and documents of the sample that they are taken from.
 HOT, SAMPLE_DOCS = 1 << 18, 20_000
@@ -53,15 +52,31 @@ def _pack(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+def _press(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _expand(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def _squeeze(codes: np.ndarray) -> bytes:
-    """32-bit numbers as four planes of bytes, compressed."""
-    b = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return zlib.compress(b"".join(b[:, k].tobytes() for k in range(4)), 1)
+    """32-bit numbers, compressed: a byte for each, and for those from 255 on four planes of bytes."""
+    far = codes[codes >= 255].astype("<u4").view(np.uint8).reshape(-1, 4)
+    return _press(len(codes).to_bytes(8, "little") + np.minimum(codes, 255).astype(np.uint8).tobytes() + np.ascontiguousarray(far.T).tobytes())
 
 
 def _unsqueeze(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    raw = _expand(raw)
+    n = int.from_bytes(raw[:8], "little")
+    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.uint32)
+    far = np.frombuffer(raw, np.uint8, -1, 8 + n).reshape(4, -1)
+    out[out == 255] = np.ascontiguousarray(far.T).view("<u4").ravel()
+    return out
 
 
 COUNT = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -99,11 +114,11 @@ DEAL_SQL = "p int, block long, part int, data binary, id array<bigint>, n array<
 
 def _pack_all(items: list[bytes]) -> bytes:
     lengths = np.array([len(x) for x in items], "<u4").tobytes()
-    return zlib.compress(len(items).to_bytes(4, "little") + lengths + b"".join(items), 1)
+    return _press(len(items).to_bytes(4, "little") + lengths + b"".join(items))
 
 
 def _unpack_all(raw: bytes) -> list[bytes]:
-    raw = zlib.decompress(raw)
+    raw = _expand(raw)
     n = int.from_bytes(raw[:4], "little")
     ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).astype(np.int64) + 4 + 4 * n
     ends = [4 + 4 * n, *ends.tolist()]
@@ -238,6 +253,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tokens = read_ranks(ranks)
     words = hot_words(rows, pattern, hot, sample)
+    tidy(spark)
     encode = encoder(tokens, pattern)
     hot_ids = [_pack(encode(w.encode())) for w in words]
     n = partitions(spark)

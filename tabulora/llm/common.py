@@ -60,14 +60,7 @@ class Work:
         _delete(self.spark, f"{self.at}/{name}")
 
     def tidy(self) -> None:
-        """Lets go of shuffle files of finished jobs: they go when the driver's heap is collected, in two steps."""
-        import gc
-        import time
-
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.4)
+        tidy(self.spark)
 
     def close(self) -> None:
         try:
@@ -76,6 +69,17 @@ class Work:
             pass
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of shuffle files of finished jobs: they go when the driver's heap is collected, in two steps."""
+    import gc
+    import time
+
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers Spark's default size of Arrow batches; a size that the user has set stays."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
