@@ -18,10 +18,9 @@ V = 0; equal rows: scored and counted each; null id: a training document (its re
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +41,12 @@ def pack(x: np.ndarray) -> bytes:
     top = 8
     while top > 1 and not b[:, top - 1].any():
         top -= 1
-    return bytes([top]) + zlib.compress(np.ascontiguousarray(b[:, :top].T).tobytes(), 1)
+    return bytes([top]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(b[:, :top].T).tobytes())
 
 
 def unpack(raw: bytes) -> np.ndarray:
     top = raw[0]
-    planes = np.frombuffer(zlib.decompress(raw[1:]), np.uint8).reshape(top, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(top, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :top] = planes.T
     return out.view("<u8").ravel().astype(np.uint64)
