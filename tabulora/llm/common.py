@@ -59,6 +59,14 @@ class Work:
         """Deletes a table that nothing lazy still reads, and lets Spark forget shuffles of finished jobs."""
         _delete(self.spark, f"{self.at}/{name}")
 
+    def only(self, *names: str) -> None:
+        """Deletes all tables but these, and lets go of finished shuffles."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        for s in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+            if s.getPath().getName() not in names:
+                _delete(self.spark, str(s.getPath().toString()))
+        self.tidy()
+
     def tidy(self) -> None:
         tidy(self.spark)
 

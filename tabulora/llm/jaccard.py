@@ -307,7 +307,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a table of its own, so that the join below deals both sides and a key with very many copies can be split
     named = work.write(lead.join(names, "key", "left").select("key", F.coalesce("c", "lead").alias("component_id")), "named")
     out = of_docs.where("n > 0").join(named, "key").select("id", F.col("n").alias("n_shingles"), "component_id")
-    return out.union(of_docs.where("n = 0").select("id", "n", "id"))
+    out = work.write(out.union(of_docs.where("n = 0").select("id", "n", "id")), "classes")
+    work.only("classes")
+    return out
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -371,6 +373,8 @@ def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int)
     pairs = work.write(shared.join(pivot, "h").where("a <> key").select("a", F.col("key").alias("b")).distinct(), "pairs0")
     done, links = pairs, _linked(work, pairs, sets, num, den, "links0")
     comp = components(work, links, "comp0")
+    work.drop("pivots")
+    work.tidy()
     for k in range(1, PIVOTS + 2):
         now = shared.join(comp, shared.key == comp.node, "left").select("h", "key", F.coalesce("comp", "key").alias("comp"))
         mixed = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min_by("key", F.xxhash64("key", F.lit(k))).alias("p")).where("lo < hi")
@@ -392,6 +396,9 @@ def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int)
         if not more.isEmpty():
             links = links.union(more)
             comp = components(work, links, f"comp{k}")
+        for name in (f"groups{k}", f"mixed{k}", f"near-links{k}"):
+            work.drop(name)
+        work.tidy()
         if last:
             return comp
         done = done.union(pairs)
