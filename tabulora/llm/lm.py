@@ -313,7 +313,8 @@ def interpolated_scores(docs: DataFrame, training, held=None, id_col: str = "doc
     answers = [x.where("v is null").select("p", "block", "kind", "a", "b") for x in (words, pairs)]
     every = blocks.unionByName(answers[0], allowMissingColumns=True).unionByName(answers[1], allowMissingColumns=True)
     dealt = every.repartition(partitions(work.spark), "block").sortWithinPartitions("block", "kind", "p")
-    out = dealt.mapInArrow(_scores(total.n, total.v, weights), OUT_SQL)
+    out = work.write(dealt.mapInArrow(_scores(total.n, total.v, weights), OUT_SQL), "scores")
+    work.only("scores")
     return out.select("id", (F.col("part") != TEST).alias("training"), "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -112,7 +112,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = work.write(occ.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo"), "first")
     work.tidy()
     hits = occ.join(first, "h").where("id > lo")
-    return hits.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    out = work.write(hits.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("at")), "spans", compression="zstd")
+    work.only("spans")
+    return out
 
 
 CUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
