@@ -7,7 +7,6 @@ slices of a few megabytes, so memory does not depend on the table and no Python
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator

@@ -59,7 +59,7 @@ def band_tops(num: int, den: int, largest: int) -> np.ndarray:
 
 def spare_share(num: int, den: int) -> float:
     """Spare groups as a share of those needed, for a threshold."""
-    share, size = SPARE, (den + num) / (DROP + 1) / (den - num) * (DROP + 1) / PARTS / max(BAND, den / num)
+    share, size = SPARE, (den + num) / (den - num) / PARTS / max(BAND, den / num)
     while share < MOST_SPARE:
         empty = np.exp(-size * (PARTS - DROP) / (1 + share))
         if share / (1 + share) >= MARGIN * (1 - (1 - empty) ** PARTS):
