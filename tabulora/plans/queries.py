@@ -11,7 +11,7 @@ from tabulora.functions import metadata, numbers
 from tabulora.functions.text import lines
 from tabulora.functions.tokens import lexical_tokens, simple_tokens
 from tabulora.functions.vectors import hashed_counts
-from tabulora.operators import answer, chunk, clean, evaluate, facts, goldseed, layout, retrieve, store
+from tabulora.operators import answer, chunk, clean, embed, evaluate, facts, goldseed, layout, retrieve, store
 from tabulora.plans import fixtures, rules
 from tabulora.plans.ingest import chunked, described
 
@@ -228,12 +228,6 @@ def cosine_topk(spark, sf_dir):
     return hits.select("query_id", F.col("chunk_id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
-def _dense(df: DataFrame, key: str, dim: int) -> DataFrame:
-    """Hashed vectors as arrays: entries meet by key, at most dim of them."""
-    of = hashed_counts(df, key, "text", dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
-    return of.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
-
-
 HASHED_SQL = """
     tk as (select 0 kind, doc_id id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) token from documents union all select 1, item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) from benchmark),
     hb as (select kind, id, ((('0x' || substr(md5(token), 17, 16))::ubigint) % 64)::int idx, count(*) n from tk group by 1, 2, 3),
@@ -248,8 +242,8 @@ RRF_SQL = """
 
 def _legs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     asked, texts = _asked(spark, sf_dir), _texts(spark, sf_dir)
-    q = _dense(asked.select("query_id", F.col("query").alias("text")), "query_id", 64)
-    v = _dense(texts.select("chunk_id", "text"), "chunk_id", 64)
+    q = embed.hashed(asked, "query_id", "query", 64)
+    v = embed.hashed(texts, "chunk_id", "text", 64)
     none, one = F.lit(None).cast("string"), F.lit(1)
     passages = texts.select("chunk_id", "doc_id", F.lit(0).alias("chunk_index"), F.lit("text").alias("chunk_type"), *[none.alias(c) for c in ("section_title", "table_title", "figure_title", "title", "company", "ticker", "source")], one.alias("page_number"), F.col("text").alias("content"))
     return asked, retrieve.bm25(asked, texts, 40), retrieve.nearest(q, v, 40), passages

@@ -402,3 +402,36 @@ def test_stream_ingests_files_once(spark, tmp_path):
     run()
     assert documents.read().count() == 2 and chunks.read().count() == 5
     assert all(len(list(g)) for _, g in itertools.groupby(chunks.read().collect(), key=lambda r: r.doc_id))
+
+
+# ---------------------------------------------------------------- plans
+def test_ask_logs_and_artifacts(spark, tmp_path):
+    from tabulora.operators import embed
+    from tabulora.plans import ask
+
+    docs = spark.sql(fixtures.REPORTS).withColumns({"doc_type": F.lit("pdf"), "published_at": F.lit(None).cast("timestamp_ntz")})
+    chunks = spark.sql(fixtures.PASSAGES)
+    log, artifacts = tables.Table(spark, f"file://{tmp_path}/log", tables.QUERY_LOGS), tables.Table(spark, f"file://{tmp_path}/art", tables.ARTIFACTS)
+    asked = spark.createDataFrame([(2, "招商银行 总资产"), (9, "")], "query_id long, query string")
+    vectors = {"vectors": embed.hashed(chunks, "chunk_id", "content", 32), "query_vectors": embed.hashed(asked, "query_id", "query", 32)}
+    got = ask.ask(asked, docs, chunks, top_k=2, log=log, **vectors).collect()
+    assert [r.query_id for r in got] == [2] and got[0].answer.startswith("结论：根据[1]，总资产为 1,000。") and len(got[0].citations) == 2
+    row = log.read().first()
+    assert json.loads(row.sources)["top_k"] == 2 and row.query == "招商银行 总资产"
+    with pytest.raises(ValueError, match="top_k"):
+        ask.ask(asked, docs, chunks, top_k=21)
+    for _ in range(2):
+        ask.refresh_artifacts(docs, chunks, artifacts)
+    assert artifacts.read().count() == 6
+
+
+def test_vectors_by_a_client(spark):
+    from tabulora.operators import embed
+
+    rows = spark.createDataFrame([(k, "x" * k) for k in range(25)], "chunk_id long, t string")
+    got = {r.chunk_id: r.embedding for r in embed.remote(rows, "chunk_id", "t", lambda ts: [[float(len(t)), float(len(ts) <= 10)] for t in ts]).collect()}
+    assert got == {k: [float(k), 1.0] for k in range(25)}
+    with pytest.raises(Exception, match="gave 0 vectors"):
+        embed.remote(rows, "chunk_id", "t", lambda ts: []).collect()
+    out = embed.indexed(spark.sql(fixtures.PASSAGES).join(spark.sql(fixtures.REPORTS).select("doc_id", "title", "company", "ticker"), "doc_id"), dim=16)
+    assert out.count() == 7 and out.where("size(embedding) = 16 and tokenized_text <> ''").count() == 7
