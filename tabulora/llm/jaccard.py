@@ -13,7 +13,7 @@ too. No pair is lost: in the first round that either set is done in, both take p
 
 Signatures are dealt out and sorted; one pass over each part keeps those of at least two different sets, in constant
 memory. Links are then found without listing all pairs of a group: every set is compared with its group's least set;
-where a large group is still in several components, with further pivots; last, all pairs of a group whose components
+where a large group is still in several components, each set with the nearest one by sketches; last, all pairs of a group whose components
 still differ are looked at, so no link that could join components is missed: those of small groups as rows, those of
 large ones in blocks within a task. A pair is first looked at by sketches, the parities of the shingles in cells: the
 cells that differ are at most the shingles that do, so too many of them rule it out for sure, and few that are ruled in
@@ -45,8 +45,9 @@ SPARE, MOST_SPARE, MARGIN = 0.1, 1.0, 1.5
 ROUNDS = 4
 #: A band's largest size by its smallest; at least den / num.
 BAND = 1.4
-#: Members up to which a group in several components is listed in pairs; pivots that larger ones get; members of a block.
-SMALL, PIVOTS, BLOCK = 12, 2, 256
+#: Members up to which a group in several components is listed in pairs; rounds in which the sets of larger ones are
+#: compared with the nearest one only, by their sketches; members of a block.
+SMALL, NEAREST, BLOCK = 12, 2, 256
 
 
 def band_tops(num: int, den: int, largest: int) -> np.ndarray:
@@ -315,8 +316,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _compare(num, den):
-    """Of rows sorted by (h, lo, hi), a block or two of a group: pairs of different components that sketches allow."""
+def _compare(num, den, nearest):
+    """Of rows sorted by (h, lo, hi), a block or two of a group: pairs of different components that sketches allow, or
+    for each set only the nearest such one before it."""
 
     def of_group(rows):
         key, comp, own, n = (np.array([r[c] for r in rows]) for c in ("key", "comp", "own", "n"))
@@ -331,7 +333,8 @@ def _compare(num, den):
                 other &= own[rest] != own[i]
             at = i + 1 + np.flatnonzero(other)
             apart = np.bitwise_count(x[at] ^ x[i]).sum(axis=1)
-            at = at[(apart <= (den - num) * (n[at] + n[i]) // (den + num)) & (den * np.minimum(n[at], n[i]) >= num * np.maximum(n[at], n[i]))]
+            ok = (apart <= (den - num) * (n[at] + n[i]) // (den + num)) & (den * np.minimum(n[at], n[i]) >= num * np.maximum(n[at], n[i]))
+            at = at[np.argmin(np.where(ok, apart, 1 << 40))][None] if nearest and ok.any() else at[ok]
             left.append(np.minimum(key[at], key[i]))
             right.append(np.maximum(key[at], key[i]))
         if left:
@@ -352,7 +355,7 @@ def _compare(num, den):
     return run
 
 
-def _blocks(large: DataFrame, sets: DataFrame, num: int, den: int, n_parts: int) -> DataFrame:
+def _blocks(large: DataFrame, sets: DataFrame, num: int, den: int, n_parts: int, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) of large groups (h, key, comp, m) that sketches allow.
 
     A group is cut into blocks of about BLOCK members; two blocks at a time are compared within a task, and only what
@@ -364,7 +367,7 @@ def _blocks(large: DataFrame, sets: DataFrame, num: int, den: int, n_parts: int)
     rows = rows.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "comp", "own")
     rows = rows.join(sets.select("key", "n", "sketch"), "key")
     dealt = rows.repartition(n_parts, "h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
-    return dealt.mapInArrow(_compare(num, den), "a long, b long")
+    return dealt.mapInArrow(_compare(num, den, nearest), "a long, b long")
 
 
 def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -375,16 +378,15 @@ def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int)
     comp = components(work, links, "comp0")
     work.drop("pivots")
     work.tidy()
-    for k in range(1, PIVOTS + 2):
+    for k in range(1, NEAREST + 2):
         now = shared.join(comp, shared.key == comp.node, "left").select("h", "key", F.coalesce("comp", "key").alias("comp"))
-        mixed = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min_by("key", F.xxhash64("key", F.lit(k))).alias("p")).where("lo < hi")
-        mixed = work.write(mixed.select("h", "m", "p"), f"groups{k}")
+        mixed = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+        mixed = work.write(mixed.select("h", "m"), f"groups{k}")
         mixed = work.write(now.join(mixed, "h"), f"mixed{k}")
         large = mixed.where(f"m > {SMALL}")
-        last = k > PIVOTS or large.isEmpty()
+        last = k > NEAREST or large.isEmpty()
         if not last:
-            of_pivot = large.where("key = p").select("h", F.col("comp").alias("of"))
-            pairs = large.join(of_pivot, "h").where("comp <> of").select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b"))
+            pairs = _blocks(large, sets, num, den, partitions(work.spark), nearest=True)
         else:
             small = mixed.where(f"m <= {SMALL}")
             other = small.select("h", F.col("key").alias("b"), F.col("comp").alias("of"))
