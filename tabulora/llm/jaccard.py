@@ -47,7 +47,7 @@ ROUNDS = 4
 BAND = 1.4
 #: Members up to which a group in several components is listed in pairs; rounds in which the sets of larger ones are
 #: compared with the nearest one only, by their sketches; members of a block.
-SMALL, NEAREST, BLOCK = 12, 2, 256
+SMALL, NEAREST, BLOCK = 18, 2, 256
 
 
 def band_tops(num: int, den: int, largest: int) -> np.ndarray:
