@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -233,6 +234,44 @@ def test_decontamination_is_native_and_joins_when_the_benchmark_is_large(spark,
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_masks_meet_every_placement_that_the_rule_accepts():
+    for n in range(1, decontaminate.WINDOW + 1):
+        places = [{k + j for j, c in enumerate(m) if c == "1"} for m in decontaminate.FAMILIES[n] for k in range(n - len(m) + 1)]
+        for gone in itertools.combinations(range(n), n - math.ceil(n * decontaminate.SHARE)):
+            assert any(p.isdisjoint(gone) for p in places), (n, gone)
+
+
+def test_decontamination_equals_brute_force_over_all_placements(spark):
+    r = random.Random(4)
+    items, docs = [], []
+    for n in [*range(1, 14), 15, 20]:
+        w = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(w)))
+        # one word more than the rule lets go is there, too
+        few = min(n, 13) - math.ceil(min(n, 13) * 0.75)
+        for size in (few, few + 1):
+            ways = list(itertools.combinations(range(min(n, 13)), size))
+            for gone in ways if size == few else r.sample(ways, min(20, len(ways))):
+                changed = ["x" if k in gone or k >= 13 and r.random() < 0.5 else x for k, x in enumerate(w)]
+                docs.append((len(docs), " ".join(["y"] * r.randint(0, 3) + changed + ["z"] * r.randint(0, 3))))
+    docs += [(9000, "i2w0 i2w1 a i2w0 i2w1 i1w0"), (9001, items[12][1].partition(" ")[2]), (9002, items[12][1].rpartition(" ")[0])]
+
+    def held(text, item):
+        d, g = text.split(), item.split()
+        window = min(13, len(g))
+        best = None
+        for shift in range(-len(g) + 1, len(d)):
+            same = [int(0 <= shift + j < len(d) and d[shift + j] == x) for j, x in enumerate(g)]
+            top = max(sum(same[k : k + window]) for k in range(len(g) - window + 1)) / window
+            if top >= 0.75:
+                best = max(best or (0.0,), (top, sum(same), -shift))
+        return best
+
+    want = {(i, k): b for i, t in docs for k, g in items if (b := held(t, g))}
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.id, x.item_id): (x.share, x.n_equal, -x.at) for x in got} == want and len(got) == len(want)
+
+
 # ---------------------------------------------------------------- 6
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
