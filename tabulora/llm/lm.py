@@ -1,17 +1,19 @@
 """Language-model scores by deleted interpolation.
 
 A word's probability after its predecessor mixes the maximum-likelihood bigram estimate with an add-one unigram:
-P(w | v) = a * c(v w) / c(v) + (1 - a) * (c(w) + 1) / (N + V + 1). The weight a depends on the bucket (power of two) of
-c(v). A part of the training documents is held out at first; the weights are found by expectation-maximisation on its
-bigram counts under the counts of the rest. Then all training counts serve.
+P(w | v) = a * c(v w) / c(v) + (1 - a) * (c(w) + 1) / (N + V + 1). With order 3, the estimate after two words is mixed
+with that: P(w | u v) = b * c(u v w) / c(u v) + (1 - b) * P(w | v). The weight a depends on the bucket (power of two) of
+c(v), b on that of c(u v). A part of the training documents is held out at first; the weights are found by
+expectation-maximisation on its bigram (then its trigram) counts under the counts of the rest. Then all training counts
+serve.
 
 Texts become blocks of a few megabytes: the distinct words' hashes and, for each token, the number of its word. From
-then on only the blocks' distinct keys travel: each block sends its distinct words (later its distinct bigrams), dealt
+then on only the blocks' distinct keys travel: each block sends its distinct words (later its distinct bigrams and trigrams), dealt
 by ranges of the hash and packed, with its own counts; the task of a range adds up and sends each block the totals of
 its keys. So a word or bigram that is in every document is one entry for each block, nothing is sent for single tokens,
 and what a task holds is the keys of one range: their number falls with the number of shuffle partitions.
 
-Tokens are the words with A-Z lower-cased and one end for each document; a text's first word follows the end. Defined
+Tokens are the words with A-Z lower-cased and one end for each document; a text's first word follows the end alone. Defined
 results: null or empty text: the end alone; no training documents: each token has probability 1 / (N + V + 1) with N =
 V = 0; equal rows: scored and counted each; null id: a training document (its remainder is not 2) outside the held part.
 """
@@ -68,7 +70,7 @@ def ranges(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- blocks
-#: kind 0: a block; 1: counts of words; 2: counts of bigrams. p is the range.
+#: kind 0: a block; 1: counts of words; 2: counts of bigrams; 3: counts of trigrams. p is the range.
 ROW = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("id", pa.list_(pa.int64())), ("part", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
 ROW_SQL = "p int, block long, kind int, a binary, b binary, c binary, d binary, id array<bigint>, part array<int>, n array<bigint>"
 
@@ -109,7 +111,7 @@ def _blocks(batches):
 
 class Block:
     def __init__(self, row: dict):
-        self.name, self.ids, self.parts, self.n = row["block"], row["id"], np.array(row["part"]), np.array(row["n"], np.int64)
+        self.name, self.ids, self.parts, self.n = row["block"], row["id"], np.array(row["part"], np.int8), np.array(row["n"], np.int64)
         self.words = np.frombuffer(row["a"], np.uint64)
         self.codes = unpack(row["b"]).astype(np.int64)
         self.part = np.repeat(self.parts, self.n)
@@ -124,48 +126,82 @@ class Block:
         before = np.empty_like(self.codes)
         before[1:] = self.codes[:-1]
         before[self.first[:-1]] = end
-        pairs, of = np.unique(before * len(self.words) + self.codes, return_inverse=True)
-        v, w = pairs // len(self.words), pairs % len(self.words)
+        before *= len(self.words)
+        before += self.codes
+        pairs, of = np.unique(before, return_inverse=True)
+        del before
+        of = of.ravel().astype(np.int32)
+        v, w = (pairs // len(self.words)).astype(np.int32), (pairs % len(self.words)).astype(np.int32)
+        del pairs
         with np.errstate(over="ignore"):
             key = mix(self.words[v] * np.uint64(STEP) + self.words[w])
         order = np.argsort(key)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return key[order], place[of.ravel()], v[order], w[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return key[order], place[of], v[order], w[order]
+
+    def trigrams(self, pair_keys, pair_of):
+        """Keys of the distinct trigrams, ascending; the tokens with two before them in their text (its end counts) and
+        the number of the trigram of each; the number of the bigram and the last word of each trigram."""
+        follows = np.ones(len(self.codes), bool)
+        follows[self.first[:-1]] = False
+        at = np.flatnonzero(follows).astype(np.int32)
+        triples = pair_of[at - 1].astype(np.int64)
+        triples *= len(self.words)
+        triples += self.codes[at]
+        triples, of = np.unique(triples, return_inverse=True)
+        of = of.ravel().astype(np.int32)
+        c, x = (triples // len(self.words)).astype(np.int32), (triples % len(self.words)).astype(np.int32)
+        del triples
+        with np.errstate(over="ignore"):
+            key = mix(pair_keys[c] * np.uint64(STEP) + self.words[x])
+        order = np.argsort(key)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return key[order], at, place[of], c[order], x[order]
 
 
 def _requests(kind, n_parts):
-    """A block's distinct keys by range, with the counts of its main and its held part; for held bigrams both words."""
+    """A block's distinct keys by range, with the counts of its main and its held part; for held bigrams and trigrams
+    their words."""
 
     def run(batches):
         for rb in batches:
             for row in rb.to_pylist():
                 b, rows = Block(row), []
+                role = b.part
                 if kind == 1:
                     order = b.word_order()
                     keys, of = b.words[order], np.empty(len(order), np.int64)
                     of[order] = np.arange(len(order))
                     of = of[b.codes]
                 else:
-                    keys, of, v, w = b.bigrams()
-                main = np.bincount(of[b.part == MAIN], minlength=len(keys)).astype(np.uint64)
-                part = np.bincount(of[b.part == PART], minlength=len(keys)).astype(np.uint64)
+                    keys, of, *names = b.bigrams()
+                if kind == 3:
+                    keys, at, of, c, x = b.trigrams(keys, of)
+                    role = role[at]
+                    del at
+                main = np.bincount(of[role == MAIN], minlength=len(keys)).astype(np.uint64)
+                part = np.bincount(of[role == PART], minlength=len(keys)).astype(np.uint64)
+                del of
                 cut = ranges(keys, n_parts)
                 for p, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     if j > i:
                         pairs = None
-                        if kind == 2:
+                        if kind > 1:
                             at = i + np.flatnonzero(part[i:j])
-                            pairs = np.concatenate([b.words[v[at]], b.words[w[at]]]).tobytes()
+                            own = (names[0][at], names[1][at]) if kind == 2 else (names[0][c[at]], names[1][c[at]], x[at])
+                            pairs = np.concatenate([b.words[k] for k in own]).tobytes()
                         rows.append((p, b.name, kind, pack_sorted(keys[i:j]), pack(main[i:j]), pack(part[i:j]), pairs, None, None, None))
-                yield out_batch(ROW, *zip(*rows, strict=True))
+                if rows:
+                    yield out_batch(ROW, *zip(*rows, strict=True))
 
     return run
 
 
-#: An answer is a row of ROW (a: main counts, b: held counts); a word or a held bigram is a row with v.
-ANSWER = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("v", pa.int64()), ("w", pa.int64()), ("main", pa.int64()), ("held", pa.int64())])
-ANSWER_SQL = "p int, block long, kind int, a binary, b binary, v long, w long, main long, held long"
+#: An answer is a row of ROW (a: main counts, b: held counts); a word, a held bigram or a held trigram is a row with v.
+ANSWER = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("u", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("main", pa.int64()), ("held", pa.int64())])
+ANSWER_SQL = "p int, block long, kind int, a binary, b binary, u long, v long, w long, main long, held long"
 
 
 def _answers(kind):
@@ -189,21 +225,23 @@ def _answers(kind):
             for r, n, own in zip(of_p, sizes, helds, strict=True):
                 mine = of[at : at + n]
                 at += n
-                yield out_batch(ANSWER, [p], [r["block"]], [kind], [pack(main[mine].astype(np.uint64))], [pack(held[mine].astype(np.uint64))], [None], [None], [None], [None])
-                if kind == 2:
+                yield out_batch(ANSWER, [p], [r["block"]], [kind], [pack(main[mine].astype(np.uint64))], [pack(held[mine].astype(np.uint64))], [None], [None], [None], [None], [None])
+                if kind > 1:
                     some = np.flatnonzero(own)
-                    pairs.append(np.frombuffer(r["d"], np.uint64).reshape(2, -1))
+                    pairs.append(np.frombuffer(r["d"], np.uint64).reshape(kind, -1))
                     counts.append((main[mine[some]], own[some].astype(np.int64)))
             if kind == 1:
                 some = np.flatnonzero(main + held)
                 v, w, main, held = distinct[some], np.zeros(len(some), np.uint64), main[some], held[some]
+                u = w
             else:
-                v, w = np.concatenate(pairs, axis=1)
+                *first, v, w = np.concatenate(pairs, axis=1)
+                u = first[0] if first else np.zeros(len(v), np.uint64)
                 main, held = (np.concatenate(x) for x in zip(*counts, strict=True))
             for i in range(0, len(v), 50_000):
                 s = slice(i, i + 50_000)
                 n = len(v[s])
-                yield out_batch(ANSWER, [p] * n, pa.nulls(n, pa.int64()), [kind] * n, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), as_long(v[s]), as_long(w[s]), main[s], held[s])
+                yield out_batch(ANSWER, [p] * n, pa.nulls(n, pa.int64()), [kind] * n, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), as_long(u[s]), as_long(v[s]), as_long(w[s]), main[s], held[s])
 
     return run
 
@@ -231,7 +269,11 @@ def find_weights(held: DataFrame, words: DataFrame) -> dict[int, float]:
     both = held.join(left, "v").where("cv > 0").join(right, "w", "left")
     ratio = (F.col("main") / F.col("cv")) / ((F.coalesce("cw", F.lit(0)) + 1) / F.lit(total.n + total.v + 1))
     step = F.when(F.col("main") > 0, F.floor(8 * F.log2(ratio)))
-    rows = both.groupBy(_bucket(F.col("cv")).alias("bucket"), step.alias("step")).agg(F.sum("held").alias("n")).collect()
+    return _maximise(both.groupBy(_bucket(F.col("cv")).alias("bucket"), step.alias("step")).agg(F.sum("held").alias("n")).collect())
+
+
+def _maximise(rows) -> dict[int, float]:
+    """Weights by bucket from rows (bucket, step, n)."""
     out: dict[int, float] = {}
     for bucket in {r.bucket for r in rows}:
         own = [r for r in rows if r.bucket == bucket]
@@ -245,6 +287,32 @@ def find_weights(held: DataFrame, words: DataFrame) -> dict[int, float]:
     return out
 
 
+def find_trigram_weights(held: DataFrame, pairs: DataFrame, words: DataFrame, weights: dict[int, float]) -> dict[int, float]:
+    """Weight of the trigram estimate for each bucket of counts of the two words before, in the same way.
+
+    held: (u, v, w, main, held); pairs and words: as find_weights has them, which gave the weights. The two bigrams of a
+    held trigram are held ones of the same text, so pairs has both.
+    """
+    total = words.agg(F.coalesce(F.sum("main"), F.lit(0)).alias("n"), F.count(F.when(F.col("main") > 0, 1)).alias("v")).first()
+    if not total.n or not weights:
+        return {}
+    left, right = words.select("v", F.col("main").alias("cv")), words.select(F.col("v").alias("w"), F.col("main").alias("cw"))
+    both = pairs.groupBy("v", "w").agg(F.max("main").alias("main")).join(left, "v").join(right, "w", "left")
+    one = (F.coalesce("cw", F.lit(0)) + 1) / F.lit(total.n + total.v + 1)
+    a = F.get(F.array(*[F.lit(float(x)) for x in _table(weights)]), _bucket(F.col("cv")))
+    lower = F.when(F.col("cv") > 0, a * F.col("main") / F.col("cv") + (1 - a) * one).otherwise(one)
+    both = both.select("v", "w", F.col("main").alias("cvw"), lower.alias("lower"))
+    before = both.where("cvw > 0").select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("cvw").alias("cuv"))
+    every = held.join(before, ["u", "v"]).join(both.select("v", "w", "lower"), ["v", "w"])
+    step = F.when(F.col("main") > 0, F.floor(8 * F.log2(F.col("main") / F.col("cuv") / F.col("lower"))))
+    return _maximise(every.groupBy(_bucket(F.col("cuv")).alias("bucket"), step.alias("step")).agg(F.sum("held").alias("n")).collect())
+
+
+def _table(weights: dict[int, float]) -> np.ndarray:
+    """Weights of all buckets: of one without its own, the nearest one's."""
+    return np.array([weights.get(k, weights[min(weights, key=lambda j: abs(j - k))]) if weights else 0.0 for k in range(64)])
+
+
 def _bucket(count):
     return F.floor(F.log2(count)).cast("int")
 
@@ -254,48 +322,63 @@ OUT = pa.schema([("id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int64
 OUT_SQL = "id long, part int, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scores(n_tokens, n_words, weights):
-    """Of rows sorted by block, kind and range: the block, totals of its words, totals of its bigrams."""
-    table = np.zeros(64)
-    for k in range(64):
-        table[k] = weights.get(k, weights[min(weights, key=lambda j: abs(j - k))]) if weights else 0.0
+def _scores(n_tokens, n_words, weights, weights3, order_of):
+    """Of rows sorted by block, kind and range: the block, totals of its words, of its bigrams, of its trigrams."""
+    table, table3 = _table(weights), _table(weights3)
 
     def run(batches):
-        def finish(blocks, words, pairs):
+        def finish(blocks, words, pairs, triples):
+            joined = []
+            for t in (words, pairs, triples):
+                joined.append(np.concatenate([t[p] for p in sorted(t)]) if t else None)
+                t.clear()
             for b in blocks:
                 order = b.word_order()
                 c = np.empty(len(order))
-                c[order] = np.concatenate([words[p] for p in sorted(words)])
-                _, of, v, _ = b.bigrams()
-                both = np.concatenate([pairs[p] for p in sorted(pairs)]).astype(float)
+                c[order] = joined[0]
+                keys, of, v, _ = b.bigrams()
                 one = (c + 1) / (n_tokens + n_words + 1)
                 context = c[v]
                 a = np.where(context > 0, table[np.log2(np.maximum(context, 1)).astype(np.int64)], 0.0)
-
-                first = (a * both / np.maximum(context, 1))[of]
-                p = first + (1 - a)[of] * one[b.codes]
                 add = lambda x: np.add.reduceat(x, b.first[:-1])
-                yield out_batch(OUT, b.ids, b.parts, b.n, add((c[b.codes] > 0).astype(np.int64)), add(np.log10(one[b.codes])), add(np.log10(p)))
-
-        name, blocks, words, pairs = None, [], {}, {}
+                known = add((c[b.codes] > 0).astype(np.int64))
+                p = one[b.codes]
+                base = add(np.log10(p))
+                p *= (1 - a)[of]
+                p += (a * joined[1] / np.maximum(context, 1))[of]
+                del a, context, v
+                if order_of > 2 and joined[2] is not None:
+                    _, at, of, pair, _ = b.trigrams(keys, of)
+                    del keys
+                    context = joined[1][pair].astype(float)
+                    a = np.where(context > 0, table3[np.log2(np.maximum(context, 1)).astype(np.int64)], 0.0)
+                    lower = p[at]
+                    lower *= (1 - a)[of]
+                    a *= joined[2] / np.maximum(context, 1)
+                    lower += a[of]
+                    p[at] = lower
+                yield out_batch(OUT, b.ids, b.parts, b.n, known, base, add(np.log10(p)))
+
+        name, blocks, totals = None, [], ({}, {}, {})
         for rb in batches:
             for row in rb.to_pylist():
                 if row["block"] != name:
-                    yield from finish(blocks, words, pairs)
-                    name, blocks, words, pairs = row["block"], [], {}, {}
+                    yield from finish(blocks, *totals)
+                    name, blocks, totals = row["block"], [], ({}, {}, {})
                 if row["kind"] == 0:
                     blocks.append(Block(row))
                 else:
-                    (words if row["kind"] == 1 else pairs)[row["p"]] = unpack(row["a"]) + unpack(row["b"])
-        yield from finish(blocks, words, pairs)
+                    totals[row["kind"] - 1][row["p"]] = unpack(row["a"]) + unpack(row["b"])
+        yield from finish(blocks, *totals)
 
     return run
 
 
-def interpolated_scores(docs: DataFrame, training, held=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def interpolated_scores(docs: DataFrame, training, held=None, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
     """Per row of docs: id, training, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
-    training: a boolean column of docs; held: which of these are held out for the weights (by default one in HELD).
+    training: a boolean column of docs; held: which of these are held out for the weights (by default one in HELD);
+    order: 2 or 3, the words of the longest counted runs.
     """
     work = Work(docs.sparkSession, "lm")
     if held is None:
@@ -306,14 +389,19 @@ def interpolated_scores(docs: DataFrame, training, held=None, id_col: str = "doc
     blocks = work.write(rows.mapInArrow(_blocks, ROW_SQL), "blocks")
     words = _exchange(work, blocks, 1)
     pairs = _exchange(work, blocks, 2)
+    tables = [words, pairs, _exchange(work, blocks, 3)] if order > 2 else [words, pairs]
     each = words.where("v is not null")
     total = each.agg(F.coalesce(F.sum(F.col("main") + F.col("held")), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    weights = find_weights(pairs.where("v is not null").select("v", "w", "main", "held"), each.select("v", "main"))
+    held_pairs = pairs.where("v is not null").select("v", "w", "main", "held")
+    weights, weights3 = find_weights(held_pairs, each.select("v", "main")), {}
+    if order > 2:
+        weights3 = find_trigram_weights(tables[2].where("v is not null").select("u", "v", "w", "main", "held"), held_pairs, each.select("v", "main"), weights)
     work.tidy()
-    answers = [x.where("v is null").select("p", "block", "kind", "a", "b") for x in (words, pairs)]
-    every = blocks.unionByName(answers[0], allowMissingColumns=True).unionByName(answers[1], allowMissingColumns=True)
+    every = blocks
+    for x in tables:
+        every = every.unionByName(x.where("v is null").select("p", "block", "kind", "a", "b"), allowMissingColumns=True)
     dealt = every.repartition(partitions(work.spark), "block").sortWithinPartitions("block", "kind", "p")
-    out = work.write(dealt.mapInArrow(_scores(total.n, total.v, weights), OUT_SQL), "scores")
+    out = work.write(dealt.mapInArrow(_scores(total.n, total.v, weights, weights3, order), OUT_SQL), "scores")
     work.only("scores")
     return out.select("id", (F.col("part") != TEST).alias("training"), "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -321,5 +409,5 @@ def interpolated_scores(docs: DataFrame, training, held=None, id_col: str = "doc
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = interpolated_scores(docs, F.coalesce(fold("doc_id", 7) != 2, F.lit(True)))
+    out = interpolated_scores(docs, F.coalesce(fold("doc_id", 7) != 2, F.lit(True)), order=3)
     return out.select(F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

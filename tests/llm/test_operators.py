@@ -356,6 +356,59 @@ def test_lm(df, docs, monkeypatch):
         assert g.score == pytest.approx(sum(math.log10(p(x, y)) for x, y in pairs(w)), rel=2e-3)
 
 
+def test_lm_of_order_three(df, docs, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 3000)
+    got = rows(lm.interpolated_scores(df, F.col("doc_id") % 3 != 0, F.col("doc_id") % 3 == 1, order=3))
+    end = "\0"
+    words = {i: [end, *WORDS.findall(lower(t or "")), end] for i, t in docs}
+
+    def count(keep):
+        """Counts of runs of one, two and three words; the end before a text is context only."""
+        out = collections.Counter()
+        for i, w in words.items():
+            if keep(i):
+                for k in (1, 2, 3):
+                    out.update(tuple(w[j - k + 1 : j + 1]) for j in range(max(1, k - 1), len(w)))
+        return out
+
+    every, main, held = count(lambda i: i % 3), count(lambda i: i % 3 == 2), count(lambda i: i % 3 == 1)
+
+    def p(c, run, weights):
+        ones = [m for r, m in c.items() if len(r) == 1]
+        out = (c[run[-1:]] + 1) / (sum(ones) + len(ones) + 1)
+        for k in (2, 3)[: len(run) - 1]:
+            n = c[run[-k:-1]]
+            if n and weights[k - 2]:
+                near = min(weights[k - 2], key=lambda j: abs(j - int(math.log2(n))))
+                out = weights[k - 2][near] * c[run[-k:]] / n + (1 - weights[k - 2][near]) * out
+        return out
+
+    weights = [{}, {}]
+    for k in (2, 3):
+        by = collections.defaultdict(list)
+        for r, m in held.items():
+            if len(r) == k and main[r[:-1]]:
+                by[int(math.log2(main[r[:-1]]))].append((m, main[r] / main[r[:-1]] / p(main, r[1:], weights)))
+        for j, own in by.items():
+            a = 0.5
+            for _ in range(200):
+                a = min(max(sum(m * a * x / (a * x + 1 - a) for m, x in own) / sum(m for m, _ in own), 1e-4), 1 - 1e-4)
+            weights[k - 2][j] = a
+    assert weights[1]
+    for i, w in words.items():
+        runs = [tuple(w[max(0, j - 2) : j + 1]) for j in range(1, len(w))]
+        assert got[i].score == pytest.approx(sum(math.log10(p(every, r, weights)) for r in runs), rel=2e-3)
+
+
+def test_lm_query_tells_apart_what_only_two_words_before_do(spark, tmp_path):
+    texts = [w + " b " + {"a": "c", "d": "e"}[w] for w in "ad" for _ in range(200)]
+    held = [i for i in range(9000, 9100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    docs = [(i, t) for i, t in zip((i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2), texts, strict=False)]
+    spark.createDataFrame([*docs, (held[0], "a b c"), (held[1], "a b e")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = rows(lm.op7_lm_scoring(spark, f"file://{tmp_path}"), "doc_id")
+    assert got[held[0]].score > got[held[1]].score + 1
+
+
 def test_lm_without_training_rows(spark):
     got = lm.interpolated_scores(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), F.lit(False)).collect()
     assert sorted((r.n_tokens, r.n_known, r.base_score, r.score) for r in got) == [(1, 0, 0.0, 0.0), (3, 0, 0.0, 0.0)]
