@@ -4,25 +4,28 @@ Segments of a path that look like numbers or keys are generalised by their form
 then one row with counts, so the tree works on forms rather than on pages. Level by level, the children of each node of
 a host are looked at: where there are many for their urls, they are variable and become one wildcard; else children
 whose labelled share of bad pages does not differ from their siblings' are merged into the wildcard, and only those
-that differ keep their name. A template is rejected if its smoothed share of bad labelled pages is at least REJECT.
+that differ keep their name. This goes on until no url shares its node with others; what is left of such a url has no
+siblings at any level, so it stays as it is. A template is rejected if its smoothed share of bad labelled pages is at least REJECT.
 
 Counts are combined before each shuffle, so a host with a third of all pages is a few rows. The verdicts join the pages
 as a table of their own, which Spark may broadcast by its size or split.
 
 Defined results: null url or one without `://`: empty host and path, no rule, the verdict of the template of nothing;
-a host without labels: the share of all labelled pages; segments below DEPTH: only generalised by form; repeated rows:
-counted and judged each; null page_id: judged, without a label.
+a host without labels: the share of all labelled pages; repeated rows: counted and judged each; null page_id: judged, without a label.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulora.llm.common import Work
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; children from which, and their share of urls at which, a node's children are variable.
+#: Levels that SQL spells out, enough for the given tables (the code has no such bound); children from which, and their
+#: share of urls at which, a node's children are variable.
 DEPTH, MANY, VARIED = 4, 20, 0.2
 #: Standard deviations and labelled pages for a branch to differ; weight of the overall share; share that rejects.
 DIFFERS, LABELLED, WEIGHT, REJECT = 2.6, 8, 10.0, 0.5
@@ -72,7 +75,14 @@ def _level(t: DataFrame, d: int) -> DataFrame:
     return t.join(named, [*keys, "seg"]).withColumn("prefix", F.concat("prefix", F.when(F.size("segs") > d, F.concat(F.lit("/"), F.col("name"))).otherwise(F.lit("")))).drop("seg", "name")
 
 
-def templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _alone(t: DataFrame, d: int) -> DataFrame:
+    """Marks the forms for which no level from d on can differ from their own segments: those that have ended before it,
+    and those that are the only one of their node."""
+    node = t.groupBy("host", "prefix").agg(F.count("*").alias("forms"))
+    return t.join(node, ["host", "prefix"]).withColumn("alone", (F.col("forms") == 1) | (F.size("segs") < d)).drop("forms")
+
+
+def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """host, form, template, purity for each form of pages (id, host, form); labels hold (id, bad 0/1)."""
     marks = labels.groupBy("id").agg(F.max("bad").alias("bad"))
     counted = pages.join(marks, "id", "left").groupBy("host", "form")
@@ -80,11 +90,19 @@ def templates(pages: DataFrame, labels: DataFrame, depth: int = DEPTH) -> DataFr
     t = t.withColumn("segs", F.slice(F.split("form", "/"), 2, 1 << 20)).withColumn("prefix", F.lit(""))
     # each level reads the last one twice, so it is written: the plan would double with each level
     work = Work(pages.sparkSession, "urls")
-    t = work.write(t, "forms")
-    for d in range(depth):
-        t = work.write(_level(t, d), f"level{d}")
-    rest = F.slice("segs", depth + 1, 1 << 20)
-    t = t.withColumn("template", F.concat("prefix", F.when(F.size("segs") > depth, F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise(F.lit(""))))
+    t, d, ended = work.write(_alone(t, 0), "forms"), 0, []
+    while True:
+        rest = F.slice("segs", d + 1, 1 << 20)
+        whole = F.concat("prefix", F.when(F.size("segs") > d, F.concat(F.lit("/"), F.array_join(rest, "/"))).otherwise(F.lit("")))
+        ended.append(t.where("alone").select("host", "form", "lab", "bad", whole.alias("template")))
+        t = t.where("not alone").drop("alone")
+        if t.isEmpty():
+            break
+        t, d = work.write(_alone(_level(t, d), d + 1), f"level{d}"), d + 1
+        if d % 16 == 0:
+            # a long union would be planned anew at each level
+            ended = [work.write(functools.reduce(DataFrame.unionByName, ended), f"ended{d}")]
+    t = functools.reduce(DataFrame.unionByName, ended)
     per = t.groupBy("host", "template").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     total = per.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum("lab"), F.lit(0)), F.lit(1))).alias("share"))
     # one row

@@ -206,6 +206,17 @@ def test_url_templates_reject_bad_branches(spark):
     assert {alike[k].template for k in range(400)} == {"/*/{n}/*"}  # branches that do not differ are merged
 
 
+def test_url_templates_go_on_to_the_last_segment(spark):
+    deep = "/".join("abcdefg")
+    pages = [(k, f"http://s.net/2024/05/12/x/{deep}/{'ad' if k % 2 else 'news'}/some-slug-{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]}") for k in range(400)]
+    pages += [(1000, "http://s.net/2024/05/12/x"), (1001, f"http://s.net/2024/05/12/x/{deep}"), (1002, "http://t.net/1/2/3/4/five/six/seven/")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 400, 3)], "id long, bad int")
+    got = rows(urls.judge(spark.createDataFrame(pages, "page_id long, url string"), labels))
+    assert len(got) == 403
+    assert {(got[k].template, got[k].verdict) for k in range(400)} == {(f"/{{n}}/{{n}}/{{n}}/x/*/b/c/d/e/f/g/{v}/*", j) for v, j in (("ad", "block"), ("news", "allow"))}
+    assert [got[k].template for k in (1000, 1001, 1002)] == ["/{n}/{n}/{n}/x", f"/{{n}}/{{n}}/{{n}}/x/*/b/c/d/e/f/g", "/{n}/{n}/{n}/{n}/five/six/seven/"]
+
+
 # ---------------------------------------------------------------- 5
 def test_decontamination_finds_items_with_replaced_words(spark):
     r = random.Random(9)
