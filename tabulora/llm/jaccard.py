@@ -19,6 +19,9 @@ large ones in blocks within a task. A pair is first looked at by sketches, the p
 cells that differ are at most the shingles that do, so too many of them rule it out for sure, and few that are ruled in
 are not similar. For these the whole sets are intersected.
 
+The links themselves are an output of their own, similar_links: there all pairs of all groups are looked at, whatever
+their components, so its work and its pairs grow with the number of links.
+
 Defined results: null, empty or blank text: no shingles, linked with nothing, its own component; fewer words than a
 shingle: the whole sequence is the one shingle; equal sets (repeated rows, other case, repeated passages): linked; null
 id: the row counts for others' links only with its text, its component is the least id there is, or null.
@@ -283,10 +286,10 @@ def _linked(work: Work, pairs: DataFrame, sets: DataFrame, num: int, den: int, n
     return work.write(got.where(f"{den} * both >= {num} * (all - both)").select("a", "b").distinct(), name)
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row of docs: id, n_shingles and component_id, the least id that links of similarity num / den reach."""
-    spark = docs.sparkSession
-    work, rows = Work(spark, "jaccard"), with_types(docs, id_col, text_col)
+def _signed(work: Work, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int):
+    """Documents (key, n, id), the least id of each set (key, lead), signatures (h, key) that different sets share, and
+    those sets (key, n, sketch, s), or None if there are none."""
+    spark, rows = work.spark, with_types(docs, id_col, text_col)
     dealt = rows.mapInArrow(_sign(size, num, den), "h long, key long, n long, id long").repartition(partitions(spark), "h").sortWithinPartitions("h", "key")
     found = work.write(dealt.mapInArrow(_shared, "h long, key long, n long, id long"), "found", compression="zstd")
     work.tidy()
@@ -295,11 +298,20 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = found.where("n < 0").select("h", "key")
     keys = work.write(shared.select("key").distinct(), "keys")
     n_keys = keys.count()
-    if n_keys:
-        sets = rows.mapInArrow(_sets(size, key_filter(keys, "key", n_keys)), SETS_SQL)
-        work.tidy()
-        leads = lead.join(keys, "key", "left_semi").select(F.col("key"), F.col("lead").alias("id"))
-        sets = work.write(sets.join(leads, ["key", "id"], "left_semi").select("key", "n", "sketch", "s"), "sets")
+    if not n_keys:
+        return of_docs, lead, shared, None
+    sets = rows.mapInArrow(_sets(size, key_filter(keys, "key", n_keys)), SETS_SQL)
+    work.tidy()
+    leads = lead.join(keys, "key", "left_semi").select(F.col("key"), F.col("lead").alias("id"))
+    return of_docs, lead, shared, work.write(sets.join(leads, ["key", "id"], "left_semi").select("key", "n", "sketch", "s"), "sets")
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Per row of docs: id, n_shingles and component_id, the least id that links of similarity num / den reach."""
+    spark = docs.sparkSession
+    work = Work(spark, "jaccard")
+    of_docs, lead, shared, sets = _signed(work, docs, id_col, text_col, size, num, den)
+    if sets is not None:
         comp = _resolve(work, shared, sets, num, den)
         least = comp.join(lead, comp.node == lead.key).groupBy("comp").agg(F.min("lead").alias("c"))
         names = work.write(comp.join(least, "comp").select(F.col("node").alias("key"), F.col("c")), "names")
@@ -313,6 +325,42 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links of similarity num / den: members and pairs.
+
+    A class is the rows with one set of shingles; class_id is their least id, and rows of a class are linked. Members:
+    per row of docs id, n_shingles, class_id and n_links, the number of other rows that it is linked with. Pairs: (a, b),
+    a < b, the class_id of each two different classes that are linked, each once; a class whose ids are all null (and
+    whose class_id is null) has b null.
+    """
+    spark = docs.sparkSession
+    work = Work(spark, "links")
+    of_docs, lead, shared, sets = _signed(work, docs, id_col, text_col, size, num, den)
+    if sets is not None:
+        groups = work.write(shared.groupBy("h").agg(F.count("*").alias("m")), "groups")
+        every = shared.join(groups, "h").select("h", "key", F.col("key").alias("comp"), "m")
+        small = every.where(f"m <= {SMALL}")
+        pairs = small.join(small.select("h", F.col("key").alias("b")), "h").where("key < b").select(F.col("key").alias("a"), "b")
+        pairs = pairs.union(_blocks(every.where(f"m > {SMALL}"), sets, num, den, partitions(spark)))
+        pairs = _linked(work, work.write(pairs.distinct(), "pairs"), sets, num, den, "linked")
+        work.tidy()
+    else:
+        pairs = spark.createDataFrame([], "a long, b long")
+    sizes = of_docs.where("n > 0").groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("m"))
+    sizes = work.write(sizes, "sizes")
+    both = pairs.union(pairs.select("b", "a"))
+    others = both.join(sizes.select(F.col("key").alias("b"), "m"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("m").alias("others"))
+    # a table of its own, as above
+    counted = work.write(sizes.join(others, "key", "left").select("key", "class_id", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links")), "counted")
+    out = of_docs.where("n > 0").join(counted, "key").select("id", F.col("n").alias("n_shingles"), "class_id", "n_links")
+    members = work.write(out.union(of_docs.where("n = 0").select("id", "n", "id", F.lit(0).cast("long"))), "members")
+    left, right = counted.select(F.col("key").alias("a"), F.col("class_id").alias("x")), counted.select(F.col("key").alias("b"), F.col("class_id").alias("y"))
+    named = pairs.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.greatest("x", "y")).alias("b"))
+    named = work.write(named, "named")
+    work.only("members", "named")
+    return members, named
+
+
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -410,3 +458,9 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = similar_classes(docs, size=4, num=85, den=100)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op3_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """The same join, with the number of links instead of components."""
+    members, _ = similar_links(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, num=85, den=100)
+    return members.withColumnRenamed("id", "doc_id")

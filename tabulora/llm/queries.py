@@ -8,6 +8,7 @@ QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op2_chat_formatting": conversations.op2_chat_formatting,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op3_ngram_jaccard_links": jaccard.op3_ngram_jaccard_links,
     "op4_url_filters": urls.op4_url_filters,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_byte_level_bpe": bpe.op6_byte_level_bpe,
@@ -99,6 +100,14 @@ ORACLE_SQL = {
         r(a, b) as (select doc_id, doc_id from w union select r.a, d.b from r join d on r.b = d.a)
         select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, c.c component_id
         from w left join n using (doc_id) join (select a doc_id, min(b) c from r group by 1) c using (doc_id)""",
+    "op3_ngram_jaccard_links": r"""
+        with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+        s as (select distinct doc_id, g from (select doc_id, case when len(ws) < 4 then ws else ws[i:i + 3] end g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) i from w where len(ws) > 0))),
+        n as (select doc_id, count(*) n from s group by 1),
+        p as (select a.doc_id a, b.doc_id b, count(*) shared from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+        e as (select a, count(*) k, min(case when shared = x.n and shared = y.n then b end) least_copy from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared) group by a)
+        select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(w.doc_id, coalesce(least_copy, w.doc_id)) class_id, coalesce(k, 0)::bigint n_links
+        from w left join n using (doc_id) left join e on e.a = w.doc_id""",
     "op8_warc_archive": """
         with p as (select page_id, coalesce(html, '') h from pages),
         d as (select page_id, h, sha1(h) x, max(page_id) over (partition by h) m from p),

@@ -165,6 +165,22 @@ def test_jaccard(df, docs, size, num, den, small, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == classes(sets, num, den)
 
 
+def test_jaccard_links_within_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 5)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    r = random.Random(8)
+    base, places = [f"w{k}" for k in range(160)], [r.randrange(160) for _ in range(30)]
+    near = [" ".join(f"x{i}" if k == places[i] else w for k, w in enumerate(base)) for i in range(30)]
+    texts = dict(enumerate([*near, *near[:4], *(t for _, t in random_docs(n=20))]))
+    members, pairs = jaccard.similar_links(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size=4, num=85, den=100)
+    sets = {i: shingles(t, 4) for i, t in texts.items()}
+    linked = {(i, j) for i in sets for j in sets if i != j and (both := len(sets[i] & sets[j])) and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both)}
+    first = {i: min([j for j in sets if sets[j] == sets[i]] if sets[i] else [i]) for i in sets}
+    assert {(m.id, m.n_shingles, m.class_id, m.n_links) for m in members.collect()} == {(i, len(s), first[i], sum(a == i for a, _ in linked)) for i, s in sets.items()}
+    got = sorted(map(tuple, pairs.collect()))
+    assert got == sorted({(first[i], first[j]) for i, j in linked if first[i] < first[j]}) and len(got) > 100
+
+
 def test_signatures_are_shared_by_all_similar_sets():
     r = np.random.default_rng(5)
     for n in (1, 5, 7, 9, 14, 30, 90, 400):
