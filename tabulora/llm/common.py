@@ -23,14 +23,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # ---------------------------------------------------------------- work folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a local one that is set here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On a single machine without that setting (tests)
+    a local folder serves; on a cluster without it this is an error, for executors do not see the driver's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tabulora-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="tabulora-")
+        base = _LOCAL["dir"]
     return base.rstrip("/")
 
 
+_LOCAL: dict = {}
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -39,6 +46,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 #: Rows and bytes of an Arrow batch; with Spark's defaults one would hold tens of megabytes of long documents.
 BATCH, BATCH_BYTES = "2000", "8m"
+#: Spark's own setting: shuffle files of an SQL execution go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Work:
@@ -50,24 +59,26 @@ class Work:
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str, **options) -> DataFrame:
-        path = f"{self.at}/{name}"
-        df.write.options(**options).parquet(path)
+        """Writes a table and reads it back; the shuffles that made it are not needed any more and go."""
+        path, before = f"{self.at}/{name}", self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that nothing lazy still reads, and lets Spark forget shuffles of finished jobs."""
-        _delete(self.spark, f"{self.at}/{name}")
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing lazy still reads."""
+        for name in names:
+            _delete(self.spark, f"{self.at}/{name}")
 
     def only(self, *names: str) -> None:
-        """Deletes all tables but these, and lets go of finished shuffles."""
+        """Deletes all tables but these."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
         for s in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
             if s.getPath().getName() not in names:
                 _delete(self.spark, str(s.getPath().toString()))
-        self.tidy()
-
-    def tidy(self) -> None:
-        tidy(self.spark)
 
     def close(self) -> None:
         try:
@@ -76,17 +87,6 @@ class Work:
             pass
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets go of shuffle files of finished jobs: they go when the driver's heap is collected, in two steps."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lowers Spark's default size of Arrow batches; a size that the user has set stays."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":

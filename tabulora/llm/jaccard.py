@@ -12,12 +12,20 @@ gives its other subsets and goes on to a partitioning by another salt, and only
 too. No pair is lost: in the first round that either set is done in, both take part and agree on a subset with shingles.
 
 Signatures are dealt out and sorted; one pass over each part keeps those of at least two different sets, in constant
-memory. Links are then found without listing all pairs of a group: every set is compared with its group's least set;
-where a large group is still in several components, each set with the nearest one by sketches; last, all pairs of a group whose components
-still differ are looked at, so no link that could join components is missed: those of small groups as rows, those of
-large ones in blocks within a task. A pair is first looked at by sketches, the parities of the shingles in cells: the
-cells that differ are at most the shingles that do, so too many of them rule it out for sure, and few that are ruled in
-are not similar. For these the whole sets are intersected.
+memory. Links are then found without listing all pairs of a group. Every set is compared with its group's pivot, the
+member whose signatures most members of their groups share (the text of which the others are near copies). Groups that then lie in one
+component are done. Of the others, small ones are listed in pairs. Members of a large one are cut up by their
+differences from the pivot b: let D(x) hold the shingles that just one of x and b has. Two similar sets x and y of
+different components differ in at most k shingles, at least one of them is not linked with b, and so D(x) and D(y) share
+at least t = (|D(x)| + |D(y)| - k) / 2 >= 1 shingles. In one order of all shingles - rare ones outside b first, common ones
+outside b, those of b - they therefore share one among the first |D| - t + 1 of each (prefix filtering), which gives new,
+smaller groups; a shingle that only one set has gives none. Rows grow with the members, whatever the group's size. New
+groups of up to BLOCK members are compared within a task; while larger ones are left and shrink, they get a pivot in their
+turn; what does not shrink (sets that differ from one another only in common shingles) is compared block by block.
+
+A pair is first looked at by sketches, the parities of the shingles in cells: the cells that differ are at most the
+shingles that do, so too many of them rule it out for sure, and few that are ruled in are not similar. For these the
+whole sets are intersected.
 
 The links themselves are an output of their own, similar_links: there all pairs of all groups are looked at, whatever
 their components, so its work and its pairs grow with the number of links.
@@ -29,6 +37,7 @@ id: the row counts for others' links only with its text, its component is the le
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 import numpy as np
@@ -48,9 +57,9 @@ SPARE, MOST_SPARE, MARGIN = 0.1, 1.0, 1.5
 ROUNDS = 4
 #: A band's largest size by its smallest; at least den / num.
 BAND = 1.4
-#: Members up to which a group in several components is listed in pairs; rounds in which the sets of larger ones are
-#: compared with the nearest one only, by their sketches; members of a block.
-SMALL, NEAREST, BLOCK = 18, 2, 256
+#: Members up to which a group in several components is listed in pairs, and up to which it is compared within a task (a
+#: block); the share of its rows that cutting up must leave at most for another round to follow.
+SMALL, BLOCK, SHRINK = 18, 512, 0.75
 
 
 def band_tops(num: int, den: int, largest: int) -> np.ndarray:
@@ -292,7 +301,6 @@ def _signed(work: Work, docs: DataFrame, id_col: str, text_col: str, size: int,
     spark, rows = work.spark, with_types(docs, id_col, text_col)
     dealt = rows.mapInArrow(_sign(size, num, den), "h long, key long, n long, id long").repartition(partitions(spark), "h").sortWithinPartitions("h", "key")
     found = work.write(dealt.mapInArrow(_shared, "h long, key long, n long, id long"), "found", compression="zstd")
-    work.tidy()
     of_docs = found.where("n >= 0").select("key", "n", "id")
     lead = of_docs.where("n > 0").groupBy("key").agg(F.min("id").alias("lead"))
     shared = found.where("n < 0").select("h", "key")
@@ -301,7 +309,6 @@ def _signed(work: Work, docs: DataFrame, id_col: str, text_col: str, size: int,
     if not n_keys:
         return of_docs, lead, shared, None
     sets = rows.mapInArrow(_sets(size, key_filter(keys, "key", n_keys)), SETS_SQL)
-    work.tidy()
     leads = lead.join(keys, "key", "left_semi").select(F.col("key"), F.col("lead").alias("id"))
     return of_docs, lead, shared, work.write(sets.join(leads, ["key", "id"], "left_semi").select("key", "n", "sketch", "s"), "sets")
 
@@ -343,7 +350,6 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = small.join(small.select("h", F.col("key").alias("b")), "h").where("key < b").select(F.col("key").alias("a"), "b")
         pairs = pairs.union(_blocks(every.where(f"m > {SMALL}"), sets, num, den, partitions(spark)))
         pairs = _linked(work, work.write(pairs.distinct(), "pairs"), sets, num, den, "linked")
-        work.tidy()
     else:
         pairs = spark.createDataFrame([], "a long, b long")
     sizes = of_docs.where("n > 0").groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("m"))
@@ -364,9 +370,8 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _compare(num, den, nearest):
-    """Of rows sorted by (h, lo, hi), a block or two of a group: pairs of different components that sketches allow, or
-    for each set only the nearest such one before it."""
+def _compare(num, den):
+    """Of rows sorted by (h, lo, hi), a block or two of a group: pairs of different components that sketches allow."""
 
     def of_group(rows):
         key, comp, own, n = (np.array([r[c] for r in rows]) for c in ("key", "comp", "own", "n"))
@@ -381,8 +386,7 @@ def _compare(num, den, nearest):
                 other &= own[rest] != own[i]
             at = i + 1 + np.flatnonzero(other)
             apart = np.bitwise_count(x[at] ^ x[i]).sum(axis=1)
-            ok = (apart <= (den - num) * (n[at] + n[i]) // (den + num)) & (den * np.minimum(n[at], n[i]) >= num * np.maximum(n[at], n[i]))
-            at = at[np.argmin(np.where(ok, apart, 1 << 40))][None] if nearest and ok.any() else at[ok]
+            at = at[(apart <= (den - num) * (n[at] + n[i]) // (den + num)) & (den * np.minimum(n[at], n[i]) >= num * np.maximum(n[at], n[i]))]
             left.append(np.minimum(key[at], key[i]))
             right.append(np.maximum(key[at], key[i]))
         if left:
@@ -403,7 +407,7 @@ def _compare(num, den, nearest):
     return run
 
 
-def _blocks(large: DataFrame, sets: DataFrame, num: int, den: int, n_parts: int, nearest: bool = False) -> DataFrame:
+def _blocks(large: DataFrame, sets: DataFrame, num: int, den: int, n_parts: int) -> DataFrame:
     """Pairs (a, b) of large groups (h, key, comp, m) that sketches allow.
 
     A group is cut into blocks of about BLOCK members; two blocks at a time are compared within a task, and only what
@@ -415,43 +419,176 @@ def _blocks(large: DataFrame, sets: DataFrame, num: int, den: int, n_parts: int,
     rows = rows.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "key", "comp", "own")
     rows = rows.join(sets.select("key", "n", "sketch"), "key")
     dealt = rows.repartition(n_parts, "h", "lo", "hi").sortWithinPartitions("h", "lo", "hi")
-    return dealt.mapInArrow(_compare(num, den, nearest), "a long, b long")
+    return dealt.mapInArrow(_compare(num, den), "a long, b long")
+
+
+DELTA = pa.schema([("b", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("size", pa.int64()), ("own", pa.int64()), ("other", pa.int64()), ("d", pa.list_(pa.int64()))])
+DELTA_SQL = "b long, key long, comp long, size long, own long, other long, d array<bigint>"
+
+
+def prefixes(size, n, nb, low, high, num, den):
+    """How many of the `size` shingles of D(x) to look at for partners whose own D is no smaller, and no larger; n, nb: sizes of
+    x and of the pivot; low, high: least and largest size of the members."""
+    most = (den - num) * (n + min(high, n * den // num)) // (den + num)
+    linked = size * (den + num) <= (den - num) * (n + nb)
+    # of two members in different components at least one is not linked with the pivot
+    unlinked = (den - num) * (max(low, -(-n * num // den)) + nb) // (den + num) + 1
+    larger = max(size, unlinked) if linked else size
+    up = max(1, -(-(size + larger - most) // 2))
+    down = max(1, -(-(size + unlinked - most) // 2) if linked else size - most)
+    return max(0, size - up + 1), max(0, size - down + 1)
+
+
+def _deltas(shared, common, num, den):
+    """D(x) of each member of a star, in order and without shingles of only one set, and the lengths of its prefixes."""
+
+    def lists(col):
+        return np.asarray(col.offsets).tolist(), np.asarray(col.values).view(np.uint64)
+
+    def run(batches):
+        for rb in batches:
+            (so, s), (bo, sb) = lists(rb.column("s")), lists(rb.column("sb"))
+            out, made = [], []
+            for i, (nb, low, high) in enumerate(zip(*(rb.column(c).to_pylist() for c in ("nb", "low", "high")), strict=True)):
+                x, y = s[so[i] : so[i + 1]], sb[bo[i] : bo[i + 1]]
+                plus, minus = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                size = len(plus) + len(minus)
+                own, other = prefixes(size, len(x), nb, low, high, num, den)
+                out.append((size, own, other, len(plus)))
+                made += [plus, minus]
+            if not out:
+                continue
+            size, own, other, n_plus = np.array(out, np.int64).T
+            d, ends = np.concatenate(made), np.cumsum(size)
+            row = np.repeat(np.arange(len(out)), size)
+            rank = np.full(len(d), 2)
+            plus = np.arange(len(d)) - (ends - size)[row] < n_plus[row]
+            keep = ~plus
+            keep[plus] = in_filter(shared, d[plus])
+            rank[plus] = in_filter(common, d[plus])
+            d, row, rank = d[keep], row[keep], rank[keep]
+            d = d[np.lexsort((d, rank, row))]
+            left = np.bincount(row, minlength=len(out))
+            gone = size - left
+            ends = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
+            yield out_batch(DELTA, *(rb.column(c) for c in ("b", "key", "comp")), size, np.maximum(own - gone, 0), np.maximum(other - gone, 0), pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(d))))
+
+    return run
+
+
+PREFIX = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("size", pa.int64()), ("own", pa.bool_())])
+
+
+def _prefixes(bitmap=None):
+    """A row for each shingle of the prefix for partners that are no smaller, or, with a filter of those, of the other one."""
+
+    def run(batches):
+        for rb in batches:
+            d, own, other = rb.column("d"), np.asarray(rb.column("own")), np.asarray(rb.column("other"))
+            offsets, values = np.asarray(d.offsets).astype(np.int64), np.asarray(d.values).view(np.uint64)
+            first, last = (np.zeros_like(own), own) if bitmap is None else (own, np.maximum(own, other))
+            last = np.minimum(last, np.diff(offsets))
+            n = np.maximum(last - first, 0)
+            row = np.repeat(np.arange(rb.num_rows), n)
+            at = offsets[row] + first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            with np.errstate(over="ignore"):
+                h = mix(values[at] + np.asarray(rb.column("b")).view(np.uint64)[row] * np.uint64(STEP))
+            if bitmap is not None:
+                keep = in_filter(bitmap, h)
+                h, row = h[keep], row[keep]
+            take = pa.array(row)
+            yield out_batch(PREFIX, as_long(h), *(rb.column(c).take(take) for c in ("key", "comp", "size")), np.full(len(row), bitmap is None))
+
+    return run
+
+
+PREFIX_SQL = "h long, key long, comp long, size long, own boolean"
+
+
+def _cut_up(work: Work, stars: DataFrame, sets: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """Groups (h, key, comp, size, own) of the members of stars (b, key, comp): similar members of different components
+    are together in some group, the one with the smaller difference (either, if equal) as `own`."""
+    of = stars.join(sets.select("key", "n"), "key").groupBy("b").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    keys = stars.select("key").union(stars.select("b")).distinct()
+    counts = sets.join(keys, "key", "left_semi").select(F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("m")).where("m > 1")
+    counts = work.write(counts, f"counts{k}")
+    both, often = counts.count(), counts.where(f"m > {SMALL}")
+    shared, common = key_filter(counts, "e", both), key_filter(often, "e", often.count())
+    # pivots are few: as a table of known size Spark can ship them, or deal them out if they are not; each member's set
+    # travels once, whatever the number of its stars
+    pivots = stars.select(F.col("b").alias("key")).distinct()
+    pivots = work.write(sets.join(pivots, "key", "left_semi").join(of, F.col("key") == F.col("b")).select("b", "low", "high", F.col("n").alias("nb"), F.col("s").alias("sb")), f"centres{k}")
+    each = stars.groupBy("key", "comp").agg(F.collect_list("b").alias("bs"))
+    rows = sets.select("key", "s").join(each, "key").select("key", "comp", "s", F.explode("bs").alias("b")).join(pivots, "b")
+    rows = rows.select("b", "key", "comp", "nb", "low", "high", "s", "sb")
+    deltas = work.write(rows.mapInArrow(_deltas(shared, common, num, den), DELTA_SQL), f"deltas{k}", compression="zstd")
+    own = work.write(deltas.mapInArrow(_prefixes(), PREFIX_SQL), f"own{k}")
+    other = deltas.mapInArrow(_prefixes(key_filter(own, "h", own.count())), PREFIX_SQL)
+    out = work.write(own.union(other), f"cut{k}")
+    work.drop(f"counts{k}", f"centres{k}", f"deltas{k}", f"own{k}")
+    return out
+
+
+def _merged(work: Work, comp: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Components (node, comp) after further links (a, b)."""
+    left, right = comp.select(F.col("node").alias("a"), F.col("comp").alias("x")), comp.select(F.col("node").alias("b"), F.col("comp").alias("y"))
+    edges = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    over = components(work, edges, name).select(F.col("node").alias("comp"), F.col("comp").alias("of"))
+    old = comp.join(over, "comp", "left").select("node", F.coalesce("of", "comp").alias("comp"))
+    new = over.select(F.col("comp").alias("node"), F.col("of").alias("comp")).join(comp, "node", "left_anti")
+    return work.write(old.union(new), f"{name}-all")
 
 
 def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Components (node, comp) of the sets that share a signature."""
-    pivot = work.write(shared.groupBy("h").agg(F.min("key").alias("a")), "pivots")
-    pairs = work.write(shared.join(pivot, "h").where("a <> key").select("a", F.col("key").alias("b")).distinct(), "pairs0")
-    done, links = pairs, _linked(work, pairs, sets, num, den, "links0")
-    comp = components(work, links, "comp0")
-    work.drop("pivots")
-    work.tidy()
-    for k in range(1, NEAREST + 2):
-        now = shared.join(comp, shared.key == comp.node, "left").select("h", "key", F.coalesce("comp", "key").alias("comp"))
-        mixed = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-        mixed = work.write(mixed.select("h", "m"), f"groups{k}")
-        mixed = work.write(now.join(mixed, "h"), f"mixed{k}")
+    spark = work.spark
+    sizes = shared.groupBy("h").agg(F.count("*").alias("m"))
+    weight = work.write(shared.join(sizes, "h").groupBy("key").agg(F.sum("m").alias("w")), "weight")
+    pair = [F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")]
+    done = comp = None
+    pending, groups, n_big, k = [], shared, 0, 0
+
+    def listed(mixed):
+        """Pairs of small groups, and of those that fit into a task."""
+        small = mixed.where(f"m <= {SMALL}")
+        others = small.select("h", F.col("key").alias("other"), F.col("comp").alias("of"), F.col("size").alias("larger"))
+        pairs = small.where("own").join(others, "h").where("comp <> of and key <> other and size <= larger").select(*pair)
+        mid = mixed.where(f"m > {SMALL} and m <= {BLOCK}")
+        return pairs, _blocks(mid.select("h", "key", "comp", "m").distinct(), sets, num, den, partitions(spark))
+
+    def still_mixed(groups, name):
+        several = groups.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("own").alias("some"), F.count("*").alias("m")).where("lo < hi and some")
+        return work.write(groups.join(several.select("h", "m"), "h"), name)
+
+    while True:
+        # the pivot of each group, and pairs of it and each member
+        pivots = work.write(groups.join(weight, "key").groupBy("h").agg(F.max_by("key", F.struct("w", "key")).alias("other")), f"pivots{k}")
+        pairs = groups.join(pivots, "h").where("key <> other").select(*pair).distinct()
+        pairs = work.write(pairs.join(done, ["a", "b"], "left_anti") if done else pairs, f"pairs{k}")
+        links = _linked(work, pairs, sets, num, den, f"links{k}")
+        done = done.union(pairs) if done else pairs
+        comp = _merged(work, comp, links, f"comp{k}") if comp else components(work, links, f"comp{k}")
+        own = [F.lit(0).cast("long").alias("size"), F.lit(True).alias("own")]
+        now = groups.join(comp, groups.key == comp.node, "left").select("h", "key", F.coalesce("comp", "key").alias("comp"), *own)
+        mixed = still_mixed(now, f"mixed{k}")
+        small, _ = listed(mixed)
+        pending.append(work.write(small.distinct(), f"small{k}"))
         large = mixed.where(f"m > {SMALL}")
-        last = k > NEAREST or large.isEmpty()
-        if not last:
-            pairs = _blocks(large, sets, num, den, partitions(work.spark), nearest=True)
-        else:
-            small = mixed.where(f"m <= {SMALL}")
-            other = small.select("h", F.col("key").alias("b"), F.col("comp").alias("of"))
-            pairs = small.join(other, "h").where("key < b and comp <> of").select(F.col("key").alias("a"), "b")
-            if not large.isEmpty():
-                pairs = pairs.union(_blocks(large, sets, num, den, partitions(work.spark)))
-        pairs = work.write(pairs.distinct().join(done, ["a", "b"], "left_anti"), f"pairs{k}")
-        more = _linked(work, pairs, sets, num, den, f"links{k}")
-        if not more.isEmpty():
-            links = links.union(more)
-            comp = components(work, links, f"comp{k}")
-        for name in (f"groups{k}", f"mixed{k}", f"near-links{k}"):
-            work.drop(name)
-        work.tidy()
-        if last:
-            return comp
-        done = done.union(pairs)
+        if large.isEmpty():
+            break
+        stars = work.write(large.join(pivots, "h").where("key <> other").select(F.col("other").alias("b"), "key", "comp").distinct(), f"stars{k}")
+        cut = still_mixed(_cut_up(work, stars, sets, num, den, k), f"parts{k}")
+        pending += listed(cut)
+        big = cut.where(f"m > {BLOCK}")
+        before, n_big = n_big, big.count()
+        if not n_big:
+            break
+        if k and n_big > SHRINK * before:
+            pending.append(_blocks(big.select("h", "key", "comp", "m").distinct(), sets, num, den, partitions(spark)))
+            break
+        groups, k = big.select("h", "key"), k + 1
+    pairs = functools.reduce(DataFrame.union, pending).distinct().join(done, ["a", "b"], "left_anti")
+    return _merged(work, comp, _linked(work, work.write(pairs, "pairs-last"), sets, num, den, "links-last"), "comp-last")
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -250,7 +250,6 @@ def _exchange(work: Work, blocks: DataFrame, kind: int) -> DataFrame:
     n = partitions(work.spark)
     asked = blocks.mapInArrow(_requests(kind, n), ROW_SQL).repartitionById(n, F.col("p"))
     out = work.write(asked.mapInArrow(_answers(kind), ANSWER_SQL), f"answers{kind}", compression="zstd")
-    work.tidy()
     return out
 
 
@@ -396,7 +395,6 @@ def interpolated_scores(docs: DataFrame, training, held=None, id_col: str = "doc
     weights, weights3 = find_weights(held_pairs, each.select("v", "main")), {}
     if order > 2:
         weights3 = find_trigram_weights(tables[2].where("v is not null").select("u", "v", "w", "main", "held"), held_pairs, each.select("v", "main"), weights)
-    work.tidy()
     every = blocks
     for x in tables:
         every = every.unionByName(x.where("v is null").select("p", "block", "kind", "a", "b"), allowMissingColumns=True)

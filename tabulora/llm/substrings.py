@@ -103,14 +103,12 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         kept = work.write(again, f"level{k}")
         filters.append(key_filter(kept, "h", kept.count()))
         work.drop(f"level{k}")
-        work.tidy()
         if not filters[-1].any():
             return docs.sparkSession.createDataFrame([], "id long, at array<int>")
     # the candidates are made twice rather than kept: that costs less disk
     occ = rows.mapInArrow(_level(window, lens, filters, True), "h long, id long, at int")
     # a table of its own, so that the join deals both sides and a passage of very many documents can be split
     first = work.write(occ.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo"), "first")
-    work.tidy()
     hits = occ.join(first, "h").where("id > lo")
     out = work.write(hits.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("at")), "spans", compression="zstd")
     work.only("spans")
