@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     a local folder serves; on a cluster without it this is an error, for executors do not see the driver's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "dir" not in _LOCAL:
             _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="tabulora-")
@@ -50,31 +50,55 @@ BATCH, BATCH_BYTES = "2000", "8m"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of a bucket, and most buckets of a small table.
+BUCKET, FEW = 4 << 20, 16
+
+
 class Work:
     """Tables of one call in a folder of their own under the shared one; what is written cuts the lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.at, self.tables = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
         small_batches(spark)
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str, **options) -> DataFrame:
-        """Writes a table and reads it back; the shuffles that made it are not needed any more and go."""
-        path, before = f"{self.at}/{name}", self.spark.conf.get(CLEANUP, None)
+        """Writes a table and reads it back."""
+        path = f"{self.at}/{name}"
+        self.write_at(df, path, **options)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def write_at(self, df: DataFrame, path: str, format: str = "parquet", **options) -> None:
+        """Writes a table anywhere; the shuffles that made it are not needed any more and go."""
+        before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.options(**options).parquet(path)
+            df.write.format(format).options(**options).save(path)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(path)
+
+    def buckets(self, df: DataFrame, name: str, key: str, n_bytes: int) -> DataFrame:
+        """Writes a table of about n_bytes dealt out by a key: joins by the key read it where it lies and move the other
+        side alone. Buckets are as many as shuffles have partitions; of a table that a few tasks hold, as few as those."""
+        n = n_bytes // BUCKET + 1
+        if n <= FEW < partitions(self.spark):
+            df = df.coalesce(n)
+        else:
+            n = partitions(self.spark)
+        table = self.tables[name] = f"tabulora_{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(n, key).sortBy(key).option("path", f"{self.at}/{name}").saveAsTable(table)
+        return self.spark.table(table)
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing lazy still reads."""
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"drop table if exists {self.tables.pop(name)}")
             _delete(self.spark, f"{self.at}/{name}")
 
     def only(self, *names: str) -> None:
         """Deletes all tables but these."""
+        self.drop(*[name for name in self.tables if name not in names])
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
         for s in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
             if s.getPath().getName() not in names:
@@ -82,6 +106,7 @@ class Work:
 
     def close(self) -> None:
         try:
+            self.drop(*list(self.tables))
             _delete(self.spark, self.at)
         except Exception:  # noqa: BLE001  the session has ended
             pass
@@ -128,7 +153,8 @@ def key_filter(keys: DataFrame, col: str, n_keys: int, most: int = FILTER_BITS)
         .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     )
     out = np.zeros(bits // 8, np.uint8)
-    for r in rows.toLocalIterator():
+    # at most `most` / 8 bytes in all, so one job brings them
+    for r in rows.collect():
         out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.m), np.uint8)
     return out
 

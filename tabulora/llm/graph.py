@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulora.llm.common import Work
+from tabulora.llm.common import Work, partitions
+
+#: Edges that one task writes at least.
+SHARE = 100_000
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -29,9 +32,12 @@ def components(work: Work, edges: DataFrame, name: str) -> DataFrame:
     """
     mark, k = None, 0
     now = work.write(edges.select("a", "b").where("a <> b").distinct(), f"{name}-0")
+    n = now.count()
     while True:
         k += 1
-        new = work.write(_small(_large(now).distinct()).distinct(), f"{name}-{k}")
+        # the edges never become more than nodes and edges were
+        tasks = min(partitions(work.spark), 2 * n // SHARE + 1)
+        new = work.write(_small(_large(now)).distinct().coalesce(tasks), f"{name}-{k}")
         work.drop(f"{name}-{k - 1}")
         # the edges are settled when they no longer change; a sum of hashes stands for the set
         got = new.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -60,6 +60,8 @@ BAND = 1.4
 #: Members up to which a group in several components is listed in pairs, and up to which it is compared within a task (a
 #: block); the share of its rows that cutting up must leave at most for another round to follow.
 SMALL, BLOCK, SHRINK = 18, 512, 0.75
+#: Most shingles of pivots that are shipped to the members of their groups (8 bytes each).
+SHIP = 1_000_000
 
 
 def band_tops(num: int, den: int, largest: int) -> np.ndarray:
@@ -309,8 +311,11 @@ def _signed(work: Work, docs: DataFrame, id_col: str, text_col: str, size: int,
     if not n_keys:
         return of_docs, lead, shared, None
     sets = rows.mapInArrow(_sets(size, key_filter(keys, "key", n_keys)), SETS_SQL)
-    leads = lead.join(keys, "key", "left_semi").select(F.col("key"), F.col("lead").alias("id"))
-    return of_docs, lead, shared, work.write(sets.join(leads, ["key", "id"], "left_semi").select("key", "n", "sketch", "s"), "sets")
+    leads = lead.join(keys, "key", "left_semi")
+    one = sets.join(leads, "key").where("id = lead").select("key", "n", "sketch", "s")
+    # the sets are the largest table and are joined by key time and again: in buckets they stay where they are
+    total = of_docs.join(keys, "key", "left_semi").groupBy("key").agg(F.max("n").alias("n")).agg(F.sum("n").alias("n")).first().n
+    return of_docs, lead, shared, work.buckets(one, "sets", "key", 8 * total)
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -514,12 +519,12 @@ def _cut_up(work: Work, stars: DataFrame, sets: DataFrame, num: int, den: int, k
     counts = work.write(counts, f"counts{k}")
     both, often = counts.count(), counts.where(f"m > {SMALL}")
     shared, common = key_filter(counts, "e", both), key_filter(often, "e", often.count())
-    # pivots are few: as a table of known size Spark can ship them, or deal them out if they are not; each member's set
-    # travels once, whatever the number of its stars
+    # pivots are few and shipped where their sets hold at most SHIP shingles; else both sides are dealt out
     pivots = stars.select(F.col("b").alias("key")).distinct()
     pivots = work.write(sets.join(pivots, "key", "left_semi").join(of, F.col("key") == F.col("b")).select("b", "low", "high", F.col("n").alias("nb"), F.col("s").alias("sb")), f"centres{k}")
+    n_shingles = pivots.agg(F.coalesce(F.sum("nb"), F.lit(0)).alias("n")).first().n
     each = stars.groupBy("key", "comp").agg(F.collect_list("b").alias("bs"))
-    rows = sets.select("key", "s").join(each, "key").select("key", "comp", "s", F.explode("bs").alias("b")).join(pivots, "b")
+    rows = sets.select("key", "s").join(each, "key").select("key", "comp", "s", F.explode("bs").alias("b")).join(F.broadcast(pivots) if n_shingles <= SHIP else pivots, "b")
     rows = rows.select("b", "key", "comp", "nb", "low", "high", "s", "sb")
     deltas = work.write(rows.mapInArrow(_deltas(shared, common, num, den), DELTA_SQL), f"deltas{k}", compression="zstd")
     own = work.write(deltas.mapInArrow(_prefixes(), PREFIX_SQL), f"own{k}")
