@@ -129,6 +129,14 @@ def with_types(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, longer by underscores while the table has such a column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- bounded filter
 #: Most bits of a filter: 32 MB. This bounds what is broadcast, whatever the data.
 FILTER_BITS = 1 << 28

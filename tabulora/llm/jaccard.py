@@ -44,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tabulora.llm.common import LOWER, STEP, Work, as_long, find_words, in_filter, key_filter, longs, mix, out_batch, partitions, rows_of, slices, window_hashes, with_types, word_hashes
 from tabulora.llm.graph import components
@@ -337,6 +338,43 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
+def _keyed(size):
+    def run(batches):
+        for rb, data, off in slices(batches):
+            key = set_keys(*shingle_sets(data, off, size))
+            yield pa.RecordBatch.from_arrays([rb.column("row"), rb.column("id"), pa.array(as_long(key))], names=["row", "id", "key"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of docs for each group that links of similarity num / den join, and all rows without words.
+
+    The row with the least id stays; of several with that id, that with the least hash of its shingles, then the least
+    row in the order of its columns. Rows without an id stay only in groups that have no id at all. Each row is decided
+    by its own text, so rows that share an id but not a group are decided apart.
+    """
+    work = Work(docs.sparkSession, "distinct")
+    of_docs, lead, shared, sets = _signed(work, docs, id_col, text_col, size, num, den)
+    group = F.col("key")
+    if sets is not None:
+        lead = lead.join(_resolve(work, shared, sets, num, den).withColumnRenamed("node", "key"), "key", "left")
+        group = F.coalesce("comp", "key")
+    null, number = F.col("id").isNull().alias("z"), F.coalesce("id", F.lit(0)).alias("i")
+    first = lead.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("lead").isNull(), F.col("lead").alias("id"), "key")).alias("r"))
+    stay = work.write(first.select("r.key", "r.id").select("key", null, number), "stay")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    some = text.rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(some).select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    keyed = rows.mapInArrow(_keyed(size), StructType([rows.schema["row"], rows.schema["id"], StructField("key", LongType())]))
+    # copies with one id are put together before anything is dealt out, and others have keys of their own
+    whole = keyed.select("row", "key", null, number).groupBy("key", "z", "i").agg(F.min("row").alias("row"))
+    out = whole.join(stay, ["key", "z", "i"], "left_semi").select("row.*").union(docs.where(~some))
+    out = work.write(out, "kept", compression="zstd")
+    work.only("kept")
+    return out
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """All links of similarity num / den: members and pairs.
 

@@ -30,7 +30,7 @@ from tabulora.llm.common import LOWER, STEP, Work, as_long, find_words, mix, out
 from tabulora.llm.toxicity import fold
 
 #: Bytes of text of a block; documents that are held out for the weights: one in HELD of the training ones.
-BLOCK, HELD = 6 << 20, 40
+BLOCK, HELD = 3 << 20, 40
 END = np.uint64(0x9D5C0F2B7A31E685)
 #: What a document is for: to be scored only, counted, or held out for the weights and counted at last.
 TEST, MAIN, PART = 0, 1, 2
@@ -404,7 +404,6 @@ def interpolated_scores(docs: DataFrame, training, held=None, id_col: str = "doc
     return out.select("id", (F.col("part") != TEST).alias("training"), "n_tokens", "n_known", F.lit(total.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = interpolated_scores(docs, F.coalesce(fold("doc_id", 7) != 2, F.lit(True)), order=3)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulora.llm.common import Work, as_long, find_words, in_filter, key_filter, longs, out_batch, rows_of, slices, window_hashes, with_types, word_hashes
+from tabulora.llm.common import Work, as_long, find_words, free_name, in_filter, key_filter, longs, out_batch, rows_of, slices, window_hashes, with_types, word_hashes
 
 WINDOW, BASE = 13, 7
 
@@ -125,6 +125,7 @@ def _kept_words(data, off, lists, window):
     reach, values = np.asarray(lists.offsets), np.asarray(lists.values)
     for i in np.flatnonzero(np.diff(reach)).tolist():
         at = values[reach[i] : reach[i + 1]] + tok[i]
+        at = at[at + window <= tok[i + 1]]  # rows that share an id: places of a longer one
         np.add.at(gone, at, 1)
         np.add.at(gone, np.minimum(at + window, tok[i + 1]), -1)
     gone = np.cumsum(gone[:-1]) > 0
@@ -146,10 +147,10 @@ def _cut(window):
     return run
 
 
-def _replace(window, names, text_col):
+def _replace(window, names, text_col, span):
     def run(batches):
         for rb, data, off in slices(batches, text_col):
-            _, removed, texts = _kept_words(data, off, rb.column("__span_at"), window)
+            _, removed, texts = _kept_words(data, off, rb.column(span), window)
             old = rb.column(text_col)
             new = pa.array([t if r else None for t, r in zip(texts, removed.tolist(), strict=True)], pa.binary()).cast(old.type)
             text = pc.if_else(pa.array(removed > 0), new, old)
@@ -160,10 +161,11 @@ def _replace(window, names, text_col):
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE) -> DataFrame:
     """docs with the words of repeated windows taken out of the text; texts without any stay as they are, to the byte."""
-    spans = repeated_windows(docs, id_col, text_col, window, base).select(F.col("id").alias("__span_id"), F.col("at").alias("__span_at"))
+    own, span = free_name(docs, "__span_id"), free_name(docs, "__span_at")
+    spans = repeated_windows(docs, id_col, text_col, window, base).select(F.col("id").alias(own), F.col("at").alias(span))
     none = F.array().cast("array<int>")
-    rows = docs.join(spans, docs[id_col] == spans["__span_id"], "left").select(*docs.columns, F.coalesce("__span_at", none).alias("__span_at"))
-    return rows.mapInArrow(_replace(window, docs.columns, text_col), docs.schema)
+    rows = docs.join(spans, docs[id_col] == spans[own], "left").select(*docs.columns, F.coalesce(span, none).alias(span))
+    return rows.mapInArrow(_replace(window, docs.columns, text_col, span), docs.schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE) -> DataFrame:

@@ -469,6 +469,27 @@ def test_archive(spark, tmp_path):
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and rest[size : size + 4] == b"\r\n\r\n"
         raw, seen = rest[size + 4 :], seen + 1
     assert seen == len(pages)
+    back = archive.read_warc(spark, f"file://{tmp_path}/x").collect()
+    full = {r.header: r.payload if r.record_type == "response" else "" for r in got}
+    assert len(full) == len(pages) and {r.header: bytes(r.payload).decode() for r in back} == full
+
+
+def test_warc_files_hold_any_url_and_payload(spark, tmp_path):
+    urls = ["http://a/x\u2028WARC-Refers-To: <urn:x-page:77:1> b", "http://a/\u0085WARC-Type: revisit", "http://a/\r\nWARC-Type: revisit\r\n\r\n", "é +%20", "\u2029\n", None]
+    texts = ["WARC/1.1\r\nContent-Length: 5\r\n\r\nq\r\n\r\n\r\n\r\n", "\r\n\r\n", "y" * 5_000_000, "", None, "z"]
+    pages = [(10 * i + j, u, t) for i, u in enumerate(urls) for j, t in enumerate(texts)]
+    a = archive.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}/w")
+    archive.export_warc(a, f"file://{tmp_path}/x")
+    got = rows(archive.resolved(common.Work(spark, "t"), archive.read_warc(spark, f"file://{tmp_path}/x")), "page_id")
+    lead: dict = {}
+    for i, _, t in pages:
+        lead[t or ""] = max(lead.get(t or "", 0), i)
+    for i, u, t in pages:
+        raw = (t or "").encode()
+        want = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), *(("response", None) if lead[t or ""] == i else ("revisit", lead[t or ""])))
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == want
+        assert got[i].url == re.sub("[\x00-\x20\x7f\x85\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), u or "")
+    assert len(got) == len(pages)
 
 
 def test_archive_with_a_least_size_and_a_broken_payload(spark, tmp_path):

@@ -53,3 +53,27 @@ def test_empty(spark, sf, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf[0]}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
     assert cp.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    a, b, z = ("x y z " * 3 + "{}").format("a b c d e f g"), "h i j k l m n o p", "q r s t u v w"
+    rows = [(2, a, "en", "k"), (5, b, "en", "k"), (5, a, "en", "k"), (None, z, "en", "k"), (None, a, "en", "k"), (5, b, "de", "k"), (7, "", "en", "k"), (7, "", "en", "k"), (8, None, "en", "k"), (None, " ", "en", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, row string")
+    got = cp.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(2, a, "en", "k"), (5, b, "de", "k"), (None, z, "en", "k"), *rows[6:]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_columns_of_any_name(spark, sf, tmp_path):
+    at = f"file://{tmp_path}"
+    names = ["_toxicity", "_key", "__span_at", "__span_id", "id", "key", "h", "at"]
+    spark.read.parquet(f"{sf[0]}/documents.parquet").selectExpr("*", *[f"'{n}' as `{n}`" for n in names]).write.parquet(f"{at}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf[0]}/{t}.parquet").write.parquet(f"{at}/{t}.parquet")
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    columns = docs.columns
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, at).cache()
+        assert docs.columns == columns, name
+    assert all(r[n] == n for r in docs.collect() for n in names) and docs.count() == 65
