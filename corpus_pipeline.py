@@ -2,7 +2,11 @@
 
 Toxic documents go; of each group of near duplicates (five words, 0.8) the one with the least id stays; passages that
 repeat from documents with smaller ids are cut out of the texts; documents that hold a benchmark item go; the rest is
-encoded. All stages but the last return the columns of documents.
+encoded. All stages but the last return the columns of documents, further ones included, whatever their names.
+
+Defined results, for all stages: null and empty texts stay as they are (no score of toxicity but the model's of an empty
+text, linked with nothing, nothing to cut, no item, no tokens); an empty table gives an empty table; very long texts are
+taken whole; each row is judged by its own text, also where rows share an id.
 """
 
 from __future__ import annotations
@@ -11,34 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulora.llm import bpe, decontaminate, jaccard, substrings, toxicity
-from tabulora.llm.common import Work
+from tabulora.llm.common import Work, free_name
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a score below 0.5. The model is fitted on a bounded sample of the labelled documents."""
+    """Keeps documents with a score below 0.5. The model is fitted on a bounded sample of the labelled documents; without
+    labels it rejects nothing. Equal texts have equal scores, so copies stay or go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels)
-    return toxicity.with_score(docs, model, name="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = free_name(docs, "_toxicity")
+    return toxicity.with_score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group; rows with both id and text equal are one document."""
-    classes = jaccard.similar_classes(docs, size=5, num=80, den=100)
-    kept = classes.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each group: the least id; of rows that share it, the one with the least hash of its shingles, then
+    the least in the order of the columns. A row without an id stays only where its group has none. Rows without words
+    all stay."""
+    return jaccard.one_of_each(docs, size=5, num=80, den=100)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts; n_chars follows."""
+    """Cuts repeated passages out of the texts; n_chars follows. Rows without an id are left whole; repeats within an id
+    stay."""
     out = substrings.without_repeats(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item."""
-    held = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("key").alias("_key")).distinct()
+    """Keeps documents that hold no benchmark item. Rows with equal id and text go together; a null id is as good as any."""
+    name = free_name(docs, "_key")
+    held = decontaminate.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("key").alias(name)).distinct()
     key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    return docs.withColumn("_key", key).join(held, "_key", "left_anti").drop("_key")
+    return docs.withColumn(name, key).join(held, name, "left_anti").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
