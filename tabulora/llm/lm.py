@@ -30,7 +30,7 @@ from tabulora.llm.common import LOWER, STEP, Work, as_long, find_words, mix, out
 from tabulora.llm.toxicity import fold
 
 #: Bytes of text of a block; documents that are held out for the weights: one in HELD of the training ones.
-BLOCK, HELD = 3 << 20, 40
+BLOCK, HELD = 9 << 19, 40
 END = np.uint64(0x9D5C0F2B7A31E685)
 #: What a document is for: to be scored only, counted, or held out for the weights and counted at last.
 TEST, MAIN, PART = 0, 1, 2
@@ -113,7 +113,7 @@ class Block:
     def __init__(self, row: dict):
         self.name, self.ids, self.parts, self.n = row["block"], row["id"], np.array(row["part"], np.int8), np.array(row["n"], np.int64)
         self.words = np.frombuffer(row["a"], np.uint64)
-        self.codes = unpack(row["b"]).astype(np.int64)
+        self.codes = unpack(row["b"]).astype(np.int32)
         self.part = np.repeat(self.parts, self.n)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
 
@@ -123,7 +123,7 @@ class Block:
     def bigrams(self):
         """Keys of the distinct bigrams, ascending; for each token the number of its bigram; both words of each."""
         end = int(np.flatnonzero(self.words == END)[0])
-        before = np.empty_like(self.codes)
+        before = np.empty(len(self.codes), np.int64)
         before[1:] = self.codes[:-1]
         before[self.first[:-1]] = end
         before *= len(self.words)
