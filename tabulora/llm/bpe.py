@@ -5,9 +5,8 @@ the block's list of distinct words; the lists are dealt out by word, so that equ
 encoded once there (per memo of bounded size), and its ids go back to the blocks that have it, where the documents are
 put together by position. Decoding joins the ids with the table of the tokens' bytes.
 
-Very common words would be in every block's list. The commonest HOT ones of a bounded sample of documents form a table
-of bounded size that is shipped with their ids, so they are not dealt out. Which words are in it changes the cost
-alone, never the ids. A word is at most one entry for each block, so no word is a hot key.
+Blocks are written before their words are dealt out, so a lost task finds the same blocks again. A word is at most one
+entry for each block, so no word is a hot key, and the documents themselves move once, when they are put together.
 
 Defined results: null or empty text: no tokens; equal rows: returned as often as they came; text of one endless word:
 encoded whole; special tokens: ordinary text; null id: returned as null.
@@ -22,10 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulora.llm.common import out_batch, partitions, small_batches
+from tabulora.llm.common import Work, out_batch, partitions
 
-#: Words of the shipped table, and documents of the sample that they are taken from.
-HOT, SAMPLE_DOCS = 1 << 18, 20_000
 #: Characters of a block, words of a memo, bytes of results that leave a worker at once.
 BLOCK, MEMO, FLUSH = 4 << 20, 500_000, 2 << 20
 
@@ -79,37 +76,11 @@ def _unsqueeze(raw: bytes) -> np.ndarray:
     return out
 
 
-COUNT = pa.schema([("word", pa.string()), ("n", pa.int64())])
-
-
-def _count_words(pattern):
-    def run(batches):
-        from collections import Counter
-
-        import regex
-
-        cut = regex.compile(pattern).findall
-        for rb in batches:
-            c: Counter = Counter()
-            for t in rb.column("text").to_pylist():
-                c.update(cut(t))
-            yield out_batch(COUNT, list(c), list(c.values()))
-
-    return run
-
-
-def hot_words(docs: DataFrame, pattern: str, most: int = HOT, sample: int = SAMPLE_DOCS) -> list[str]:
-    """The commonest pre-tokens of about `sample` documents, at most `most`; they only steer the cost."""
-    share = max(1, docs.count() // max(1, sample))
-    words = docs.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(share)) == 0).select("text").mapInArrow(_count_words(pattern), "word string, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1 and length(word) < 64").orderBy(F.desc("n"), "word").limit(most).select("word")
-    return [w for b in top.toArrow().to_batches() for w in b.column(0).to_pylist()]
-
-
-#: p deals the rows out. A block's own row has part -1, its numbers (0 is no word), the ids and token counts of its
-#: documents; a row with part p >= 0 has those of its words, or their ids, that are dealt to p.
-DEAL = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("id", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
-DEAL_SQL = "p int, block long, part int, data binary, id array<bigint>, n array<int>"
+#: p deals the rows out. A block's own row has part -1, the numbers of its words by position (the commonest word has the
+#: least) and the place of each number's word in the order of parts, the ids and word counts of its documents; a row with
+#: part p >= 0 has those of its words, or their ids, that are dealt to p.
+DEAL = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("places", pa.binary()), ("id", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
+DEAL_SQL = "p int, block long, part int, data binary, places binary, id array<bigint>, n array<int>"
 
 
 def _pack_all(items: list[bytes]) -> bytes:
@@ -125,12 +96,12 @@ def _unpack_all(raw: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _split(hot, pattern, n_parts):
+def _split(pattern, n_parts):
     def run(batches):
         import regex
         import xxhash
 
-        cut, get, first = regex.compile(pattern).findall, {w: k + 1 for k, w in enumerate(hot)}.get, len(hot) + 1
+        cut = regex.compile(pattern).findall
 
         def block(ids, texts):
             own: dict = {}
@@ -138,30 +109,26 @@ def _split(hot, pattern, n_parts):
             for t in texts:
                 words = cut(t)
                 n.append(len(words))
-                row = [get(w, 0) for w in words]
-                if 0 in row:
-                    for k, c in enumerate(row):
-                        if not c:
-                            row[k] = first + own.setdefault(words[k], len(own))
-                codes.append(np.array(row, np.uint32))
+                codes.append(np.array([own.setdefault(w, len(own)) for w in words], np.uint32))
             codes = np.concatenate(codes)
+            common = np.argsort(-np.bincount(codes, minlength=len(own)), kind="stable")
+            number = np.empty(len(own), np.uint32)
+            number[common] = np.arange(len(own), dtype=np.uint32)
             words = [w.encode() for w in own]
             part = np.array([xxhash.xxh3_64_intdigest(w) % n_parts for w in words], np.int64)
             order = np.argsort(part, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order), dtype=np.uint32)
-            far = codes >= first
-            codes[far] = place[codes[far] - first] + np.uint32(first)
+            place = np.empty(len(own), np.uint32)
+            place[order] = np.arange(len(own), dtype=np.uint32)
             name = xxhash.xxh3_64(repr(ids).encode())
             for t in texts:
                 name.update(t.encode() + b"\xff")
             name = name.intdigest() - (1 << 63)
-            rows = [(name % n_parts, name, -1, _squeeze(codes), ids, n)]
+            rows = [(name % n_parts, name, -1, _squeeze(number[codes]), _squeeze(place[common]), ids, n)]
             bounds = np.searchsorted(part[order], np.arange(n_parts + 1)).tolist()
             order = order.tolist()
             for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if b > a:
-                    rows.append((p, name, p, _pack_all([words[k] for k in order[a:b]]), None, None))
+                    rows.append((p, name, p, _pack_all([words[k] for k in order[a:b]]), None, None, None))
             return out_batch(DEAL, *zip(*rows, strict=True))
 
         for rb in batches:
@@ -187,18 +154,16 @@ def _encode(tokens, pattern):
         memo: dict = {}
         for rb in batches:
             out = []
-            for part, data in zip(rb.column("part").to_pylist(), rb.column("data").to_pylist(), strict=True):
-                if part >= 0:
-                    ids = []
-                    for w in _unpack_all(data):
-                        x = memo.get(w)
-                        if x is None:
-                            x = memo[w] = _pack(encode(w))
-                        ids.append(x)
-                    data = _pack_all(ids)
-                    if len(memo) > MEMO:
-                        memo.clear()
-                out.append(data)
+            for data in rb.column("data").to_pylist():
+                ids = []
+                for w in _unpack_all(data):
+                    x = memo.get(w)
+                    if x is None:
+                        x = memo[w] = _pack(encode(w))
+                    ids.append(x)
+                out.append(_pack_all(ids))
+                if len(memo) > MEMO:
+                    memo.clear()
             yield out_batch(DEAL, *(out if c == "data" else rb.column(c) for c in DEAL.names))
 
     return run
@@ -207,15 +172,13 @@ def _encode(tokens, pattern):
 OUT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
-def _assemble(hot_ids, tokens):
+def _assemble(tokens):
     """Of rows sorted by block and part, the block's own first: the ids in order, and the bytes that they decode to."""
 
     def run(batches):
-        hot = [b"", *hot_ids]
-
         def finish(own, words):
-            table = hot + words
-            for data, doc_ids, counts in own:
+            for data, places, doc_ids, counts in own:
+                table = [words[k] for k in _unsqueeze(places).tolist()]
                 codes, at = _unsqueeze(data).tolist(), 0
                 done, size = [], 0
                 for i, n in zip(doc_ids, counts, strict=True):
@@ -232,12 +195,12 @@ def _assemble(hot_ids, tokens):
 
         block, own, words, last = None, [], [], -1
         for rb in batches:
-            for name, part, data, ids, n in zip(*(rb.column(c).to_pylist() for c in DEAL.names[1:]), strict=True):
+            for name, part, data, places, ids, n in zip(*(rb.column(c).to_pylist() for c in DEAL.names[1:]), strict=True):
                 if name != block:
                     yield from finish(own, words)
                     block, own, words, last = name, [], [], -1
                 if part < 0:
-                    own.append((data, ids, n))
+                    own.append((data, places, ids, n))
                 elif part != last:  # an equal block has the same words
                     words += _unpack_all(data)
                     last = part
@@ -246,19 +209,19 @@ def _assemble(hot_ids, tokens):
     return run
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """Per row of docs: id, n_tokens, ids (little-endian unsigned 32-bit integers) and the bytes that they decode to."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: id, n_tokens, ids (little-endian unsigned 32-bit integers) and the bytes that they decode to.
+
+    Each id is looked up in the table of the tokens' bytes, which has a row for each rank and no more than the file of
+    ranks, in the order of the ranks."""
+    work = Work(docs.sparkSession, "bpe")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tokens = read_ranks(ranks)
-    words = hot_words(rows, pattern, hot, sample)
-    encode = encoder(tokens, pattern)
-    hot_ids = [_pack(encode(w.encode())) for w in words]
-    n = partitions(spark)
-    dealt = rows.mapInArrow(_split(words, pattern, n), DEAL_SQL).repartitionById(n, F.col("p"))
-    back = dealt.mapInArrow(_encode(tokens, pattern), DEAL_SQL).repartition(n, "block").sortWithinPartitions("block", "part")
-    return back.mapInArrow(_assemble(hot_ids, tokens), "id long, n_tokens long, ids binary, decoded binary")
+    tokens, n = read_ranks(ranks), partitions(work.spark)
+    blocks = work.write(rows.mapInArrow(_split(pattern, n), DEAL_SQL), "blocks")
+    dealt = blocks.where("part >= 0").repartitionById(n, F.col("p"))
+    words = dealt.mapInArrow(_encode(tokens, pattern), DEAL_SQL)
+    back = blocks.where("part < 0").union(words).repartition(n, "block").sortWithinPartitions("block", "part")
+    return back.mapInArrow(_assemble(tokens), "id long, n_tokens long, ids binary, decoded binary")
 
 
 def op6_byte_level_bpe(spark, sf_dir: str) -> DataFrame:

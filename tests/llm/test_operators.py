@@ -322,20 +322,32 @@ def merged(piece, rank):
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
-@pytest.mark.parametrize("hot", [1, 50, 100_000])
-def test_bpe(df, docs, ranks, hot, monkeypatch):
+@pytest.mark.parametrize("block", [1, 700, 1 << 20])
+def test_bpe(df, docs, ranks, block, monkeypatch):
     import regex
 
-    monkeypatch.setattr(bpe, "BLOCK", 700)
+    monkeypatch.setattr(bpe, "BLOCK", block)
     path, tokens = ranks
     rank = {t: i for i, t in enumerate(tokens)}
-    got = rows(bpe.encode_decode(df, path, PATTERN, hot=hot))
+    got = rows(bpe.encode_decode(df, path, PATTERN))
     for i, t in docs:
         want = [x for w in regex.findall(PATTERN, t or "") for x in merged(w.encode(), rank)]
         assert np.frombuffer(got[i].ids, "<u4").tolist() == want and got[i].n_tokens == len(want)
         assert bytes(got[i].decoded) == (t or "").encode()
 
 
+def test_bpe_equals_the_library_on_public_ranks(df, docs):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    core = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.read_ranks(path))}, special_tokens={})
+    got = rows(bpe.encode_decode(df, path, public_tokenizers.PATTERN))
+    for i, t in docs:
+        want = core.encode_ordinary(t or "")
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == want and got[i].n_tokens == len(want) and bytes(got[i].decoded) == (t or "").encode()
+
+
 def test_bpe_keeps_repeated_rows_and_null_ids(spark, ranks):
     out = bpe.encode_decode(spark.createDataFrame([(1, "the ab")] * 3 + [(None, "the"), (2, None)], "doc_id long, text string"), ranks[0], PATTERN).collect()
     assert sorted(bytes(r.decoded) for r in out) == [b"", b"the", b"the ab", b"the ab", b"the ab"]
