@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +71,16 @@ class Work:
 
     def write_at(self, df: DataFrame, path: str, format: str = "parquet", **options) -> None:
         """Writes a table anywhere; the shuffles that made it are not needed any more and go."""
+        with self.cleaned():
+            df.write.format(format).options(**options).save(path)
+
+    @contextmanager
+    def cleaned(self) -> Iterator[None]:
+        """Shuffles of what is planned and run in here go with its end."""
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.format(format).options(**options).save(path)
+            yield
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
 

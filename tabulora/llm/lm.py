@@ -30,7 +30,7 @@ from tabulora.llm.common import LOWER, STEP, Work, as_long, find_words, mix, out
 from tabulora.llm.toxicity import fold
 
 #: Bytes of text of a block; documents that are held out for the weights: one in HELD of the training ones.
-BLOCK, HELD = 9 << 19, 40
+BLOCK, HELD = 3 << 20, 40
 END = np.uint64(0x9D5C0F2B7A31E685)
 #: What a document is for: to be scored only, counted, or held out for the weights and counted at last.
 TEST, MAIN, PART = 0, 1, 2
@@ -392,9 +392,10 @@ def interpolated_scores(docs: DataFrame, training, held=None, id_col: str = "doc
     each = words.where("v is not null")
     total = each.agg(F.coalesce(F.sum(F.col("main") + F.col("held")), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     held_pairs = pairs.where("v is not null").select("v", "w", "main", "held")
-    weights, weights3 = find_weights(held_pairs, each.select("v", "main")), {}
-    if order > 2:
-        weights3 = find_trigram_weights(tables[2].where("v is not null").select("u", "v", "w", "main", "held"), held_pairs, each.select("v", "main"), weights)
+    with work.cleaned():
+        weights, weights3 = find_weights(held_pairs, each.select("v", "main")), {}
+        if order > 2:
+            weights3 = find_trigram_weights(tables[2].where("v is not null").select("u", "v", "w", "main", "held"), held_pairs, each.select("v", "main"), weights)
     every = blocks
     for x in tables:
         every = every.unionByName(x.where("v is null").select("p", "block", "kind", "a", "b"), allowMissingColumns=True)
