@@ -215,7 +215,7 @@ def knn_topk(spark, sf_dir):
 
 
 @query(
-    """with q as (select vec_id query_id, embedding::double[] v from embeddings where vec_id % 50 = 7),
+    """with q as (select vec_id query_id, embedding::double[] v from embeddings where vec_id % 50 = 0),
     s as (select query_id, vec_id, list_cosine_similarity(v, embedding::double[]) score from q, embeddings),
     r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) rank from s)
     select query_id, vec_id, rank::int rank, round(score, 6) score from r where rank <= 5"""
@@ -223,7 +223,7 @@ def knn_topk(spark, sf_dir):
 def cosine_topk(spark, sf_dir):
     """True cosine, negative scores kept."""
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 50 = 7").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     hits = retrieve.nearest(asked, v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 5, true_cosine=True)
     return hits.select("query_id", F.col("chunk_id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
@@ -540,3 +540,6 @@ def table_counters(spark, sf_dir):
 def preflight_counts(spark, sf_dir):
     """Rows of each table."""
     return store.counts(**{n: table(spark, sf_dir, n) for n in ("documents", "pages", "events")})
+
+
+from tabulora.plans import corpus_queries  # noqa: E402, F401  its queries are registered with these
