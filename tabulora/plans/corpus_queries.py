@@ -9,7 +9,7 @@ from tabulora.functions import metadata, numbers
 from tabulora.functions.text import collapse, lines, squeeze
 from tabulora.functions.tokens import passage_text
 from tabulora.functions.vectors import as_literal, parsed
-from tabulora.operators import answer, clean, evaluate, goldseed, layout, retrieve, store
+from tabulora.operators import answer, clean, evaluate, facts, goldseed, layout, retrieve, store
 from tabulora.plans import fixtures, rules
 from tabulora.plans.queries import EOL, NOISE, ORACLE_SQL, WS, any_of, query, strip_sql, table
 
@@ -309,3 +309,63 @@ def gold_corrections(spark, sf_dir):
     gold = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("metric"), F.col("source").alias("value"))
     patches = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit("en").alias("metric"), F.lit("patched").alias("value"))
     return goldseed.corrected(gold, patches)
+
+
+# ---------------------------------------------------------------- lines of facts
+@query(
+    f"""with l as (select conv_id, turn, {strip_sql("coalesce(text, '')")} t from conversations), n as (select *, lead(t) over (partition by conv_id order by turn) after from l where t <> '')
+    select conv_id doc_id, turn * 2 line_seq, sha256(t) line_sha256 from n union all select conv_id, turn * 2 + 1, sha256(t || ' ' || after) from n where length(t || ' ' || after) <= 180"""
+)
+def layout_pairs(spark, sf_dir):
+    """turns as the lines of a page, each alone and with the next one."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("seq"), TEXT.alias("text"))
+    return facts.layout_lines(rows).select("doc_id", "line_seq", F.sha2("text", 256).alias("line_sha256"))
+
+
+_ALL_TERMS = sorted({t for m in rules.METRICS for t in m[2]})
+
+
+@query(
+    f"""with p as (select doc_id, raw_text text from ({fixtures.REPORTS}) union all select 100 + chunk_id, content from ({fixtures.PASSAGES})), l as (select distinct doc_id, unnest({LINES_SQL}) line from p),
+    t as (select unnest([{quoted(_ALL_TERMS)}]) term), f as (select *, lower(regexp_replace(line, '{WS}+', '', 'g')) flat from l, t), m as (select *, strpos(flat, term) ahead from f where contains(flat, term))
+    select doc_id, line, term, not (term = '营业收入' and {any_of('flat', rules.NOT_REVENUE)}) and not (term = '净利润' and {any_of('flat', rules.NOT_NET_PROFIT)}) states,
+      (case when contains(line, term) then strpos(line, term) else list_filter(range(1, length(line) + 1), lambda i: length(regexp_replace(substr(line, 1, i::int - 1), '{WS}+', '', 'g')) = ahead - 1 and not regexp_matches(substr(line, i::int, 1), '{WS}'))[1] end)::int start,
+      ahead <= 13 and length(line) <= 140 and len(regexp_extract_all(line, '[\\(（]-?[0-9][0-9,]*(?:\\.\\d+)?[\\)）]|-?[0-9][0-9,]*(?:\\.\\d+)?')) >= 2
+        and (contains(line, '|') or regexp_matches(line, '{WS}{{2,}}') or ahead = 1 or contains(substr(line, 1, 8), '、')) statement_row from m"""
+)
+def term_lines(spark, sf_dir):
+    """Whether lines of reports state a metric's term, where it begins, and which are rows of a statement."""
+    pages = spark.sql(fixtures.REPORTS).select("doc_id", F.col("raw_text").alias("text")).unionByName(spark.sql(fixtures.PASSAGES).select((F.col("chunk_id") + 100).alias("doc_id"), F.col("content").alias("text")))
+    rows = pages.select("doc_id", F.explode(lines("text")).alias("line")).distinct().withColumn("flat", squeeze("line"))
+    rows = rows.withColumn("term", F.explode(F.array(*[F.lit(t) for t in _ALL_TERMS]))).where(F.contains("flat", "term"))
+    line, flat, term = F.col("line"), F.col("flat"), F.col("term")
+    return rows.select("doc_id", "line", "term", facts.matches_term(flat, term).alias("states"), facts.term_start(line, flat, term).alias("start"), facts.is_statement_row(line, flat, term).alias("statement_row"))
+
+
+OPEN_LINES = fixtures.values(
+    "doc_id, page, seq, y, text",
+    (1, 1, 0, 10.0, "一、"), (1, 1, 1, 20.0, "公司简介"), (1, 1, 2, 30.0, "二、"), (1, 1, 3, 40.0, "三、"), (1, 1, 4, 50.0, "四、"), (1, 1, 5, 60.0, "重要　 事项"), (1, 2, 0, 10.0, "12."), (1, 2, 1, 20.0, "  "), (1, 2, 2, 30.0, "数据"),
+    (2, 1, 0, 10.0, "第一节"), (2, 1, 1, 20.0, "这一行的字数超过四十个所以不会与前面的标题编号连成一行而是保持原来的样子不变动也不会被并入前一行"), (2, 1, 2, 30.0, "(二)"), (2, 1, 3, 40.0, "财务 报告"), (2, 1, 4, 50.0, "(三)"),
+)
+
+
+@query(
+    f"""with c as (select doc_id, page, seq, y, trim(regexp_replace(text, '{WS}+', ' ', 'g')) t from ({OPEN_LINES})), l as (select *, lead(t) over w after from c where t <> '' window w as (partition by doc_id, page order by y, seq)),
+    o as (select *, coalesce(regexp_full_match(t, '[一二三四五六七八九十]+、|第[一二三四五六七八九十]+节|\\(?[一二三四五六七八九十]+\\)|\\d+\\.') and length(after) <= 40, false) can from l),
+    g as (select *, sum((not can)::int) over (partition by doc_id, page order by y, seq) run from o), k as (select *, can and row_number() over (partition by doc_id, page, run, can order by y, seq) % 2 = 1 starts from g),
+    e as (select *, coalesce(lag(starts) over (partition by doc_id, page order by y, seq), false) eaten from k)
+    select doc_id, page, seq, case when starts then t || after else t end as text from e where not eaten"""
+)
+def glued_lines(spark, sf_dir):
+    """headings' numbers put before the words of the next line."""
+    return clean.glued_lines(spark.sql(OPEN_LINES)).select("doc_id", "page", "seq", "text")
+
+
+@query(
+    f"""with t as (select doc_id, page, min(y0) top from ({fixtures.TABLES}) where y0 > 0 group by 1, 2), l as (select * from ({fixtures.PAGE_LINES}) left join t using (doc_id, page) where top is null or y < top - 6),
+    n as (select *, row_number() over (partition by doc_id, page order by y, seq) n from l)
+    select doc_id, page, arg_min(text, n) as section from n where n <= 40 and (regexp_matches(text, '^([一二三四五六七八九十]+、|第[一二三四五六七八九十]+节)') and not regexp_matches(text, '[\\.。·…]{{8,}}\\s*\\d+\\s*$') or text = '财务报告') group by 1, 2"""
+)
+def page_sections(spark, sf_dir):
+    """The first heading of each page above its first table."""
+    return layout.page_sections(spark.sql(fixtures.PAGE_LINES), spark.sql(fixtures.TABLES))
