@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulora.functions import metadata, numbers
@@ -13,10 +13,13 @@ from tabulora.operators import answer, clean, evaluate, facts, goldseed, layout,
 from tabulora.plans import fixtures, rules
 from tabulora.plans.queries import EOL, NOISE, ORACLE_SQL, WS, any_of, query, strip_sql, table
 
-TEXT = F.coalesce("text", F.lit(""))
 LINES_SQL = f"list_filter(list_transform(string_split_regex(coalesce(text, ''), '{EOL}'), lambda x: {strip_sql('x')}), lambda x: x <> '')"
 
 
+def text_() -> Column:
+    return F.coalesce("text", F.lit(""))
+
+
 def quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -45,13 +48,13 @@ def weak_sql(x: str) -> str:
 )
 def text_forms(spark, sf_dir):
     """Both normal forms of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(squeeze(TEXT), 256).alias("squeezed_sha256"), F.sha2(collapse(TEXT), 256).alias("collapsed_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(squeeze(text_()), 256).alias("squeezed_sha256"), F.sha2(collapse(text_()), 256).alias("collapsed_sha256"))
 
 
 @query(f"select doc_id, sha256(c) content_sha256 from (select doc_id, array_to_string(list_filter({LINES_SQL}, lambda x: not {NOISE}), chr(10)) c from documents) where c <> ''")
 def cleaned_elements(spark, sf_dir):
     """Every document as an element; those that are left empty go."""
-    out = clean.clean_elements(table(spark, sf_dir, "documents").select("doc_id", TEXT.alias("content")))
+    out = clean.clean_elements(table(spark, sf_dir, "documents").select("doc_id", text_().alias("content")))
     return out.select("doc_id", F.sha2("content", 256).alias("content_sha256"))
 
 
@@ -70,7 +73,7 @@ def passage_fields(spark, sf_dir):
 )
 def title_candidates(spark, sf_dir):
     """Every line of every document as a title; lines with a mark; the first figure caption."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(TEXT, F.lit("\nFigure "), F.col("doc_id").cast("string")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(text_(), F.lit("\nFigure "), F.col("doc_id").cast("string")).alias("text"))
     rows = docs.withColumn("ls", lines("text"))
     return rows.select(
         "doc_id", F.sha2(F.array_join(F.transform("ls", clean.title_candidate), "|"), 256).alias("candidates_sha256"), F.size(F.filter("ls", clean.is_weak_title)).alias("n_weak"),
@@ -212,7 +215,7 @@ def page_units(spark, sf_dir):
     """The unit that a page names."""
     pages = spark.sql(fixtures.REPORTS).select(F.lit("report").alias("kind"), F.col("doc_id").cast("long").alias("id"), F.col("raw_text").alias("text"))
     pages = pages.unionByName(spark.sql(fixtures.TITLES).select(F.lit("title").alias("kind"), F.col("title_id").cast("long").alias("id"), "text"))
-    pages = pages.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), TEXT.alias("text")))
+    pages = pages.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), text_().alias("text")))
     return pages.select("kind", "id", goldseed.page_unit(F.col("text")).alias("unit"))
 
 
@@ -243,7 +246,7 @@ def store_copy(spark, sf_dir):
 
 
 def _turns(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", TEXT.alias("content"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", text_().alias("content"))
 
 
 @query(
@@ -318,7 +321,7 @@ def gold_corrections(spark, sf_dir):
 )
 def layout_pairs(spark, sf_dir):
     """turns as the lines of a page, each alone and with the next one."""
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("seq"), TEXT.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("seq"), text_().alias("text"))
     return facts.layout_lines(rows).select("doc_id", "line_seq", F.sha2("text", 256).alias("line_sha256"))
 
 
