@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulora.llm import archive, bpe, conversations, decontaminate, fingerprints, jaccard, lm, substrings, toxicity, urls
+from tabulora.llm import archive, bpe, conversations, decontaminate, fingerprints, infill, jaccard, lm, quality, spelling, substrings, toxicity, urls
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_warc_archive": archive.op8_warc_archive,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_fill_in_middle": infill.op12_fill_in_middle,
+    "op13_quality_classifier": quality.op13_quality_classifier,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -125,4 +128,27 @@ ORACLE_SQL = {
         select w.doc_id, len(ws)::bigint n_words, coalesce(len(ps), 0)::bigint n_removed,
                sha256(array_to_string(case when ps is null then ws else list_filter(ws, lambda x, i: not list_contains(ps, i)) end, ' ')) kept_sha256
         from w left join gone using (doc_id)""",
+    "op11_spelling_variants": rf"""
+        with recursive t as (select list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b::bigint)) crc),
+        r as (select distinct doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{UPPER}', '{LOWER}') w from documents),
+        c as (select doc_id, w, coalesce(xor(list_reduce(list_transform(range(1, strlen(k) + 1), lambda i: ('0x' || substr(hex(encode(k)), 2 * i::int - 1, 2))::bigint), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295), 1) h from (select *, doc_id || ':' || w k from r), t),
+        m as (select doc_id, w, case when h % 97 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end v from c),
+        o as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{UPPER}', '{LOWER}') w from documents),
+        a as (select v word, sum(k)::bigint n from (select doc_id, w, count(*) k from o group by all) join m using (doc_id, w) group by 1 having length(v) >= 5 and sum(k) >= 3),
+        g as (select word, n, i, substr(word, 1, i::int - 1) || substr(word, i::int + 1) d from (select word, n, unnest(range(1, length(word) + 1)) i from a)),
+        e as (select x.word, y.word near, y.n m from g x join g y on x.i = y.i and x.d = y.d and x.word <> y.word and length(x.word) = length(y.word)
+              union select x.word, y.word, y.n from g x join a y on x.d = y.word union select y.word, x.word, x.n from g x join a y on x.d = y.word),
+        b as (select word, count(*)::bigint n_near, first(near order by m desc, near) near, max(m) m from e group by 1),
+        f as (select a.word, a.n, coalesce(n_near, 0)::bigint n_near, case when m >= 2 * a.n then near end form, case when m >= 2 * a.n then m end form_n from a left join b using (word)),
+        z(word, root) as (select word, word from f union all select z.word, f.form from z join f on f.word = z.root where f.form is not null)
+        select f.word, f.form, z.root, f.n, f.n_near, f.form_n from f join z on z.word = f.word join f u on u.word = z.root where u.form is null""",
+    "op12_fill_in_middle": r"""
+        with d as (select doc_id, coalesce(text, '') x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') u, sha256('1:' || coalesce(doc_id::varchar, '')) s from documents),
+        h as (select *, len(u)::bigint n, list_transform([1, 9, 17, 25], lambda p: ('0x' || substr(s, p::int, 8))::bigint) h from d),
+        f as (select *, case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end form,
+              least(h[1] % (n + 1), h[2] % (n + 1)) a, greatest(h[1] % (n + 1), h[2] % (n + 1)) b from h),
+        p as (select *, array_to_string(u[1:a], '') pre, array_to_string(u[a + 1:b], '') mid, array_to_string(u[b + 1:], '') suf from f)
+        select doc_id, n, form, case when form <> 'plain' then length(pre)::bigint end prefix_chars, case when form <> 'plain' then length(mid)::bigint end middle_chars,
+               sha256(case form when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid when 'spm' then '<S>' || suf || '<P>' || pre || '<M>' || mid else x end) output_sha256,
+               sha256(x) restored_sha256 from p""",
 }
