@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulora.functions.text import _col, lines, strip
+from tabulora.operators.scan import carry
 from tabulora.operators.clean import figure_caption, heading, is_report_title, is_row_heading, is_section_heading, is_toc_line, is_weak_title, title_candidate, titles
 
 
@@ -105,18 +106,16 @@ def table_title(explicit, caption, inferred, section, page, index, top) -> Colum
     return out.when(_col(top) <= 110, F.lit("")).otherwise(made)
 
 
-def steady_titles(tables: DataFrame) -> DataFrame:
+def steady_titles(tables: DataFrame, pages: int = 256) -> DataFrame:
     """Weak titles replaced by the last strong one of the section, else of the document, marked as continued.
 
-    The strong titles are those of the rows themselves, so both carry-forwards are windows over the page order.
+    The strong titles are those of the rows themselves, so both carry-forwards are scans over the page order, by blocks of
+    pages.
     """
-    strong = F.when(~is_weak_title("table_title"), F.col("table_title"))
-    order = [F.col("page"), F.col("table_idx")]
-    upto = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    section = F.coalesce("section", F.lit("__default__"))
-    rows = tables.withColumn("_s", strong).withColumn("_k", section)
-    rows = rows.withColumn("_in", F.last("_s", ignorenulls=True).over(upto(Window.partitionBy("doc_id", "_k"))))
-    rows = rows.withColumn("_any", F.last("_s", ignorenulls=True).over(upto(Window.partitionBy("doc_id"))))
+    rows = tables.withColumn("_s", F.when(~is_weak_title("table_title"), F.col("table_title"))).withColumn("_k", F.coalesce(F.nullif("section", F.lit("")), F.lit("__default__")))
+    order, block = ["page", "table_idx"], F.floor(F.col("page") / pages)
+    rows = carry(rows, ["doc_id", "_k"], order, block, last={"_in": F.col("_s")})
+    rows = carry(rows, ["doc_id"], order, block, last={"_any": F.col("_s")})
     title = F.coalesce("_s", F.concat(F.coalesce("_in", "_any"), F.lit("（续）")), "table_title")
     return rows.withColumn("table_title", title).drop("_s", "_k", "_in", "_any")
 

@@ -543,3 +543,4 @@ def preflight_counts(spark, sf_dir):
 
 
 from tabulora.plans import corpus_queries  # noqa: E402, F401  its queries are registered with these
+from tabulora.plans import report_queries  # noqa: E402, F401
