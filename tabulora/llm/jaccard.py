@@ -351,8 +351,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of docs for each group that links of similarity num / den join, and all rows without words.
 
     The row with the least id stays; of several with that id, that with the least hash of its shingles, then the least
-    row in the order of its columns. Rows without an id stay only in groups that have no id at all. Each row is decided
-    by its own text, so rows that share an id but not a group are decided apart.
+    row in the order of its columns (of maps: of their JSON). Rows without an id stay only in groups that have no id at
+    all. Each row is decided by its own text, so rows that share an id but not a group are decided apart.
     """
     work = Work(docs.sparkSession, "distinct")
     of_docs, lead, shared, sets = _signed(work, docs, id_col, text_col, size, num, den)
@@ -368,7 +368,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.where(some).select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
     keyed = rows.mapInArrow(_keyed(size), StructType([rows.schema["row"], rows.schema["id"], StructField("key", LongType())]))
     # copies with one id are put together before anything is dealt out, and others have keys of their own
-    whole = keyed.select("row", "key", null, number).groupBy("key", "z", "i").agg(F.min("row").alias("row"))
+    # maps have no order; their JSON has
+    maps = ["map<" in f.dataType.simpleString() for f in docs.schema]
+    fields = [F.to_json(f"row.`{f.name}`") if m else F.col(f"row.`{f.name}`") for f, m in zip(docs.schema, maps, strict=True)]
+    least = F.min_by("row", F.struct(*fields)) if any(maps) else F.min("row")
+    whole = keyed.select("row", "key", null, number).groupBy("key", "z", "i").agg(least.alias("row"))
     out = whole.join(stay, ["key", "z", "i"], "left_semi").select("row.*").union(docs.where(~some))
     out = work.write(out, "kept", compression="zstd")
     work.only("kept")

@@ -11,7 +11,8 @@ compares hashes of the full windows exactly. Counts are minima and maxima of ids
 before the shuffle and a passage that a third of all documents share is a small row for each task.
 
 Defined results: null or empty text and fewer than `window` words: nothing is removed; a repeat inside one document, or
-in rows with the same id: kept; null id: the row takes no part and is returned whole; further columns are not looked at.
+in rows with the same id: kept, and each such row loses what its own text repeats; null id: the row takes no part and is
+returned whole; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def _windows(data, off, ids, ok, window, lens, filters):
 
 
 OCC = pa.schema([("h", pa.int64()), ("id", pa.int64())])
-POS = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("at", pa.int32())])
+POS = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("t", pa.int64()), ("at", pa.int32())])
 
 
 def _level(window, lens, filters, with_at=False):
@@ -86,13 +87,14 @@ def _level(window, lens, filters, with_at=False):
             if got is not None:
                 h, row, at, tok = got
                 cols = (as_long(h), ids[row])
-                yield out_batch(POS, *cols, (at - tok[row]).astype(np.int32)) if with_at else out_batch(OCC, *cols)
+                yield out_batch(POS, *cols, np.asarray(rb.column("t"))[row], (at - tok[row]).astype(np.int32)) if with_at else out_batch(OCC, *cols)
 
     return run
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE, work: Work | None = None) -> DataFrame:
-    """A row (id, at int[]) for each document with windows to remove: the first words of those windows, ascending."""
+    """A row (id, t, at int[]) for each document with windows to remove: the first words of those windows, ascending. t is
+    the hash of its text: rows that share an id but not the text are documents of their own."""
     work, rows = work or Work(docs.sparkSession, "substrings"), with_types(docs, id_col, text_col)
     lens, filters = levels(window, base), []
     if len(lens) == 1:
@@ -104,13 +106,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         filters.append(key_filter(kept, "h", kept.count()))
         work.drop(f"level{k}")
         if not filters[-1].any():
-            return docs.sparkSession.createDataFrame([], "id long, at array<int>")
+            return docs.sparkSession.createDataFrame([], "id long, t long, at array<int>")
     # the candidates are made twice rather than kept: that costs less disk
-    occ = rows.mapInArrow(_level(window, lens, filters, True), "h long, id long, at int")
+    occ = rows.withColumn("t", F.xxhash64("text")).mapInArrow(_level(window, lens, filters, True), "h long, id long, t long, at int")
     # a table of its own, so that the join deals both sides and a passage of very many documents can be split
     first = work.write(occ.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo"), "first")
     hits = occ.join(first, "h").where("id > lo")
-    out = work.write(hits.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("at")), "spans", compression="zstd")
+    out = work.write(hits.groupBy("id", "t").agg(F.sort_array(F.collect_set("at")).alias("at")), "spans", compression="zstd")
     work.only("spans")
     return out
 
@@ -125,7 +127,6 @@ def _kept_words(data, off, lists, window):
     reach, values = np.asarray(lists.offsets), np.asarray(lists.values)
     for i in np.flatnonzero(np.diff(reach)).tolist():
         at = values[reach[i] : reach[i + 1]] + tok[i]
-        at = at[at + window <= tok[i + 1]]  # rows that share an id: places of a longer one
         np.add.at(gone, at, 1)
         np.add.at(gone, np.minimum(at + window, tok[i + 1]), -1)
     gone = np.cumsum(gone[:-1]) > 0
@@ -161,10 +162,11 @@ def _replace(window, names, text_col, span):
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE) -> DataFrame:
     """docs with the words of repeated windows taken out of the text; texts without any stay as they are, to the byte."""
-    own, span = free_name(docs, "__span_id"), free_name(docs, "__span_at")
-    spans = repeated_windows(docs, id_col, text_col, window, base).select(F.col("id").alias(own), F.col("at").alias(span))
+    own, key, span = free_name(docs, "__span_id"), free_name(docs, "__span_key"), free_name(docs, "__span_at")
+    spans = repeated_windows(docs, id_col, text_col, window, base).select(F.col("id").alias(own), F.col("t").alias(key), F.col("at").alias(span))
     none = F.array().cast("array<int>")
-    rows = docs.join(spans, docs[id_col] == spans[own], "left").select(*docs.columns, F.coalesce(span, none).alias(span))
+    same = (docs[id_col] == spans[own]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == spans[key])
+    rows = docs.join(spans, same, "left").select(*docs.columns, F.coalesce(span, none).alias(span))
     return rows.mapInArrow(_replace(window, docs.columns, text_col, span), docs.schema)
 
 
@@ -172,7 +174,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row of docs: id, n_words, n_removed and the kept words joined by one space."""
     spans = repeated_windows(docs, id_col, text_col, window, base)
     none = F.array().cast("array<int>")
-    rows = with_types(docs, id_col, text_col).join(spans, "id", "left").select("id", "text", F.coalesce("at", none).alias("at"))
+    rows = with_types(docs, id_col, text_col).withColumn("t", F.xxhash64("text")).join(spans, ["id", "t"], "left").select("id", "text", F.coalesce("at", none).alias("at"))
     return rows.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept string")
 
 

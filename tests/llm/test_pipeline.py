@@ -77,3 +77,21 @@ def test_columns_of_any_name(spark, sf, tmp_path):
         docs = stage(spark, docs, at).cache()
         assert docs.columns == columns, name
     assert all(r[n] == n for r in docs.collect() for n in names) and docs.count() == 65
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    p, u = " ".join(f"p{k}" for k in range(13)), " ".join(f"u{k}" for k in range(20))
+    rows = [(1, p), (2, p + " tail a b"), (2, u), (2, "x y " + p)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.substring_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in got) == sorted((i, t, len(t)) for i, t in [(1, p), (2, "tail a b"), (2, u), (2, "x y")])
+
+
+def test_columns_that_are_maps(spark, sf):
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet").selectExpr("*", "map('k', doc_id) m", "array(map(1, text)) n", "struct(map(lang, 1) as a, 2 as b) o")
+    docs = docs.union(docs.where("doc_id = 1"))
+    columns = docs.columns
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf[0]).cache()
+        assert docs.columns == columns, name
+    assert docs.count() == 65 and docs.where("m['k'] <> doc_id").count() == 0
