@@ -3,21 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Makes sure of a checkpoint folder: spark.checkpoint.dir, or a local one on a single machine without that setting."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder: spark.checkpoint.dir, or a local one on a single machine without that setting."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tabulora-")
-    context.setCheckpointDir(at)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+@contextmanager
+def shared_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of its own beside the checkpoints, deleted at the end."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

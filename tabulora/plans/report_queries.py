@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulora.cut import cut, shared_folder
 from tabulora.operators import elements
+from tabulora.operators.postings import StoredIndex
 from tabulora.plans import derived, rules
 from tabulora.plans.corpus_queries import candidate_sql, row_heading_sql, weak_sql
-from tabulora.plans.queries import EOL, WS, any_of, query, strip_sql
+from tabulora.plans.queries import BM25_SQL, WS, _asked, _texts, any_of, query, strip_sql
 
 
 # ---------------------------------------------------------------- SQL of lines
@@ -102,3 +104,18 @@ def document_elements(spark, sf_dir):
 def document_texts(spark, sf_dir):
     """The text of each document out of its elements."""
     return elements.merged_text(report_elements(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+# ---------------------------------------------------------------- stored index
+@query(f"with {BM25_SQL} select query_id, doc_id, rank::int rank, round(score, 6) score from kw where rank <= 10")
+def stored_bm25_topk(spark, sf_dir):
+    """Documents are indexed in two batches; the second one replaces what the first one had of a third of them.
+    Benchmark texts are then searched in the stored postings."""
+    texts, asked = _texts(spark, sf_dir), _asked(spark, sf_dir)
+    late = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    with shared_folder(spark, "index") as path:
+        index = StoredIndex(spark, path)
+        index.add(texts.withColumn("text", F.when(late, F.concat(F.reverse("text"), F.lit(" an older text"))).otherwise(F.col("text"))))
+        index.add(texts.where(late))
+        hits = cut(index.search(asked, 10))
+    return hits.select("query_id", F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))

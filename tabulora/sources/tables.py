@@ -1,7 +1,7 @@
 """Versioned Parquet tables, and JSON and CSV sinks.
 
-A table is a folder of version folders; a write makes the next version from whatever plan, also one that reads the
-table itself, and readers take the last version that was finished.
+A write makes the next version from whatever plan, also one that reads the table itself, and readers take the last version
+that was finished.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulora.sources.parts import Parts
+
 #: Columns of the stored relations.
 DOCUMENTS = "doc_id bigint, title string, source string, doc_type string, company string, ticker string, industry string, published_at timestamp_ntz, version string, raw_text string"
 CHUNKS = "chunk_id bigint, doc_id bigint, chunk_index int, chunk_type string, section_title string, table_title string, figure_title string, page_number int, content string, token_count int"
@@ -18,33 +20,36 @@ REVIEWS = "id bigint, query_log_id bigint, label string, status string, expected
 
 
 class Table:
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    """One table: appended rows go to new files, a replacement is a new list of files (see sources.parts)."""
 
-    def _fs(self):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+    NAME = "rows"
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema, self.parts = spark, path.rstrip("/"), schema, Parts(spark, path)
 
     def versions(self) -> list[int]:
-        fs, at = self._fs()
-        if not fs.exists(at):
-            return []
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        done = [s.getPath().getName() for s in fs.listStatus(at) if fs.exists(path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done if n[:1] == "v" and n[1:].isdigit())
+        return self.parts.versions()
+
+    def version(self) -> int:
+        return self.parts.live()[0]
 
     def read(self) -> DataFrame:
-        """The last finished version; an empty table if there is none."""
-        v = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v[-1]}") if v else self.spark.createDataFrame([], self.schema)
+        """The rows as of the last finished write; an empty table if there is none."""
+        return self.parts.read(self.NAME, self.schema).drop("part")
+
+    def _shaped(self, rows: DataFrame) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema).unionByName(rows, allowMissingColumns=True).select(*[f.name for f in self.spark.createDataFrame([], self.schema).schema])
 
-    def replace(self, rows: DataFrame) -> None:
-        """Writes the next version."""
-        names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
-        rows.select(*names).write.parquet(f"{self.path}/v{(self.versions() or [0])[-1] + 1}")
+    def replace(self, rows: DataFrame, base: int | None = None) -> None:
+        """All rows anew. base: the version that the rows follow from, if no other write may come between."""
+        self.parts.add({self.NAME: self._shaped(rows)}, replace=True, base=base)
 
     def append(self, rows: DataFrame) -> None:
-        self.replace(self.read().unionByName(rows, allowMissingColumns=True))
+        """More rows; what is there is neither read nor written again."""
+        self.parts.add({self.NAME: self._shaped(rows)})
+
+    def vacuum(self, keep: int = 1, hours: float = 24.0) -> int:
+        return self.parts.vacuum(keep, hours)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
