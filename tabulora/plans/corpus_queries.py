@@ -10,7 +10,7 @@ from tabulora.functions.text import collapse, lines, squeeze
 from tabulora.functions.tokens import passage_text
 from tabulora.functions.vectors import as_literal, parsed
 from tabulora.operators import answer, clean, evaluate, facts, goldseed, layout, retrieve, store
-from tabulora.plans import fixtures, rules
+from tabulora.plans import derived, rules
 from tabulora.plans.queries import EOL, NOISE, ORACLE_SQL, WS, any_of, query, strip_sql, table
 
 LINES_SQL = f"list_filter(list_transform(string_split_regex(coalesce(text, ''), '{EOL}'), lambda x: {strip_sql('x')}), lambda x: x <> '')"
@@ -82,13 +82,13 @@ def title_candidates(spark, sf_dir):
 
 
 @query(
-    f"""with l as ({fixtures.LINES}), t as ({fixtures.TITLES}), p as (select line_id id, line s from l union all select 100 + title_id, title from t)
+    f"""with l as {derived.text('LINES')}, t as {derived.text('TITLES')}, p as (select line_id id, line s from l union all select 100 + title_id, title from t)
     select id, {candidate_sql('s')} candidate, {weak_sql('s')} weak, array_to_string(list_filter(list_transform(string_split_regex(s, '[_\\-]|{WS}'), lambda x: {strip_sql('x')}),
       lambda x: length(x) >= 2 and not regexp_full_match(x, '\\d{{4,}}') and x not in ({quoted(rules.PLAIN_TITLE_PARTS)}) and regexp_matches(x, '[\\x{{4e00}}-\\x{{9fff}}]')), ',') terms from p"""
 )
 def title_forms(spark, sf_dir):
     """Report lines and titles as titles, and the terms that they name."""
-    rows = spark.sql(fixtures.LINES).select(F.col("line_id").alias("id"), F.col("line").alias("s")).unionByName(spark.sql(fixtures.TITLES).select((F.col("title_id") + 100).alias("id"), F.col("title").alias("s")))
+    rows = derived.frame(spark, sf_dir, "LINES").select(F.col("line_id").alias("id"), F.col("line").alias("s")).unionByName(derived.frame(spark, sf_dir, "TITLES").select((F.col("title_id") + 100).alias("id"), F.col("title").alias("s")))
     return rows.select("id", clean.title_candidate("s").alias("candidate"), clean.is_weak_title("s").alias("weak"), F.array_join(retrieve.title_terms("s"), ",").alias("terms"))
 
 
@@ -115,7 +115,7 @@ _KNOWN = " ".join(f"when '{k}' then '{v}'" for k, v in rules.INDUSTRY_OF.items()
 ORACLE_SQL["company_industry"] = f"""with a as (select title_id doc_id, title, text, {_PARTS} p0, nullif(regexp_extract(title, '(?:^|[^0-9])(\\d{{6}})(?:[^0-9]|$)', 1), '') t1,
       nullif(regexp_extract(text, '(?:^|[^0-9])(\\d{{6}})(?:[^0-9]|$)', 1), '') t2, regexp_extract(text, '(20\\d{{2}})[-/年](\\d{{1,2}})[-/月](\\d{{1,2}})', ['y', 'm', 'd']) dy,
       trim(regexp_extract(regexp_replace(text, '{WS}+', '', 'g'), '(?:所属行业|公司所处行业|所处行业|行业分类)[:：]?(.*?)(?:主营业务|主要业务|经营情况|公司简介|报告期|$)', 1), '：:，,；;。 ') raw,
-      lower(regexp_replace(title, '{WS}+', '', 'g')) head, lower(regexp_replace(text, '{WS}+', '', 'g')) body from ({fixtures.TITLES})),
+      lower(regexp_replace(title, '{WS}+', '', 'g')) head, lower(regexp_replace(text, '{WS}+', '', 'g')) body from {derived.text('TITLES')}),
     b as (select *, case when regexp_full_match(coalesce(p0[1], ''), '\\d{{6}}') then p0[2:] else p0 end p, substr(raw, 1, 24) cand, lower(regexp_replace(substr(raw, 1, 24), '{WS}+', '', 'g')) sq, coalesce(t1, t2) code from a),
     c as (select *, coalesce(list_position(list_transform(p, lambda x, i: {_ENDS} or not {_FITS}), true), len(p) + 1) stop, list_sort([{_WORDS}], 'DESC')[1] best from b)
     select doc_id, case when stop > 1 then substr(array_to_string(p[1:stop - 1], ''), 1, 64) when contains(title, '：') then substr({strip_sql("string_split(title, '：')[1]")}, 1, 64)
@@ -127,7 +127,7 @@ ORACLE_SQL["company_industry"] = f"""with a as (select title_id doc_id, title, t
 # ---------------------------------------------------------------- queries over reports
 _EDGE = r"[^0-9A-Za-z_\x{4e00}-\x{9fff}]"
 _TERMS = "list_concat(" + ", ".join(f"case when contains(lower(query), '{t}') then [{quoted(names)}] else [] end" for t, names in rules.REPORT_TERMS) + ")"
-ORACLE_SQL["query_filters"] = f"""with d as ({fixtures.REPORTS}), q as ({fixtures.QUESTIONS}),
+ORACLE_SQL["query_filters"] = f"""with d as {derived.text('REPORTS')}, q as {derived.text('QUESTIONS')},
     terms as (select distinct unnest(list_filter(list_transform(string_split_regex(title, '[_\\-]|{WS}'), lambda x: {strip_sql('x')}),
       lambda x: length(x) >= 2 and not regexp_full_match(x, '\\d{{4,}}') and x not in ({quoted(rules.PLAIN_TITLE_PARTS)}) and regexp_matches(x, '[\\x{{4e00}}-\\x{{9fff}}]'))) term from d),
     m as (select query_id, query, nullif(regexp_extract(query, '(?:^|{_EDGE})(\\d{{6}})(?:{_EDGE}|$)', 1), '') ticker, try_cast(nullif(regexp_extract(query, '(?:^|{_EDGE})(20\\d{{2}})(?:{_EDGE}|$)', 1), '') as int) as year,
@@ -142,43 +142,42 @@ ORACLE_SQL["query_filters"] = f"""with d as ({fixtures.REPORTS}), q as ({fixture
 
 
 @query(
-    f"""with q as (select query_id, lower(regexp_replace(query, '{WS}+', '', 'g')) q from ({fixtures.QUESTIONS}))
+    f"""with q as (select query_id, lower(regexp_replace(query, '{WS}+', '', 'g')) q from {derived.text('QUESTIONS')})
     select query_id, case {' '.join(f"when {any_of('q', terms)} then '{label}'" for label, terms in rules.ASKED)} end label from q"""
 )
 def asked_metric(spark, sf_dir):
     """The metric that a question is after."""
-    return spark.sql(fixtures.QUESTIONS).select("query_id", answer.asked("query").label.alias("label"))
+    return derived.frame(spark, sf_dir, "QUESTIONS").select("query_id", answer.asked("query").label.alias("label"))
 
 
 # ---------------------------------------------------------------- layout
-IMAGES = fixtures.values("doc_id, page, image_idx", (1, 1, 1), (1, 2, 1), (2, 2, 1), (2, 2, 2), (3, 1, 1))
 
 
-@query(f"select doc_id, page from ({fixtures.PAGE_LINES}) where regexp_matches(text, '[\\.。·…]{{8,}}\\s*\\d+\\s*$') group by 1, 2 having count(*) >= 4")
+@query(f"select doc_id, page from {derived.text('PAGE_LINES')} where regexp_matches(text, '[\\.。·…]{{8,}}\\s*\\d+\\s*$') group by 1, 2 having count(*) >= 4")
 def contents_pages(spark, sf_dir):
     """Pages of contents."""
-    return clean.toc_pages(spark.sql(fixtures.PAGE_LINES))
+    return clean.toc_pages(derived.frame(spark, sf_dir, "PAGE_LINES"))
 
 
 @query(
-    f"""with i as ({IMAGES}), l as (select doc_id, page, list(text order by y, seq) ls from ({fixtures.PAGE_LINES}) group by 1, 2),
+    f"""with i as {derived.text('IMAGES')}, l as (select doc_id, page, list(text order by y, seq) ls from {derived.text('PAGE_LINES')} group by 1, 2),
     c as (select i.*, coalesce(list_filter(ls, lambda x: starts_with(x, '图') and length(x) <= 120)[image_idx], substr(list_filter(ls, lambda x: regexp_matches({strip_sql('x')}, '^(图|Figure|figure)'))[1], 1, 120)) t from i left join l using (doc_id, page))
     select doc_id, page, image_idx, coalesce(t, 'Image block detected on page ' || page || '.') as content, coalesce(t, 'Figure ' || image_idx || ' on page ' || page) figure_title from c"""
 )
 def image_captions(spark, sf_dir):
     """Image elements with their captions."""
-    return layout.image_elements(spark.sql(IMAGES), spark.sql(fixtures.PAGE_LINES))
+    return layout.image_elements(derived.frame(spark, sf_dir, "IMAGES"), derived.frame(spark, sf_dir, "PAGE_LINES"))
 
 
 @query(
-    f"""with t as (select *, {candidate_sql("coalesce(table_title, '')")} c, '第' || page || '页表' || table_idx made, coalesce(section, '') s from ({fixtures.TABLES}))
+    f"""with t as (select *, {candidate_sql("coalesce(table_title, '')")} c, '第' || page || '页表' || table_idx made, coalesce(section, '') s from {derived.text('TABLES')})
     select doc_id, page, table_idx, case when c <> '' and not {weak_sql('c')} then c when s <> '' and not {row_heading_sql('s')} and not {weak_sql('s')} then s || ' ' || made when y0 <= 110 then '' else made end title from t"""
 )
 def table_titles(spark, sf_dir):
     """The choice of a table's title."""
     none = F.lit(None).cast("string")
     title = layout.table_title(none, F.col("table_title"), none, F.col("section"), "page", "table_idx", F.col("y0"))
-    return spark.sql(fixtures.TABLES).select("doc_id", "page", "table_idx", title.alias("title"))
+    return derived.frame(spark, sf_dir, "TABLES").select("doc_id", "page", "table_idx", title.alias("title"))
 
 
 @query(
@@ -196,25 +195,25 @@ def table_texts(spark, sf_dir):
 
 # ---------------------------------------------------------------- numbers and units
 @query(
-    f"""with n as (select num_id, {strip_sql('line')} s, regexp_extract_all(line, '[\\(（]-?[0-9][0-9,]*(?:\\.\\d+)?[\\)）]|-?[0-9][0-9,]*(?:\\.\\d+)?') ts from ({fixtures.NUMBERS})), f as (select *, coalesce(ts[1], '') t, coalesce(regexp_full_match(ts[1], '0*[0-9]'), false) digit from n)
+    f"""with n as (select num_id, {strip_sql('line')} s, regexp_extract_all(line, '[\\(（]-?[0-9][0-9,]*(?:\\.\\d+)?[\\)）]|-?[0-9][0-9,]*(?:\\.\\d+)?') ts from {derived.text('NUMBERS')}), f as (select *, coalesce(ts[1], '') t, coalesce(regexp_full_match(ts[1], '0*[0-9]'), false) digit from n)
     select num_id, array_to_string(case when t in ({quoted(numbers.FOOTNOTES)}) or (digit and (starts_with(s, '(' || t || ')') or starts_with(s, '（' || t || '）') or starts_with(s, t || '（') or starts_with(s, t || '('))) then ts[2:] else ts end, ' ') without_note,
       array_to_string(case when len(ts) >= 2 and digit then ts[2:] else ts end, ' ') without_digit from f"""
 )
 def footnotes(spark, sf_dir):
     """F8: numeric tokens without the numbers of notes."""
-    rows = spark.sql(fixtures.NUMBERS).withColumn("ts", numbers.tokens("line"))
+    rows = derived.frame(spark, sf_dir, "NUMBERS").withColumn("ts", numbers.tokens("line"))
     return rows.select("num_id", F.array_join(numbers.without_footnote("line", "ts"), " ").alias("without_note"), F.array_join(numbers.without_leading_digit("ts"), " ").alias("without_digit"))
 
 
 @query(
-    f"""with p as (select 'report' as kind, doc_id id, raw_text text from ({fixtures.REPORTS}) union all select 'title', title_id, text from ({fixtures.TITLES}) union all select 'document', doc_id, coalesce(text, '') from documents),
+    f"""with p as (select 'report' as kind, doc_id id, raw_text text from {derived.text('REPORTS')} union all select 'title', title_id, text from {derived.text('TITLES')} union all select 'document', doc_id, coalesce(text, '') from documents),
     h as (select kind, id, array_to_string(string_split_regex(text, '{EOL}')[1:40], chr(10)) head from p)
     select kind, id, coalesce(nullif({strip_sql(f"regexp_extract(head, '单位[:：]{WS}*([^' || chr(10) || ']{{1,30}})', 1)")}, ''), case when contains(head, '人民币百万元') then '人民币百万元' when contains(head, '单位：万元') then '万元' when contains(head, '单位：亿元') then '亿元' when contains(head, '单位：元') then '元' end) unit from h"""
 )
 def page_units(spark, sf_dir):
     """The unit that a page names."""
-    pages = spark.sql(fixtures.REPORTS).select(F.lit("report").alias("kind"), F.col("doc_id").cast("long").alias("id"), F.col("raw_text").alias("text"))
-    pages = pages.unionByName(spark.sql(fixtures.TITLES).select(F.lit("title").alias("kind"), F.col("title_id").cast("long").alias("id"), "text"))
+    pages = derived.frame(spark, sf_dir, "REPORTS").select(F.lit("report").alias("kind"), F.col("doc_id").cast("long").alias("id"), F.col("raw_text").alias("text"))
+    pages = pages.unionByName(derived.frame(spark, sf_dir, "TITLES").select(F.lit("title").alias("kind"), F.col("title_id").cast("long").alias("id"), "text"))
     pages = pages.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), text_().alias("text")))
     return pages.select("kind", "id", goldseed.page_unit(F.col("text")).alias("unit"))
 
@@ -329,7 +328,7 @@ _ALL_TERMS = sorted({t for m in rules.METRICS for t in m[2]})
 
 
 @query(
-    f"""with p as (select doc_id, raw_text text from ({fixtures.REPORTS}) union all select 100 + chunk_id, content from ({fixtures.PASSAGES})), l as (select distinct doc_id, unnest({LINES_SQL}) line from p),
+    f"""with p as (select doc_id, raw_text text from {derived.text('REPORTS')} union all select 100 + chunk_id, content from {derived.text('PASSAGES')}), l as (select distinct doc_id, unnest({LINES_SQL}) line from p),
     t as (select unnest([{quoted(_ALL_TERMS)}]) term), f as (select *, lower(regexp_replace(line, '{WS}+', '', 'g')) flat from l, t), m as (select *, strpos(flat, term) ahead from f where contains(flat, term))
     select doc_id, line, term, not (term = '营业收入' and {any_of('flat', rules.NOT_REVENUE)}) and not (term = '净利润' and {any_of('flat', rules.NOT_NET_PROFIT)}) states,
       (case when contains(line, term) then strpos(line, term) else list_filter(range(1, length(line) + 1), lambda i: length(regexp_replace(substr(line, 1, i::int - 1), '{WS}+', '', 'g')) = ahead - 1 and not regexp_matches(substr(line, i::int, 1), '{WS}'))[1] end)::int start,
@@ -338,22 +337,15 @@ _ALL_TERMS = sorted({t for m in rules.METRICS for t in m[2]})
 )
 def term_lines(spark, sf_dir):
     """Whether lines of reports state a metric's term, where it begins, and which are rows of a statement."""
-    pages = spark.sql(fixtures.REPORTS).select("doc_id", F.col("raw_text").alias("text")).unionByName(spark.sql(fixtures.PASSAGES).select((F.col("chunk_id") + 100).alias("doc_id"), F.col("content").alias("text")))
+    pages = derived.frame(spark, sf_dir, "REPORTS").select("doc_id", F.col("raw_text").alias("text")).unionByName(derived.frame(spark, sf_dir, "PASSAGES").select((F.col("chunk_id") + 100).alias("doc_id"), F.col("content").alias("text")))
     rows = pages.select("doc_id", F.explode(lines("text")).alias("line")).distinct().withColumn("flat", squeeze("line"))
     rows = rows.withColumn("term", F.explode(F.array(*[F.lit(t) for t in _ALL_TERMS]))).where(F.contains("flat", "term"))
     line, flat, term = F.col("line"), F.col("flat"), F.col("term")
     return rows.select("doc_id", "line", "term", facts.matches_term(flat, term).alias("states"), facts.term_start(line, flat, term).alias("start"), facts.is_statement_row(line, flat, term).alias("statement_row"))
 
 
-OPEN_LINES = fixtures.values(
-    "doc_id, page, seq, y, text",
-    (1, 1, 0, 10.0, "一、"), (1, 1, 1, 20.0, "公司简介"), (1, 1, 2, 30.0, "二、"), (1, 1, 3, 40.0, "三、"), (1, 1, 4, 50.0, "四、"), (1, 1, 5, 60.0, "重要　 事项"), (1, 2, 0, 10.0, "12."), (1, 2, 1, 20.0, "  "), (1, 2, 2, 30.0, "数据"),
-    (2, 1, 0, 10.0, "第一节"), (2, 1, 1, 20.0, "这一行的字数超过四十个所以不会与前面的标题编号连成一行而是保持原来的样子不变动也不会被并入前一行"), (2, 1, 2, 30.0, "(二)"), (2, 1, 3, 40.0, "财务 报告"), (2, 1, 4, 50.0, "(三)"),
-)
-
-
 @query(
-    f"""with c as (select doc_id, page, seq, y, trim(regexp_replace(text, '{WS}+', ' ', 'g')) t from ({OPEN_LINES})), l as (select *, lead(t) over w after from c where t <> '' window w as (partition by doc_id, page order by y, seq)),
+    f"""with c as (select doc_id, page, seq, y, trim(regexp_replace(text, '{WS}+', ' ', 'g')) t from {derived.text('PAGE_LINES')}), l as (select *, lead(t) over w after from c where t <> '' window w as (partition by doc_id, page order by y, seq)),
     o as (select *, coalesce(regexp_full_match(t, '[一二三四五六七八九十]+、|第[一二三四五六七八九十]+节|\\(?[一二三四五六七八九十]+\\)|\\d+\\.') and length(after) <= 40, false) can from l),
     g as (select *, sum((not can)::int) over (partition by doc_id, page order by y, seq) run from o), k as (select *, can and row_number() over (partition by doc_id, page, run, can order by y, seq) % 2 = 1 starts from g),
     e as (select *, coalesce(lag(starts) over (partition by doc_id, page order by y, seq), false) eaten from k)
@@ -361,14 +353,14 @@ OPEN_LINES = fixtures.values(
 )
 def glued_lines(spark, sf_dir):
     """headings' numbers put before the words of the next line."""
-    return clean.glued_lines(spark.sql(OPEN_LINES)).select("doc_id", "page", "seq", "text")
+    return clean.glued_lines(derived.frame(spark, sf_dir, "PAGE_LINES")).select("doc_id", "page", "seq", "text")
 
 
 @query(
-    f"""with t as (select doc_id, page, min(y0) top from ({fixtures.TABLES}) where y0 > 0 group by 1, 2), l as (select * from ({fixtures.PAGE_LINES}) left join t using (doc_id, page) where top is null or y < top - 6),
+    f"""with t as (select doc_id, page, min(y0) top from {derived.text('TABLES')} where y0 > 0 group by 1, 2), l as (select * from {derived.text('PAGE_LINES')} left join t using (doc_id, page) where top is null or y < top - 6),
     n as (select *, row_number() over (partition by doc_id, page order by y, seq) n from l)
     select doc_id, page, arg_min(text, n) as section from n where n <= 40 and (regexp_matches(text, '^([一二三四五六七八九十]+、|第[一二三四五六七八九十]+节)') and not regexp_matches(text, '[\\.。·…]{{8,}}\\s*\\d+\\s*$') or text = '财务报告') group by 1, 2"""
 )
 def page_sections(spark, sf_dir):
     """The first heading of each page above its first table."""
-    return layout.page_sections(spark.sql(fixtures.PAGE_LINES), spark.sql(fixtures.TABLES))
+    return layout.page_sections(derived.frame(spark, sf_dir, "PAGE_LINES"), derived.frame(spark, sf_dir, "TABLES"))

@@ -57,6 +57,7 @@ BLOCKS = values(
     "doc_id, page, block_id, x0, y0, x1, y1, text",
     (1, 1, 1, 50.0, 40.0, 500.0, 100.0, "heading block"), (1, 1, 2, 60.0, 130.0, 400.0, 260.0, "inside table"), (1, 1, 3, 50.0, 270.0, 500.0, 330.0, "partly"), (1, 2, 1, 50.0, 200.0, 500.0, 290.0, "free"), (2, 2, 1, 10.0, 150.0, 100.0, 200.0, "all of it"), (3, 1, 1, 0.0, 0.0, 10.0, 10.0, "no tables"),
 )
+IMAGES = values("doc_id, page, image_idx", (1, 1, 1), (1, 2, 1), (2, 2, 1), (2, 2, 2), (3, 1, 1))
 
 REPORTS = values(
     "doc_id, title, source, company, ticker, industry, raw_text",

@@ -12,7 +12,7 @@ from tabulora.functions.text import lines
 from tabulora.functions.tokens import lexical_tokens, simple_tokens
 from tabulora.functions.vectors import hashed_counts
 from tabulora.operators import answer, chunk, clean, embed, evaluate, facts, goldseed, layout, retrieve, store
-from tabulora.plans import fixtures, rules
+from tabulora.plans import derived, rules
 from tabulora.plans.ingest import chunked, described
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,7 +70,7 @@ _ROW_HEAD = f"(s in ({', '.join(repr(t) for t in rules.GENERIC_TITLES)}) or {any
 
 
 @query(
-    f"""with b as (select line_id, {strip_sql('line')} s, line from ({fixtures.LINES})),
+    f"""with b as (select line_id, {strip_sql('line')} s, line from {derived.text('LINES')}),
     f as (select line_id, s, {NOISE.replace('x,', 's,').replace('(x)', '(s)').replace('(x ', '(s ').replace(' or x ', ' or s ')} is_noise, {_ROW_HEAD} is_row,
       ({any_of('s', ['年度报告', '半年度报告', '季度报告'])} and length(s) <= 40 and not {any_of('s', ['真实性', '完整性'])}) is_title,
       regexp_matches(s, '[\\.。·…]{{8,}}\\s*\\d+\\s*$') is_toc,
@@ -83,7 +83,7 @@ _ROW_HEAD = f"(s in ({', '.join(repr(t) for t in rules.GENERIC_TITLES)}) or {any
 def line_predicates(spark, sf_dir):
     """Predicates and normal form of lines."""
     s = F.col("s")
-    rows = spark.sql(fixtures.LINES).withColumn("s", F.regexp_replace("line", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    rows = derived.frame(spark, sf_dir, "LINES").withColumn("s", F.regexp_replace("line", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
     return rows.select("line_id", clean.is_noise(s).alias("is_noise"), clean.is_toc_line(s).alias("is_toc"), clean.is_row_heading(s).alias("is_row_heading"), clean.is_section_heading(s).alias("is_section_heading"), clean.heading(s).alias("heading"))
 
 
@@ -100,7 +100,7 @@ def token_counts(spark, sf_dir):
 
 
 @query(
-    f"""with t as (select text_id, text, regexp_extract_all(lower(text), '{LATIN}') latin, list_filter(regexp_extract_all(lower(text), '[\\x{{4e00}}-\\x{{9fff}}]+'), lambda r: length(r) > 1) runs from ({fixtures.TOKENS}))
+    f"""with t as (select text_id, text, regexp_extract_all(lower(text), '{LATIN}') latin, list_filter(regexp_extract_all(lower(text), '[\\x{{4e00}}-\\x{{9fff}}]+'), lambda r: length(r) > 1) runs from {derived.text('TOKENS')})
     select text_id, array_to_string(list_concat(regexp_extract_all(lower(text), '[a-z0-9]+'), regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')), ' ') simple,
       array_to_string(list_filter(list_concat(latin, flatten(list_transform(runs, lambda r: list_concat(list_concat(case when length(r) <= 4 then [r] else [] end,
         list_transform(range(1, length(r)), lambda i: substr(r, i::int, 2))), list_transform(range(1, greatest(length(r) - 1, 1)), lambda i: substr(r, i::int, 3)))))),
@@ -108,7 +108,7 @@ def token_counts(spark, sf_dir):
 )
 def cjk_tokens(spark, sf_dir):
     """Latin words and CJK grams."""
-    return spark.sql(fixtures.TOKENS).select("text_id", F.array_join(simple_tokens("text"), " ").alias("simple"), F.array_join(lexical_tokens("text"), " ").alias("lexical"))
+    return derived.frame(spark, sf_dir, "TOKENS").select("text_id", F.array_join(simple_tokens("text"), " ").alias("simple"), F.array_join(lexical_tokens("text"), " ").alias("lexical"))
 
 
 @query(
@@ -134,20 +134,20 @@ def hash_embed(spark, sf_dir):
 
 
 @query(
-    f"""with n as (select num_id, regexp_extract_all(line, '[\\(（]-?[0-9][0-9,]*(?:\\.\\d+)?[\\)）]|-?[0-9][0-9,]*(?:\\.\\d+)?') ts, unit from ({fixtures.NUMBERS})),
+    f"""with n as (select num_id, regexp_extract_all(line, '[\\(（]-?[0-9][0-9,]*(?:\\.\\d+)?[\\)）]|-?[0-9][0-9,]*(?:\\.\\d+)?') ts, unit from {derived.text('NUMBERS')}),
     v as (select num_id, unit, ts, list_transform(ts, lambda x: try_cast(regexp_replace(x, '[(（）),]', '', 'g') as double) * case when regexp_matches(x, '^[(（]') then -1 else 1 end) vs from n)
     select num_id, array_to_string(ts, ' ') tokens, vs[1] as first, list_sum(vs) total, list_filter(vs[3:], lambda x: abs(x) <= 1000)[1] change_pct,
       case when unit is null then 1.0 when contains(unit, '百万元') then 1e6 when contains(unit, '亿元') then 1e8 when contains(unit, '万元') then 1e4 when contains(unit, '千元') then 1e3 else 1.0 end::double multiplier from v"""
 )
 def numeric_extract(spark, sf_dir):
     """tokens, values, change and unit."""
-    rows = spark.sql(fixtures.NUMBERS).withColumn("ts", numbers.tokens("line")).withColumn("vs", F.transform("ts", numbers.value))
+    rows = derived.frame(spark, sf_dir, "NUMBERS").withColumn("ts", numbers.tokens("line")).withColumn("vs", F.transform("ts", numbers.value))
     total = F.when(F.size("vs") > 0, F.aggregate("vs", F.lit(0.0), lambda s, x: s + x))
     return rows.select("num_id", F.array_join("ts", " ").alias("tokens"), F.try_element_at("vs", F.lit(1)).alias("first"), total.alias("total"), numbers.change(F.slice("ts", 3, 1 << 20)).alias("change_pct"), numbers.multiplier("unit").alias("multiplier"))
 
 
 @query(
-    f"""with t as (select *, title || ' ' || source h, nullif(regexp_extract(title || ' ' || source, '(20\\d{{2}})', 1), '') y from ({fixtures.TITLES})),
+    f"""with t as (select *, title || ' ' || source h, nullif(regexp_extract(title || ' ' || source, '(20\\d{{2}})', 1), '') y from {derived.text('TITLES')}),
     k as (select *, case when contains(lower(h), 'q1') or {any_of('h', ['一季报', '第一季度'])} then 'Q1' when contains(lower(h), 'q3') or {any_of('h', ['三季报', '第三季度'])} then 'Q3'
       when {any_of('h', ['半年报', '半年度报告'])} then 'H1' when {any_of('h', ['年报', '年度报告'])} then 'FY' else '' end m from t)
     select title_id, nullif(regexp_extract(title, '(?:^|[^0-9])(\\d{{6}})(?:[^0-9]|$)', 1), '') ticker, y || m report_period,
@@ -161,13 +161,13 @@ def report_metadata(spark, sf_dir):
     """Ticker, period, identity, currency and unit."""
     period, kind = metadata.period("title", "source")
     money, unit = metadata.currency_and_unit("text")
-    return spark.sql(fixtures.TITLES).select("title_id", metadata.ticker("title").alias("ticker"), period.alias("report_period"), kind.alias("report_type"), metadata.identity("title", "source").alias("identity"), money.alias("currency"), unit.alias("unit"))
+    return derived.frame(spark, sf_dir, "TITLES").select("title_id", metadata.ticker("title").alias("ticker"), period.alias("report_period"), kind.alias("report_type"), metadata.identity("title", "source").alias("identity"), money.alias("currency"), unit.alias("unit"))
 
 
 @query()
 def company_industry(spark, sf_dir):
     """M1, M3-M5: company, date and industry (folds and cascades; tests hold the values)."""
-    rows = spark.sql(fixtures.TITLES).select(F.col("title_id").alias("doc_id"), "title", "source", F.lit("pdf").alias("doc_type"), "text")
+    rows = derived.frame(spark, sf_dir, "TITLES").select(F.col("title_id").alias("doc_id"), "title", "source", F.lit("pdf").alias("doc_type"), "text")
     return described(rows).select("doc_id", "company", "ticker", "industry", F.date_format("published_at", "yyyy-MM-dd").alias("published"))
 
 
@@ -286,16 +286,16 @@ def hit_at_k(spark, sf_dir):
     return evaluate.hit_rates(evaluate.match_ranks(cases, hits))
 
 
-def _library(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = spark.sql(fixtures.REPORTS)
-    passages = spark.sql(fixtures.PASSAGES).join(docs.select("doc_id", "title", "company", "ticker", "source"), "doc_id")
-    return docs, passages, spark.sql(fixtures.QUESTIONS)
+def _library(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = derived.frame(spark, sf_dir, "REPORTS")
+    passages = derived.frame(spark, sf_dir, "PASSAGES").join(docs.select("doc_id", "title", "company", "ticker", "source"), "doc_id")
+    return docs, passages, derived.frame(spark, sf_dir, "QUESTIONS")
 
 
 @query()
 def query_filters(spark, sf_dir):
     """What queries name, and the documents that pass (tests hold the values)."""
-    docs, _, asked = _library(spark)
+    docs, _, asked = _library(spark, sf_dir)
     meta = retrieve.query_metadata(asked, docs)
     scope = retrieve.scopes(meta, docs).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("docs"))
     return meta.join(scope, "query_id", "left").select("query_id", "ticker", "company", "year", F.array_join("title_terms", ",").alias("title_terms"), F.array_join("report_terms", ",").alias("report_terms"), "docs")
@@ -304,7 +304,7 @@ def query_filters(spark, sf_dir):
 @query()
 def retrieve_reports(spark, sf_dir):
     """R14 with R13: filters, BM25, fusion and intent boosts over report passages (tests hold the order)."""
-    docs, passages, asked = _library(spark)
+    docs, passages, asked = _library(spark, sf_dir)
     hits = retrieve.retrieve(asked, passages, docs, top_k=3)
     return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
 
@@ -312,7 +312,7 @@ def retrieve_reports(spark, sf_dir):
 @query()
 def answer_questions(spark, sf_dir):
     """Answers with citations out of the retrieved passages (tests hold the values)."""
-    docs, passages, asked = _library(spark)
+    docs, passages, asked = _library(spark, sf_dir)
     hits = retrieve.retrieve(asked, passages, docs, top_k=3).join(passages, "chunk_id").withColumn("doc_type", F.lit("pdf")).withColumn("published_at", F.lit(None).cast("string"))
     out = answer.answer(asked, hits)
     return out.select("query_id", "answer", "guard_passed", "refusal_reason", "answer_mode", F.coalesce(F.size("citations"), F.lit(0)).alias("n_citations"))
@@ -329,41 +329,41 @@ def all_terms_match(spark, sf_dir):
 
 # ---------------------------------------------------------------- layout and passages
 @query(
-    f"""with t as ({fixtures.TABLES}), l as ({fixtures.PAGE_LINES}),
+    f"""with t as {derived.text('TABLES')}, l as {derived.text('PAGE_LINES')},
     h as (select *, text h from l where regexp_matches(text, '^([一二三四五六七八九十]+、|第[一二三四五六七八九十]+节)') and not regexp_matches(text, '[\\.。·…]{{8,}}\\s*\\d+\\s*$') or text = '财务报告')
     select t.doc_id, t.page, t.table_idx, arg_max(h.h, (h.y, h.seq)) as section from t left join h on h.doc_id = t.doc_id and h.page = t.page and h.y <= t.y0 group by 1, 2, 3"""
 )
 def section_asof(spark, sf_dir):
     """The last heading above each table."""
-    t = spark.sql(fixtures.TABLES).drop("section")
-    return layout.sections_before(spark.sql(fixtures.PAGE_LINES), t).select("doc_id", "page", "table_idx", "section")
+    t = derived.frame(spark, sf_dir, "TABLES").drop("section")
+    return layout.sections_before(derived.frame(spark, sf_dir, "PAGE_LINES"), t).select("doc_id", "page", "table_idx", "section")
 
 
 @query(
-    f"""with t as ({fixtures.TABLES}), b as ({fixtures.BLOCKS})
+    f"""with t as {derived.text('TABLES')}, b as {derived.text('BLOCKS')}
     select doc_id, page, block_id from b where not exists (select 1 from t where t.doc_id = b.doc_id and t.page = b.page
       and greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0)) / greatest((b.x1 - b.x0) * (b.y1 - b.y0), 1) >= 0.35)"""
 )
 def overlap_antijoin(spark, sf_dir):
     """Blocks that no table covers."""
-    return layout.blocks_outside_tables(spark.sql(fixtures.BLOCKS), spark.sql(fixtures.TABLES)).select("doc_id", "page", "block_id")
+    return layout.blocks_outside_tables(derived.frame(spark, sf_dir, "BLOCKS"), derived.frame(spark, sf_dir, "TABLES")).select("doc_id", "page", "block_id")
 
 
 @query(
-    f"""with t as (select *, case when table_title not in ('', '单位：元', '项目') then table_title end s, coalesce(section, '-') k from ({fixtures.TABLES})),
+    f"""with t as (select *, case when table_title not in ('', '单位：元', '项目') then table_title end s, coalesce(section, '-') k from {derived.text('TABLES')}),
     w as (select *, last_value(s ignore nulls) over (partition by doc_id, k order by page, table_idx rows between unbounded preceding and 1 preceding) a,
       last_value(s ignore nulls) over (partition by doc_id order by page, table_idx rows between unbounded preceding and 1 preceding) b from t)
     select doc_id, page, table_idx, coalesce(s, coalesce(a, b) || '（续）', table_title) table_title from w"""
 )
 def title_carry_forward(spark, sf_dir):
     """Weak titles continue strong ones."""
-    return layout.steady_titles(spark.sql(fixtures.TABLES)).select("doc_id", "page", "table_idx", "table_title")
+    return layout.steady_titles(derived.frame(spark, sf_dir, "TABLES")).select("doc_id", "page", "table_idx", "table_title")
 
 
 @query()
 def page_layout(spark, sf_dir):
     """Glued lines, sections, captions and tail sections of pages (tests hold the values)."""
-    rows, t = clean.glued_lines(spark.sql(fixtures.PAGE_LINES)), spark.sql(fixtures.TABLES)
+    rows, t = clean.glued_lines(derived.frame(spark, sf_dir, "PAGE_LINES")), derived.frame(spark, sf_dir, "TABLES")
     rows = rows.join(clean.toc_pages(rows), ["doc_id", "page"], "left_anti")
     sections = layout.page_sections(rows, t)
     tails = layout.tail_sections(t, sections).withColumnRenamed("section", "tail")
@@ -396,16 +396,16 @@ def text_packing(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- facts
-def _facts(spark) -> DataFrame:
+def _facts(spark, sf_dir) -> DataFrame:
     """The fixture's facts with all columns of a fact."""
     none = F.lit(None).cast("string")
-    rows = spark.sql(fixtures.FACTS).withColumns({c: none for c in ("display_name", "term", "value", "previous_value", "citation_title", "table_title", "quality_flag", "scope")})
+    rows = derived.frame(spark, sf_dir, "FACTS").withColumns({c: none for c in ("display_name", "term", "value", "previous_value", "citation_title", "table_title", "quality_flag", "scope")})
     rows = rows.withColumns({"previous_numeric_value": F.lit(None).cast("double"), "change_pct": F.lit(None).cast("double"), "consistency_gap": F.lit(None).cast("double"), "reported_unit": F.lit("万元"), "currency": F.lit("CNY"), "ord": F.lit(0)})
     return rows
 
 
 CHECKED_SQL = f"""
-    f as ({fixtures.FACTS}), amt as (select *, coalesce(normalized_value_cny, numeric_value) v, coalesce(source_page <= 3, false) and {any_of("coalesce(section_title, '')", rules.SUMMARY)} summ from f),
+    f as {derived.text('FACTS')}, amt as (select *, coalesce(normalized_value_cny, numeric_value) v, coalesce(source_page <= 3, false) and {any_of("coalesce(section_title, '')", rules.SUMMARY)} summ from f),
     w as (select doc_id, max(v) filter (metric = 'total_assets') a, max(v) filter (metric = 'total_liabilities') l0, max(v) filter (metric = 'equity_attributable') e,
       bool_or(summ) filter (metric = 'total_assets') sa, bool_or(summ) filter (metric = 'equity_attributable') se from amt group by 1),
     x as (select *, coalesce(a <> 0 and l0 > a * 1.2 and e is not null and sa and se, false) derive from w),
@@ -421,7 +421,7 @@ CHECKED_SQL = f"""
 @query(f"with {CHECKED_SQL} select doc_id, metric, amount as normalized_value_cny, flag quality_flag, g consistency_gap, origin fact_origin, round(conf, 4)::double confidence from checked")
 def balance_sheet_consistency(spark, sf_dir):
     """derived and downgraded facts."""
-    return facts.consistent(_facts(spark)).select("doc_id", "metric", "normalized_value_cny", "quality_flag", "consistency_gap", "fact_origin", "confidence")
+    return facts.consistent(_facts(spark, sf_dir)).select("doc_id", "metric", "normalized_value_cny", "quality_flag", "consistency_gap", "fact_origin", "confidence")
 
 
 @query(
@@ -431,7 +431,7 @@ def balance_sheet_consistency(spark, sf_dir):
 )
 def fundamental_ratios(spark, sf_dir):
     """Ratios of facts that are certain enough."""
-    f = facts.consistent(_facts(spark))
+    f = facts.consistent(_facts(spark, sf_dir))
     return facts.analysis(f, f.select("doc_id").distinct()).select("doc_id", "net_margin", "debt_to_assets", "operating_cashflow_margin", "equity_ratio")
 
 
@@ -442,55 +442,55 @@ def fundamental_ratios(spark, sf_dir):
 )
 def audit_counters(spark, sf_dir):
     """V8: how often metrics are missing, uncertain or derived."""
-    f = facts.consistent(_facts(spark))
+    f = facts.consistent(_facts(spark, sf_dir))
     a = facts.analysis(f, f.select("doc_id").distinct())
     return evaluate.counters(a, missing="missing_metrics", low_confidence="low_confidence_metrics", derived="derived_metrics")
 
 
-def _extracted(spark) -> tuple[DataFrame, DataFrame]:
-    docs = spark.sql(fixtures.REPORTS).withColumn("published_at", F.lit(None).cast("timestamp_ntz"))
-    return docs, facts.extract(docs, spark.sql(fixtures.PASSAGES))
+def _extracted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = derived.frame(spark, sf_dir, "REPORTS").withColumn("published_at", F.lit(None).cast("timestamp_ntz"))
+    return docs, facts.extract(docs, derived.frame(spark, sf_dir, "PASSAGES"))
 
 
 @query()
 def extract_facts(spark, sf_dir):
     """Facts of reports out of passages and raw text (tests hold the values)."""
-    _, f = _extracted(spark)
+    _, f = _extracted(spark, sf_dir)
     return f.select("doc_id", "metric", "term", "value", "numeric_value", "previous_value", "change_pct", "reported_unit", "normalized_value_cny", "source_page", "confidence", "fact_origin", "quality_flag")
 
 
 @query()
 def report_analysis(spark, sf_dir):
     """signals and summaries of reports (tests hold the values)."""
-    docs, f = _extracted(spark)
+    docs, f = _extracted(spark, sf_dir)
     return facts.analysis(f, docs).select("doc_id", "net_margin", "debt_to_assets", F.array_join(F.transform("signals", lambda s: F.concat(s["name"], F.lit("="), s.value)), ",").alias("signals"), F.array_join("missing_metrics", ",").alias("missing"), F.array_join("summary", "|").alias("summary"))
 
 
 @query()
 def artifact_payloads(spark, sf_dir):
     """Both artifacts as JSON."""
-    docs, f = _extracted(spark)
+    docs, f = _extracted(spark, sf_dir)
     return facts.payloads(docs, f)
 
 
 @query()
 def gold_seed(spark, sf_dir):
     """Candidates of the second extractor, raw texts as pages (tests hold the values)."""
-    pages = spark.sql(fixtures.REPORTS).select("doc_id", F.lit(1).alias("page"), F.col("raw_text").alias("text"))
-    pages = pages.unionByName(spark.sql(fixtures.PASSAGES).select("doc_id", F.coalesce("page_number", F.lit(9)).alias("page"), F.col("content").alias("text")))
+    pages = derived.frame(spark, sf_dir, "REPORTS").select("doc_id", F.lit(1).alias("page"), F.col("raw_text").alias("text"))
+    pages = pages.unionByName(derived.frame(spark, sf_dir, "PASSAGES").select("doc_id", F.coalesce("page_number", F.lit(9)).alias("page"), F.col("content").alias("text")))
     return goldseed.candidates(pages).select("doc_id", "metric", "rank", "page", "term", "value", "unit", "numeric_value", "normalized_value_cny", "score")
 
 
 # ---------------------------------------------------------------- store, logs, evaluation
 @query(
-    f"""with o as ({fixtures.OLD}), n as ({fixtures.NEW}), i as (select *, nullif(regexp_extract(title || ' ' || source, '(20\\d{{2}})', 1), '') y,
+    f"""with o as {derived.text('OLD')}, n as {derived.text('NEW')}, i as (select *, nullif(regexp_extract(title || ' ' || source, '(20\\d{{2}})', 1), '') y,
       case {' '.join(f"when contains(lower(title || ' ' || source), '{m}') then '{v}'" for m, v in rules.IDENTITY_MARKERS)} end k from (select * from o union all select * from n)),
     d as (select *, case when y is null and k is null then null else coalesce(y, 'unknown') || ':' || coalesce(k, 'unknown') end ident from i)
     select doc_id, title, source, ticker from d where doc_id > 10 or not exists (select 1 from d m where m.doc_id > 10 and (m.source = d.source or m.title = d.title or (m.ticker = d.ticker and m.ident = d.ident)))"""
 )
 def upsert_identity(spark, sf_dir):
     """New reports take the place of the same ones."""
-    return store.upsert(spark.sql(fixtures.OLD), spark.sql(fixtures.NEW))
+    return store.upsert(derived.frame(spark, sf_dir, "OLD"), derived.frame(spark, sf_dir, "NEW"))
 
 
 @query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate desc nulls last, o_orderkey desc) n from orders) where n = 1")
@@ -508,11 +508,11 @@ def log_recent(spark, sf_dir):
 
 @query(
     f"""select id, label, case when label = 'should_refuse' then contains(answer, '没有足够证据') when label = 'bad_refusal' then not contains(answer, '没有足够证据')
-      when want is null and title is null then answer <> logged else (want is null or contains(answer, want)) and (title is null or title = 'A') end passed from ({fixtures.REVIEWS})"""
+      when want is null and title is null then answer <> logged else (want is null or contains(answer, want)) and (title is null or title = 'A') end passed from {derived.text('REVIEWS')}"""
 )
 def review_replay(spark, sf_dir):
     """V9: reviews against new answers."""
-    rows = spark.sql(fixtures.REVIEWS)
+    rows = derived.frame(spark, sf_dir, "REVIEWS")
     reviews = rows.select("id", "label", F.when(F.col("want").isNotNull(), F.array("want")).alias("expected_answer_contains"), F.col("title").alias("expected_citation_title"), "logged")
     return evaluate.replayed(reviews, rows.select("id", "answer", F.array(F.lit("A"), F.lit("B")).alias("citation_titles")))
 

@@ -10,7 +10,7 @@ from tabulora.operators import elements
 from tabulora.operators.postings import StoredIndex
 from tabulora.plans import derived, rules
 from tabulora.plans.corpus_queries import candidate_sql, row_heading_sql, weak_sql
-from tabulora.plans.queries import BM25_SQL, WS, _asked, _texts, any_of, query, strip_sql
+from tabulora.plans.queries import BM25_SQL, ORACLE_SQL, WS, _asked, _texts, any_of, query, strip_sql
 
 
 # ---------------------------------------------------------------- SQL of lines
@@ -50,7 +50,7 @@ def figure_sql() -> str:
 
 _CELLS = ", ".join(f"[{strip_sql(f"coalesce({a}, '')")}, {strip_sql(f"coalesce({b}, '')")}]" for a, b in (("c1", "c2"), ("c3", "c4")))
 ELEMENTS_SQL = rf"""
-    rl as (select * from {derived.text(derived.PAGE_LINES)}), tb as (select * from {derived.text(derived.PAGE_TABLES)}), bl as (select * from {derived.text(derived.PAGE_BLOCKS)}), im as (select * from {derived.text(derived.PAGE_IMAGES)}),
+    rl as (select * from {derived.text('PAGE_LINES')}), tb as (select * from {derived.text('TABLES')}), bl as (select * from {derived.text('BLOCKS')}), im as (select * from {derived.text('IMAGES')}),
     {glued_sql('rl')},
     hl as (select *, {toc_sql('text')} is_toc, {is_heading_sql('text')} is_head, {heading_sql('text')} head, {report_title_sql('text')} is_title, {candidate_sql('text')} cand from gl),
     toc as (select doc_id, page from hl where is_toc group by 1, 2 having count(*) >= 4),
@@ -88,9 +88,9 @@ ELEMENTS_SQL = rf"""
 
 def report_elements(spark, sf_dir) -> DataFrame:
     """The elements of the derived pages."""
-    f = lambda sql: derived.frame(spark, sf_dir, sql)
-    tables = f(derived.PAGE_TABLES).withColumn("rows", F.array(F.array("c1", "c2"), F.array("c3", "c4")))
-    return elements.elements_of(f(derived.PAGE_LINES), f(derived.PAGE_BLOCKS), tables, f(derived.PAGE_IMAGES))
+    f = lambda name: derived.frame(spark, sf_dir, name)
+    tables = f("TABLES").withColumn("rows", F.array(F.array("c1", "c2"), F.array("c3", "c4")))
+    return elements.elements_of(f("PAGE_LINES"), f("BLOCKS"), tables, f("IMAGES"))
 
 
 @query(f"with recursive {ELEMENTS_SQL} select doc_id, element_seq, element_type, page_number, sha256(content) content_sha256, section_title, table_title, figure_title from es")
@@ -106,6 +106,22 @@ def document_texts(spark, sf_dir):
     return elements.merged_text(report_elements(spark, sf_dir)).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
+# ---------------------------------------------------------------- SQL of queries that stand beside their operators
+ORACLE_SQL["section_asof"] = f"""with t as (select * from {derived.text('TABLES')}), h as (select *, {heading_sql('x')} head from (select doc_id, page, seq, y, text x from {derived.text('PAGE_LINES')}) where {is_heading_sql('x')})
+    select t.doc_id, t.page, t.table_idx, arg_max(head, (h.y, h.seq)) as section from t left join h on h.doc_id = t.doc_id and h.page = t.page and h.y <= t.y0 group by 1, 2, 3"""
+ORACLE_SQL["page_sections"] = f"""with t as (select doc_id, page, min(y0) top from {derived.text('TABLES')} where y0 > 0 group by 1, 2), l as (select * from {derived.text('PAGE_LINES')} left join t using (doc_id, page) where top is null or y < top - 6),
+    n as (select *, row_number() over (partition by doc_id, page order by y, seq) n from l)
+    select doc_id, page, arg_min({heading_sql('text')}, n) as section from n where n <= 40 and {is_heading_sql('text')} group by 1, 2"""
+ORACLE_SQL["title_carry_forward"] = f"""with t as (select *, case when not {weak_sql('table_title')} then table_title end s, coalesce(section, '-') k from {derived.text('TABLES')}),
+    w as (select *, last_value(s ignore nulls) over (partition by doc_id, k order by page, table_idx rows between unbounded preceding and 1 preceding) a,
+      last_value(s ignore nulls) over (partition by doc_id order by page, table_idx rows between unbounded preceding and 1 preceding) b from t)
+    select doc_id, page, table_idx, coalesce(s, coalesce(a, b) || '（续）', table_title) table_title from w"""
+_MARKS = " ".join(f"when contains(lower(title || ' ' || source), '{m}') then '{v}'" for m, v in rules.IDENTITY_MARKERS)
+ORACLE_SQL["upsert_identity"] = f"""with i as (select *, nullif(regexp_extract(title || ' ' || source, '(20\\d{{2}})', 1), '') y, case {_MARKS} end k from (select *, false fresh from {derived.text('OLD')} union all select *, true from {derived.text('NEW')})),
+    d as (select *, case when y is null and k is null then null else coalesce(y, 'unknown') || ':' || coalesce(k, 'unknown') end ident from i), n as (select * from d where fresh)
+    select doc_id, title, source, ticker from d where fresh or not (source in (select source from n) or title in (select title from n) or coalesce((ticker, ident) in (select (ticker, ident) from n where ticker is not null and ident is not null), false))"""
+
+
 # ---------------------------------------------------------------- stored index
 @query(f"with {BM25_SQL} select query_id, doc_id, rank::int rank, round(score, 6) score from kw where rank <= 10")
 def stored_bm25_topk(spark, sf_dir):
