@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tabulora.cut import cut, shared_folder
 from tabulora.operators import elements
+from tabulora.operators.fulltext import full_text
 from tabulora.operators.postings import StoredIndex
 from tabulora.plans import derived, rules
 from tabulora.plans.corpus_queries import candidate_sql, row_heading_sql, weak_sql
-from tabulora.plans.queries import BM25_SQL, ORACLE_SQL, WS, _asked, _texts, any_of, query, strip_sql
+from tabulora.plans.queries import BM25_SQL, LATIN, ORACLE_SQL, WS, _asked, _texts, any_of, query, strip_sql, table
 
 
 # ---------------------------------------------------------------- SQL of lines
@@ -135,3 +136,39 @@ def stored_bm25_topk(spark, sf_dir):
         index.add(texts.where(late))
         hits = cut(index.search(asked, 10))
     return hits.select("query_id", F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""with d as (select doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '{LATIN}') t from documents), q as (select item_id query_id, text qtext, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{LATIN}')) ts from benchmark),
+    m as (select query_id, doc_id, contains(text, qtext) whole, t, ts from q join d on list_has_all(t, ts) where len(ts) > 0),
+    p as (select query_id, doc_id, term, list_transform(list_filter(range(1, len(t) + 1), lambda i: t[i] = term)[1:256], lambda i: least(i, 16383)) ps from (select query_id, doc_id, t, unnest(ts) term from m)),
+    e as (select query_id, doc_id, term, unnest(ps) pos from p),
+    w as (select a.query_id, a.doc_id, 1 - exp(sum(ln(1 - 0.1 * sqrt(case when abs(a.pos - b.pos) > 100 then 1e-30 else 1 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2)) end)))) s
+      from e a join e b on a.query_id = b.query_id and a.doc_id = b.doc_id and a.term < b.term group by 1, 2),
+    o as (select query_id, doc_id, list_sum(list_transform(range(1, len(ps) + 1), lambda k: 0.1 / (k * k))) / 1.64493406685 s from p join m using (query_id, doc_id) where len(ts) = 1),
+    r as (select query_id, doc_id, whole, coalesce(w.s, o.s) s from m left join w using (query_id, doc_id) left join o using (query_id, doc_id))
+    select query_id, doc_id, row_number() over (partition by query_id order by round(s, 9) desc, doc_id)::int rank, round(s + whole::int, 6) score from r"""
+)
+def full_text_ranks(spark, sf_dir):
+    """Documents that hold every token of a benchmark text, ranked by how near the tokens stand."""
+    hits = full_text(_asked(spark, sf_dir), _texts(spark, sf_dir))
+    return hits.select("query_id", F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""with d as (select c_custkey doc_id, list_distinct(['alpha' || c_nationkey, lower(c_mktsegment), 'k' || (c_custkey % 10), case when c_custkey % 3 = 0 then 'gamma' else 'delta' end]) ts, [lower(c_mktsegment), 'alpha' || c_nationkey, 'k' || (c_custkey % 10), case when c_custkey % 3 = 0 then 'gamma' else 'delta' end, lower(c_mktsegment)] t from customer),
+    q as (select n_nationkey query_id, ['alpha' || n_nationkey, case when n_nationkey % 2 = 0 then 'gamma' end] ts0 from nation), q1 as (select query_id, list_filter(ts0, lambda x: x is not null) ts from q),
+    m as (select query_id, doc_id, t, q1.ts from q1 join d on list_has_all(d.t, q1.ts)),
+    e as (select query_id, doc_id, ts, list_position(t, ts[1]) a, list_position(t, ts[2]) b from m),
+    s as (select query_id, doc_id, case when len(ts) = 1 then 0.1 / 1.64493406685 else 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a - b) / 1.5 - 2))) end s from e)
+    select query_id, doc_id, row_number() over (partition by query_id order by round(s, 9) desc, doc_id)::int rank, round(s, 6) score from s qualify rank <= 5"""
+)
+def full_text_short(spark, sf_dir):
+    """Queries of one and two words over short texts made of customers, the best five."""
+    c = table(spark, sf_dir, "customer")
+    alpha, kind = F.concat(F.lit("alpha"), "c_nationkey"), F.lower("c_mktsegment")
+    words = F.array(kind, alpha, F.concat(F.lit("k"), F.col("c_custkey") % 10), F.when(F.col("c_custkey") % 3 == 0, "gamma").otherwise("delta"), kind)
+    texts = c.select(F.col("c_custkey").alias("chunk_id"), F.col("c_custkey").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    # a mark after the words keeps the point for whole queries out
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("? alpha"), "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, " gamma").otherwise("")).alias("query"))
+    return full_text(asked, texts, 5).select("query_id", F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
