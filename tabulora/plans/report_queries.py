@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabulora.cut import cut, shared_folder
 from tabulora.operators import elements
 from tabulora.operators.fulltext import full_text
+from tabulora.operators.neighbors import CELLS, InvertedLists, nearest, recall
 from tabulora.operators.postings import StoredIndex
 from tabulora.plans import derived, rules
 from tabulora.plans.corpus_queries import candidate_sql, row_heading_sql, weak_sql
@@ -172,3 +173,33 @@ def full_text_short(spark, sf_dir):
     # a mark after the words keeps the point for whole queries out
     asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("? alpha"), "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, " gamma").otherwise("")).alias("query"))
     return full_text(asked, texts, 5).select("query_id", F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every 50th vector as a query, and all vectors."""
+    v = table(spark, sf_dir, "embeddings")
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+@query(ORACLE_SQL["cosine_topk"])
+def stored_cosine_topk(spark, sf_dir):
+    """True cosine over stored inverted lists, added in two batches, with all cells searched."""
+    asked, vectors = _vectors(spark, sf_dir)
+    with shared_folder(spark, "vectors") as path:
+        index = InvertedLists(spark, path)
+        index.add(vectors.where("chunk_id % 2 = 0"))
+        index.add(vectors.where("chunk_id % 2 = 1"))
+        hits = cut(index.search(asked, 5, probes=CELLS))
+    return hits.select("query_id", F.col("chunk_id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_index_recall(spark, sf_dir):
+    """Recall of the 10 best in two thirds of the cells (the given vectors have no clusters) against the exact scan, for each query."""
+    asked, vectors = _vectors(spark, sf_dir)
+    with shared_folder(spark, "vectors") as path:
+        index = InvertedLists(spark, path)
+        index.add(vectors)
+        found = index.search(asked, 10, probes=max(4, len(index.centers()) * 2 // 3))
+        out = cut(recall(found, nearest(asked, vectors, 10, true_cosine=True)))
+    return out.select("query_id", F.round("recall", 4).alias("recall"))
