@@ -363,6 +363,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null, number = F.col("id").isNull().alias("z"), F.coalesce("id", F.lit(0)).alias("i")
     first = lead.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("lead").isNull(), F.col("lead").alias("id"), "key")).alias("r"))
     stay = work.write(first.select("r.key", "r.id").select("key", null, number), "stay")
+    # the sets and their links have done their work
+    work.only("stay")
     text = F.coalesce(F.col(text_col), F.lit(""))
     some = text.rlike(r"[^\x20\x09-\x0D]")
     rows = docs.where(some).select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
@@ -373,10 +375,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fields = [F.to_json(f"row.`{f.name}`") if m else F.col(f"row.`{f.name}`") for f, m in zip(docs.schema, maps, strict=True)]
     least = F.min_by("row", F.struct(*fields)) if any(maps) else F.min("row")
     whole = keyed.select("row", "key", null, number).groupBy("key", "z", "i").agg(least.alias("row"))
-    out = whole.join(stay, ["key", "z", "i"], "left_semi").select("row.*").union(docs.where(~some))
-    out = work.write(out, "kept", compression="zstd")
-    work.only("kept")
-    return out
+    return whole.join(stay, ["key", "z", "i"], "left_semi").select("row.*").union(docs.where(~some))
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
