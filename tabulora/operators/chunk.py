@@ -1,13 +1,17 @@
 """Passages out of elements: greedy packing of text, row groups of tables, labels and prefixes.
 
-Packing depends on what was packed before, so it is a fold: `aggregate` over a run's units with a small state. A run is
-what a document has between two tables or images, so a fold's array is part of one document.
+Packing depends on what was packed before, so it is a fold. A run is what a document has between two tables or images; its
+paragraphs come to one task in order and are packed as they pass, with the open passage as the only state.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tabulora.functions.text import SPACE, _col, collapse, has_all, has_any, join_parts, lines, strip
 from tabulora.plans import rules
@@ -20,74 +24,129 @@ def limit_of(section) -> Column:
     return F.when(has_any(F.coalesce(_col(section), F.lit("")), rules.KEY_SECTIONS), KEY_TEXT).otherwise(TEXT)
 
 
-def _units(texts: Column, hard: bool) -> Column:
-    return F.transform(texts, lambda t: F.struct(t.alias("t"), F.lit(hard).alias("hard")))
+# ---------------------------------------------------------------- packing
+def _pack(units: Iterable[tuple[str, bool]], most: int, between: str) -> list[str]:
+    """Joins units (text, hard) while they fit; a hard unit stands alone."""
+    done, held, size = [], [], 0
+    for text, hard in units:
+        joined = size + len(between) + len(text) if held else len(text)
+        if held and (hard or joined > most):
+            done.append(between.join(held))
+            held, joined = [], len(text)
+        if hard:
+            done.append(text)
+        elif text or held:
+            held.append(text)
+            size = joined
+    return [*done, between.join(held)] if held else done
 
 
-def pack(units: Column, most: Column, between: str) -> Column:
-    """Joins units (t, hard) while they fit; a hard unit stands alone."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
+def _split(text: str, marks: str) -> Iterator[str]:
+    for part in re.split(rf"(?<=[{marks}])\s*", text):
+        if part := part.strip():
+            yield part
 
-    def step(s: Column, u: Column) -> Column:
-        held = F.when(s.buf != "", F.array(s.buf)).otherwise(F.array().cast("array<string>"))
-        joined = F.when(s.buf == "", u.t).otherwise(F.concat(s.buf, F.lit(between), u.t))
-        full = (F.length(joined) > most) & (s.buf != "")
-        done = F.when(u.hard, F.concat(s.done, held, F.array(u.t))).when(full, F.concat(s.done, held)).otherwise(s.done)
-        return F.struct(done.alias("done"), F.when(u.hard, F.lit("")).when(full, u.t).otherwise(joined).alias("buf"))
 
-    return F.aggregate(units, empty, step, lambda s: F.concat(s.done, F.when(s.buf != "", F.array(s.buf)).otherwise(F.array().cast("array<string>"))))
+def _clauses(sentence: str, most: int) -> list[str]:
+    """A sentence that is too long, packed by clauses; a clause that is too long in equal pieces."""
 
+    def units() -> Iterator[tuple[str, bool]]:
+        for clause in _split(sentence, "，、：:,"):
+            if len(clause) > most:
+                yield from ((clause[k : k + most], True) for k in range(0, len(clause), most))
+            else:
+                yield clause, False
 
-def _split(text: Column, marks: str) -> Column:
-    parts = F.transform(F.split(text, rf"(?U)(?<=[{marks}]){SPACE}*"), strip)
-    return F.filter(parts, lambda p: p != "")
+    return _pack(units(), most, "")
 
 
-def _pieces(text: Column, most: Column) -> Column:
-    at = F.sequence(F.lit(0), F.ceil(F.length(text) / most).cast("int") - 1)
-    return F.transform(at, lambda i: F.substring(text, i * most + 1, most))
+def text_units(paragraph: str, most: int) -> list[str]:
+    """A paragraph as units of at most `most` characters: whole, by sentences, by clauses, in pieces."""
+    if len(paragraph) <= most:
+        return [paragraph] if paragraph else []
 
+    def units() -> Iterator[tuple[str, bool]]:
+        for sentence in _split(paragraph, "。！？；;"):
+            if len(sentence) > most:
+                yield from ((c, True) for c in _clauses(sentence, most))
+            else:
+                yield sentence, False
 
-def _clauses(sentence: Column, most: Column) -> Column:
-    """A sentence that is too long, packed by clauses; a clause that is too long in equal pieces."""
-    of = F.transform(_split(sentence, "，、：:,"), lambda c: F.when(F.length(c) > most, _units(_pieces(c, most), True)).otherwise(_units(F.array(c), False)))
-    return pack(F.flatten(of), most, "")
+    return _pack(units(), most, " ") or [paragraph]
 
 
-def text_units(text, most: Column) -> Column:
-    """A paragraph as units of at most `most` characters: whole, by sentences, by clauses, in pieces."""
-    paragraph = collapse(text)
-    of = F.transform(_split(paragraph, "。！？；;"), lambda s: F.when(F.length(s) > most, _units(_clauses(s, most), True)).otherwise(_units(F.array(s), False)))
-    packed = pack(F.flatten(of), most, " ")
-    return F.when(paragraph == "", F.array().cast("array<string>")).when((F.length(paragraph) <= most) | (F.size(packed) == 0), F.array(paragraph)).otherwise(packed)
+class _Run:
+    """The passage that is being filled. A new section ends it, but the page stays that of the first paragraph since the
+    last passage that was full."""
 
+    def __init__(self):
+        self.held, self.size, self.section, self.page, self.part = [], 0, None, None, 0
 
-def _fold(units: Column) -> Column:
-    """Passages (section, page, content) of a run's units (t, first, section, page, most).
+    def _end(self, section, page) -> tuple:
+        out = (self.part, section, page, "\n".join(self.held))
+        self.held, self.size, self.part = [], 0, self.part + 1
+        return out
 
-    A new section ends the passage, but the page stays that of the first paragraph since the last passage that was full.
-    """
-    piece = "array<struct<section:string,page:int,content:string>>"
-    start = F.struct(
-        F.array().cast(piece).alias("done"), F.lit("").alias("buf"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("int").alias("page"),
-    )
-    one = lambda section, page, text: F.array(F.struct(section.alias("section"), page.alias("page"), text.alias("content")))
-
-    def step(s: Column, u: Column) -> Column:
-        turn = u.first & s.section.isNotNull() & u.section.isNotNull() & (s.section != u.section) & (s.buf != "")
-        done = F.when(turn, F.concat(s.done, one(s.section, s.page, s.buf))).otherwise(s.done)
-        buf = F.when(turn, F.lit("")).otherwise(s.buf)
-        page = F.coalesce(F.nullif(s.page, F.lit(0)), u.page)
-        joined = F.when(buf == "", u.t).otherwise(F.concat(buf, F.lit("\n"), u.t))
-        full = (F.length(joined) > u.most) & (buf != "")
-        return F.struct(
-            F.when(full, F.concat(done, one(u.section, page, buf))).otherwise(done).alias("done"),
-            F.when(full, u.t).otherwise(joined).alias("buf"),
-            u.section.alias("section"),
-            F.when(full, u.page).otherwise(page).alias("page"),
-        )
-
-    return F.aggregate(units, start, step, lambda s: F.when(s.buf != "", F.concat(s.done, one(s.section, s.page, s.buf))).otherwise(s.done))
+    def add(self, paragraph: str, section: str | None, page: int | None, most: int) -> Iterator[tuple]:
+        for i, unit in enumerate(text_units(paragraph, most)):
+            if not i and self.held and self.section is not None and section is not None and self.section != section:
+                yield self._end(self.section, self.page)
+            self.page = self.page or page
+            joined = self.size + 1 + len(unit) if self.held else len(unit)
+            if self.held and joined > most:
+                yield self._end(section, self.page)
+                self.page, joined = page, len(unit)
+            self.held.append(unit)
+            self.size, self.section = joined, section
+
+    def end(self) -> Iterator[tuple]:
+        if self.held:
+            yield self._end(self.section, self.page)
+
+
+#: Passages that a task holds before it hands them on.
+HELD = 2000
+
+
+def _packed(names: list[str]):
+    """Passages of sorted paragraphs (doc_id, run, seq, section, page, most, text), one run after the other."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, state, rows = None, _Run(), []
+
+        def batch():
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+        types = None
+        for rb in batches:
+            types = types or [rb.schema.field("doc_id").type, rb.schema.field("seq").type, pa.int32(), pa.string(), pa.int32(), pa.string()]
+            for d, r, seq, section, page, most, text in zip(*[rb.column(c).to_pylist() for c in ("doc_id", "run", "seq", "section", "page", "most", "text")], strict=True):
+                if key is None or (d, r) != key[:2]:
+                    rows += [(key[0], key[2], *p) for p in state.end()] if key else []
+                    key, state = (d, r, seq), _Run()
+                rows += [(d, key[2], *p) for p in state.add(text, section, page, most)]
+                if len(rows) >= HELD:
+                    yield batch()
+                    rows = []
+        if key:
+            rows += [(key[0], key[2], *p) for p in state.end()]
+        if rows:
+            yield batch()
+
+    return run
+
+
+def packed_runs(text: DataFrame) -> DataFrame:
+    """(doc_id, seq, part, section, page, content): passages of paragraphs (doc_id, run, element_seq, section, page_number,
+    content). A run's paragraphs are read in order from sorted rows, so none is gathered into one row or one list."""
+    rows = text.select("doc_id", "run", F.col("element_seq").alias("seq"), "section", F.col("page_number").cast("int").alias("page"), limit_of("section").cast("int").alias("most"), collapse("content").alias("text"))
+    rows = rows.repartition("doc_id", "run").sortWithinPartitions("doc_id", "run", "seq")
+    kind = lambda c: rows.schema[c].dataType
+    schema = StructType([StructField("doc_id", kind("doc_id")), StructField("seq", kind("seq")), StructField("part", IntegerType()), StructField("section", StringType()), StructField("page", IntegerType()), StructField("content", StringType())])
+    return rows.mapInArrow(_packed(schema.names), schema)
 
 
 def table_label(text, section, title) -> Column:
@@ -160,14 +219,9 @@ def split_elements(elements: DataFrame) -> DataFrame:
     rows = rows.withColumn("run", F.sum((F.col("element_type") != "text").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     named = F.last(F.nullif("section_title", F.lit("")), ignorenulls=True).over(Window.partitionBy("doc_id", "run").orderBy("element_seq").rowsBetween(Window.unboundedPreceding, 0))
     text = rows.where("element_type = 'text'").withColumn("section", named)
-    most = limit_of("section")
-    unit = lambda t, i: F.struct(t.alias("t"), (i == 0).alias("first"), F.col("section"), F.col("page_number").cast("int").alias("page"), most.alias("most"))
-    text = text.select("doc_id", "run", "element_seq", F.transform(text_units("content", most), unit).alias("u"))
-    of_run = F.array_sort(F.collect_list(F.struct("element_seq", "u")))
-    text = text.groupBy("doc_id", "run").agg(F.min("element_seq").alias("seq"), F.flatten(F.transform(of_run, lambda x: x.u)).alias("u"))
-    text = text.select("doc_id", "seq", F.posexplode(_fold(F.col("u"))).alias("part", "p"))
+    text = packed_runs(text)
     none = F.lit(None).cast("string")
-    text = text.select("doc_id", "seq", "part", F.lit("text").alias("chunk_type"), F.col("p.section").alias("section_title"), none.alias("table_title"), none.alias("figure_title"), F.col("p.page").alias("page_number"), F.col("p.content").alias("content"))
+    text = text.select("doc_id", "seq", "part", F.lit("text").alias("chunk_type"), F.col("section").alias("section_title"), none.alias("table_title"), none.alias("figure_title"), F.col("page").alias("page_number"), "content")
     keep = ["doc_id", F.col("element_seq").alias("seq")]
     tables = table_pieces(rows.where("element_type = 'table'"))
     tables = tables.select(*keep, F.col("piece").alias("part"), F.col("element_type").alias("chunk_type"), "section_title", F.col("title").alias("table_title"), "figure_title", F.col("page_number").cast("int"), F.col("text").alias("content"))

@@ -64,10 +64,8 @@ def term_start(text: Column, flat: Column, term: Column) -> Column:
     """The place (from 1) at which the term begins in the line, white space inside it allowed."""
     direct = F.position(term, text)
     ahead = F.position(term, flat) - 1
-    # the first character of the line before which `ahead` characters are not white space
-    at = F.sequence(F.lit(1), F.length(text))
-    spaced = F.filter(at, lambda i: (F.length(F.regexp_replace(F.substring(text, F.lit(1), i - 1), rf"(?U){SPACE}+", "")) == ahead) & ~F.substring(text, i, F.lit(1)).rlike(rf"(?U){SPACE}"))
-    return F.when(direct > 0, direct).when(ahead >= 0, F.try_element_at(spaced, F.lit(1)))
+    spaced = F.array_join(F.transform(F.split(term, ""), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))), rf"{SPACE}*")
+    return F.when(direct > 0, direct).when(ahead >= 0, F.regexp_instr(text, F.concat(F.lit("(?Ui)"), spaced)))
 
 
 def is_statement_row(text: Column, flat: Column, term: Column) -> Column:

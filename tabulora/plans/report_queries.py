@@ -12,7 +12,7 @@ from tabulora.operators.neighbors import CELLS, InvertedLists, nearest, recall
 from tabulora.operators.postings import StoredIndex
 from tabulora.plans import derived, rules
 from tabulora.plans.corpus_queries import candidate_sql, row_heading_sql, weak_sql
-from tabulora.plans.queries import BM25_SQL, LATIN, ORACLE_SQL, WS, _asked, _texts, any_of, query, strip_sql, table
+from tabulora.plans.queries import BM25_SQL, EOL, LATIN, NOISE, ORACLE_SQL, WS, _asked, _texts, any_of, query, strip_sql, table
 
 
 # ---------------------------------------------------------------- SQL of lines
@@ -203,3 +203,29 @@ def vector_index_recall(spark, sf_dir):
         found = index.search(asked, 10, probes=max(4, len(index.centers()) * 2 // 3))
         out = cut(recall(found, nearest(asked, vectors, 10, true_cosine=True)))
     return out.select("query_id", F.round("recall", 4).alias("recall"))
+
+
+def _pack_sql(units: str, between: str) -> str:
+    """Greedy packing of a list of (t, hard)."""
+    most, step = 420, f"a.b || {between} || b.b"
+    flush = "case when a.b <> '' then list_append(a.d, a.b) else a.d end"
+    fold = f"""list_reduce(list_transform({units}, lambda u: {{'d': []::varchar[], 'b': u.t, 'h': u.hard}}), lambda a, b: case when b.h then {{'d': list_append({flush}, b.b), 'b': '', 'h': false}}
+        when a.b = '' then {{'d': a.d, 'b': b.b, 'h': false}} when length({step}) > {most} then {{'d': list_append(a.d, a.b), 'b': b.b, 'h': false}} else {{'d': a.d, 'b': {step}, 'h': false}} end, {{'d': []::varchar[], 'b': '', 'h': false}})"""
+    return f"(case when len({units}) = 0 then []::varchar[] else list_transform([{fold}], lambda r: case when r.b <> '' then list_append(r.d, r.b) else r.d end)[1] end)"
+
+
+def _split_sql(x: str, marks: str) -> str:
+    return rf"list_filter(list_transform(string_split(regexp_replace({x}, '([{marks}]){WS}*', '\1' || chr(1), 'g'), chr(1)), lambda y: {strip_sql('y')}), lambda y: y <> '')"
+
+
+_CLAUSES = _pack_sql(f"flatten(list_transform({_split_sql('s', '，、：:,')}, lambda c: case when length(c) > 420 then list_transform(range(0, (length(c) + 419) // 420), lambda k: {{'t': substr(c, (k * 420 + 1)::int, 420), 'hard': true}}) else [{{'t': c, 'hard': false}}] end))", "''")
+ORACLE_SQL["text_packing"] = f"""with l as (select doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '{EOL}'), lambda x: {strip_sql('x')}), lambda x: x <> '') ls from documents),
+    c as (select doc_id, trim(regexp_replace(array_to_string(list_filter(ls, lambda x: not {NOISE}), chr(10)), '{WS}+', ' ', 'g')) p from l),
+    s as (select doc_id, p, unnest(case when length(p) > 420 then list_transform({_split_sql('p', '。！？；;')}, lambda s, i: {{'s': s, 'i': i}}) else [{{'s': p, 'i': 1}}] end) x from c where p <> ''),
+    v as (select doc_id, p, x.s s, x.i i from s),
+    k as (select doc_id, p, i, case when length(p) > 420 and length(s) > 420 then list_transform({_CLAUSES}, lambda t: {{'t': t, 'hard': true}}) else [{{'t': s, 'hard': false}}] end u from v),
+    g as (select doc_id, any_value(p) p, flatten(list(u order by i)) us from k group by 1),
+    h as (select doc_id, list_transform(case when length(p) <= 420 then [p] else {_pack_sql('us', "' '")} end, lambda t: {{'t': t, 'hard': false}}) un from g),
+    f as (select doc_id, {_pack_sql('un', 'chr(10)')} ps from h),
+    o as (select doc_id, unnest(list_transform(ps, lambda t, i: {{'t': {strip_sql('t')}, 'i': i}})) z from f)
+    select doc_id, (z.i - 1)::int chunk_index, length(z.t)::int token_count, sha256(z.t) content_sha256 from o"""
