@@ -23,12 +23,20 @@ def parse_cases(cases: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def chunk_cases(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """cases (name, doc_id, min_chunks, max_chunk_length, required_keyword) with sizes of passages and passed."""
+    """cases (name, doc_id, min_chunks, max_chunk_length, required_keyword, and maybe min_chunk_counts: a map from kinds of
+    passages to numbers) with sizes of passages and passed."""
     joined = cases.select("name", "doc_id", "required_keyword").join(chunks, "doc_id", "left")
     size = F.length("content")
     n = joined.groupBy("name").agg(F.count("chunk_index").alias("n_chunks"), F.max(size).alias("longest"), F.round(F.avg(size), 2).alias("mean_length"), F.max(F.coalesce(F.contains("content", "required_keyword"), F.col("required_keyword").isNull())).alias("found"))
     rows = cases.join(n, "name")
     ok = (F.col("n_chunks") >= F.coalesce("min_chunks", F.lit(0))) & (F.coalesce("longest", F.lit(0)) <= F.coalesce("max_chunk_length", F.lit(1 << 30))) & F.coalesce("found", F.lit(False))
+    if "min_chunk_counts" in cases.columns:
+        # a row for each kind that a case asks for
+        wanted = cases.select("name", "doc_id", F.explode("min_chunk_counts").alias("chunk_type", "least"))
+        have = chunks.groupBy("doc_id", "chunk_type").agg(F.count("*").alias("have"))
+        few = wanted.join(have, ["doc_id", "chunk_type"], "left").where(F.coalesce("have", F.lit(0)) < F.col("least")).select("name").distinct().withColumn("_few", F.lit(True))
+        rows = rows.join(few, "name", "left")
+        ok &= F.col("_few").isNull()
     return rows.select("name", "doc_id", "n_chunks", "longest", "mean_length", ok.alias("passed"))
 
 
@@ -70,6 +78,19 @@ def fact_cases(expected: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.select("doc_id", "metric", (F.col("_value").isNotNull() & same("value") & sure & same("source_page") & same("quality_flag") & same("fact_origin")).alias("passed"))
 
 
+def report_cases(cases: DataFrame, infos: DataFrame, analysed: DataFrame) -> DataFrame:
+    """(doc_id, passed) of cases (doc_id, expected_report_period, expected_derived_metrics: the whole list, in order,
+    expected_usable: a map from raw_metrics, derived_metrics and excluded_metrics to what each must hold); nulls are not
+    checked. infos: (doc_id, report_period); analysed: facts.analysis."""
+    rows = cases.join(infos.select("doc_id", "report_period"), "doc_id", "left").join(analysed.select("doc_id", "raw_metrics", "derived_metrics", "excluded_metrics"), "doc_id", "left")
+    none = F.array().cast("array<string>")
+    of = F.create_map(*[x for c in ("raw_metrics", "derived_metrics", "excluded_metrics") for x in (F.lit(c), F.coalesce(c, none))])
+    held = F.forall(F.coalesce(F.map_entries("expected_usable"), F.array().cast("array<struct<key:string,value:array<string>>>")), lambda e: F.size(F.array_except(e.value, F.coalesce(F.try_element_at(of, e.key), none))) == 0)
+    period = F.col("expected_report_period").isNull() | F.coalesce(F.col("report_period") == F.col("expected_report_period"), F.lit(False))
+    derived = F.col("expected_derived_metrics").isNull() | (F.coalesce("derived_metrics", none) == F.col("expected_derived_metrics"))
+    return rows.select("doc_id", (period & derived & held).alias("passed"))
+
+
 def gold_fields(gold: DataFrame, facts: DataFrame) -> DataFrame:
     """gold (doc_id, metric, value, expected_numeric_value, expected_normalized_value_cny) with correct: by number
     (1e-9 for eps, 1e-6 for amounts), else by text."""

@@ -237,11 +237,11 @@ def document_list(spark, sf_dir):
     return out.select("doc_id", "chunk_count", F.array_join("artifact_types", ",").alias("artifact_types"))
 
 
-@query("select c_custkey doc_id from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select doc_id from documents where doc_id not in (select doc_id from labels) or doc_id % 50 = 0")
 def store_copy(spark, sf_dir):
-    """What one store has and the other has not."""
-    source = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("source"))
-    return store.copied(source, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"))).select("doc_id")
+    """Documents that a second store lacks: it has the labelled ones, but for every 50th."""
+    source = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s"), "doc_id").alias("source"))
+    return store.copied(source, table(spark, sf_dir, "labels").where("doc_id % 50 <> 0").select(F.concat(F.lit("s"), "doc_id").alias("source"))).select("doc_id")
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -261,13 +261,13 @@ def parse_cases(spark, sf_dir):
 
 @query(
     """select conv_id doc_id, count(*)::bigint n_chunks, max(length(coalesce(text, '')))::int longest, round(avg(length(coalesce(text, ''))), 2) mean_length,
-      count(*) >= 3 and max(length(coalesce(text, ''))) <= 400 and bool_or(contains(coalesce(text, ''), 'a')) passed from conversations group by 1"""
+      count(*) >= 3 and max(length(coalesce(text, ''))) <= 3000 and bool_or(contains(coalesce(text, ''), 'a')) and count(*) filter (role = 'user') >= 2 passed from conversations group by 1"""
 )
 def chunk_cases(spark, sf_dir):
     """V2: turns as passages: their number, their sizes and a word that must be there."""
     turns = _turns(spark, sf_dir)
-    cases = turns.select("doc_id").distinct().select("doc_id", F.col("doc_id").cast("string").alias("name"), F.lit(3).alias("min_chunks"), F.lit(400).alias("max_chunk_length"), F.lit("a").alias("required_keyword"))
-    return evaluate.chunk_cases(cases, turns.withColumnRenamed("turn", "chunk_index")).drop("name")
+    cases = turns.select("doc_id").distinct().select("doc_id", F.col("doc_id").cast("string").alias("name"), F.lit(3).alias("min_chunks"), F.lit(3000).alias("max_chunk_length"), F.lit("a").alias("required_keyword"), F.create_map(F.lit("user"), F.lit(2)).alias("min_chunk_counts"))
+    return evaluate.chunk_cases(cases, turns.withColumnsRenamed({"turn": "chunk_index", "role": "chunk_type"})).drop("name")
 
 
 @query(

@@ -32,7 +32,13 @@ def ingest(new: DataFrame, documents: Table, chunks: Table) -> None:
     """Adds documents (source, title, doc_type, text), in place of those that they replace, with their passages."""
     rows = described(new.withColumn("doc_id", F.abs(F.xxhash64("source"))))
     parts = chunked(rows.select("doc_id", F.col("raw_text").alias("text"))).withColumn("chunk_id", F.abs(F.xxhash64("doc_id", "chunk_index")))
+    base = documents.version()
     old = documents.read()
     left = kept(old, rows)
-    documents.replace(left.unionByName(rows, allowMissingColumns=True))
+    if old.join(left.select("doc_id"), "doc_id", "left_anti").isEmpty():
+        # nothing to take out: new files beside the old ones
+        documents.append(rows)
+        chunks.append(parts)
+        return
     chunks.replace(chunks.read().join(left.select("doc_id"), "doc_id", "left_semi").unionByName(parts, allowMissingColumns=True))
+    documents.replace(left.unionByName(rows, allowMissingColumns=True), base=base)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulora import surface
 from tabulora.cut import cut, shared_folder
-from tabulora.operators import elements
+from tabulora.operators import clean, elements, evaluate
 from tabulora.operators.fulltext import full_text
 from tabulora.operators.neighbors import CELLS, InvertedLists, nearest, recall
 from tabulora.operators.postings import StoredIndex
@@ -229,3 +230,26 @@ ORACLE_SQL["text_packing"] = f"""with l as (select doc_id, list_filter(list_tran
     f as (select doc_id, {_pack_sql('un', 'chr(10)')} ps from h),
     o as (select doc_id, unnest(list_transform(ps, lambda t, i: {{'t': {strip_sql('t')}, 'i': i}})) z from f)
     select doc_id, (z.i - 1)::int chunk_index, length(z.t)::int token_count, sha256(z.t) content_sha256 from o"""
+
+
+@query(ORACLE_SQL["text_packing"].replace("length(z.t)::int token_count, sha256(z.t) content_sha256", "sha256(z.t) content_sha256"))
+def split_passages_sql(spark, sf_dir):
+    """2.13: passages of every document by the table function, from SQL."""
+    surface.register(spark)
+    rows = table(spark, sf_dir, "documents").select("doc_id", clean.clean_text(F.coalesce("text", F.lit(""))).alias("text"))
+    return spark.sql("select c.doc_id, p.chunk_index, sha2(p.content, 256) content_sha256 from {c} c, lateral split_passages(c.text, null) p", c=rows)
+
+
+@query(
+    """select doc_id, coalesce(quality = 1, false) and n_chars >= 200 passed from documents left join (select doc_id, max(quality) quality from labels group by 1) using (doc_id) where doc_id is not null"""
+)
+def report_cases(spark, sf_dir):
+    """V5: documents as reports: the label as the period, derived metrics of those that are long."""
+    docs, labels = table(spark, sf_dir, "documents").where("doc_id is not null"), table(spark, sf_dir, "labels")
+    none = F.array().cast("array<string>")
+    infos = labels.groupBy("doc_id").agg(F.max("quality").cast("string").alias("report_period"))
+    made = F.when(F.coalesce(F.col("n_chars") >= 200, F.lit(False)), F.array(F.lit("a"), F.lit("b"))).otherwise(none)
+    analysed = docs.select("doc_id", made.alias("raw_metrics"), made.alias("derived_metrics"), none.alias("excluded_metrics"))
+    usable = F.create_map(F.lit("raw_metrics"), F.array(F.lit("b")))
+    cases = docs.select("doc_id", F.lit("1").alias("expected_report_period"), F.array(F.lit("a"), F.lit("b")).alias("expected_derived_metrics"), usable.alias("expected_usable"))
+    return evaluate.report_cases(cases, infos, analysed)

@@ -53,11 +53,11 @@ def stock_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_quarterly(files: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """(code, path) of the newest report of files (path) named code_name_year_Q1报.pdf or …Q3报.pdf, by year and quarter."""
+    """(code, path) of the newest report of files (path) whose names end in _Q1报.pdf or _Q3报.pdf, by the first year that
+    the name holds and the quarter. The code is the six digits at the name's start, or empty."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    pattern = r"^(\d{6})?.*?(20\d{2})[_-]?Q([13])报\.pdf$"
-    rows = files.withColumn("n", name).where(F.col("n").rlike(r"_Q[13]报\.pdf$"))
-    rows = rows.select("path", F.regexp_extract("n", pattern, 1).alias("code"), F.struct(F.regexp_extract("n", pattern, 2).alias("y"), F.regexp_extract("n", pattern, 3).alias("q"), "path").alias("k"))
+    quarter = F.regexp_extract(name, r"_Q([13])报\.pdf$", 1)
+    rows = files.where(quarter != "").select("path", F.regexp_extract(name, r"^(\d{6})", 1).alias("code"), F.struct(F.regexp_extract(name, r"(20\d{2})", 1).alias("y"), quarter.alias("q"), "path").alias("k"))
     rows = rows if codes is None else rows.join(codes, "code", "left_semi")
     return rows.groupBy("code").agg(F.max_by("path", "k").alias("path"))
 
