@@ -435,3 +435,11 @@ def test_vectors_by_a_client(spark):
         embed.remote(rows, "chunk_id", "t", lambda ts: []).collect()
     out = embed.indexed(spark.sql(fixtures.PASSAGES).join(spark.sql(fixtures.REPORTS).select("doc_id", "title", "company", "ticker"), "doc_id"), dim=16)
     assert out.count() == 7 and out.where("size(embedding) = 16 and tokenized_text <> ''").count() == 7
+
+
+def test_names_of_any_length(spark):
+    long = "很长的公司名称" * 20
+    docs = spark.createDataFrame([(1, f"{long}题_2026_年报", "s", long, None), (2, "短_2026", "s", "短", None)], "doc_id long, title string, source string, company string, ticker string")
+    asked = spark.createDataFrame([(1, f"请问{long}题的收入"), (2, "短"), (3, ""), (4, "无关")], "query_id long, query string")
+    got = {r.query_id: (r.company, list(r.title_terms)) for r in retrieve.query_metadata(asked, docs).collect()}
+    assert got == {1: (long, [f"{long}题"]), 2: ("短", []), 3: (None, []), 4: (None, [])}
