@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -60,7 +61,7 @@ def _clauses(sentence: str, most: int) -> list[str]:
     return _pack(units(), most, "")
 
 
-def text_units(paragraph: str, most: int) -> list[str]:
+def units_of(paragraph: str, most: int) -> list[str]:
     """A paragraph as units of at most `most` characters: whole, by sentences, by clauses, in pieces."""
     if len(paragraph) <= most:
         return [paragraph] if paragraph else []
@@ -75,6 +76,15 @@ def text_units(paragraph: str, most: int) -> list[str]:
     return _pack(units(), most, " ") or [paragraph]
 
 
+def text_units(text, most: Column) -> Column:
+    """The units of a paragraph as a Column."""
+
+    def run(paragraphs: pd.Series, limits: pd.Series) -> pd.Series:
+        return pd.Series([units_of(p or "", int(m)) for p, m in zip(paragraphs, limits, strict=True)])
+
+    return F.pandas_udf(run, "array<string>")(collapse(text), most)
+
+
 class _Run:
     """The passage that is being filled. A new section ends it, but the page stays that of the first paragraph since the
     last passage that was full."""
@@ -88,7 +98,7 @@ class _Run:
         return out
 
     def add(self, paragraph: str, section: str | None, page: int | None, most: int) -> Iterator[tuple]:
-        for i, unit in enumerate(text_units(paragraph, most)):
+        for i, unit in enumerate(units_of(paragraph, most)):
             if not i and self.held and self.section is not None and section is not None and self.section != section:
                 yield self._end(self.section, self.page)
             self.page = self.page or page

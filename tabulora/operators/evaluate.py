@@ -69,17 +69,17 @@ def pass_rate(checked: DataFrame) -> DataFrame:
 
 
 def fact_cases(expected: DataFrame, facts: DataFrame) -> DataFrame:
-    """expected (doc_id, metric, value, min_confidence, source_page, quality_flag, fact_origin) with passed; nulls are
-    not checked."""
+    """expected (doc_id, metric, value, min_confidence, source_page, quality_flag, fact_origin, maybe case_id) with passed;
+    nulls are not checked."""
     have = facts.select("doc_id", "metric", *[F.col(c).alias(f"_{c}") for c in ("value", "confidence", "source_page", "quality_flag", "fact_origin")])
     rows = expected.join(have, ["doc_id", "metric"], "left")
     same = lambda c: F.col(c).isNull() | F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))
     sure = F.col("min_confidence").isNull() | F.coalesce(F.col("_confidence") >= F.col("min_confidence"), F.lit(False))
-    return rows.select("doc_id", "metric", (F.col("_value").isNotNull() & same("value") & sure & same("source_page") & same("quality_flag") & same("fact_origin")).alias("passed"))
+    return rows.select("doc_id", *[c for c in ("case_id",) if c in expected.columns], "metric", (F.col("_value").isNotNull() & same("value") & sure & same("source_page") & same("quality_flag") & same("fact_origin")).alias("passed"))
 
 
 def report_cases(cases: DataFrame, infos: DataFrame, analysed: DataFrame) -> DataFrame:
-    """(doc_id, passed) of cases (doc_id, expected_report_period, expected_derived_metrics: the whole list, in order,
+    """(doc_id, passed, and case_id if cases have one) of cases (doc_id, expected_report_period, expected_derived_metrics: the whole list, in order,
     expected_usable: a map from raw_metrics, derived_metrics and excluded_metrics to what each must hold); nulls are not
     checked. infos: (doc_id, report_period); analysed: facts.analysis."""
     rows = cases.join(infos.select("doc_id", "report_period"), "doc_id", "left").join(analysed.select("doc_id", "raw_metrics", "derived_metrics", "excluded_metrics"), "doc_id", "left")
@@ -88,7 +88,7 @@ def report_cases(cases: DataFrame, infos: DataFrame, analysed: DataFrame) -> Dat
     held = F.forall(F.coalesce(F.map_entries("expected_usable"), F.array().cast("array<struct<key:string,value:array<string>>>")), lambda e: F.size(F.array_except(e.value, F.coalesce(F.try_element_at(of, e.key), none))) == 0)
     period = F.col("expected_report_period").isNull() | F.coalesce(F.col("report_period") == F.col("expected_report_period"), F.lit(False))
     derived = F.col("expected_derived_metrics").isNull() | (F.coalesce("derived_metrics", none) == F.col("expected_derived_metrics"))
-    return rows.select("doc_id", (period & derived & held).alias("passed"))
+    return rows.select("doc_id", *[c for c in ("case_id",) if c in cases.columns], (period & derived & held).alias("passed"))
 
 
 def gold_fields(gold: DataFrame, facts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulora.functions import numbers
+from tabulora.functions.metadata import period
 from tabulora.functions.text import LINE_END, SPACE, first_match, has_any, strip, total
 from tabulora.plans import rules
 
@@ -79,3 +80,17 @@ def corrected(gold: DataFrame, patches: DataFrame) -> DataFrame:
     p = patches.select("doc_id", "metric", *[F.col(c).alias(f"_{c}") for c in fields if c in patches.columns])
     rows = gold.join(p, ["doc_id", "metric"], "left")
     return rows.select("doc_id", "metric", *[F.coalesce(f"_{c}", c).alias(c) if c in patches.columns else F.col(c) for c in fields])
+
+
+def long_rows(best: DataFrame, documents: DataFrame) -> DataFrame:
+    """The first candidate of each metric as a row for people to look through: document_title, metric, value, unit,
+    normalized_value_cny, page, term, score, line."""
+    rows = best.where("rank = 1").join(documents.select("doc_id", F.col("title").alias("document_title")), "doc_id")
+    return rows.select("document_title", "metric", "value", "unit", "normalized_value_cny", "page", "term", "score", "line")
+
+
+def fact_cases(best: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_title, expected_report_period, expected_metrics): every document as a case, without metrics if none was
+    found."""
+    rows = documents.select("doc_id", F.col("title").alias("document_title"), period("title", "source")[0].alias("expected_report_period"))
+    return rows.join(seed_cases(best), "doc_id", "left").drop("doc_id")

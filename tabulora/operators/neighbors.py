@@ -116,14 +116,14 @@ def ranked(scored: DataFrame, top_k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, top_k: int, true_cosine: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, top_k: int, true_cosine: bool = False, block: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the top_k vectors (chunk_id, embedding) for each query (query_id, embedding).
 
     By dot product with positive scores only, or by cosine with all. Blocks of queries go to all executors while they
-    are small (their bytes are counted); more of them meet the packs pair by pair.
+    are small (their bytes are counted); more of them meet the packs pair by pair. block: queries of a block.
     """
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("embedding").cast("long")), F.lit(0)).alias("values")).first()
-    of = blocks(queries, n=size.n // BLOCK + 1)
+    of = blocks(queries, n=size.n // (block or BLOCK) + 1)
     of = F.broadcast(of) if size["values"] * 8 <= SHIPPED else of
     # no equality, which would send all vectors of a dimension to one task
     pairs = packed(vectors, "chunk_id", "embedding").join(of, (F.col("dim") >= F.col("q_dim")) & (F.col("dim") <= F.col("q_dim")))

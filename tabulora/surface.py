@@ -33,7 +33,7 @@ class TextUnits:
     """The units of at most so many characters that a paragraph is packed from."""
 
     def eval(self, text: str, most: int) -> Iterator[tuple[int, str]]:
-        yield from enumerate(chunk.text_units(" ".join((text or "").split()), most), start=1)
+        yield from enumerate(chunk.units_of(" ".join((text or "").split()), most), start=1)
 
 
 def register(spark: SparkSession) -> None:

@@ -12,10 +12,10 @@ def test_table_functions(spark):
     text = "营业收入增长。" * 200
     spark.createDataFrame([(1, text, None), (2, text, "风险提示"), (3, None, None), (4, " a \n b ", None)], "id int, text string, section string").createOrReplaceTempView("t")
     got = spark.sql("select t.id, p.chunk_index, p.content from t, lateral split_passages(t.text, t.section) p").collect()
-    assert [r.content for r in got if r.id == 1] == chunk.text_units(text, chunk.TEXT) and [r.content for r in got if r.id == 2] == chunk.text_units(text, chunk.KEY_TEXT)
+    assert [r.content for r in got if r.id == 1] == chunk.units_of(text, chunk.TEXT) and [r.content for r in got if r.id == 2] == chunk.units_of(text, chunk.KEY_TEXT)
     assert [tuple(r) for r in got if r.id > 2] == [(4, 0, "a b")]
     units = spark.sql("select u.* from t, lateral text_units(t.text, 420) u where t.id = 1 order by n").collect()
-    assert [r.unit for r in units] == chunk.text_units(text, 420)
+    assert [r.unit for r in units] == chunk.units_of(text, 420)
 
 
 def test_views(spark):
