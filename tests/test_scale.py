@@ -24,3 +24,9 @@ def test_equal_questions_are_searched_once(spark, monkeypatch):
         got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, r.score, tuple(r.reasons))
     assert seen == [6]
     assert all(got[k] == got[k + 100] == got[k + 200] for k in (1, 2, 3, 4, 6)) and got[2][1][0] == 21
+
+
+def test_questions_without_words_keep_out(spark):
+    asked = spark.createDataFrame([(1, None), (2, None), (3, ""), (4, "招商银行 总资产"), (5, "招商银行  总资产")], "query_id long, query string")
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieve.retrieve(asked, *library(spark), top_k=1).collect()}
+    assert got == {(4, 1): 21, (5, 1): 21}
