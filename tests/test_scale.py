@@ -30,3 +30,11 @@ def test_questions_without_words_keep_out(spark):
     asked = spark.createDataFrame([(1, None), (2, None), (3, ""), (4, "招商银行 总资产"), (5, "招商银行  总资产")], "query_id long, query string")
     got = {(r.query_id, r["rank"]): r.chunk_id for r in retrieve.retrieve(asked, *library(spark), top_k=1).collect()}
     assert got == {(4, 1): 21, (5, 1): 21}
+
+
+def test_filters_that_queries_share_are_met_once(spark):
+    _, docs = library(spark)
+    meta = retrieve.query_metadata(asked_twice(spark), docs)
+    assert {r.query_id for r in meta.where(retrieve.filter_key().isNull()).collect()} == {k + d for k in (4, 5, 6) for d in (0, 100, 200)}
+    assert retrieve.key_scopes(meta, docs).count() == 3
+    assert {(r.query_id % 100, r.doc_id) for r in retrieve.scopes(meta, docs).collect()} == {(1, 1), (2, 2), (3, 1)} and retrieve.scopes(meta, docs).count() == 9
