@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulora.functions.text import LINE_END, _col, collapse, found, has_any, lines, matches, starts_any, strip
+from tabulora.functions.text import LINE_END, _col, collapse, found, has_any, let, lines, matches, starts_any, strip
 from tabulora.plans import rules
 
 
@@ -31,9 +31,9 @@ def is_toc_line(line) -> Column:
     return found(line, rules.TOC_TAIL)
 
 
-def toc_pages(page_lines: DataFrame) -> DataFrame:
-    """(doc_id, page) of the pages with at least four lines of contents."""
-    return page_lines.where(is_toc_line("text")).groupBy("doc_id", "page").count().where("count >= 4").select("doc_id", "page")
+def toc_pages(page_lines: DataFrame, mark: str | None = None) -> DataFrame:
+    """(doc_id, page) of the pages with at least four lines of contents; mark: a column that says which lines are."""
+    return page_lines.where(F.col(mark) if mark else is_toc_line("text")).groupBy("doc_id", "page").count().where("count >= 4").select("doc_id", "page")
 
 
 def is_report_title(line) -> Column:
@@ -46,10 +46,12 @@ def is_row_heading(line) -> Column:
 
 
 def is_section_heading(line) -> Column:
-    line = _col(line)
-    number = matches(line, r"\d+\s*/\s*\d+") | matches(line, r"\d+(?:\.\d+)?%?")
-    barred = (F.length(line) > 120) | is_report_title(line) | is_toc_line(line) | number | is_row_heading(line)
-    return ~barred & (has_any(line, rules.SECTION_WORDS) | found(line, rules.STRONG_HEADING))
+    def of(line: Column) -> Column:
+        number = matches(line, r"\d+\s*/\s*\d+") | matches(line, r"\d+(?:\.\d+)?%?")
+        barred = (F.length(line) > 120) | is_report_title(line) | is_row_heading(line) | is_toc_line(line) | number
+        return (has_any(line, rules.SECTION_WORDS) | found(line, rules.STRONG_HEADING)) & ~barred
+
+    return let(line, of)
 
 
 def is_open_heading(line) -> Column:
@@ -59,8 +61,7 @@ def is_open_heading(line) -> Column:
 
 def heading(line) -> Column:
     """A heading in normal form: one space between words, a numbered sentence only up to its first stop."""
-    h = collapse(line)
-    return F.substring(F.when(found(h, r"^\d+\.(?!\d)"), strip(F.element_at(F.split(h, "[。；;:：]", 2), 1))).otherwise(h), 1, 120)
+    return let(collapse(line), lambda h: F.substring(F.when(found(h, r"^\d+\.(?!\d)"), strip(F.element_at(F.split(h, "[。；;:：]", 2), 1))).otherwise(h), 1, 120))
 
 
 def bare_title(text) -> Column:
@@ -69,16 +70,17 @@ def bare_title(text) -> Column:
 
 def title_candidate(text) -> Column:
     """A title of 4 to 40 characters that is more than a number, else empty."""
-    t = bare_title(text)
-    return F.when((F.length(t) < 4) | matches(t, r"[\d,.\-/]+"), F.lit("")).otherwise(F.substring(t, 1, 40))
+    return let(bare_title(text), lambda t: F.when((F.length(t) < 4) | matches(t, r"[\d,.\-/]+"), F.lit("")).otherwise(F.substring(t, 1, 40)))
 
 
 def is_weak_title(title) -> Column:
     """A title that does not name its table."""
-    t = bare_title(F.coalesce(_col(title), F.lit("")))
-    unit = starts_any(t, ["单位：", "单位:", "币种：", "币种:"])
-    boxes = matches(t, r"[√□]?(?:适用)?[√□]?(?:不适用)?")
-    return (t == "") | t.isin(rules.GENERIC_TITLES) | unit | boxes | matches(t, r"[\d,.\-/]+") | is_row_heading(t) | matches(t, r"[（(]?\d+[）)].*")
+    def of(t: Column) -> Column:
+        unit = starts_any(t, ["单位：", "单位:", "币种：", "币种:"])
+        boxes = matches(t, r"[√□]?(?:适用)?[√□]?(?:不适用)?")
+        return (t == "") | t.isin(rules.GENERIC_TITLES) | unit | boxes | matches(t, r"[\d,.\-/]+") | is_row_heading(t) | matches(t, r"[（(]?\d+[）)].*")
+
+    return let(bare_title(F.coalesce(_col(title), F.lit(""))), of)
 
 
 def titles(line_array, head: str) -> Column:

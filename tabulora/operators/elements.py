@@ -56,10 +56,10 @@ def table_elements(rows: DataFrame, tables: DataFrame, states: DataFrame, headed
 def elements_of(lines: DataFrame, blocks: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
     """(doc_id, element_seq, element_type, content, page_number, section_title, table_title, figure_title): on each page its
     text, then tables, then images."""
-    rows = cut(clean.glued_lines(lines.select("doc_id", "page", "y", "seq", "text")))
+    rows = cut(layout.marked(clean.glued_lines(lines.select("doc_id", "page", "y", "seq", "text"))))
     place = ["doc_id", "page"]
     pages = lines.select(*place).union(blocks.select(*place)).union(tables.select(*place)).union(images.select(*place)).distinct()
-    toc = clean.toc_pages(rows)
+    toc = clean.toc_pages(rows, "toc")
     full = tables.select(*place, "table_idx", F.coalesce("y0", F.lit(0.0)).alias("y0"), layout.table_text(F.coalesce("rows", F.array().cast("array<array<string>>"))).alias("content"))
     full = full.where("content <> ''").join(toc, place, "left_anti")
     full = headed = cut(layout.sections_before(rows, full).withColumnRenamed("section", "found"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulora.functions.text import _col, lines, strip
+from tabulora.functions.text import _col, let, lines, settle, strip
 from tabulora.operators.clean import figure_caption, heading, is_report_title, is_row_heading, is_section_heading, is_toc_line, is_weak_title, title_candidate, titles
 from tabulora.operators.scan import carry
 
@@ -46,9 +46,18 @@ def table_text(rows) -> Column:
 
 def inferred_title(text) -> Column:
     """The first cell of a table's text as a title, or empty."""
-    first = F.coalesce(F.try_element_at(lines(text), F.lit(1)), F.lit(""))
-    cell = strip(F.element_at(F.split(first, r"\|", 2), 1))
-    return F.coalesce(title_candidate(F.when(cell != "", cell).otherwise(first)), F.lit(""))
+    def of(first: Column) -> Column:
+        return let(strip(F.element_at(F.split(first, r"\|", 2), 1)), lambda cell: F.coalesce(title_candidate(F.when(cell != "", cell).otherwise(first)), F.lit("")))
+
+    return let(F.coalesce(F.try_element_at(lines(text), F.lit(1)), F.lit("")), of)
+
+
+def marked(page_lines: DataFrame) -> DataFrame:
+    """page_lines with `toc` (a line of contents) and `mark` (the heading that the line is, or null), unless they are there:
+    who asks a page's lines several times has them marked once."""
+    if {"toc", "mark"} <= set(page_lines.columns):
+        return page_lines
+    return settle(page_lines, toc=is_toc_line("text"), mark=F.when(is_section_heading("text"), heading("text")))
 
 
 def sections_before(page_lines: DataFrame, tables: DataFrame, fallback: str | None = None) -> DataFrame:
@@ -57,7 +66,7 @@ def sections_before(page_lines: DataFrame, tables: DataFrame, fallback: str | No
     A backward as-of join as one sorted pass: tables and headings of a page are united, and the last heading is carried
     down. A table's own row sorts after headings of the same height.
     """
-    marks = page_lines.where(is_section_heading("text")).select("doc_id", "page", "y", "seq", heading("text").alias("mark"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("table_idx"))
+    marks = marked(page_lines).where("mark is not null").select("doc_id", "page", "y", "seq", "mark", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("table_idx"))
     tops = tables.select("doc_id", "page", F.col("y0").alias("y"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("mark"), F.lit(1).alias("kind"), "table_idx")
     order = Window.partitionBy("doc_id", "page").orderBy("y", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
     carried = marks.unionByName(tops).withColumn("found", F.last("mark", ignorenulls=True).over(order)).where("kind = 1").select("doc_id", "page", "table_idx", "found")
@@ -70,10 +79,10 @@ def sections_before(page_lines: DataFrame, tables: DataFrame, fallback: str | No
 def page_sections(page_lines: DataFrame, tables: DataFrame) -> DataFrame:
     """(doc_id, page, section): the first heading among the 40 first lines, above the first table by 6 points."""
     tops = tables.where("y0 > 0").groupBy("doc_id", "page").agg(F.min("y0").alias("top"))
-    rows = page_lines.join(tops, ["doc_id", "page"], "left").where("top is null or y < top - 6")
+    rows = marked(page_lines).join(tops, ["doc_id", "page"], "left").where("top is null or y < top - 6")
     order = Window.partitionBy("doc_id", "page").orderBy("y", "seq")
-    rows = rows.withColumn("n", F.row_number().over(order)).where("n <= 40").where(~is_toc_line("text") & is_section_heading("text"))
-    return rows.groupBy("doc_id", "page").agg(F.min_by(heading("text"), "n").alias("section"))
+    rows = rows.withColumn("n", F.row_number().over(order)).where("n <= 40").where("not toc and mark is not null")
+    return rows.groupBy("doc_id", "page").agg(F.min_by("mark", "n").alias("section"))
 
 
 def captions_before(page_lines: DataFrame, tables: DataFrame, reach: float = 90.0) -> DataFrame:
@@ -82,28 +91,23 @@ def captions_before(page_lines: DataFrame, tables: DataFrame, reach: float = 90.
     Lines and tables of a page meet by an equi-join on the page; what is in reach is a fixed stretch of it.
     """
     t = tables.select("doc_id", "page", "table_idx", F.col("y0").alias("top"))
-    near = page_lines.join(t, ["doc_id", "page"]).where(F.col("y") < F.col("top")).where(F.col("top") - F.col("y") <= reach)
-    near = near.where(~(is_toc_line("text") | is_report_title("text")))
-    stops = is_section_heading("text")
-    candidate = title_candidate("text")
-    usable = ~stops & (candidate != "") & ~is_weak_title(candidate)
+    near = marked(page_lines).join(t, ["doc_id", "page"]).where(F.col("y") < F.col("top")).where(F.col("top") - F.col("y") <= reach)
+    near = near.where(~(F.col("toc") | is_report_title("text")))
+    near = settle(near, stops=F.col("mark").isNotNull(), t=title_candidate("text"))
+    usable = ~F.col("stops") & (F.col("t") != "") & ~is_weak_title("t")
     place = F.struct("y", "seq")
-    best = near.groupBy("doc_id", "page", "table_idx").agg(F.max(F.when(stops, place)).alias("stop"), F.max(F.when(usable, F.struct("y", "seq", candidate.alias("t")))).alias("use"))
+    best = near.groupBy("doc_id", "page", "table_idx").agg(F.max(F.when(F.col("stops"), place)).alias("stop"), F.max(F.when(usable, F.struct("y", "seq", "t"))).alias("use"))
     below = F.col("stop").isNull() | (F.struct("use.y", "use.seq") > F.col("stop"))
     return best.where(F.col("use").isNotNull() & below).select("doc_id", "page", "table_idx", F.col("use.t").alias("caption"))
 
 
 def table_title(explicit, caption, inferred, section, page, index, top) -> Column:
     """The first strong one of explicit, caption and inferred title, else one made of section, page and index."""
-    out = None
-    for c in (explicit, caption, inferred):
-        t = F.coalesce(title_candidate(F.coalesce(_col(c), F.lit(""))), F.lit(""))
-        good = (t != "") & ~is_weak_title(t)
-        out = F.when(good, t) if out is None else out.when(good, t)
+    strong = [let(title_candidate(F.coalesce(_col(c), F.lit(""))), lambda t: F.when((t != "") & ~is_weak_title(t), t)) for c in (explicit, caption, inferred)]
     made = F.concat(F.lit("第"), _col(page).cast("string"), F.lit("页表"), _col(index).cast("string"))
     named = F.coalesce(_col(section), F.lit(""))
-    out = out.when((named != "") & ~is_row_heading(named) & ~is_weak_title(named), F.concat(named, F.lit(" "), made))
-    return out.when(_col(top) <= 110, F.lit("")).otherwise(made)
+    out = F.when((named != "") & ~is_row_heading(named) & ~is_weak_title(named), F.concat(named, F.lit(" "), made))
+    return F.coalesce(*strong, out.when(_col(top) <= 110, F.lit("")).otherwise(made))
 
 
 def steady_titles(tables: DataFrame, pages: int = 256) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tabulora.operators import retrieve
-from tabulora.plans import fixtures
+from tabulora.operators import layout, retrieve
+from tabulora.plans import fixtures, report_queries
+from tests.oracle import SF
 
 
 def asked_twice(spark):
@@ -38,3 +39,17 @@ def test_filters_that_queries_share_are_met_once(spark):
     assert {r.query_id for r in meta.where(retrieve.filter_key().isNull()).collect()} == {k + d for k in (4, 5, 6) for d in (0, 100, 200)}
     assert retrieve.key_scopes(meta, docs).count() == 3
     assert {(r.query_id % 100, r.doc_id) for r in retrieve.scopes(meta, docs).collect()} == {(1, 1), (2, 2), (3, 1)} and retrieve.scopes(meta, docs).count() == 9
+
+
+def test_title_expressions_are_not_copied(spark):
+    df = spark.createDataFrame([("资产负债表 明细 | 1", "单位：元", "一、重要事项", 2, 1, 200.0)], "content string, caption string, section string, page int, i int, y double")
+    title = layout.table_title("section", "caption", layout.inferred_title("content"), "section", "page", "i", F.col("y"))
+    plan = df.select(title.alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 20
+    marked = layout.marked(df.withColumn("text", F.col("section")))
+    assert layout.marked(marked) is marked and marked.first().mark == "一、重要事项"
+
+
+def test_items_are_joined_once_for_all_elements(spark):
+    out = report_queries.report_elements(spark, SF)
+    assert "lineitem" not in "".join(out.inputFiles()) and out.count() > 0
