@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulora.cut import cut
 from tabulora.plans import fixtures
 
 GIVEN = ("orders", "lineitem", "customer", "part")
@@ -23,6 +24,15 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in GIVEN if "{" + t + "}" in sql})
 
 
+def of_items(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Several of the tables that follow from items, which are joined and numbered once for all of them."""
+    if not sf_dir:
+        return [frame(spark, sf_dir, n) for n in names]
+    given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")}
+    items = cut(spark.sql(ITEMS, **given))
+    return [spark.sql(SQL[n].replace(f"({ITEMS})", "{items}"), items=items) for n in names]
+
+
 def text(name: str) -> str:
     """The same as a subquery for an engine that knows the given tables by their names."""
     return "(" + SQL[name].format(**{t: t for t in GIVEN}) + ")"
