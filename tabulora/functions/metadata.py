@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabulora.functions.text import SPACE, _col, collapse, first_match, has_any, squeeze, strip
+from tabulora.functions.text import SPACE, _col, collapse, first_match, has_any, let, squeeze, strip
 from tabulora.plans import rules
 
 CJK = "[一-鿿]"
@@ -55,11 +55,14 @@ def published(s) -> Column:
 
 
 def _canonical(candidate: Column) -> Column:
-    compact, out = squeeze(candidate), None
-    for name, words in rules.INDUSTRIES:
-        fits = (compact == name.lower()) | has_any(compact, [w.lower() for w in words])
-        out = F.when(fits, F.lit(name)) if out is None else out.when(fits, F.lit(name))
-    return F.when(compact != "", out)
+    def of(compact: Column) -> Column:
+        out = None
+        for name, words in rules.INDUSTRIES:
+            fits = (compact == name.lower()) | has_any(compact, [w.lower() for w in words])
+            out = F.when(fits, F.lit(name)) if out is None else out.when(fits, F.lit(name))
+        return F.when(compact != "", out)
+
+    return let(squeeze(candidate), of)
 
 
 def industry_from_label(text) -> Column:
@@ -67,20 +70,22 @@ def industry_from_label(text) -> Column:
     compact = F.regexp_replace(F.substring(_col(text), 1, 20000), rf"(?U){SPACE}+", "")
     raw = F.regexp_extract(compact, r"(?:所属行业|公司所处行业|所处行业|行业分类)[:：]?(.*?)(?:主营业务|主要业务|经营情况|公司简介|报告期|$)", 1)
     candidate = F.substring(F.trim(raw, F.lit("：:，,；;。 ")), 1, 24)
-    return F.coalesce(_canonical(candidate), F.when(F.length(candidate).between(2, 16), candidate))
+    return let(candidate, lambda c: F.coalesce(_canonical(c), F.when(F.length(c).between(2, 16), c)))
 
 
 def industry_from_words(title, text) -> Column:
     """The industry whose words weigh most (a title's 2, a text's 2 or 1), the first of equals, from 2 on."""
-    head, body = squeeze(title), squeeze(F.substring(_col(text), 1, 20000))
-    scored = []
-    for order, (name, words) in enumerate(rules.INDUSTRIES):
-        score = F.lit(0)
-        for w in words:
-            score = score + F.when(F.contains(head, F.lit(w)), 2).otherwise(0) + F.when(F.contains(body, F.lit(w)), 2 if len(w) >= 3 else 1).otherwise(0)
-        scored.append(F.struct(score.alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best.score >= 2, best["name"])
+    def best(t: Column) -> Column:
+        scored = []
+        for order, (name, words) in enumerate(rules.INDUSTRIES):
+            score = F.lit(0)
+            for w in words:
+                score = score + F.when(F.contains(t["head"], F.lit(w)), 2).otherwise(0) + F.when(F.contains(t["body"], F.lit(w)), 2 if len(w) >= 3 else 1).otherwise(0)
+            scored.append(F.struct(score.alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("name")))
+        return F.array_max(F.array(*scored))
+
+    both = F.struct(squeeze(title).alias("head"), squeeze(F.substring(_col(text), 1, 20000)).alias("body"))
+    return let(let(both, best), lambda b: F.when(b["score"] >= 2, b["name"]))
 
 
 def industry(title, text, code, known: dict[str, str] | None = None) -> Column:
