@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulora.functions.text import _col
@@ -11,16 +11,20 @@ from tabulora.functions.tokens import simple_tokens
 
 def bucket(token: Column, dim: int) -> Column:
     """The token's md5 as a big-endian number, modulo dim, from two halves of 64 bits."""
+    if dim & (dim - 1) == 0 and dim <= 1 << 32:
+        # a power of two is a matter of the last digits
+        return F.pmod(F.conv(F.substring(F.md5(token.cast("binary")), 25, 8), 16, 10).cast("long"), F.lit(dim))
     half = lambda at: F.pmod(F.conv(F.substring(F.md5(token.cast("binary")), at, 16), 16, 10).cast("decimal(20,0)"), F.lit(dim).cast("decimal(20,0)")).cast("long")
     return F.pmod(half(1) * F.lit((1 << 64) % dim) + half(17), F.lit(dim))
 
 
 def hashed_counts(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """(key, idx, value): the unit vector of the token counts, only its entries that are not zero."""
-    parts = df.select(key, F.explode(simple_tokens(text)).alias("token")).groupBy(key, "token").count()
-    parts = parts.groupBy(key, bucket(F.col("token"), dim).cast("int").alias("idx")).agg(F.sum("count").cast("double").alias("n"))
-    norm = parts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return parts.join(norm, key).select(key, "idx", (F.col("n") / F.col("norm")).alias("value"))
+    places = F.transform(simple_tokens(text), lambda t: bucket(t, dim).cast("int"))
+    # a row has at most dim places, and only those are exchanged; the norm is taken where a key's places already lie
+    parts = df.select(key, F.explode(places).alias("idx")).groupBy(key, "idx").agg(F.count("*").cast("double").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return parts.withColumn("norm", norm).select(key, "idx", (F.col("n") / F.col("norm")).alias("value"))
 
 
 def hashed_vector(text, dim: int) -> Column:

@@ -1,9 +1,15 @@
 """Work that must not grow faster than the input: equal questions, shared filters, shared rows, expressions that are not copied."""
 
+import hashlib
+import math
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from tabulora.operators import layout, retrieve
-from tabulora.plans import fixtures, report_queries
+from tabulora.functions import metadata
+from tabulora.functions.vectors import hashed_counts
+from tabulora.operators import clean, layout, retrieve
+from tabulora.plans import derived, fixtures, report_queries
 from tests.oracle import SF
 
 
@@ -53,3 +59,30 @@ def test_title_expressions_are_not_copied(spark):
 def test_items_are_joined_once_for_all_elements(spark):
     out = report_queries.report_elements(spark, SF)
     assert "lineitem" not in "".join(out.inputFiles()) and out.count() > 0
+
+
+def test_places_of_tokens_are_counted_before_an_exchange(spark):
+    df = spark.createDataFrame([(1, "a b a 资"), (1, "b"), (2, None)], "doc_id long, text string")
+    for dim in (64, 1536, 1):
+        counts = Counter(int(hashlib.md5(t.encode()).hexdigest(), 16) % dim for t in ("a", "b", "a", "资", "b"))
+        norm = math.sqrt(sum(n * n for n in counts.values()))
+        out = hashed_counts(df, "doc_id", "text", dim)
+        assert {(r.doc_id, r.idx): round(r.value, 9) for r in out.collect()} == {(1, i): round(n / norm, 9) for i, n in counts.items()}
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_industries_are_sought_in_one_form(spark):
+    df = spark.createDataFrame([("某 银行", "所属行业：酿 酒 主营业务"), ("某", "芯 片 硅 片")], "title string, text string")
+    rows = df.select(metadata.industry("title", "text", F.lit(None).cast("string")).alias("i"))
+    assert [r.i for r in rows.collect()] == ["白酒", "半导体"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 12
+
+
+def test_titles_of_lines_take_one_form(spark):
+    df = spark.createDataFrame([(["单位：元", "收入构成 明细"],)], "ls array<string>").select(F.filter("ls", clean.is_weak_title).alias("w"), F.transform("ls", clean.title_candidate).alias("t"))
+    assert df.first().w == ["单位：元"] and df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 5
+
+
+def test_narrow_tables_are_dealt_out(spark):
+    for name in ("REPORTS", "PASSAGES", "FACTS", "TITLES"):
+        assert derived.frame(spark, SF, name).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
