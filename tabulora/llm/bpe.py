@@ -5,8 +5,9 @@ the block's list of distinct words; the lists are dealt out by word, so that equ
 encoded once there (per memo of bounded size), and its ids go back to the blocks that have it, where the documents are
 put together by position. Decoding joins the ids with the table of the tokens' bytes.
 
-Blocks are written before their words are dealt out, so a lost task finds the same blocks again. A word is at most one
-entry for each block, so no word is a hot key, and the documents themselves move once, when they are put together.
+Blocks are written before their words are dealt out, so a lost task finds the same blocks again. They are written in
+buckets by their names, so only the ids move when the two meet. A word is at most one entry for each block, so no word is
+a hot key.
 
 Defined results: null or empty text: no tokens; equal rows: returned as often as they came; text of one endless word:
 encoded whole; special tokens: ordinary text; null id: returned as null.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tabulora.llm.common import Work, out_batch, partitions
 
-#: Characters of a block, words of a memo, bytes of results that leave a worker at once.
-BLOCK, MEMO, FLUSH = 4 << 20, 500_000, 2 << 20
+#: Characters of a block, words of a memo.
+BLOCK, MEMO = 4 << 20, 500_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -61,39 +62,52 @@ def _expand(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def _squeeze(codes: np.ndarray) -> bytes:
-    """32-bit numbers, compressed: a byte for each, and for those from 255 on four planes of bytes."""
+def _narrow(codes: np.ndarray) -> bytes:
+    """32-bit numbers: a byte for each, and for those from 255 on four planes of bytes."""
     far = codes[codes >= 255].astype("<u4").view(np.uint8).reshape(-1, 4)
-    return _press(len(codes).to_bytes(8, "little") + np.minimum(codes, 255).astype(np.uint8).tobytes() + np.ascontiguousarray(far.T).tobytes())
+    return np.minimum(codes, 255).astype(np.uint8).tobytes() + np.ascontiguousarray(far.T).tobytes()
+
+
+def _widen(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """n numbers that begin at a place, and where they end."""
+    out = np.frombuffer(raw, np.uint8, n, at).astype(np.uint32)
+    far = out == 255
+    m = int(far.sum())
+    out[far] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * m, at + n).reshape(4, -1).T).view("<u4").ravel()
+    return out, at + n + 4 * m
+
+
+def _squeeze(codes: np.ndarray) -> bytes:
+    return _press(len(codes).to_bytes(8, "little") + _narrow(codes))
 
 
 def _unsqueeze(raw: bytes) -> np.ndarray:
     raw = _expand(raw)
-    n = int.from_bytes(raw[:8], "little")
-    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.uint32)
-    far = np.frombuffer(raw, np.uint8, -1, 8 + n).reshape(4, -1)
-    out[out == 255] = np.ascontiguousarray(far.T).view("<u4").ravel()
-    return out
+    return _widen(raw, 8, int.from_bytes(raw[:8], "little"))[0]
 
 
-#: p deals the rows out. A block's own row has part -1, the numbers of its words by position (the commonest word has the
-#: least) and the place of each number's word in the order of parts, the ids and word counts of its documents; a row with
-#: part p >= 0 has those of its words, or their ids, that are dealt to p.
-DEAL = pa.schema([("p", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("places", pa.binary()), ("id", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
-DEAL_SQL = "p int, block long, part int, data binary, places binary, id array<bigint>, n array<int>"
+#: A block's own row has part -1, the numbers of its words by position (the commonest word has the least) and the part of
+#: each number's word, the ids and word counts of its documents; a row with part p >= 0 has those of its words, or their
+#: ids, that are dealt to p, in the order of their numbers.
+DEAL = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("parts", pa.binary()), ("id", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
+DEAL_SQL = "block long, part int, data binary, parts binary, id array<bigint>, n array<int>"
+IDS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
 
 
-def _pack_all(items: list[bytes]) -> bytes:
-    lengths = np.array([len(x) for x in items], "<u4").tobytes()
-    return _press(len(items).to_bytes(4, "little") + lengths + b"".join(items))
+def _pack_all(items: list[bytes], width: int = 1) -> bytes:
+    """Items of numbers of `width` bytes, which lie in as many planes."""
+    lengths = np.array([len(x) // width for x in items], np.uint32)
+    planes = np.frombuffer(b"".join(items), np.uint8).reshape(-1, width)
+    return _press(len(items).to_bytes(4, "little") + _narrow(lengths) + np.ascontiguousarray(planes.T).tobytes())
 
 
-def _unpack_all(raw: bytes) -> list[bytes]:
+def _unpack_all(raw: bytes, width: int = 1) -> list[bytes]:
     raw = _expand(raw)
     n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).astype(np.int64) + 4 + 4 * n
-    ends = [4 + 4 * n, *ends.tolist()]
-    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    lengths, at = _widen(raw, 4, n)
+    body = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, at).reshape(width, -1).T).tobytes()
+    ends = [0, *np.cumsum(lengths.astype(np.int64) * width).tolist()]
+    return [body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _split(pattern, n_parts):
@@ -116,19 +130,17 @@ def _split(pattern, n_parts):
             number[common] = np.arange(len(own), dtype=np.uint32)
             words = [w.encode() for w in own]
             part = np.array([xxhash.xxh3_64_intdigest(w) % n_parts for w in words], np.int64)
-            order = np.argsort(part, kind="stable")
-            place = np.empty(len(own), np.uint32)
-            place[order] = np.arange(len(own), dtype=np.uint32)
+            order = np.lexsort((number, part))
             name = xxhash.xxh3_64(repr(ids).encode())
             for t in texts:
                 name.update(t.encode() + b"\xff")
             name = name.intdigest() - (1 << 63)
-            rows = [(name % n_parts, name, -1, _squeeze(number[codes]), _squeeze(place[common]), ids, n)]
+            rows = [(name, -1, _squeeze(number[codes]), _squeeze(part[common]), ids, n)]
             bounds = np.searchsorted(part[order], np.arange(n_parts + 1)).tolist()
             order = order.tolist()
             for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if b > a:
-                    rows.append((p, name, p, _pack_all([words[k] for k in order[a:b]]), None, None, None))
+                    rows.append((name, p, _pack_all([words[k] for k in order[a:b]]), None, None, None))
             return out_batch(DEAL, *zip(*rows, strict=True))
 
         for rb in batches:
@@ -161,10 +173,10 @@ def _encode(tokens, pattern):
                     if x is None:
                         x = memo[w] = _pack(encode(w))
                     ids.append(x)
-                out.append(_pack_all(ids))
+                out.append(_pack_all(ids, 4))
                 if len(memo) > MEMO:
                     memo.clear()
-            yield out_batch(DEAL, *(out if c == "data" else rb.column(c) for c in DEAL.names))
+            yield out_batch(IDS, rb.column("block"), rb.column("part"), out)
 
     return run
 
@@ -173,38 +185,22 @@ OUT = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary
 
 
 def _assemble(tokens):
-    """Of rows sorted by block and part, the block's own first: the ids in order, and the bytes that they decode to."""
-
-    def run(batches):
-        def finish(own, words):
-            for data, places, doc_ids, counts in own:
-                table = [words[k] for k in _unsqueeze(places).tolist()]
-                codes, at = _unsqueeze(data).tolist(), 0
-                done, size = [], 0
-                for i, n in zip(doc_ids, counts, strict=True):
-                    ids = b"".join([table[c] for c in codes[at : at + n]])
-                    at += n
-                    text = b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                    done.append((i, len(ids) // 4, ids, text))
-                    size += len(ids) + len(text)
-                    if size > FLUSH:
-                        yield out_batch(OUT, *zip(*done, strict=True))
-                        done, size = [], 0
-                if done:
-                    yield out_batch(OUT, *zip(*done, strict=True))
-
-        block, own, words, last = None, [], [], -1
-        for rb in batches:
-            for name, part, data, places, ids, n in zip(*(rb.column(c).to_pylist() for c in DEAL.names[1:]), strict=True):
-                if name != block:
-                    yield from finish(own, words)
-                    block, own, words, last = name, [], [], -1
-                if part < 0:
-                    own.append((data, places, ids, n))
-                elif part != last:  # an equal block has the same words
-                    words += _unpack_all(data)
-                    last = part
-        yield from finish(own, words)
+    """Of a block's own row and the ids of its words: the ids in order, and the bytes that they decode to."""
+
+    def run(own: pa.Table, ids: pa.Table) -> pa.Table:
+        lists = dict(zip(ids["part"].to_pylist(), ids["data"].to_pylist(), strict=True))  # an equal block has the same words
+        words = [w for p in sorted(lists) for w in _unpack_all(lists[p], 4)]
+        done = []
+        for data, parts, doc_ids, counts in zip(*(own[c].to_pylist() for c in ("data", "parts", "id", "n")), strict=True):
+            table = [b""] * len(words)
+            for number, w in zip(np.argsort(_unsqueeze(parts), kind="stable").tolist(), words, strict=True):
+                table[number] = w
+            codes, at = _unsqueeze(data).tolist(), 0
+            for i, n in zip(doc_ids, counts, strict=True):
+                row = b"".join([table[c] for c in codes[at : at + n]])
+                at += n
+                done.append((i, len(row) // 4, row, b"".join(map(tokens.__getitem__, np.frombuffer(row, "<u4").tolist()))))
+        return pa.Table.from_batches([out_batch(OUT, *zip(*done, strict=True))] if done else [], OUT)
 
     return run
 
@@ -217,11 +213,11 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
     work = Work(docs.sparkSession, "bpe")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tokens, n = read_ranks(ranks), partitions(work.spark)
-    blocks = work.write(rows.mapInArrow(_split(pattern, n), DEAL_SQL), "blocks")
-    dealt = blocks.where("part >= 0").repartitionById(n, F.col("p"))
-    words = dealt.mapInArrow(_encode(tokens, pattern), DEAL_SQL)
-    back = blocks.where("part < 0").union(words).repartition(n, "block").sortWithinPartitions("block", "part")
-    return back.mapInArrow(_assemble(tokens), "id long, n_tokens long, ids binary, decoded binary")
+    blocks = work.buckets(rows.mapInArrow(_split(pattern, n), DEAL_SQL), "blocks", "block")
+    dealt = blocks.where("part >= 0").select("block", "part", "data").repartitionById(n, F.col("part"))
+    ids = dealt.mapInArrow(_encode(tokens, pattern), "block long, part int, data binary")
+    own = blocks.where("part < 0").select("block", "data", "parts", "id", "n")
+    return own.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble(tokens), "id long, n_tokens long, ids binary, decoded binary")
 
 
 def op6_byte_level_bpe(spark, sf_dir: str) -> DataFrame:

@@ -84,10 +84,10 @@ class Work:
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
 
-    def buckets(self, df: DataFrame, name: str, key: str, n_bytes: int) -> DataFrame:
+    def buckets(self, df: DataFrame, name: str, key: str, n_bytes: int | None = None) -> DataFrame:
         """Writes a table of about n_bytes dealt out by a key: joins by the key read it where it lies and move the other
         side alone. Buckets are as many as shuffles have partitions; of a table that a few tasks hold, as few as those."""
-        n = n_bytes // BUCKET + 1
+        n = FEW + 1 if n_bytes is None else n_bytes // BUCKET + 1
         if n <= FEW < partitions(self.spark):
             df = df.coalesce(n)
         else:

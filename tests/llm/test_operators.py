@@ -353,6 +353,21 @@ def test_bpe_keeps_repeated_rows_and_null_ids(spark, ranks):
     assert sorted(bytes(r.decoded) for r in out) == [b"", b"the", b"the ab", b"the ab", b"the ab"]
 
 
+def test_bpe_blocks_stay_where_they_lie(df, ranks):
+    out = bpe.encode_decode(df, ranks[0], PATTERN)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange ") + plan.count("Exchange(") <= 2
+
+
+def test_bpe_packs_numbers_in_planes():
+    items = [b"", b"ab", bytes(range(256)) * 2]
+    assert bpe._unpack_all(bpe._pack_all(items)) == items
+    ids = [np.arange(n, dtype="<u4").tobytes() for n in (0, 1, 300)]
+    assert bpe._unpack_all(bpe._pack_all(ids, 4), 4) == ids
+    codes = np.array([0, 254, 255, 1 << 31, 7], np.uint32)
+    assert bpe._unsqueeze(bpe._squeeze(codes)).tolist() == codes.tolist()
+
+
 # ---------------------------------------------------------------- 7
 def test_lm(df, docs, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK", 3000)
