@@ -468,6 +468,8 @@ def _blocks(large: DataFrame, sets: DataFrame, num: int, den: int, n_parts: int)
     return dealt.mapInArrow(_compare(num, den), "a long, b long")
 
 
+APART = pa.schema([("b", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("size", pa.int64()), ("own", pa.int64()), ("other", pa.int64()), ("plus", pa.list_(pa.int64())), ("minus", pa.list_(pa.int64()))])
+APART_SQL = "b long, key long, comp long, size long, own long, other long, plus array<bigint>, minus array<bigint>"
 DELTA = pa.schema([("b", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("size", pa.int64()), ("own", pa.int64()), ("other", pa.int64()), ("d", pa.list_(pa.int64()))])
 DELTA_SQL = "b long, key long, comp long, size long, own long, other long, d array<bigint>"
 
@@ -485,38 +487,66 @@ def prefixes(size, n, nb, low, high, num, den):
     return max(0, size - up + 1), max(0, size - down + 1)
 
 
-def _deltas(shared, common, num, den):
-    """D(x) of each member of a star, in order and without shingles of only one set, and the lengths of its prefixes."""
+def _lists(col):
+    return np.asarray(col.offsets).astype(np.int64), np.asarray(col.values).view(np.uint64)
 
-    def lists(col):
-        return np.asarray(col.offsets).tolist(), np.asarray(col.values).view(np.uint64)
+
+def _listed(lists: list) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(as_long(np.concatenate([np.zeros(0, np.uint64), *lists]))))
+
+
+def _in_star(b, e):
+    """A hash of each shingle e of a member of the star of pivot b."""
+    with np.errstate(over="ignore"):
+        return mix(e + b * np.uint64(STEP))
+
+
+def _apart(num, den):
+    """D(x) of each member of a star, as the shingles that only x has and those that only the pivot has, and the lengths of
+    its prefixes."""
 
     def run(batches):
         for rb in batches:
-            (so, s), (bo, sb) = lists(rb.column("s")), lists(rb.column("sb"))
-            out, made = [], []
+            (so, s), (bo, sb) = _lists(rb.column("s")), _lists(rb.column("sb"))
+            out, plus, minus = [], [], []
             for i, (nb, low, high) in enumerate(zip(*(rb.column(c).to_pylist() for c in ("nb", "low", "high")), strict=True)):
                 x, y = s[so[i] : so[i + 1]], sb[bo[i] : bo[i + 1]]
-                plus, minus = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-                size = len(plus) + len(minus)
-                own, other = prefixes(size, len(x), nb, low, high, num, den)
-                out.append((size, own, other, len(plus)))
-                made += [plus, minus]
-            if not out:
-                continue
-            size, own, other, n_plus = np.array(out, np.int64).T
-            d, ends = np.concatenate(made), np.cumsum(size)
-            row = np.repeat(np.arange(len(out)), size)
-            rank = np.full(len(d), 2)
-            plus = np.arange(len(d)) - (ends - size)[row] < n_plus[row]
-            keep = ~plus
-            keep[plus] = in_filter(shared, d[plus])
-            rank[plus] = in_filter(common, d[plus])
-            d, row, rank = d[keep], row[keep], rank[keep]
+                plus.append(np.setdiff1d(x, y, assume_unique=True))
+                minus.append(np.setdiff1d(y, x, assume_unique=True))
+                size = len(plus[-1]) + len(minus[-1])
+                out.append((size, *prefixes(size, len(x), nb, low, high, num, den)))
+            if out:
+                yield out_batch(APART, *(rb.column(c) for c in ("b", "key", "comp")), *np.array(out, np.int64).T, _listed(plus), _listed(minus))
+
+    return run
+
+
+def _outside(batches):
+    """A row for each shingle that a member of a star has outside its pivot."""
+    for rb in batches:
+        off, e = _lists(rb.column("plus"))
+        b = np.repeat(np.asarray(rb.column("b")).view(np.uint64), np.diff(off))
+        yield pa.RecordBatch.from_arrays([pa.array(as_long(_in_star(b, e[off[0] : off[-1]])))], names=["e"])
+
+
+def _deltas(shared, common):
+    """D(x) of each member of a star, in order and without shingles of only one member, and the lengths of its prefixes."""
+
+    def run(batches):
+        for rb in batches:
+            (po, plus), (mo, minus) = _lists(rb.column("plus")), _lists(rb.column("minus"))
+            plus, minus, every = plus[po[0] : po[-1]], minus[mo[0] : mo[-1]], np.arange(rb.num_rows)
+            row = np.repeat(every, np.diff(po))
+            e = _in_star(np.asarray(rb.column("b")).view(np.uint64)[row], plus)
+            keep = in_filter(shared, e)
+            plus, row, rank = plus[keep], row[keep], in_filter(common, e[keep]).astype(np.int64)
+            size, own, other = (np.asarray(rb.column(c)) for c in ("size", "own", "other"))
+            gone = np.diff(po) - np.bincount(row, minlength=rb.num_rows)
+            d, rank = np.concatenate([plus, minus]), np.concatenate([rank, np.full(len(minus), 2)])
+            row = np.concatenate([row, np.repeat(every, np.diff(mo))])
             d = d[np.lexsort((d, rank, row))]
-            left = np.bincount(row, minlength=len(out))
-            gone = size - left
-            ends = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rb.num_rows))]).astype(np.int32)
             yield out_batch(DELTA, *(rb.column(c) for c in ("b", "key", "comp")), size, np.maximum(own - gone, 0), np.maximum(other - gone, 0), pa.ListArray.from_arrays(pa.array(ends), pa.array(as_long(d))))
 
     return run
@@ -537,8 +567,7 @@ def _prefixes(bitmap=None):
             n = np.maximum(last - first, 0)
             row = np.repeat(np.arange(rb.num_rows), n)
             at = offsets[row] + first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            with np.errstate(over="ignore"):
-                h = mix(values[at] + np.asarray(rb.column("b")).view(np.uint64)[row] * np.uint64(STEP))
+            h = _in_star(np.asarray(rb.column("b")).view(np.uint64)[row], values[at])
             if bitmap is not None:
                 keep = in_filter(bitmap, h)
                 h, row = h[keep], row[keep]
@@ -555,11 +584,6 @@ def _cut_up(work: Work, stars: DataFrame, sets: DataFrame, num: int, den: int, k
     """Groups (h, key, comp, size, own) of the members of stars (b, key, comp): similar members of different components
     are together in some group, the one with the smaller difference (either, if equal) as `own`."""
     of = stars.join(sets.select("key", "n"), "key").groupBy("b").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    keys = stars.select("key").union(stars.select("b")).distinct()
-    counts = sets.join(keys, "key", "left_semi").select(F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("m")).where("m > 1")
-    counts = work.write(counts, f"counts{k}")
-    both, often = counts.count(), counts.where(f"m > {SMALL}")
-    shared, common = key_filter(counts, "e", both), key_filter(often, "e", often.count())
     # pivots are few and shipped where their sets hold at most SHIP shingles; else both sides are dealt out
     pivots = stars.select(F.col("b").alias("key")).distinct()
     pivots = work.write(sets.join(pivots, "key", "left_semi").join(of, F.col("key") == F.col("b")).select("b", "low", "high", F.col("n").alias("nb"), F.col("s").alias("sb")), f"centres{k}")
@@ -567,7 +591,13 @@ def _cut_up(work: Work, stars: DataFrame, sets: DataFrame, num: int, den: int, k
     each = stars.groupBy("key", "comp").agg(F.collect_list("b").alias("bs"))
     rows = sets.select("key", "s").join(each, "key").select("key", "comp", "s", F.explode("bs").alias("b")).join(F.broadcast(pivots) if n_shingles <= SHIP else pivots, "b")
     rows = rows.select("b", "key", "comp", "nb", "low", "high", "s", "sb")
-    deltas = work.write(rows.mapInArrow(_deltas(shared, common, num, den), DELTA_SQL), f"deltas{k}", compression="zstd")
+    apart = work.write(rows.mapInArrow(_apart(num, den), APART_SQL), f"apart{k}", compression="zstd")
+    # shingles outside the pivot are counted within their star; those of the whole sets would be most of the sets again
+    counts = work.write(apart.select("b", "plus").mapInArrow(_outside, "e long").groupBy("e").agg(F.count("*").alias("m")).where("m > 1"), f"counts{k}")
+    both, often = counts.count(), counts.where(f"m > {SMALL}")
+    shared, common = key_filter(counts, "e", both), key_filter(often, "e", often.count())
+    deltas = work.write(apart.mapInArrow(_deltas(shared, common), DELTA_SQL), f"deltas{k}", compression="zstd")
+    work.drop(f"apart{k}")
     own = work.write(deltas.mapInArrow(_prefixes(), PREFIX_SQL), f"own{k}")
     other = deltas.mapInArrow(_prefixes(key_filter(own, "h", own.count())), PREFIX_SQL)
     out = work.write(own.union(other), f"cut{k}")

@@ -181,6 +181,18 @@ def test_jaccard_links_within_components(spark, monkeypatch):
     assert got == sorted({(first[i], first[j]) for i, j in linked if first[i] < first[j]}) and len(got) > 100
 
 
+def test_jaccard_counts_only_what_pivots_lack(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    plain, seen = jaccard.key_filter, []
+    monkeypatch.setattr(jaccard, "key_filter", lambda keys, col, n, *rest: seen.append((col, n)) or plain(keys, col, n, *rest))
+    r = random.Random(3)
+    texts = {i: " ".join(f"x{i}-{k}" if k in gone else f"w{k}" for k in range(160)) for i in range(40) for gone in [set(r.sample(range(160), 2 + i % 5))]}
+    got = rows(jaccard.similar_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size=4, num=85, den=100))
+    assert {i: x.component_id for i, x in got.items()} == classes({i: shingles(t, 4) for i, t in texts.items()}, 85, 100)
+    counted = [n for col, n in seen if col == "e"]
+    assert counted and counted[1] < 60  # 157 of the whole sets are common
+
+
 def test_signatures_are_shared_by_all_similar_sets():
     r = np.random.default_rng(5)
     for n in (1, 5, 7, 9, 14, 30, 90, 400):
