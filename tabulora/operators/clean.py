@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulora.functions.text import LINE_END, _col, collapse, found, has_any, let, lines, matches, starts_any, strip
+from tabulora.functions.text import LINE_END, _col, collapse, found, has_any, let, lines, matches, settle, starts_any, strip
 from tabulora.plans import rules
 
 
@@ -102,7 +102,7 @@ def glued_lines(page_lines: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("doc_id", "page").orderBy("y", "seq")
-    rows = page_lines.withColumn("text", collapse("text")).where("text <> ''")
+    rows = settle(page_lines, text=collapse("text")).where("text <> ''")
     rows = rows.withColumn("after", F.lead("text").over(order)).withColumn("can", F.coalesce(is_open_heading("text") & (F.length("after") <= 40), F.lit(False)))
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("stop", F.max(F.when(~F.col("can"), F.col("n"))).over(order))
     place = F.col("n") - F.coalesce("stop", F.lit(0))

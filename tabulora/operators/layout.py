@@ -64,13 +64,15 @@ def sections_before(page_lines: DataFrame, tables: DataFrame, fallback: str | No
     """tables with `section`: the last heading of the page at or above the table's top, else the fallback column.
 
     A backward as-of join as one sorted pass: tables and headings of a page are united, and the last heading is carried
-    down. A table's own row sorts after headings of the same height.
+    down. A table's own row sorts after headings of the same height. Tables pass through whole, so they are read once.
     """
-    marks = marked(page_lines).where("mark is not null").select("doc_id", "page", "y", "seq", "mark", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("table_idx"))
-    tops = tables.select("doc_id", "page", F.col("y0").alias("y"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("mark"), F.lit(1).alias("kind"), "table_idx")
+    own = F.struct(*tables.columns).alias("_t")
+    rows = tables.select("doc_id", "page", F.col("y0").alias("y"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("mark"), F.lit(1).alias("kind"), own)
+    none = F.lit(None).cast(rows.schema["_t"].dataType).alias("_t")
+    marks = marked(page_lines).where("mark is not null").select("doc_id", "page", "y", "seq", "mark", F.lit(0).alias("kind"), none)
     order = Window.partitionBy("doc_id", "page").orderBy("y", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    carried = marks.unionByName(tops).withColumn("found", F.last("mark", ignorenulls=True).over(order)).where("kind = 1").select("doc_id", "page", "table_idx", "found")
-    out = tables.join(carried, ["doc_id", "page", "table_idx"], "left")
+    last = F.when(F.col("doc_id").isNotNull() & F.col("page").isNotNull(), F.last("mark", ignorenulls=True).over(order))
+    out = marks.unionByName(rows).withColumn("found", last).where("kind = 1").select("_t.*", "found")
     if fallback:
         out = out.withColumn("found", F.coalesce("found", F.when(~is_row_heading(fallback), F.col(fallback))))
     return out.withColumnRenamed("found", "section")

@@ -337,8 +337,8 @@ def all_terms_match(spark, sf_dir):
 )
 def section_asof(spark, sf_dir):
     """The last heading above each table."""
-    t = derived.frame(spark, sf_dir, "TABLES").drop("section")
-    return layout.sections_before(derived.frame(spark, sf_dir, "PAGE_LINES"), t).select("doc_id", "page", "table_idx", "section")
+    rows, t = derived.of_items(spark, sf_dir, "PAGE_LINES", "TABLES")
+    return layout.sections_before(rows, t.drop("section")).select("doc_id", "page", "table_idx", "section")
 
 
 @query(
@@ -365,8 +365,10 @@ def title_carry_forward(spark, sf_dir):
 @query()
 def page_layout(spark, sf_dir):
     """Glued lines, sections, captions and tail sections of pages (tests hold the values)."""
-    rows, t = clean.glued_lines(derived.frame(spark, sf_dir, "PAGE_LINES")), derived.frame(spark, sf_dir, "TABLES")
-    rows = rows.join(clean.toc_pages(rows), ["doc_id", "page"], "left_anti")
+    rows, t = derived.of_items(spark, sf_dir, "PAGE_LINES", "TABLES")
+    # lines are glued and marked once for all that is asked of them
+    rows = cut(layout.marked(clean.glued_lines(rows)))
+    rows = rows.join(clean.toc_pages(rows, "toc"), ["doc_id", "page"], "left_anti")
     sections = layout.page_sections(rows, t)
     tails = layout.tail_sections(t, sections).withColumnRenamed("section", "tail")
     caps = layout.captions_before(rows, t).groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_list("caption")), ",").alias("captions"))
