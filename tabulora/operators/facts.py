@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulora.cut import cut
 from tabulora.functions import numbers
 from tabulora.functions.metadata import currency_and_unit, period
 from tabulora.functions.text import SPACE, has_any, join_parts, lines, settle, squeeze, total
@@ -122,7 +123,7 @@ def confidence(score: Column) -> Column:
 def candidates(every_line: DataFrame, infos: DataFrame) -> DataFrame:
     """Scored facts of each line that states a term with at least two numbers. infos: (doc_id, title, currency, unit)."""
     rows = every_line.where(F.col("text").rlike("[0-9]"))
-    rows = settle(rows, flat=squeeze("text"), combined=squeeze(join_parts([F.col("section_title"), F.col("table_title"), F.col("text")])))
+    rows = settle(rows, flat=squeeze("text"))
     # of the terms only those that the line states are carried on
     rows = rows.withColumn("_t", F.explode(F.filter(_terms(), lambda t: matches_term(F.col("flat"), t.term)))).select("*", "_t.*").drop("_t")
     bar, eps = F.contains("text", F.lit("|")), F.col("metric") == "eps_basic"
@@ -135,6 +136,8 @@ def candidates(every_line: DataFrame, infos: DataFrame) -> DataFrame:
     rows = settle(rows, values=F.when(F.col("metric") == "eps_basic", numbers.without_eps_footnote("source", F.col("term"), "values")).otherwise(F.col("values"))).where("size(values) >= 2")
     rows = settle(rows, value=F.element_at("values", 1), previous_value=F.element_at("values", 2), change_pct=numbers.change(F.slice("values", 3, 1 << 20)))
     rows = settle(rows, numeric_value=numbers.value("value")).where("numeric_value is not null")
+    # the longest text of a candidate is made of those that are left
+    rows = settle(rows, combined=squeeze(join_parts([F.col("section_title"), F.col("table_title"), F.col("text")])))
     rows = settle(rows, score=F.round(candidate_score(), 6)).join(infos.select("doc_id", "title", "currency", F.col("unit").alias("doc_unit")), "doc_id")
     name = F.element_at(F.create_map(*[F.lit(x) for m in rules.METRICS for x in m[:2]]), F.col("metric"))
     amount = F.when(F.col("amount"), F.round(F.col("numeric_value") * numbers.multiplier("doc_unit"), 4))
@@ -249,9 +252,10 @@ def basic_info(documents: DataFrame) -> DataFrame:
 
 
 def extract(documents: DataFrame, chunks: DataFrame, layout: DataFrame | None = None) -> DataFrame:
-    """Facts (a row for each metric found) of documents, checked for consistency."""
+    """Facts (a row for each metric found) of documents, checked for consistency. The best candidates are found once for the
+    checks and for what is checked, and written; so are the facts' own further uses spared the search."""
     infos = basic_info(documents).select("doc_id", "title", "currency", F.col("reported_unit").alias("unit"))
-    return consistent(best_facts(candidates(candidate_lines(documents, chunks, layout), infos)))
+    return consistent(cut(best_facts(candidates(candidate_lines(documents, chunks, layout), infos))))
 
 
 def payloads(documents: DataFrame, facts: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tabulora.functions import metadata
 from tabulora.functions.vectors import hashed_counts
-from tabulora.operators import clean, layout, retrieve
-from tabulora.plans import derived, fixtures, report_queries
+from tabulora.operators import clean, facts, layout, retrieve
+from tabulora.plans import derived, fixtures, queries, report_queries
 from tests.oracle import SF
 
 
@@ -86,3 +86,21 @@ def test_titles_of_lines_take_one_form(spark):
 def test_narrow_tables_are_dealt_out(spark):
     for name in ("REPORTS", "PASSAGES", "FACTS", "TITLES"):
         assert derived.frame(spark, SF, name).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_sections_carry_tables_through_whole(spark):
+    lines = spark.createDataFrame([(1, 1, 1, 10.0, "一、主要会计数据"), (None, 1, 2, 10.0, "二、重要事项")], "doc_id long, page int, seq int, y double, text string")
+    tables = spark.createDataFrame([(1, 1, 1, 20.0), (1, 1, 1, 20.0), (1, 1, 2, 5.0), (None, 1, 1, 20.0)], "doc_id long, page int, table_idx int, y0 double")
+    out = layout.sections_before(lines, tables)
+    assert sorted((r.doc_id or 0, r.table_idx, r.section or "") for r in out.collect()) == [(0, 1, ""), (1, 1, "一、主要会计数据"), (1, 1, "一、主要会计数据"), (1, 2, "")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_of_pages_are_joined_once(spark):
+    for name in ("section_asof", "page_layout"):
+        assert "lineitem" not in "".join(queries.QUERIES[name](spark, SF).inputFiles())
+
+
+def test_best_facts_are_found_once(spark):
+    f = facts.extract(spark.sql(fixtures.REPORTS).withColumn("industry", F.lit(None).cast("string")).withColumn("published_at", F.lit(None).cast("timestamp")), spark.sql(fixtures.PASSAGES))
+    assert f.count() > 0 and "Window" not in f._jdf.queryExecution().optimizedPlan().toString()
