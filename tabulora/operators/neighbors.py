@@ -14,6 +14,8 @@ also those of length 0; ties after rounding to 9 places go to the smaller chunk_
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -77,7 +79,10 @@ def _best(ids: np.ndarray, chunks: np.ndarray, scores: np.ndarray, top_k: int):
     return ids[keep], chunks[keep], scores[keep]
 
 
-def _scan(top_k: int, true_cosine: bool):
+def kept(top_k: int, scores: Callable):
+    """Keeps the best of each query over all the rows of a task. scores(batch, i): the query ids and ids of a row, their
+    scores as a matrix, and a score that all hits exceed."""
+
     def run(batches):
         held: list = []
         n_held = 0
@@ -86,17 +91,13 @@ def _scan(top_k: int, true_cosine: bool):
             return _best(*[np.concatenate(x) for x in zip(*held, strict=True)], top_k)
 
         for rb in batches:
-            dims, raw_ids, raw = rb.column("dim").to_pylist(), rb.column("ids"), rb.column("m")
-            for i, n in enumerate(dims):
-                ids, x = np.frombuffer(raw_ids[i].as_py(), np.int64), np.frombuffer(raw[i].as_py(), np.float64).reshape(-1, n)
-                query_ids, q = np.asarray(rb.column("q_ids")[i].values), np.asarray(rb.column("q")[i].values).reshape(-1, n)
-                s = q @ x.T
-                if true_cosine:
-                    size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-                    s = np.where(size > 0, s / np.where(size > 0, size, 1), -np.inf)
+            for i in range(rb.num_rows):
+                query_ids, ids, s, over = scores(rb, i)
+                if not s.size:
+                    continue
                 k = min(top_k, len(ids))
                 edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                r, c = np.nonzero((s >= edge[:, None] - 1e-8) & (s > (-np.inf if true_cosine else 0)))
+                r, c = np.nonzero((s >= edge[:, None] - 1e-8) & (s > over))
                 held.append((query_ids[r], ids[c], s[r, c]))
                 n_held += len(r)
                 if n_held > HELD:
@@ -111,6 +112,20 @@ def _scan(top_k: int, true_cosine: bool):
     return run
 
 
+def _scan(top_k: int, true_cosine: bool):
+    def scores(rb, i):
+        n = rb.column("dim")[i].as_py()
+        ids, x = np.frombuffer(rb.column("ids")[i].as_py(), np.int64), np.frombuffer(rb.column("m")[i].as_py(), np.float64).reshape(-1, n)
+        query_ids, q = np.asarray(rb.column("q_ids")[i].values), np.asarray(rb.column("q")[i].values).reshape(-1, n)
+        s = q @ x.T
+        if true_cosine:
+            size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+            s = np.where(size > 0, s / np.where(size > 0, size, 1), -np.inf)
+        return query_ids, ids, s, -np.inf if true_cosine else 0
+
+    return kept(top_k, scores)
+
+
 def ranked(scored: DataFrame, top_k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -1,11 +1,13 @@
 """Keyword search over postings: a row for each term of each text, in memory or stored.
 
-A query's best texts are found without scoring all that share a word with it. Texts with its rarest terms are scored
-first; the score of the last of the best among them is a bound. Terms are then taken from the most to the least that they
-can add (their largest frequency at their least length); once all others together cannot lift a text over the bound,
-texts that hold only those are left out, and so are texts whose parts so far plus all that is missing stay below it.
-What is left is scored in full, so the result is that of scoring everything. The text itself is read for candidates that
-the extra point for holding the query can still lift among the best.
+Texts are scored where they lie: the postings of the queries' terms are dealt out by text and packed, and each pair of a
+pack and a block of queries is one product of matrices (terms by queries, texts by terms) in a task, which keeps the best
+of each query. What is shuffled is a row for each posting, and a few rows for each query and task; hits are not listed.
+Queries that hold the same indexed terms have the same scores but for the extra point and are scored once.
+
+The extra point for texts that hold the query as a whole can only lift a text, so it is enough to add the texts that get it
+to the best without it. They are found by the query's rarest inner tokens, which such a text must hold; a query without
+inner tokens (of one or two words) looks through the texts that hold any of its terms. Text is read for these only.
 
 The stored index is a set of tables that are kept up batch by batch (see sources.parts): postings, sizes, counts of terms
 (replaced documents count negatively), sums, texts and the documents of older parts that newer ones replace.
@@ -18,16 +20,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulora.cut import cut
 from tabulora.functions.tokens import lexical_tokens
+from tabulora.operators import neighbors
 from tabulora.sources.parts import Parts
 
 K1, B = 1.5, 0.75
-#: Texts with a query's rarest terms that give the bound, for each row of the result.
-SEEDS = 20
+#: The rarest inner tokens of a query that a text must hold before it is looked into.
+SEEDS = 3
+#: Texts that are counted at once, texts of a pack, postings that are packed at once, queries of a block, terms of a product,
+#: bytes of blocks that may be sent to all executors.
+ROWS, PACK, POSTINGS_HELD, BLOCK, SLICE, SHIPPED = 1024, 1024, 1 << 18, 512, 2048, 64 << 20
 #: The most that holding the query as a whole adds.
 BONUS = 1.0
 EPS = 1e-6
@@ -48,15 +57,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(lexical_tokens("query"))).alias("term"))
 
 
+def _counts(batches):
+    """The tokens of each text with how often they occur, and '' for each text."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, ROWS):
+            rb = whole.slice(k, ROWS)
+            size = pc.fill_null(pc.list_value_length(rb.column("t")), 0)
+            words = pc.list_flatten(rb.column("t")).dictionary_encode()
+            n = max(len(words.dictionary), 1)
+            each, tf = np.unique(np.repeat(np.arange(rb.num_rows), np.asarray(size)) * n + np.asarray(words.indices), return_counts=True)
+            row = pa.array(np.concatenate([each // n, np.arange(rb.num_rows)]))
+            term = pa.concat_arrays([words.dictionary.take(pa.array(each % n)), pa.array([""] * rb.num_rows, words.dictionary.type)])
+            tf = pa.array(np.concatenate([tf, np.ones(rb.num_rows, int)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([rb.column("chunk_id").take(row), rb.column("doc_id").take(row), size.take(row), term, tf], names=["chunk_id", "doc_id", "len", "term", "tf"])
+
+
 def rows_of(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(chunk_id, doc_id, len, term, tf) of texts (chunk_id, doc_id, text), only of the wanted terms if there are any
-    given; a row with the term '' for each text says its length."""
+    given; a row with the term '' for each text says its length. Each text is counted where it lies."""
     tokens = texts.select("chunk_id", "doc_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    rows = tokens.select("chunk_id", "doc_id", F.size("t").alias("len"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
+    chunk, doc = (tokens.schema[c].dataType.simpleString() for c in ("chunk_id", "doc_id"))
+    rows = tokens.mapInArrow(_counts, f"chunk_id {chunk}, doc_id {doc}, len int, term string, tf int")
     if wanted is not None:
         marks = wanted.sparkSession.range(1).select(F.lit("").alias("term"))
         rows = rows.join(wanted.select("term").distinct().union(marks), "term", "left_semi")
-    return rows.groupBy("chunk_id", "doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+    return rows
 
 
 def counted(postings: DataFrame) -> DataFrame:
@@ -102,25 +127,115 @@ def _parts(terms: DataFrame, postings: DataFrame, *on: str) -> DataFrame:
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part()).alias("score"))
 
 
+def _packs(batches):
+    """Rows of up to PACK texts out of postings that come sorted by text."""
+
+    def packs(rows):
+        starts = np.flatnonzero(np.diff(np.asarray(rows.column("chunk_id")), prepend=-1 - np.asarray(rows.column("chunk_id"))[:1]))
+        for k in range(0, len(starts), PACK):
+            mine = starts[k : k + PACK]
+            end = starts[k + PACK] if k + PACK < len(starts) else rows.num_rows
+            part = rows.slice(mine[0], end - mine[0])
+            words = part.column("term").dictionary_encode()
+            at = np.repeat(np.arange(len(mine)), np.diff(np.append(mine, end)))
+            first = pa.array(mine - mine[0])
+            ids, lens = np.asarray(part.column("chunk_id").take(first)), np.asarray(part.column("len").take(first))
+            arrays = [ids, *[np.asarray(x).astype(np.int32) for x in (lens, at, words.indices, part.column("tf"))]]
+            yield pa.RecordBatch.from_arrays([pa.array([words.dictionary.to_pylist()], pa.list_(pa.string())), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]], names=["terms", "ids", "lens", "at", "code", "tf"])
+
+    held, n = [], 0
+    for rb in batches:
+        held.append(rb)
+        n += rb.num_rows
+        if n >= POSTINGS_HELD:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ids = np.asarray(rows.column("chunk_id"))
+            last = int(np.searchsorted(ids, ids[-1]))  # the last text may go on
+            if last:
+                yield from packs(rows.slice(0, last))
+            held, n = [rows.slice(last)], rows.num_rows - last
+    if n:
+        yield from packs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _scores(rb, i):
+    """The scores of a block's queries for a pack's texts."""
+    ids, lens, at, code, tf = (np.frombuffer(rb.column(c)[i].as_py(), t) for c, t in (("ids", np.int64), ("lens", np.int32), ("at", np.int32), ("code", np.int32), ("tf", np.int32)))
+    query_ids, lists = np.asarray(rb.column("q_ids")[i].values), rb.column("q_terms")[i].values
+    flat = lists.flatten()
+    query = np.repeat(np.arange(len(query_ids)), np.asarray(pc.list_value_length(lists)))
+    known = pc.index_in(flat.field("term"), value_set=rb.column("terms")[i].values)
+    of = np.asarray(pc.fill_null(known, -1))
+    idf, query, of = np.asarray(flat.field("idf"))[of >= 0], query[of >= 0], of[of >= 0]
+    used, col = np.unique(of, return_inverse=True)  # the pack's terms that the block asks for
+    place = np.full(len(rb.column("terms")[i].values), -1)
+    place[used] = np.arange(len(used))
+    term = place[code]
+    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[at] / rb.column("mean")[i].as_py()))
+    s = np.zeros((len(query_ids), len(ids)))
+    for k in range(0, len(used), SLICE):
+        n = min(SLICE, len(used) - k)
+        asked, held = np.zeros((len(query_ids), n)), np.zeros((n, len(ids)))
+        inside = (col >= k) & (col < k + n)
+        asked[query[inside], col[inside] - k] = idf[inside]
+        inside = (term >= k) & (term < k + n)
+        held[term[inside] - k, at[inside]] = value[inside]
+        s += asked @ held
+    return query_ids, ids, s, 0
+
+
+def _scored(heads: DataFrame, postings: DataFrame, top_k: int) -> DataFrame:
+    """(query_id, chunk_id, score): the best of each query of heads (query_id, terms: array of (term, idf), mean)."""
+    size = heads.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms").cast("long")), F.lit(0)).alias("terms")).first()
+    rows = heads.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(size.n // BLOCK + 1)).alias("_b"))
+    of = rows.agg(F.collect_list(F.struct("query_id", "terms")).alias("q"), F.max("mean").alias("mean"))
+    of = of.select(F.transform("q", lambda x: x.query_id).alias("q_ids"), F.transform("q", lambda x: x.terms).alias("q_terms"), "mean")
+    of = F.broadcast(of) if size["terms"] * 64 <= SHIPPED else of
+    packs = postings.repartition("chunk_id").sortWithinPartitions("chunk_id").mapInArrow(_packs, "terms array<string>, ids binary, lens binary, at binary, code binary, tf binary")
+    hits = packs.crossJoin(of).mapInArrow(neighbors.kept(top_k, _scores), "query_id long, chunk_id long, score double")
+    return neighbors.ranked(hits, top_k).select("query_id", "chunk_id", "score")
+
+
+#: Inner tokens: a text that holds the query holds these as tokens of its own. Words with something before and after that ends
+#: a word, pairs and triples of CJK characters (a run as a whole may go on in the text).
+_INNER = r"(?<=[^a-z0-9._/-])[a-z0-9][a-z0-9._/-]*(?=[^a-z0-9._/-])"
+
+
+def _whole(queries: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
+    """(query_id, chunk_id): texts that hold the query as a whole and at least one of its terms."""
+    words = F.regexp_extract_all(F.lower("query"), F.lit(_INNER), F.lit(0))
+    runs = F.filter(F.regexp_extract_all(F.lower("query"), F.lit("[一-鿿]+"), F.lit(0)), lambda r: F.length(r) > 1)
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    # only what the query has as a term: stop words are none
+    inner = F.array_intersect(F.concat(words, pairs), lexical_tokens("query"))
+    asked = cut(queries.where("query is not null").select("query_id", inner.alias("inner")).join(terms.select("query_id").distinct(), "query_id", "left_semi"))
+    counts = asked.select("query_id", F.explode("inner").alias("term")).join(index.terms.where("df > 0").select("term", "df"), "term", "left")
+    order = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term")
+    # the rarest ones; a query with one that no text holds is left with a count that no text reaches
+    rarest = counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SEEDS).select("query_id", "term")
+    single = asked.where("size(inner) = 0").select("query_id").join(terms.select("query_id", "term"), "query_id")
+    looked = cut(rarest.withColumn("need", F.count("*").over(Window.partitionBy("query_id"))).unionByName(single.withColumn("need", F.lit(1).cast("long"))))
+    found = looked.join(index.postings.select("term", "chunk_id"), "term").groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("have")).where("have >= need")
+    pairs = found.select("query_id", "chunk_id").join(queries.select("query_id", "query"), "query_id").join(index.texts, "chunk_id")
+    return pairs.where(F.contains("text", "query")).select("query_id", "chunk_id").distinct()
+
+
 def search(queries: DataFrame, index: Index, top_k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank): the top_k texts of each query (query_id, query) over all texts of the index."""
+    of_query, of_text = queries.schema["query_id"].dataType, index.postings.schema["chunk_id"].dataType
     terms = query_terms(queries).join(index.terms, "term").where("df > 0").crossJoin(F.broadcast(index.sums))
-    terms = terms.withColumn("idf", idf()).withColumn("mean", mean_length()).withColumn("most", part("max_tf", "min_len"))
-    rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
     # a row for each term of a query
-    terms = cut(terms.select("query_id", "term", "idf", "mean", "most", F.sum("df").over(rare).alias("upto")))
-    seeds = terms.where(F.col("upto") <= SEEDS * top_k).join(index.postings.select("term", "chunk_id"), "term").select("query_id", "chunk_id").distinct()
-    bound = _bound(_parts(seeds.join(terms, "query_id"), index.postings, "chunk_id"), top_k)
-
-    least = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    terms = terms.join(bound, "query_id", "left").withColumn("below", F.sum("most").over(least))
-    terms = cut(terms.withColumn("needed", F.col("bound").isNull() | (F.col("below") + BONUS >= F.col("bound") - EPS)))
-    missing = terms.groupBy("query_id").agg(F.max("bound").alias("bound"), F.coalesce(F.sum(F.when(~F.col("needed"), F.col("most"))), F.lit(0.0)).alias("missing"))
-    found = _parts(terms.where("needed"), index.postings).join(missing, "query_id")
-    found = cut(found.where(F.col("bound").isNull() | (F.col("score") + F.col("missing") + BONUS >= F.col("bound") - EPS)))
-    more = _parts(found.where("missing > 0").select("query_id", "chunk_id").join(terms.where("not needed"), "query_id"), index.postings, "chunk_id")
-    scored = found.select("query_id", "chunk_id", "score").unionByName(more).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
-    return finished(queries, scored, index.texts, top_k)
+    terms = cut(terms.select("query_id", "term", idf().alias("idf"), mean_length().alias("mean")))
+    sets = terms.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms"), F.max("mean").alias("mean"))
+    sets = cut(sets.withColumn("head", F.min("query_id").over(Window.partitionBy("terms"))))
+    postings = index.postings.select("term", "chunk_id", "tf", "len").where("chunk_id is not null").join(terms.select("term").distinct(), "term", "left_semi")
+    best = _scored(sets.where("query_id = head").select(F.col("query_id").cast("long"), "terms", "mean"), postings.withColumn("chunk_id", F.col("chunk_id").cast("long")), top_k)
+    best = best.withColumnRenamed("query_id", "head").join(sets.select("query_id", F.col("head").cast("long")), "head").select("query_id", F.col("chunk_id").cast(of_text), "score")
+    whole = _parts(cut(_whole(queries, terms, index)).join(terms, "query_id"), index.postings, "chunk_id")
+    both = best.unionByName(whole.select("query_id", "chunk_id", (F.col("score") + BONUS).alias("score")))
+    both = both.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
+    return both.select(F.col("query_id").cast(of_query), "chunk_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
 def finished(queries: DataFrame, scored: DataFrame, texts: DataFrame, top_k: int) -> DataFrame:

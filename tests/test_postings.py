@@ -6,6 +6,8 @@ import re
 import threading
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabulora.operators import postings
@@ -69,6 +71,41 @@ def test_bounds_leave_texts_out(spark):
     assert got(postings.search(q, index, 3)) == plain(asked, texts, 3)
 
 
+def test_queries_of_equal_terms_are_scored_once(spark, monkeypatch):
+    scored, seen = postings._scored, []
+    monkeypatch.setattr(postings, "_scored", lambda heads, *rest: seen.append(heads.count()) or scored(heads, *rest))
+    texts = [(k, k, f"common {'words ' * (k % 5)}") for k in range(300)]
+    asked = [(k, f"{k:06d} common") for k in range(40)] + [(99, "words common"), (100, "common words")]
+    q, t = spark.createDataFrame(asked, ASK), spark.createDataFrame(texts, TEXT)
+    index, _ = postings.in_memory(t, postings.query_terms(q))
+    assert got(postings.search(q, index, 3)) == plain(asked, texts, 3)
+    assert seen == [2]
+
+
+def test_whole_queries_are_found_by_inner_tokens(spark):
+    texts = ["xcash growthy cash", "cash growth", "growth cash", "x.a-b c d.e d", "x-abc def abc", "a b c", "the a b cd", "in the house d", "within the housed d", "d d"]
+    texts = [(k, k, t) for k, t in enumerate(texts)]
+    asked = [(1, "cash growth"), (2, "a-b c d"), (3, "-abc def"), (4, "a b c"), (5, "in the house"), (6, "d"), (7, " d"), (8, "nowhere c d"), (9, "c nowhere d")]
+    q, t = spark.createDataFrame(asked, ASK), spark.createDataFrame(texts, TEXT)
+    index, _ = postings.in_memory(t, postings.query_terms(q))
+    assert got(postings.search(q, index, 4)) == plain(asked, texts, 4)
+
+
+@pytest.mark.parametrize(("held", "pack"), [(1, 1), (3, 2), (7, 3), (1000, 1000)])
+def test_texts_stay_whole_in_packs(monkeypatch, held, pack):
+    monkeypatch.setattr(postings, "POSTINGS_HELD", held)
+    monkeypatch.setattr(postings, "PACK", pack)
+    rows = [{"term": f"t{j}", "chunk_id": c, "tf": j + 1, "len": 10 + c} for c in (-5, 2, 3, 9) for j in range(c % 4 + 1)]
+    batches = [pa.RecordBatch.from_pylist(rows[k : k + 2]) for k in range(0, len(rows), 2)]
+    out = []
+    for rb in postings._packs(iter(batches)):
+        ids, lens, at, code, tf = (np.frombuffer(rb.column(c)[0].as_py(), t) for c, t in (("ids", np.int64), ("lens", np.int32), ("at", np.int32), ("code", np.int32), ("tf", np.int32)))
+        terms = rb.column("terms")[0].as_py()
+        assert len(ids) <= pack
+        out += [{"term": terms[code[k]], "chunk_id": int(ids[at[k]]), "tf": int(tf[k]), "len": int(lens[at[k]])} for k in range(len(at))]
+    assert out == rows
+
+
 def test_search_of_nothing(spark):
     q, t = spark.createDataFrame([(1, "a b")], ASK), spark.createDataFrame([], TEXT)
     index, _ = postings.in_memory(t, postings.query_terms(q))
