@@ -28,8 +28,8 @@ from tabulora.sources.parts import Parts
 PACK, BLOCK, SHIPPED = 2048, 1024, 64 << 20
 #: Vectors that k-means sees, most cells, rounds.
 SAMPLE, CELLS, ROUNDS = 65536, 4096, 10
-#: Rows of best hits that a task holds before it hands them on.
-HELD = 1 << 20
+#: Queries of a block that are multiplied at once, rows of best hits that a task holds before it hands them on.
+TILE, HELD = 128, 1 << 18
 
 PACKED = pa.schema([("cell", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("m", pa.binary())])
 HITS = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
@@ -80,8 +80,8 @@ def _best(ids: np.ndarray, chunks: np.ndarray, scores: np.ndarray, top_k: int):
 
 
 def kept(top_k: int, scores: Callable):
-    """Keeps the best of each query over all the rows of a task. scores(batch, i): the query ids and ids of a row, their
-    scores as a matrix, and a score that all hits exceed."""
+    """Keeps the best of each query over all the rows of a task. scores(batch, i): for some queries of a row at a time their
+    ids, the ids that they meet, the scores as a matrix, and a score that all hits exceed."""
 
     def run(batches):
         held: list = []
@@ -91,8 +91,7 @@ def kept(top_k: int, scores: Callable):
             return _best(*[np.concatenate(x) for x in zip(*held, strict=True)], top_k)
 
         for rb in batches:
-            for i in range(rb.num_rows):
-                query_ids, ids, s, over = scores(rb, i)
+            for query_ids, ids, s, over in (tile for i in range(rb.num_rows) for tile in scores(rb, i)):
                 if not s.size:
                     continue
                 k = min(top_k, len(ids))
@@ -106,24 +105,29 @@ def kept(top_k: int, scores: Callable):
                     if n_held > HELD // 2:  # so many queries that their best fill the space
                         yield pa.RecordBatch.from_arrays([pa.array(a) for a in held[0]], schema=HITS)
                         held, n_held = [], 0
+            rb = query_ids = ids = s = None  # goes before the next one comes  # noqa: PLW2901
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in merged()], schema=HITS)
 
     return run
 
 
-def _scan(top_k: int, true_cosine: bool):
+def _products(true_cosine: bool):
+    """The scores of a block's queries for a pack's vectors, a tile of TILE queries at a time."""
+
     def scores(rb, i):
         n = rb.column("dim")[i].as_py()
         ids, x = np.frombuffer(rb.column("ids")[i].as_py(), np.int64), np.frombuffer(rb.column("m")[i].as_py(), np.float64).reshape(-1, n)
         query_ids, q = np.asarray(rb.column("q_ids")[i].values), np.asarray(rb.column("q")[i].values).reshape(-1, n)
-        s = q @ x.T
-        if true_cosine:
-            size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-            s = np.where(size > 0, s / np.where(size > 0, size, 1), -np.inf)
-        return query_ids, ids, s, -np.inf if true_cosine else 0
+        for k in range(0, len(q), TILE):
+            part = q[k : k + TILE]
+            s = part @ x.T
+            if true_cosine:
+                size = np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+                s = np.where(size > 0, s / np.where(size > 0, size, 1), -np.inf)
+            yield query_ids[k : k + TILE], ids, s, -np.inf if true_cosine else 0
 
-    return kept(top_k, scores)
+    return scores
 
 
 def ranked(scored: DataFrame, top_k: int) -> DataFrame:
@@ -142,7 +146,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, top_k: int, true_cosine: boo
     of = F.broadcast(of) if size["values"] * 8 <= SHIPPED else of
     # no equality, which would send all vectors of a dimension to one task
     pairs = packed(vectors, "chunk_id", "embedding").join(of, (F.col("dim") >= F.col("q_dim")) & (F.col("dim") <= F.col("q_dim")))
-    return ranked(pairs.select("dim", "ids", "m", "q_ids", "q").mapInArrow(_scan(top_k, true_cosine), "query_id long, chunk_id long, score double"), top_k)
+    return ranked(pairs.select("dim", "ids", "m", "q_ids", "q").mapInArrow(kept(top_k, _products(true_cosine)), "query_id long, chunk_id long, score double"), top_k)
 
 
 # ---------------------------------------------------------------- inverted lists
@@ -220,7 +224,7 @@ class InvertedLists:
         of = blocks(at, F.col("cell"), n=queries.count() // BLOCK + 1)
         vectors = packed(self.parts.read("vectors", VECTORS), "chunk_id", "embedding", F.col("cell"))
         pairs = vectors.join(of, (F.col("cell") == F.col("q_cell")) & (F.col("dim") == F.col("q_dim")))
-        return ranked(pairs.select("dim", "ids", "m", "q_ids", "q").mapInArrow(_scan(top_k, true_cosine), "query_id long, chunk_id long, score double"), top_k)
+        return ranked(pairs.select("dim", "ids", "m", "q_ids", "q").mapInArrow(kept(top_k, _products(true_cosine)), "query_id long, chunk_id long, score double"), top_k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ def _scores(rb, i):
         inside = (term >= k) & (term < k + n)
         held[term[inside] - k, at[inside]] = value[inside]
         s += asked @ held
-    return query_ids, ids, s, 0
+    yield query_ids, ids, s, 0
 
 
 def _scored(heads: DataFrame, postings: DataFrame, top_k: int) -> DataFrame:
@@ -231,7 +231,8 @@ def search(queries: DataFrame, index: Index, top_k: int) -> DataFrame:
     postings = index.postings.select("term", "chunk_id", "tf", "len").where("chunk_id is not null").join(terms.select("term").distinct(), "term", "left_semi")
     best = _scored(sets.where("query_id = head").select(F.col("query_id").cast("long"), "terms", "mean"), postings.withColumn("chunk_id", F.col("chunk_id").cast("long")), top_k)
     best = best.withColumnRenamed("query_id", "head").join(sets.select("query_id", F.col("head").cast("long")), "head").select("query_id", F.col("chunk_id").cast(of_text), "score")
-    whole = _parts(cut(_whole(queries, terms, index)).join(terms, "query_id"), index.postings, "chunk_id")
+    whole = cut(_whole(queries, terms, index).join(terms, "query_id"))
+    whole = _parts(F.broadcast(whole) if whole.count() * 64 <= SHIPPED else whole, index.postings, "chunk_id")
     both = best.unionByName(whole.select("query_id", "chunk_id", (F.col("score") + BONUS).alias("score")))
     both = both.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")

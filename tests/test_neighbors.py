@@ -1,6 +1,7 @@
 """Nearest vectors by packs and blocks, and by stored inverted lists, against plain loops."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,20 @@ def test_inverted_lists(spark, tmp_path):
     few = index.search(q, 10, probes=3)
     assert neighbors.recall(few, exact).agg(F.avg("recall")).first()[0] >= 0.9
     assert index.parts.read("vectors", neighbors.VECTORS).count() == 900 and len(index.centers()) == 12
+
+
+def test_few_queries_are_multiplied_at_once():
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(600, 8)), rng.normal(size=(500, 8))
+    row = {"dim": 8, "ids": np.arange(600).tobytes(), "m": x.tobytes(), "q_ids": list(range(500)), "q": q.ravel().tolist()}
+    products, sizes = neighbors._products(False), []
+
+    def watched(rb, i):
+        for tile in products(rb, i):
+            sizes.append(tile[2].size)
+            yield tile
+
+    out = pa.Table.from_batches(list(neighbors.kept(5, watched)(iter([pa.RecordBatch.from_pylist([row])]))))
+    got = {(r["query_id"], r["chunk_id"]) for r in out.to_pylist()}
+    assert got == {(k, int(c)) for k, s in enumerate(q @ x.T) for c in np.argsort(-s)[:5]}
+    assert max(sizes) <= neighbors.TILE * 600 and len(sizes) == 4
