@@ -12,10 +12,13 @@ gives its other subsets and goes on to a partitioning by another salt, and only
 too. No pair is lost: in the first round that either set is done in, both take part and agree on a subset with shingles.
 
 Signatures are dealt out and sorted; one pass over each part keeps those of at least two different sets, in constant
-memory. Links are then found without listing all pairs of a group. Every set is compared with its group's pivot, the
+memory. A shingle that differs spoils the signatures of its own partition alone, so a set shares with each partner all but k times as
+many of those it has of a band and salt (a few, its need). Sets that share fewer with others have no partner and go, before their
+shingles are written; so do, later, sets that share fewer with sets of other components. What many texts have in common (a
+line, a passage) makes some of their signatures equal, but not so many. Links are then found without listing all pairs of a group. Every set is compared with its group's pivot, the
 member whose signatures most members of their groups share (the text of which the others are near copies). Groups that then lie in one
-component are done. Of the others, small ones are listed in pairs. Members of a large one are cut up by their
-differences from the pivot b: let D(x) hold the shingles that just one of x and b has. Two similar sets x and y of
+component are done. Of the others, small ones are listed in pairs. Large ones with pivots of one component take one of these for
+all, which is compared with their members. The members are cut up by their differences from the pivot b: let D(x) hold the shingles that just one of x and b has. Two similar sets x and y of
 different components differ in at most k shingles, at least one of them is not linked with b, and so D(x) and D(y) share
 at least t = (|D(x)| + |D(y)| - k) / 2 >= 1 shingles. In one order of all shingles - rare ones outside b first, common ones
 outside b, those of b - they therefore share one among the first |D| - t + 1 of each (prefix filtering), which gives new,
@@ -39,6 +42,7 @@ from __future__ import annotations
 
 import functools
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +60,10 @@ PARTS, DROP = 2, 1
 SPARE, MOST_SPARE, MARGIN = 0.1, 1.0, 1.5
 #: Partitionings by different salts before empty subsets are used.
 ROUNDS = 4
+#: Low bits of a signature: the band's parity and the partitioning that it is of.
+PART_OF = 2 * ROUNDS - 1
+#: Times that sets which share too few signatures are left out.
+SIFTS = 2
 #: A band's largest size by its smallest; at least den / num.
 BAND = 1.4
 #: Members up to which a group in several components is listed in pairs, and up to which it is compared within a task (a
@@ -127,26 +135,40 @@ def set_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def signatures(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures, and the row of each."""
+    return signatures_and_needs(h, at, num, den)[:2]
+
+
+def signatures_and_needs(h: np.ndarray, at: np.ndarray, num: int, den: int):
+    """Signatures and the row of each; rows, parts (the low bits of signatures) and how many signatures of that part the row must share
+    with others if a partner is to be found there."""
     sizes = np.diff(at)
     if not len(h):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
     tops = band_tops(num, den, int(sizes.max()) * den // num + 1)
     own = np.searchsorted(tops, sizes)
     whole = np.flatnonzero((sizes > 0) & (own == 0))
-    sigs, rows = [set_keys(h, at)[whole]], [whole]
+    sigs, rows, needs = [set_keys(h, at)[whole]], [whole], []
     for step in (0, 1):
         use = np.flatnonzero((sizes > 0) & (own + step > 0) & ((sizes * den // num > tops[own]) if step else True))
         for salt in range(ROUNDS):
             if not len(use):
                 break
-            sig, row, use = _subsets(h, at, use, own[use] + step, tops, num, den, salt)
-            sigs.append(sig)
+            band = own[use] + step
+            sig, row, full, on = _subsets(h, at, use, band, tops, num, den, salt)
+            part = (band & 1) * ROUNDS + salt
+            most = (den - num) * (sizes[use] + np.minimum(tops[band], sizes[use] * den // num)) // (den + num)
+            needs.append((use, part, np.maximum(1, full - most * comb(PARTS - 1, PARTS - DROP - 1))))
+            parts = np.zeros(len(sizes), np.uint64)
+            parts[use] = part
+            sigs.append((sig & ~np.uint64(PART_OF)) | parts[row])
             rows.append(row)
-    return np.concatenate(sigs), np.concatenate(rows)
+            use = use[on]
+    return (np.concatenate(sigs), np.concatenate(rows), *(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*needs, strict=True) if needs else [()] * 3)))
 
 
 def _subsets(h, at, use, band, tops, num, den, salt):
-    """Signatures of the rows `use` in these bands, the row of each, and the rows that go on to the next salt."""
+    """Signatures of the rows `use` in these bands, the row of each; by row of `use`, subsets with shingles and whether it goes on to the
+    next salt."""
     n_groups, spare = groups_of(tops[band], num, den)
     cells = np.concatenate([[0], np.cumsum(n_groups * PARTS)])
     n = at[use + 1] - at[use]
@@ -174,14 +196,16 @@ def _subsets(h, at, use, band, tops, num, den, salt):
     on = np.bincount(group_row, weights=empty, minlength=len(use)) > spare
     every = on & (salt == ROUNDS - 1)
     keeps = [np.flatnonzero(~few | every[group_row]) for _, few in made]
-    return np.concatenate([sig[k] for (sig, _), k in zip(made, keeps, strict=True)]), use[group_row[np.concatenate(keeps)]], use[on]
+    full = sum(np.bincount(group_row[~few], minlength=len(use)) for _, few in made)
+    return np.concatenate([sig[k] for (sig, _), k in zip(made, keeps, strict=True)]), use[group_row[np.concatenate(keeps)]], full, on
 
 
 DEAL = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("id", pa.int64())])
 
 
 def _sign(size, num, den):
-    """Rows for documents (n >= 0) and for signatures (n = -1); copies in a slice give signatures once."""
+    """Rows for documents (n >= 0), for signatures (n = -1) and for how many of them a set must share (n = -2, the number as id); copies in
+    a slice give both once."""
 
     def run(batches):
         for rb, data, off in slices(batches):
@@ -190,24 +214,27 @@ def _sign(size, num, den):
             first = np.unique(key, return_index=True)[1]
             spread = mix(np.arange(rb.num_rows, dtype=np.uint64) ^ key)
             yield out_batch(DEAL, as_long(spread), as_long(key), n, rb.column("id"))
-            sig, row = signatures(h, at, num, den)
-            keep = np.zeros(rb.num_rows, bool)
-            keep[first] = True
-            keep = keep[row]
+            sig, row, of, part, need = signatures_and_needs(h, at, num, den)
+            once = np.zeros(rb.num_rows, bool)
+            once[first] = True
+            keep = once[row]
             sig, row = sig[keep], row[keep]
             yield out_batch(DEAL, as_long(sig), as_long(key[row]), np.full(len(sig), -1), pa.nulls(len(sig), pa.int64()))
+            keep = once[of]
+            of, part, need = of[keep], part[keep], need[keep]
+            yield out_batch(DEAL, as_long((mix(key[of]) & ~np.uint64(PART_OF)) | part.astype(np.uint64)), as_long(key[of]), np.full(len(of), -2), need)
 
     return run
 
 
 def _shared(batches):
-    """Of rows sorted by h and key: documents as they are, and signatures that at least two different sets have."""
+    """Of rows sorted by h and key: documents and needs as they are, and signatures that at least two different sets have."""
     last = None
     for rb in batches:
         h, key, n = (np.asarray(rb.column(c)) for c in ("h", "key", "n"))
-        if len(at := np.flatnonzero(n >= 0)):
+        if len(at := np.flatnonzero(n != -1)):
             yield rb.take(pa.array(at))
-        at = np.flatnonzero(n < 0)
+        at = np.flatnonzero(n == -1)
         h, key, old = h[at], key[at], last
         if not len(h):
             continue
@@ -298,34 +325,50 @@ def _linked(work: Work, pairs: DataFrame, sets: DataFrame, num: int, den: int, n
     return work.write(got.where(f"{den} * both >= {num} * (all - both)").select("a", "b").distinct(), name)
 
 
+def _part():
+    return F.col("h").bitwiseAND(PART_OF).alias("part")
+
+
+def _enough(work: Work, groups: DataFrame, needs: DataFrame, name: str) -> DataFrame:
+    """The rows of groups (h, key, ..) whose sets are in as many of them as one with a partner must be."""
+    enough = groups.groupBy("key", _part()).agg(F.count("*").alias("m")).join(needs, ["key", "part"]).where("m >= need")
+    return groups.join(work.write(enough.select("key").distinct(), name), "key", "left_semi")
+
+
 def _signed(work: Work, docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int):
-    """Documents (key, n, id), the least id of each set (key, lead), signatures (h, key) that different sets share, and
-    those sets (key, n, sketch, s), or None if there are none."""
+    """Documents (key, n, id), the least id of each set (key, lead), signatures (h, key) that different sets share, how many of each part
+    one with a partner must share (key, part, need), and those sets (key, n, sketch, s), or None if there are none."""
     spark, rows = work.spark, with_types(docs, id_col, text_col)
     dealt = rows.mapInArrow(_sign(size, num, den), "h long, key long, n long, id long").repartition(partitions(spark), "h").sortWithinPartitions("h", "key")
     found = work.write(dealt.mapInArrow(_shared, "h long, key long, n long, id long"), "found", compression="zstd")
     of_docs = found.where("n >= 0").select("key", "n", "id")
     lead = of_docs.where("n > 0").groupBy("key").agg(F.min("id").alias("lead"))
-    shared = found.where("n < 0").select("h", "key")
+    shared = found.where("n = -1").select("h", "key")
+    needs = found.where("n = -2").select("key", _part(), F.col("id").alias("need")).distinct()
+    for k in range(SIFTS):
+        left = _enough(work, shared, needs, f"enough{k}")
+        several = left.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+        shared = work.write(left.join(several, "h", "left_semi"), f"shared{k}", compression="zstd")
     keys = work.write(shared.select("key").distinct(), "keys")
     n_keys = keys.count()
     if not n_keys:
-        return of_docs, lead, shared, None
+        return of_docs, lead, shared, needs, None
+    needs = work.write(needs.join(keys, "key", "left_semi"), "needs")
     sets = rows.mapInArrow(_sets(size, key_filter(keys, "key", n_keys)), SETS_SQL)
     leads = lead.join(keys, "key", "left_semi")
     one = sets.join(leads, "key").where("id = lead").select("key", "n", "sketch", "s")
     # the sets are the largest table and are joined by key time and again: in buckets they stay where they are
     total = of_docs.join(keys, "key", "left_semi").groupBy("key").agg(F.max("n").alias("n")).agg(F.sum("n").alias("n")).first().n
-    return of_docs, lead, shared, work.buckets(one, "sets", "key", 8 * total)
+    return of_docs, lead, shared, needs, work.buckets(one, "sets", "key", 8 * total)
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of docs: id, n_shingles and component_id, the least id that links of similarity num / den reach."""
     spark = docs.sparkSession
     work = Work(spark, "jaccard")
-    of_docs, lead, shared, sets = _signed(work, docs, id_col, text_col, size, num, den)
+    of_docs, lead, shared, needs, sets = _signed(work, docs, id_col, text_col, size, num, den)
     if sets is not None:
-        comp = _resolve(work, shared, sets, num, den)
+        comp = _resolve(work, shared, needs, sets, num, den)
         least = comp.join(lead, comp.node == lead.key).groupBy("comp").agg(F.min("lead").alias("c"))
         names = work.write(comp.join(least, "comp").select(F.col("node").alias("key"), F.col("c")), "names")
     else:
@@ -355,10 +398,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all. Each row is decided by its own text, so rows that share an id but not a group are decided apart.
     """
     work = Work(docs.sparkSession, "distinct")
-    of_docs, lead, shared, sets = _signed(work, docs, id_col, text_col, size, num, den)
+    of_docs, lead, shared, needs, sets = _signed(work, docs, id_col, text_col, size, num, den)
     group = F.col("key")
     if sets is not None:
-        lead = lead.join(_resolve(work, shared, sets, num, den).withColumnRenamed("node", "key"), "key", "left")
+        lead = lead.join(_resolve(work, shared, needs, sets, num, den).withColumnRenamed("node", "key"), "key", "left")
         group = F.coalesce("comp", "key")
     null, number = F.col("id").isNull().alias("z"), F.coalesce("id", F.lit(0)).alias("i")
     first = lead.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("lead").isNull(), F.col("lead").alias("id"), "key")).alias("r"))
@@ -388,7 +431,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     work = Work(spark, "links")
-    of_docs, lead, shared, sets = _signed(work, docs, id_col, text_col, size, num, den)
+    of_docs, lead, shared, needs, sets = _signed(work, docs, id_col, text_col, size, num, den)
     if sets is not None:
         groups = work.write(shared.groupBy("h").agg(F.count("*").alias("m")), "groups")
         every = shared.join(groups, "h").select("h", "key", F.col("key").alias("comp"), "m")
@@ -615,7 +658,7 @@ def _merged(work: Work, comp: DataFrame, links: DataFrame, name: str) -> DataFra
     return work.write(old.union(new), f"{name}-all")
 
 
-def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _resolve(work: Work, shared: DataFrame, needs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Components (node, comp) of the sets that share a signature."""
     spark = work.spark
     sizes = shared.groupBy("h").agg(F.count("*").alias("m"))
@@ -647,11 +690,25 @@ def _resolve(work: Work, shared: DataFrame, sets: DataFrame, num: int, den: int)
         own = [F.lit(0).cast("long").alias("size"), F.lit(True).alias("own")]
         now = groups.join(comp, groups.key == comp.node, "left").select("h", "key", F.coalesce("comp", "key").alias("comp"), *own)
         mixed = still_mixed(now, f"mixed{k}")
+        # partners of another component share their signatures in groups that are still mixed; later groups are not of signatures
+        for i in range(SIFTS if k == 0 else 0):
+            mixed = still_mixed(_enough(work, mixed.drop("m"), needs, f"enough-mixed{i}"), f"mixed{k}-{i}")
         small, _ = listed(mixed)
         pending.append(work.write(small.distinct(), f"small{k}"))
         large = mixed.where(f"m > {SMALL}")
         if large.isEmpty():
             break
+        if k == 0:
+            # groups whose pivots are of one component take one pivot for all, so that a set is in few stars
+            of = large.select("h").distinct().join(pivots, "h").join(comp, F.col("other") == F.col("node"), "left").select("h", "other", F.coalesce("comp", "other").alias("c"))
+            heads = of.select("c", F.col("other").alias("key")).distinct().join(weight, "key").groupBy("c").agg(F.max_by("key", F.struct("w", "key")).alias("other"))
+            pivots = work.write(of.select("h", "c").join(heads, "c").select("h", "other"), "heads")
+            pairs = large.join(pivots, "h").where("key <> other").select(*pair).distinct()
+            pairs = work.write(pairs.join(done, ["a", "b"], "left_anti"), "pairs-heads")
+            links = _linked(work, pairs, sets, num, den, "links-heads")
+            done, comp = done.union(pairs), _merged(work, comp, links, "comp-heads")
+            now = large.select("h", "key").join(comp, F.col("key") == F.col("node"), "left").select("h", "key", F.coalesce("comp", "key").alias("comp"), *own)
+            large = still_mixed(now, "mixed-heads")
         stars = work.write(large.join(pivots, "h").where("key <> other").select(F.col("other").alias("b"), "key", "comp").distinct(), f"stars{k}")
         cut = still_mixed(_cut_up(work, stars, sets, num, den, k), f"parts{k}")
         pending += listed(cut)

@@ -209,6 +209,44 @@ def test_signatures_are_shared_by_all_similar_sets():
             assert jaccard.cells_apart(jaccard.sketch(a), jaccard.sketch(b)) <= len(a) + len(b) - 2 * both
 
 
+def test_jaccard_needs_are_met_by_similar_sets_and_not_by_common_passages():
+    r = np.random.default_rng(6)
+    many = lambda n: r.integers(1, 1 << 62, n).astype(np.uint64)
+
+    def enough(h, at):
+        sig, row, of, part, need = jaccard.signatures_and_needs(h, at, 80, 100)
+        sig, row = np.array(sorted(set(zip(sig.tolist(), row.tolist(), strict=True))), np.uint64).T
+        value, where, times = np.unique(sig, return_inverse=True, return_counts=True)
+        row, got = row.astype(np.int64)[times[where] > 1], (sig & np.uint64(jaccard.PART_OF)).astype(np.int64)[times[where] > 1]
+        return set(row.tolist()), [(int(i), int(p)) for i, p, n in zip(of, part, need, strict=True) if ((row == i) & (got == p)).sum() >= n]
+
+    for n in (12, 20, 40, 90, 400, 1500):
+        for _ in range(12):
+            a, gone = many(n), r.integers(0, n // 8 + 1)
+            b = np.concatenate([a[gone:], many(r.integers(0, n // 10 + 1))])
+            both = len(np.intersect1d(a, b))
+            if gone and 80 * (len(a) + len(b) - both) <= 100 * both:
+                _, met = enough(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+                assert {i for i, _ in met} == {0, 1}, n
+    passage = many(60)
+    sets = [np.concatenate([passage, many(400)]) for _ in range(200)]
+    some, met = enough(np.concatenate(sets), np.arange(201) * 460)
+    assert len(some) > 150 and not met
+
+
+def test_jaccard_leaves_out_sets_with_a_common_passage_only(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    plain, seen = jaccard.key_filter, []
+    monkeypatch.setattr(jaccard, "key_filter", lambda keys, col, n, *rest: seen.append((col, n)) or plain(keys, col, n, *rest))
+    r = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = {i: " ".join(f"x{i}-{k}" for k in range(260)) + " " + passage for i in range(120)}
+    texts |= {200 + i: " ".join(f"y{i}" if k == 20 * i + 5 else f"w{k}" for k in range(260)) + " " + passage for i in range(12)}
+    got = rows(jaccard.similar_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size=4, num=85, den=100))
+    assert {i: x.component_id for i, x in got.items()} == classes({i: shingles(t, 4) for i, t in texts.items()}, 85, 100)
+    assert [n for col, n in seen if col == "key"] == [12] and "e" not in [col for col, _ in seen]
+
+
 def test_jaccard_of_odd_rows(spark):
     got = jaccard.similar_classes(spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z"), (3, None)], "doc_id long, text string"), size=4, num=85, den=100).collect()
     assert sorted((r.id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 1, -1), (-1, 3, 1), (1, 3, 1), (1, 3, 1), (3, 0, 3)]
