@@ -67,7 +67,7 @@ def _canonical(candidate: Column) -> Column:
 
 def industry_from_label(text) -> Column:
     """What follows a label such as 所属行业, as a known industry, or as it is if it has 2 to 16 characters."""
-    compact = F.regexp_replace(F.substring(_col(text), 1, 20000), rf"(?U){SPACE}+", "")
+    compact = F.regexp_replace(_col(text), rf"(?U){SPACE}+", "")
     raw = F.regexp_extract(compact, r"(?:所属行业|公司所处行业|所处行业|行业分类)[:：]?(.*?)(?:主营业务|主要业务|经营情况|公司简介|报告期|$)", 1)
     candidate = F.substring(F.trim(raw, F.lit("：:，,；;。 ")), 1, 24)
     return let(candidate, lambda c: F.coalesce(_canonical(c), F.when(F.length(c).between(2, 16), c)))
@@ -84,7 +84,7 @@ def industry_from_words(title, text) -> Column:
             scored.append(F.struct(score.alias("score"), F.lit(-order).alias("order"), F.lit(name).alias("name")))
         return F.array_max(F.array(*scored))
 
-    both = F.struct(squeeze(title).alias("head"), squeeze(F.substring(_col(text), 1, 20000)).alias("body"))
+    both = F.struct(squeeze(title).alias("head"), squeeze(text).alias("body"))
     return let(let(both, best), lambda b: F.when(b["score"] >= 2, b["name"]))
 
 

@@ -14,10 +14,9 @@ from tabulora.sources.tables import Table
 
 def described(documents: DataFrame) -> DataFrame:
     """documents (doc_id, title, source, doc_type, text) with company, ticker, industry, published_at, version, raw_text."""
-    head = F.substring("text", 1, 2000)
-    code = F.coalesce(metadata.ticker("title"), metadata.ticker(head))
+    code = F.coalesce(metadata.ticker("title"), metadata.ticker("text"))
     rows = documents.withColumn("company", metadata.company("title")).withColumn("ticker", code)
-    rows = rows.withColumn("industry", metadata.industry("title", "text", "ticker")).withColumn("published_at", metadata.published(head))
+    rows = rows.withColumn("industry", metadata.industry("title", "text", "ticker")).withColumn("published_at", metadata.published("text"))
     return rows.withColumn("version", F.lit("v1")).withColumnRenamed("text", "raw_text")
 
 

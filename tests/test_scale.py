@@ -10,6 +10,7 @@ from tabulora.functions import metadata
 from tabulora.functions.vectors import hashed_counts
 from tabulora.operators import clean, facts, layout, retrieve
 from tabulora.plans import derived, fixtures, queries, report_queries
+from tabulora.plans.ingest import described
 from tests.oracle import SF
 
 
@@ -104,3 +105,12 @@ def test_items_of_pages_are_joined_once(spark):
 def test_best_facts_are_found_once(spark):
     f = facts.extract(spark.sql(fixtures.REPORTS).withColumn("industry", F.lit(None).cast("string")).withColumn("published_at", F.lit(None).cast("timestamp")), spark.sql(fixtures.PASSAGES))
     assert f.count() > 0 and "Window" not in f._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_texts_are_described(spark):
+    long = "正文。" * 8000
+    texts = [long + "所属行业：房地产 主营业务 600519 2026-04-30", long + " 600518 芯片 硅片"]
+    docs = spark.createDataFrame([(i, "某", "s", "pdf", t) for i, t in enumerate(texts)], "doc_id long, title string, source string, doc_type string, text string")
+    got = [(r.ticker, r.industry, str(r.published_at)[:10]) for r in described(docs).orderBy("doc_id").collect()]
+    assert got == [("600519", "白酒", "2026-04-30"), ("600518", "半导体", "None")]
+    assert [r.i for r in docs.where("doc_id = 0").select(metadata.industry_from_label("text").alias("i")).collect()] == ["房地产"]
