@@ -254,6 +254,12 @@ def _exchange(work: Work, blocks: DataFrame, kind: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- weights
+def _sides(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts of the word before and of the word itself. They lie in files beside packed answers, so Spark takes their rows
+    for far fewer than they are and would broadcast the vocabulary: a merge join is asked for, as for held trigrams."""
+    return words.select("v", F.col("main").alias("cv")).hint("merge"), words.select(F.col("v").alias("w"), F.col("main").alias("cw")).hint("merge")
+
+
 def find_weights(held: DataFrame, words: DataFrame) -> dict[int, float]:
     """Weight of the bigram estimate for each bucket of context counts, by expectation-maximisation.
 
@@ -264,7 +270,7 @@ def find_weights(held: DataFrame, words: DataFrame) -> dict[int, float]:
     total = words.agg(F.coalesce(F.sum("main"), F.lit(0)).alias("n"), F.count(F.when(F.col("main") > 0, 1)).alias("v")).first()
     if not total.n:
         return {}
-    left, right = words.select("v", F.col("main").alias("cv")), words.select(F.col("v").alias("w"), F.col("main").alias("cw"))
+    left, right = _sides(words)
     both = held.join(left, "v").where("cv > 0").join(right, "w", "left")
     ratio = (F.col("main") / F.col("cv")) / ((F.coalesce("cw", F.lit(0)) + 1) / F.lit(total.n + total.v + 1))
     step = F.when(F.col("main") > 0, F.floor(8 * F.log2(ratio)))
@@ -295,14 +301,14 @@ def find_trigram_weights(held: DataFrame, pairs: DataFrame, words: DataFrame, we
     total = words.agg(F.coalesce(F.sum("main"), F.lit(0)).alias("n"), F.count(F.when(F.col("main") > 0, 1)).alias("v")).first()
     if not total.n or not weights:
         return {}
-    left, right = words.select("v", F.col("main").alias("cv")), words.select(F.col("v").alias("w"), F.col("main").alias("cw"))
+    left, right = _sides(words)
     both = pairs.groupBy("v", "w").agg(F.max("main").alias("main")).join(left, "v").join(right, "w", "left")
     one = (F.coalesce("cw", F.lit(0)) + 1) / F.lit(total.n + total.v + 1)
     a = F.get(F.array(*[F.lit(float(x)) for x in _table(weights)]), _bucket(F.col("cv")))
     lower = F.when(F.col("cv") > 0, a * F.col("main") / F.col("cv") + (1 - a) * one).otherwise(one)
     both = both.select("v", "w", F.col("main").alias("cvw"), lower.alias("lower"))
     before = both.where("cvw > 0").select(F.col("v").alias("u"), F.col("w").alias("v"), F.col("cvw").alias("cuv"))
-    every = held.join(before, ["u", "v"]).join(both.select("v", "w", "lower"), ["v", "w"])
+    every = held.join(before.hint("merge"), ["u", "v"]).join(both.select("v", "w", "lower").hint("merge"), ["v", "w"])
     step = F.when(F.col("main") > 0, F.floor(8 * F.log2(F.col("main") / F.col("cuv") / F.col("lower"))))
     return _maximise(every.groupBy(_bucket(F.col("cuv")).alias("bucket"), step.alias("step")).agg(F.sum("held").alias("n")).collect())
 
