@@ -226,7 +226,8 @@ def neighbours(work: Work, vocab: DataFrame) -> DataFrame:
     keys = vocab.mapInArrow(_hash, "h long")
     bitmap = key_filter(keys, "h", vocab.count())
     made = vocab.select("word").mapInArrow(_edits(bitmap, alphabet), "word string, near string")
-    return made.join(vocab.select(F.col("word").alias("near"), "n"), "near").select("word", "near", "n")
+    # Spark sizes what is made by its input, a word a row, and would broadcast it
+    return made.join(vocab.select(F.col("word").alias("near"), "n").hint("merge"), "near").select("word", "near", "n")
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", letters: int = LETTERS, seen: int = SEEN, factor: int = FACTOR, typos: int = 0) -> DataFrame:
@@ -242,10 +243,10 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     roots, k, open_ = work.write(rows.where("form is not null").select("word", F.col("form").alias("root")), "roots0"), 0, 1
     while open_:
         on = roots.select(F.col("word").alias("root"), F.col("root").alias("end"))
-        step = work.write(roots.join(on, "root", "left").select("word", F.coalesce("end", "root").alias("root"), F.col("end").isNotNull().alias("moved")), f"roots{k + 1}")
+        step = work.write(roots.join(on.hint("merge"), "root", "left").select("word", F.coalesce("end", "root").alias("root"), F.col("end").isNotNull().alias("moved")), f"roots{k + 1}")
         work.drop(f"roots{k}")
         roots, k, open_ = step.select("word", "root"), k + 1, step.where("moved").limit(1).count()
-    out = rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    out = rows.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
     out = work.write(out, "variants")
     work.only("variants")
     return out

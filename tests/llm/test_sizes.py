@@ -1,6 +1,7 @@
 """Joins whose sides Spark takes for smaller than they are must not be broadcast."""
 
-from tabulora.llm import lm
+from tabulora.llm import lm, spelling
+from tabulora.llm.common import Work
 
 
 def test_words_of_the_language_model_are_not_broadcast(spark, monkeypatch, tmp_path):
@@ -14,3 +15,12 @@ def test_words_of_the_language_model_are_not_broadcast(spark, monkeypatch, tmp_p
     assert lm.find_trigram_weights(held.where("v > 0"), held.select("v", "w", "main", "held"), words, weights) and weights
     asked = [p for p in plans if "Join" in p]
     assert len(asked) == 2 and not any("Broadcast" in p for p in asked)
+
+
+def test_made_neighbours_are_not_broadcast(spark):
+    work = Work(spark, "test")
+    vocab = work.write(spark.createDataFrame([("birch", 3), ("birth", 9), ("berth", 4)], "word string, n long"), "vocab")
+    out = spelling.neighbours(work, vocab)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {("birch", "birth", 9), ("birth", "birch", 3), ("birth", "berth", 4), ("berth", "birth", 9)}
+    work.close()
