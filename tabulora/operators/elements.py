@@ -12,15 +12,18 @@ images count from 1 on each page. Further columns are not looked at.
 Defined results: pages without anything do not matter; a null text, cell or box is an empty one; a table without any cell
 gives no element but keeps its number; pages of contents give neither text nor tables, but images.
 
-Rows that several steps read (joined lines, tables with their headings, the sections of pages) are written once, see cut.
+Rows that several steps read (joined lines, tables with their headings, the sections of pages, titles) are packed once and
+go when the elements are packed, which are then numbered: what a step takes of the disk does not add up over the steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulora.cut import cut
+from tabulora.cut import packed, shared_folder
 from tabulora.functions.text import collapse
 from tabulora.operators import clean, layout
 from tabulora.operators.scan import carry, numbered
@@ -42,39 +45,48 @@ def page_states(pages: DataFrame, headed: DataFrame, own: DataFrame) -> DataFram
     return rows.select("doc_id", "page", F.coalesce("own", "sure", "spare").alias("section"))
 
 
-def table_elements(rows: DataFrame, tables: DataFrame, states: DataFrame, headed: DataFrame) -> DataFrame:
-    """(doc_id, page, table_idx, content, section, table_title) of tables with content."""
+def table_elements(rows: DataFrame, tables: DataFrame, states: DataFrame, headed: DataFrame, pack: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, page, table_idx, content, section, table_title) of tables with content. pack: writes rows for several steps."""
     numbers = Window.partitionBy("doc_id", "page").orderBy("y", "seq")
     named = rows.where(F.startswith("text", F.lit("表")) & (F.length("text") <= 120)).select("doc_id", "page", "text", F.row_number().over(numbers).alias("table_idx"))
     named = named.withColumnRenamed("text", "explicit")
     t = headed.join(states.withColumnRenamed("section", "state"), ["doc_id", "page"], "left").join(named, ["doc_id", "page", "table_idx"], "left")
     t = t.join(layout.captions_before(rows, tables), ["doc_id", "page", "table_idx"], "left").withColumn("section", F.coalesce("found", "state"))
     title = layout.table_title("explicit", "caption", layout.inferred_title("content"), "section", "page", "table_idx", F.col("y0"))
-    return layout.steady_titles(cut(t.withColumn("table_title", title))).select("doc_id", "page", "table_idx", "content", "section", "table_title")
+    return pack(layout.steady_titles(pack(t.withColumn("table_title", title))).select("doc_id", "page", "table_idx", "content", "section", "table_title"))
 
 
 def elements_of(lines: DataFrame, blocks: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
     """(doc_id, element_seq, element_type, content, page_number, section_title, table_title, figure_title): on each page its
     text, then tables, then images."""
-    rows = cut(layout.marked(clean.glued_lines(lines.select("doc_id", "page", "y", "seq", "text"))))
+    with shared_folder(lines.sparkSession, "elements") as at:
+        out = packed(_placed(lines, blocks, tables, images, at)).hint("merge")
+    out = numbered(out, ["doc_id"], ["page", "kind", "idx"], F.floor(F.col("page") / PAGES), "element_seq")
+    return out.select("doc_id", F.col("element_seq").cast("int").alias("element_seq"), "element_type", "content", F.col("page").alias("page_number"), F.col("section").alias("section_title"), "table_title", "figure_title")
+
+
+def _placed(lines: DataFrame, blocks: DataFrame, tables: DataFrame, images: DataFrame, at: str) -> DataFrame:
+    """Elements with their place: page, kind (0: text, 1: table, 2: image) and number on the page. at: a folder for what several
+    steps read."""
+    # Spark sizes packed rows by their files and would broadcast far more than it takes them for: merge joins are asked for
+    pack = lambda df: packed(df, at).hint("merge")
+    rows = pack(layout.marked(clean.glued_lines(lines.select("doc_id", "page", "y", "seq", "text"))))
     place = ["doc_id", "page"]
     pages = lines.select(*place).union(blocks.select(*place)).union(tables.select(*place)).union(images.select(*place)).distinct()
     toc = clean.toc_pages(rows, "toc")
     full = tables.select(*place, "table_idx", F.coalesce("y0", F.lit(0.0)).alias("y0"), layout.table_text(F.coalesce("rows", F.array().cast("array<array<string>>"))).alias("content"))
     full = full.where("content <> ''").join(toc, place, "left_anti")
-    full = headed = cut(layout.sections_before(rows, full).withColumnRenamed("section", "found"))
+    full = headed = pack(layout.sections_before(rows, full).withColumnRenamed("section", "found"))
     tops = tables.select(*place, F.coalesce("y0", F.lit(0.0)).alias("y0"))
-    states = cut(page_states(pages, headed, layout.page_sections(rows, tops)))
+    states = pack(page_states(pages, headed, layout.page_sections(rows, tops)))
 
     texts = layout.page_texts(blocks, tables).join(toc, place, "left_anti").join(states, place, "left")
     none = F.lit(None).cast("string")
     out = texts.select(*place, F.lit(0).alias("kind"), F.lit(0).alias("idx"), F.lit("text").alias("element_type"), F.col("text").alias("content"), "section", none.alias("table_title"), none.alias("figure_title"))
-    of_tables = table_elements(rows, full, states, headed)
+    of_tables = table_elements(rows, full, states, headed, pack)
     out = out.union(of_tables.select(*place, F.lit(1), "table_idx", F.lit("table"), "content", "section", "table_title", none))
     shown = layout.image_elements(images, rows).join(states, place, "left")
-    out = out.union(shown.select(*place, F.lit(2), "image_idx", F.lit("image"), "content", "section", none, "figure_title"))
-    out = numbered(out, ["doc_id"], ["page", "kind", "idx"], F.floor(F.col("page") / PAGES), "element_seq")
-    return out.select("doc_id", F.col("element_seq").cast("int").alias("element_seq"), "element_type", "content", F.col("page").alias("page_number"), F.col("section").alias("section_title"), "table_title", "figure_title")
+    return out.union(shown.select(*place, F.lit(2), "image_idx", F.lit("image"), "content", "section", none, "figure_title"))
 
 
 def merged_text(elements: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulora.cut import cut
+from tabulora.cut import cut, packed
 from tabulora.plans import fixtures
 
 GIVEN = ("orders", "lineitem", "customer", "part")
@@ -40,12 +40,14 @@ def _dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(parts, DEALT[name])
 
 
-def of_items(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    """Several of the tables that follow from items, which are joined and numbered once for all of them."""
+def of_items(spark: SparkSession, sf_dir: str, *names: str, at: str | None = None) -> list[DataFrame]:
+    """Several of the tables that follow from items, which are joined and numbered once for all of them; at: a folder in which
+    the items are packed."""
     if not sf_dir:
         return [frame(spark, sf_dir, n) for n in names]
     given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")}
-    items = cut(spark.sql(ITEMS, **given))
+    items = spark.sql(ITEMS, **given)
+    items = packed(items, at) if at else cut(items)
     return [spark.sql(SQL[n].replace(f"({ITEMS})", "{items}"), items=items) for n in names]
 
 

@@ -91,9 +91,10 @@ ELEMENTS_SQL = rf"""
 
 def report_elements(spark, sf_dir) -> DataFrame:
     """The elements of the derived pages."""
-    page_lines, blocks, tables, images = derived.of_items(spark, sf_dir, "PAGE_LINES", "BLOCKS", "TABLES", "IMAGES")
-    tables = tables.withColumn("rows", F.array(F.array("c1", "c2"), F.array("c3", "c4")))
-    return elements.elements_of(page_lines, blocks, tables, images)
+    with shared_folder(spark, "items") as at:
+        page_lines, blocks, tables, images = derived.of_items(spark, sf_dir, "PAGE_LINES", "BLOCKS", "TABLES", "IMAGES", at=at)
+        tables = tables.withColumn("rows", F.array(F.array("c1", "c2"), F.array("c3", "c4")))
+        return elements.elements_of(page_lines, blocks, tables, images)
 
 
 @query(f"with recursive {ELEMENTS_SQL} select doc_id, element_seq, element_type, page_number, sha256(content) content_sha256, section_title, table_title, figure_title from es")

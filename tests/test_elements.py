@@ -77,3 +77,17 @@ def test_query_covers_both_branches(spark):
     rows = report_queries.report_elements(spark, SF).groupBy("element_type").agg(F.count("section_title").alias("s"), F.count("*").alias("n"), F.count_if(F.col("table_title").endswith("（续）")).alias("c"), F.count_if(F.col("table_title") == "").alias("e")).collect()
     by = {r.element_type: r for r in rows}
     assert all(0 < r.s < r.n for r in rows) and by["table"].c > 0
+
+
+def test_rows_of_elements_do_not_stay_on_the_disk(spark, tmp_path, monkeypatch):
+    from tabulora import cut
+
+    monkeypatch.setattr(cut, "checkpoint_dir", lambda spark: f"file://{tmp_path}")
+    rows = cut.packed(spark.range(20000).selectExpr("id", "'the same words' t", "id % 7 k").repartition(2, "k"))
+    assert rows.count() == 20000 and sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 200000
+    out = QUERIES["document_elements"](spark, SF)
+    # the rows above and the elements to be numbered are left: pages, lines and tables on the way went
+    assert out.count() > 0 and len(list(tmp_path.glob("rows-*"))) == 2 and not list(tmp_path.glob("elements-*")) and not list(tmp_path.glob("items-*"))
+    # windows, sums and the join of the numbering share one exchange of the elements
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
