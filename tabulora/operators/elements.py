@@ -53,7 +53,8 @@ def table_elements(rows: DataFrame, tables: DataFrame, states: DataFrame, headed
     t = headed.join(states.withColumnRenamed("section", "state"), ["doc_id", "page"], "left").join(named, ["doc_id", "page", "table_idx"], "left")
     t = t.join(layout.captions_before(rows, tables), ["doc_id", "page", "table_idx"], "left").withColumn("section", F.coalesce("found", "state"))
     title = layout.table_title("explicit", "caption", layout.inferred_title("content"), "section", "page", "table_idx", F.col("y0"))
-    return pack(layout.steady_titles(pack(t.withColumn("table_title", title))).select("doc_id", "page", "table_idx", "content", "section", "table_title"))
+    names = ["doc_id", "page", "table_idx", "content", "section", "table_title"]
+    return layout.steady_titles(pack(t.withColumn("table_title", title).select(*names)), pack=pack).select(*names)
 
 
 def elements_of(lines: DataFrame, blocks: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
@@ -83,7 +84,8 @@ def _placed(lines: DataFrame, blocks: DataFrame, tables: DataFrame, images: Data
     texts = layout.page_texts(blocks, tables).join(toc, place, "left_anti").join(states, place, "left")
     none = F.lit(None).cast("string")
     out = texts.select(*place, F.lit(0).alias("kind"), F.lit(0).alias("idx"), F.lit("text").alias("element_type"), F.col("text").alias("content"), "section", none.alias("table_title"), none.alias("figure_title"))
-    of_tables = table_elements(rows, full, states, headed, pack)
+    with shared_folder(lines.sparkSession, "tables") as own:
+        of_tables = pack(table_elements(rows, full, states, headed, lambda df: packed(df, own).hint("merge")))
     out = out.union(of_tables.select(*place, F.lit(1), "table_idx", F.lit("table"), "content", "section", "table_title", none))
     shown = layout.image_elements(images, rows).join(states, place, "left")
     return out.union(shown.select(*place, F.lit(2), "image_idx", F.lit("image"), "content", "section", none, "figure_title"))
