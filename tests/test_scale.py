@@ -114,3 +114,22 @@ def test_whole_texts_are_described(spark):
     got = [(r.ticker, r.industry, str(r.published_at)[:10]) for r in described(docs).orderBy("doc_id").collect()]
     assert got == [("600519", "白酒", "2026-04-30"), ("600518", "半导体", "None")]
     assert [r.i for r in docs.where("doc_id = 0").select(metadata.industry_from_label("text").alias("i")).collect()] == ["房地产"]
+
+
+def test_lists_of_documents_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "PIECE", 3)
+    monkeypatch.setattr(retrieve, "SHARE", 4)
+    docs = spark.range(-5, 40).selectExpr("id doc_id", "concat('600519_贵州茅台_', id) title", "'s' source", "if(id < 0, '000001', '600519') ticker", "'贵州茅台' company")
+    meta = retrieve.query_metadata(spark.range(80).selectExpr("id query_id", "case when id = 79 then 'no filter' when id = 78 then '600000 x' when id < 70 then '贵州茅台' else '600519 x' end query"), docs)
+    out = retrieve.listed(meta, docs)
+    got = {r.query_id: r.docs for r in out.collect()}
+    every, own = ",".join(map(str, range(-5, 40))), ",".join(map(str, range(40)))
+    assert len(got) == out.count() == 80 and all(got[i] == every for i in range(70)) and all(got[i] == own for i in range(70, 78)) and got[78] is None and got[79] is None
+    # the queries of one filter come from several tasks, and pages of long rows are closed row by row
+    monkeypatch.setattr(retrieve, "SHARE", 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert retrieve.listed(meta, docs).where("query_id < 70").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "SortMergeJoin [filter_key" in out._jdf.queryExecution().sparkPlan().toString() and all(spark.conf.get(n) == "1" for n in retrieve.PAGE_ROWS)
