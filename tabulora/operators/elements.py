@@ -54,7 +54,7 @@ def table_elements(rows: DataFrame, tables: DataFrame, states: DataFrame, headed
     t = t.join(layout.captions_before(rows, tables), ["doc_id", "page", "table_idx"], "left").withColumn("section", F.coalesce("found", "state"))
     title = layout.table_title("explicit", "caption", layout.inferred_title("content"), "section", "page", "table_idx", F.col("y0"))
     names = ["doc_id", "page", "table_idx", "content", "section", "table_title"]
-    return layout.steady_titles(pack(t.withColumn("table_title", title).select(*names)), pack=pack).select(*names)
+    return layout.steady_titles(pack(t.withColumn("table_title", title).select(*names))).select(*names)
 
 
 def elements_of(lines: DataFrame, blocks: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,16 +112,15 @@ def table_title(explicit, caption, inferred, section, page, index, top) -> Colum
     return F.coalesce(*strong, out.when(_col(top) <= 110, F.lit("")).otherwise(made))
 
 
-def steady_titles(tables: DataFrame, pages: int = 256, pack: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def steady_titles(tables: DataFrame, pages: int = 256) -> DataFrame:
     """Weak titles replaced by the last strong one of the section, else of the document, marked as continued.
 
     The strong titles are those of the rows themselves, so both carry-forwards are scans over the page order, by blocks of
-    pages. pack: writes the rows between the two, so that the second one does not do the first one's work twice.
+    pages.
     """
     rows = tables.withColumn("_s", F.when(~is_weak_title("table_title"), F.col("table_title"))).withColumn("_k", F.coalesce(F.nullif("section", F.lit("")), F.lit("__default__")))
     order, block = ["page", "table_idx"], F.floor(F.col("page") / pages)
     rows = carry(rows, ["doc_id", "_k"], order, block, last={"_in": F.col("_s")})
-    rows = pack(rows) if pack else rows
     rows = carry(rows, ["doc_id"], order, block, last={"_any": F.col("_s")})
     title = F.coalesce("_s", F.concat(F.coalesce("_in", "_any"), F.lit("（续）")), "table_title")
     return rows.withColumn("table_title", title).drop("_s", "_k", "_in", "_any")
